@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import mixing, quality
+from skein.llm import html_text, mixing, neighbours, pieces, quality, token_counts, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        html_text.op1_html_text,
+        urls.op3_url_filter,
         mixing.op4_source_mix,
+        pieces.op6_piece_encoding,
         quality.op7_quality_rules,
+        neighbours.op8_nearest_neighbours,
+        token_counts.op10_token_counts,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op3_url_filter": urls.ORACLE}

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import table
 
@@ -278,7 +279,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, out: str
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], [*names, "_sk_ids", "_sk_same"])
 
     kept = docs.drop(out, "round_trip")
-    schema = kept.schema.add("_sk_ids", "array<int>").add("_sk_same", "boolean")
+    schema = T.StructType([*kept.schema.fields, T.StructField("_sk_ids", T.ArrayType(T.IntegerType())), T.StructField("_sk_same", T.BooleanType())])
     found = kept.withColumn("_sk_text", F.col(text_col)).mapInArrow(run, schema)
     return found.withColumnsRenamed({"_sk_ids": out, "_sk_same": "round_trip"})
 

@@ -98,3 +98,23 @@ def judge(spark: SparkSession, pages: DataFrame, edges: DataFrame, url_col: str
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge(spark, pages.select("page_id", "url"), links(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The rules alone: the tables given declare neither canonical links nor redirects, so no verdict arrives by an alias.
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+    END AS rule
+  FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/fr/', 'net/es/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
