@@ -99,7 +99,7 @@ def targets(sizes: DataFrame, weight: Callable[[Column], Column] = default_weigh
         }
     )
     rest = (F.col("_sk_all") - F.col("_sk_used")).cast("double") * F.col("_sk_w") / F.col("_sk_open")
-    return ranked.select("_sk_source", "source_size", F.col("_sk_w").alias("weight"), F.when(F.col("_sk_stops"), F.col("_sk_cap").cast("double")).otherwise(rest).alias("target"))
+    return ranked.select("_sk_source", "source_size", F.col("_sk_w").alias("_sk_weight"), F.when(F.col("_sk_stops"), F.col("_sk_cap").cast("double")).otherwise(rest).alias("target"))
 
 
 def mix(
@@ -115,20 +115,23 @@ def mix(
 
     In each source, documents stand in an order of hashes of their ids. The source's word stream is that
     order, repeated; the mix takes its first `target` words, a document being in if its middle word is.
+    Columns of docs with the names of results give way to them.
     """
+    docs = docs.drop("size", "source_size", "target", "passes", "taken", "positions")
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     place = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, _HEX), 16, 10).cast("long")
     # s sorts before z: null comes last, and no source's key can equal its key
     source = F.when(F.col(source_col).isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    rows = docs.withColumns({"size": size, "_sk_source": source, "_sk_place": place})
+    # the tie-breaker is taken before the shuffle, so the text moves only if the caller asks for it
+    rows = docs.withColumns({"size": size, "_sk_source": source, "_sk_place": place, "_sk_tie": F.xxhash64(F.col(text_col))})
     rows = rows.withColumn("_sk_bucket", F.shiftright("_sk_place", 4 * _HEX - BUCKET_BITS))
     buckets = rows.groupBy("_sk_source", "_sk_bucket").agg(F.sum("size").alias("_sk_sum"))
     so_far = Window.partitionBy("_sk_source").orderBy("_sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_sk_source", "_sk_bucket", F.coalesce(F.sum("_sk_sum").over(so_far), F.lit(0)).alias("_sk_offset"))
-    wanted = targets(buckets.groupBy("_sk_source").agg(F.sum("_sk_sum").alias("source_size")), weight, most)
-    wanted = wanted.withColumn("_sk_segments", _segments(schedule(F.col("weight"))))
+    wanted = targets(rows.groupBy("_sk_source").agg(F.sum("size").alias("source_size")), weight, most)
+    wanted = wanted.withColumn("_sk_segments", _segments(schedule(F.col("_sk_weight"))))
     starts = offsets.join(wanted, "_sk_source")
-    inside = Window.partitionBy("_sk_source", "_sk_bucket").orderBy("_sk_place", F.col(id_col), "size", F.xxhash64(F.col(text_col)))
+    inside = Window.partitionBy("_sk_source", "_sk_bucket").orderBy("_sk_place", F.col(id_col), "size", "_sk_tie")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = rows.join(starts, ["_sk_source", "_sk_bucket"]).withColumn("_sk_at", F.col("_sk_offset") + before)
     middle = [2 * (F.col("_sk_at") + p * F.col("source_size")) + F.col("size") for p in range(most)]
@@ -139,7 +142,7 @@ def mix(
         lambda p: invert(F.col("_sk_segments"), F.least(F.lit(1.0), (F.col("_sk_at") + p * F.col("source_size")).cast("double") / F.col("target"))),
     )
     out = out.withColumns({"taken": (F.col("passes") * F.col("size")).cast("long"), "positions": at})
-    return out.drop("_sk_source", "_sk_bucket", "_sk_place", "_sk_offset", "_sk_at", "_sk_segments", "weight")
+    return out.drop("_sk_source", "_sk_bucket", "_sk_place", "_sk_tie", "_sk_offset", "_sk_at", "_sk_segments", "_sk_weight")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -190,4 +193,5 @@ SELECT doc_id, size, source_size, target, CAST(n * size AS BIGINT) AS taken, CAS
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix in training order, a document as often as it is taken, with the columns it came with."""
     del spark, sf_dir
-    return in_training_order(mix(docs)).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_sk_row")
+    return in_training_order(mix(docs.select("doc_id", "text", "source", whole))).select("_sk_row.*")
