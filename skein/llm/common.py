@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -71,6 +72,11 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         drop_path(self.spark, df._sk_path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more, now rather than at some later collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Rows alike in id and text share a key, and are treated alike."""
