@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import html_text, mixing, neighbours, pieces, quality, token_counts, urls
+from skein.llm import html_text, jaccard, language_model, mixing, neighbours, pieces, quality, suffixes, token_counts, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         html_text.op1_html_text,
+        suffixes.op2_repeated_passages,
         urls.op3_url_filter,
         mixing.op4_source_mix,
+        language_model.op5_lm_score,
         pieces.op6_piece_encoding,
         quality.op7_quality_rules,
         neighbours.op8_nearest_neighbours,
+        jaccard.op9_jaccard_join,
         token_counts.op10_token_counts,
     ]
     return {f.__name__: f for f in found}
