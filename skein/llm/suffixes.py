@@ -296,19 +296,19 @@ def strip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         for whole in found:
             for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 rows = []
-                for text, cut in zip(b.column("_sk_text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                for text, cut in zip(b.column("_sk_text").to_pylist(), b.column("_sk_spans").to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     runs = merged([(x["start"], x["length"]) for x in cut or ()])
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True)) if runs else raw
                     rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8", "ignore") if runs else text) if with_text else None))
-                names = [n for n in b.schema.names if n not in ("_sk_text", "spans")]
+                names = [n for n in b.schema.names if n not in ("_sk_text", "_sk_spans")]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: len(results)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], [*names, *results.names])
 
     kept = [f for f in docs.schema.fields if with_text or f.name != text_col]
-    rows = keyed.join(spans, KEY, "left").select(*[f"`{f.name}`" for f in kept], "_sk_text", "spans")
+    rows = keyed.join(spans.withColumnRenamed("spans", "_sk_spans"), KEY, "left").select(*[f"`{f.name}`" for f in kept], "_sk_text", "_sk_spans")
     return rows.mapInArrow(run, T.StructType([*kept, *results.fields]))
 
 
