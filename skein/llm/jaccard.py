@@ -43,6 +43,8 @@ RUNS = ceil_log(MISS, LEAST[0] / LEAST[1])
 SMALL, FORKS, DEPTH = 256, 3, 8
 #: Slots in which two sets agree: so many make one stand for the other, so many join them to one candidate group.
 SAME, NEAR = 26, 6
+#: A class's internal name: the smallest row key of its texts, since ids may be null or repeat.
+CLASS = "_sk_class"
 #: Words of the texts in a tile's side, about.
 TILE = 150_000
 _SEEDS = np.random.default_rng(32).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -227,7 +229,7 @@ def _compared(rows: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links, n_copies, _sk_key) of every row.
+    """(doc_id, class_id, n_links, n_text_links, n_copies) and internal columns of every row.
 
     class_id: the smallest id among the documents that links hold together; n_links: documents of
     similarity 0.8 or more to this one, copies included; n_text_links: the same for different texts;
@@ -238,14 +240,14 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     rows = scratch.keep(_sampled(keyed), "samples")
     worded = rows.where("n_words > 0")
     texts = worded.groupBy("f1", "f2").agg(
-        F.coalesce(F.min("doc_id"), F.first("f1")).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"), F.min(F.struct("doc_id", KEY))[KEY].alias(KEY), F.min("sketch").alias("sketch")
+        F.min(KEY).alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"), F.min("sketch").alias("sketch")
     )
     texts = scratch.keep(texts, "texts")
     groups = scratch.keep(connected_components(spark, _meetings(scratch, texts)), "groups")
-    member = texts.select("node", "copies", "n_words", KEY).join(groups, "node")
+    member = texts.select("node", "copies", "n_words").join(groups, "node")
     sizes = member.groupBy("component").agg(F.ceil(F.sum("n_words") / TILE).cast("int").alias("blocks"))
     placed = scratch.keep(member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
-    whole = placed.drop("n_words").join(keyed.select(KEY, F.col("_sk_text").alias("text")), KEY)
+    whole = placed.drop("n_words").join(keyed.select(F.col(KEY).alias("node"), F.col("_sk_text").alias("text")), "node")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = other.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
     tiled = tiled.repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "block", "node")
@@ -255,9 +257,12 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     counted = tiles.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"), F.min("root").alias("root"))
     linked = counted.join(joined, "node", "left")
     none = F.lit(0).cast("long")
-    named = texts.select("f1", "f2", "node", "copies").join(linked, "node", "left").select(
-        "f1", "f2", "copies", F.coalesce("joined", "root", "node").alias("class_id"), F.coalesce("texts", none).alias("texts"), F.coalesce("docs", none).alias("docs")
+    found = texts.join(linked, "node", "left").select(
+        "f1", "f2", "copies", "least", F.coalesce("joined", "root").alias("_sk_root"), F.col("node").alias("_sk_node"), F.coalesce("texts", none).alias("texts"), F.coalesce("docs", none).alias("docs")
     )
+    found = scratch.keep(found, "found")
+    first = found.where("_sk_root is not null").groupBy("_sk_root").agg(F.min("least").alias("first"))
+    named = found.join(first, "_sk_root", "left").select("f1", "f2", "copies", "texts", "docs", F.when(F.col("_sk_root").isNotNull(), F.col("first")).otherwise(F.col("least")).alias("class_id"), F.coalesce("_sk_root", "_sk_node").alias(CLASS))
     out = rows.select(KEY, "doc_id", "f1", "f2", "n_words").join(named, ["f1", "f2"], "left")
     some = F.col("n_words") > 0
     return out.select(
@@ -267,12 +272,13 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         F.when(some, F.col("texts")).otherwise(none).alias("n_text_links"),
         F.when(some, F.col("copies")).otherwise(none).alias("n_copies"),
         KEY,
+        CLASS,
         F.col("n_words").alias("_sk_words"),
     )
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark, table(spark, sf_dir, "documents")).drop(KEY, "_sk_words")
+    return classes(spark, table(spark, sf_dir, "documents")).drop(KEY, CLASS, "_sk_words")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -280,7 +286,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     del sf_dir
     scratch = Scratch(spark, "jaccard-stage")
     found = scratch.keep(classes(spark, docs), "classes")
-    first = found.where("_sk_words > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias(KEY))
+    first = found.where("_sk_words > 0").groupBy(CLASS).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias(KEY))
     stay = first.select(KEY).union(found.where("_sk_words = 0").select(KEY)).distinct()
     out = docs.withColumn(KEY, row_key("doc_id", "text")).join(stay, KEY, "left_semi")
     if found.where("_sk_words > 0").groupBy(KEY).count().where("count > 1").isEmpty():
