@@ -4,51 +4,418 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import scalars
+from skein.operators import merge, report, resolve, rollup, search, validate
+from skein.sources import trade
+from skein.sources.trade import DIAGNOSTICS_SQL, EDGES_SQL, MODULES_SQL, NODES_SQL, table
+
 Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+_N, _E, _D, _M = NODES_SQL, EDGES_SQL, DIAGNOSTICS_SQL, MODULES_SQL
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
 
+    return add
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as edges between the regions of customer and supplier."""
-    t = lambda n: table(spark, sf_dir, n)
-    near, far = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("sm")), t("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("tm"))
-    ends = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(near, "c_nationkey").select("o_orderkey", "sm")
-    suppliers = t("supplier").join(far, "s_nationkey").select("s_suppkey", "tm")
-    lines = t("lineitem").join(ends, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return lines.select(
-        F.concat_ws(":", F.lit("edge"), "l_orderkey", "l_linenumber").alias("id"), "sm", "tm", F.col("l_returnflag").alias("rel"), F.col("l_linestatus").alias("st"), F.col("l_discount").alias("conf")
-    )
 
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _FOUND.items()}
 
-def module_edge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_edges(spark, sf_dir).where("sm <> tm")
-    return edges.groupBy("sm", "tm", "rel", "st").agg(F.count(F.lit(1)).alias("n"), F.min("conf").alias("cmin"), F.max("conf").alias("cmax"), F.min("id").alias("rep"))
 
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _FOUND.items() if s}
 
-_EDGES = """e AS (
-  SELECT concat('edge:', l_orderkey, ':', l_linenumber) AS id, cn.n_regionkey AS sm, sn.n_regionkey AS tm,
-    l_returnflag AS rel, l_linestatus AS st, l_discount AS conf
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation sn ON s_nationkey = sn.n_nationkey)"""
 
-_FOUND: dict[str, tuple[Query, str | None]] = {
-    "module_edge_groups": (
-        module_edge_groups,
-        f"WITH {_EDGES} SELECT sm, tm, rel, st, count(*) AS n, min(conf) AS cmin, max(conf) AS cmax, min(id) AS rep FROM e WHERE sm <> tm GROUP BY sm, tm, rel, st",
-    ),
-}
+def _modules(s: SparkSession, d: str) -> DataFrame:
+    return rollup.node_modules(trade.nodes(s, d)).select("id", "module_id")
 
 
-def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in _FOUND.items()}
+def _edges_in_modules(s: SparkSession, d: str) -> DataFrame:
+    return rollup.with_modules(trade.edges(s, d), _modules(s, d))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _FOUND.items() if s}
+# --- roll-ups to modules
+
+
+@_query(f"""WITH {_N}, {_E}, {_M}
+SELECT s.module_id AS source_module, t.module_id AS target_module, relation_type, resolution_status, count(*) AS count, min(confidence) AS min_confidence,
+  max(confidence) AS max_confidence, min(e.id) AS representative_edge_id, substr(sha1(concat(s.module_id, chr(31), t.module_id, chr(31), relation_type, chr(31), resolution_status)), 1, 20) AS group_id
+FROM e JOIN m s ON e.source_id = s.id JOIN m t ON e.target_id = t.id WHERE s.module_id <> t.module_id GROUP BY ALL""")
+def module_edge_groups(s: SparkSession, d: str) -> DataFrame:
+    return rollup.edge_groups(_edges_in_modules(s, d))
+
+
+@_query(f"WITH {_N}, {_M} SELECT id, module_id, found_by FROM m")
+def node_to_module(s: SparkSession, d: str) -> DataFrame:
+    return rollup.node_modules(trade.nodes(s, d))
+
+
+@_query(f"""WITH {_N}, {_E}, {_M}, g AS (
+  SELECT s.module_id AS sm, t.module_id AS tm, relation_type, resolution_status, count(*) AS count FROM e JOIN m s ON e.source_id = s.id JOIN m t ON e.target_id = t.id WHERE s.module_id <> t.module_id GROUP BY ALL)
+SELECT concat('overview:', substr(sha1(concat(sm, chr(31), tm, chr(31), relation_type, chr(31), resolution_status)), 1, 20)) AS id, sm AS source_id, tm AS target_id, relation_type, resolution_status, CAST(NULL AS DOUBLE) AS confidence, count FROM g""")
+def overview_pseudo_edges(s: SparkSession, d: str) -> DataFrame:
+    return rollup.pseudo_edges(rollup.edge_groups(_edges_in_modules(s, d)))
+
+
+@_query(f"""WITH {_N}, {_E}, {_M}, v AS (
+  SELECT x.id, CASE WHEN p.kind IN ('class', 'interface', 'function', 'method') THEN x.parent_id ELSE x.id END AS display_id FROM n x LEFT JOIN n p ON x.parent_id = p.id)
+SELECT s.display_id AS source_module, t.display_id AS target_module, relation_type, resolution_status, count(*) AS count
+FROM e JOIN v s ON e.source_id = s.id JOIN v t ON e.target_id = t.id WHERE s.display_id <> t.display_id GROUP BY ALL""")
+def zoom_edge_groups(s: SparkSession, d: str) -> DataFrame:
+    shown = rollup.displayed(trade.nodes(s, d), _modules(s, d), 0.8)
+    return rollup.display_groups(trade.edges(s, d).withColumn("count", F.lit(1)), shown)
+
+
+@_query(f"""WITH {_N}, {_M}, p AS (SELECT concat('c', c_custkey) AS id, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer)
+SELECT module_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM p JOIN m USING (id) GROUP BY module_id""")
+def module_bounding_boxes(s: SparkSession, d: str) -> DataFrame:
+    at = table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("x"), F.col("c_acctbal").alias("y"))
+    return rollup.bounding_boxes(at, _modules(s, d))
+
+
+@_query("""WITH RECURSIVE t AS (
+  SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent FROM nation UNION ALL SELECT concat('r', r_regionkey), NULL FROM region
+  UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer),
+a AS (SELECT id, id AS ancestor, 0 AS depth FROM t UNION ALL SELECT a.id, t.parent, a.depth + 1 FROM a JOIN t ON a.ancestor = t.id WHERE t.parent IS NOT NULL)
+SELECT id, ancestor, depth FROM a""")
+def containment_closure(s: SparkSession, d: str) -> DataFrame:
+    return rollup.ancestors(trade.nodes(s, d).where("id not like 's%'"))
+
+
+# --- chunks and ordinals
+
+
+@_query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 200) AS INTEGER) AS chunk FROM documents")
+def chunk_assign(s: SparkSession, d: str) -> DataFrame:
+    return rollup.chunked(table(s, d, "documents").select("doc_id"), 200, "doc_id").select("doc_id", "ordinal", "chunk")
+
+
+@_query("""WITH c AS (SELECT CAST(floor(p_partkey / 300) AS INTEGER) AS chunk, count(*) AS count FROM part GROUP BY 1)
+SELECT chunk, count, CAST(sum(count) OVER (ORDER BY chunk) - count AS BIGINT) AS first, CAST(sum(count) OVER (ORDER BY chunk) - 1 AS BIGINT) AS last FROM c""")
+def chunk_ranges(s: SparkSession, d: str) -> DataFrame:
+    sizes = table(s, d, "part").groupBy(F.floor(F.col("p_partkey") / 300).cast("int").alias("chunk")).agg(F.count(F.lit(1)).alias("count"))
+    return rollup.chunk_ranges(sizes)
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_orderkey / 2000) AS INTEGER) AS chunk FROM orders)
+SELECT c_custkey AS key, coalesce(list_sort(list_distinct(list(chunk) FILTER (WHERE chunk IS NOT NULL))), []) AS chunks FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey""")
+def chunk_sets(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "orders").select(F.col("o_custkey").alias("key"), F.floor(F.col("o_orderkey") / 2000).cast("int").alias("chunk"))
+    return rollup.chunk_sets(table(s, d, "customer").select(F.col("c_custkey").alias("key")), rows, "key")
+
+
+@_query("SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS sibling FROM customer")
+def sibling_index(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return table(s, d, "customer").select("c_custkey", "c_nationkey", (F.row_number().over(w) - 1).alias("sibling"))
+
+
+@_query("""SELECT p_partkey, concat(p_brand, CASE WHEN k = 0 THEN '' ELSE concat('~', k) END) AS id FROM (
+  SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)""")
+def duplicate_id_suffix(s: SparkSession, d: str) -> DataFrame:
+    return resolve.distinct_ids(table(s, d, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"]).select("p_partkey", "id")
+
+
+@_query("SELECT l_orderkey, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS next_start FROM lineitem")
+def next_declaration(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lead("l_linenumber").over(w).alias("next_start"))
+
+
+@_query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS top FROM events GROUP BY event_type")
+def nearest_rank_percentiles(s: SparkSession, d: str) -> DataFrame:
+    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
+    return table(s, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("top"))
+
+
+@_query("SELECT user_id, min(value) AS least, max(value) AS most, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY user_id")
+def resource_summary(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").groupBy("user_id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.min_by("value", "event_id").alias("first"), F.max_by("value", "event_id").alias("last"))
+
+
+# --- report
+
+
+@_query(f"""WITH {_N}, {_E}, {_D}
+SELECT 'nodes_by_kind' AS facet, kind AS value, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'edges_by_relation', relation_type, count(*) FROM e GROUP BY relation_type
+UNION ALL SELECT 'edges_by_resolution', resolution_status, count(*) FROM e GROUP BY resolution_status UNION ALL SELECT 'edges_by_provenance', provenance, count(*) FROM e GROUP BY provenance
+UNION ALL SELECT 'diagnostics_by_code', code, count(*) FROM d GROUP BY code UNION ALL SELECT 'diagnostics_by_severity', severity, count(*) FROM d GROUP BY severity""")
+def report_counts(s: SparkSession, d: str) -> DataFrame:
+    return report.counts(trade.graph(s, d))
+
+
+@_query(f"""WITH {_N}, {_E}, {_D}, x AS (SELECT count(*) AS nodes FROM n), y AS (SELECT count(*) AS edges, sum(CASE WHEN resolution_status IN ('unresolved', 'unsupported') THEN 1 ELSE 0 END) AS bad FROM e),
+z AS (SELECT count(*) AS diagnostics, count(DISTINCT CASE WHEN code = 'parse_error' AND file <> '' THEN file END) AS parse_error_file_count FROM d)
+SELECT nodes, edges, diagnostics, CAST(bad AS DOUBLE) / edges AS unresolved_or_unsupported_edge_rate, CAST(diagnostics AS DOUBLE) / nodes AS diagnostics_per_node, parse_error_file_count FROM x, y, z""")
+def report_rates(s: SparkSession, d: str) -> DataFrame:
+    return report.rates(trade.graph(s, d))
+
+
+# --- validation
+
+
+@_query(f"""WITH {_N}, {_E}, k AS (SELECT id FROM n WHERE id NOT LIKE 's1%')
+SELECT 'edge.target_id does not exist' AS rule, e.id AS item FROM e ANTI JOIN k ON e.target_id = k.id
+UNION ALL SELECT 'edge.source_id does not exist', e.id FROM e ANTI JOIN k ON e.source_id = k.id""")
+def dangling_edges(s: SparkSession, d: str) -> DataFrame:
+    known, e = trade.nodes(s, d).where("id not like 's1%'"), trade.edges(s, d)
+    return validate.dangling(e, "target_id", known, "edge.target_id does not exist").union(validate.dangling(e, "source_id", known, "edge.source_id does not exist"))
+
+
+@_query("SELECT o_orderkey AS item, 'order without lines' AS rule FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
+def dangling_orders(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return validate.dangling(table(s, d, "orders"), "o_orderkey", lines, "order without lines", "o_orderkey")
+
+
+@_query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_partkey * 7 + 3) % 1000 AS up FROM part WHERE p_partkey % 10 <> 0),
+a AS (SELECT id, up, 1 AS depth FROM p UNION ALL SELECT a.id, p.up, depth + 1 FROM a JOIN p ON a.up = p.id WHERE depth < 45)
+SELECT DISTINCT id FROM a WHERE depth = 45""")
+def parent_cycles(s: SparkSession, d: str) -> DataFrame:
+    tree = table(s, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7 + 3) % 1000).alias("parent_id"))
+    return validate.on_parent_cycles(tree)
+
+
+@_query("SELECT l_orderkey AS id, 'line.id is duplicate' AS rule FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey HAVING count(*) > 1")
+def duplicate_ids(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("id"))
+    return validate.duplicates(rows, "line.id is duplicate").withColumnRenamed("item", "id")
+
+
+@_query(f"WITH {_E} SELECT 'edge.id is duplicate' AS rule, id AS item FROM e GROUP BY id HAVING count(*) > 1")
+def contract_violations(s: SparkSession, d: str) -> DataFrame:
+    """All rules together: line numbers repeat within orders, and nothing else is wrong."""
+    return validate.violations(trade.graph(s, d))
+
+
+# --- search and listings
+
+
+@_query(f"WITH {_N} SELECT id, qualified_name FROM n WHERE contains(lower(concat_ws(chr(10), id, qualified_name, display_name, coalesce(file, ''))), '00011') ORDER BY id LIMIT 80")
+def contains_search(s: SparkSession, d: str) -> DataFrame:
+    return search.search(trade.nodes(s, d), "00011").select("id", "qualified_name")
+
+
+@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'ertion') ORDER BY doc_id LIMIT 80")
+def text_search(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").where(F.contains(F.lower("text"), F.lit("ertion")))
+    return docs.orderBy("doc_id").limit(search.LIMIT).select("doc_id")
+
+
+@_query(f"""WITH {_N}, f AS (SELECT id, qualified_name FROM n WHERE (language IS NULL OR language IN ('building', 'machinery')) AND contains(lower(concat_ws(' ', id, qualified_name, display_name, coalesce(file, ''))), 'customer') ORDER BY id LIMIT 81)
+SELECT id, qualified_name, (SELECT count(*) FROM f) > 80 AS truncated FROM f ORDER BY id LIMIT 80""")
+def viewer_search(s: SparkSession, d: str) -> DataFrame:
+    return search.search_page(trade.nodes(s, d), "CUSTOMER", languages=["building", "machinery"]).select("id", "qualified_name", "truncated")
+
+
+@_query("""WITH t AS (SELECT doc_id AS ordinal, unnest(list_distinct(string_split(lower(text), ''))) AS character FROM documents)
+SELECT character, count(*) AS n, min(ordinal) AS first, max(ordinal) AS last, concat('u', lower(to_hex(unicode(character)))) AS key FROM t WHERE trim(character) <> '' GROUP BY character""")
+def char_postings(s: SparkSession, d: str) -> DataFrame:
+    return search.postings(table(s, d, "documents").select(F.col("doc_id").alias("ordinal"), F.lower("text").alias("text")))
+
+
+@_query(f"WITH {_D} SELECT code, severity, message, file, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM d ORDER BY rank, file, code, message LIMIT 200")
+def severity_top(s: SparkSession, d: str) -> DataFrame:
+    return search.top_diagnostics(trade.diagnostics(s, d)).select("code", "severity", "message", "file", "rank")
+
+
+@_query(f"""WITH {_E}, r AS (SELECT *, CASE WHEN source_id = 'c11' OR target_id = 's7' THEN 0 WHEN relation_type = 'imports' THEN 1 ELSE 2 END AS priority FROM e)
+SELECT id, priority, (SELECT greatest(count(*) - 1000, 0) FROM e) AS omitted FROM r ORDER BY priority, id LIMIT 1000""")
+def drawn_edges(s: SparkSession, d: str) -> DataFrame:
+    e = trade.edges(s, d)
+    return search.drawn_edges(e, (F.col("source_id") == "c11") | (F.col("target_id") == "s7"), F.col("relation_type") == "imports", 1000).select("id", "priority", "omitted")
+
+
+@_query(f"WITH {_N} SELECT id, qualified_name FROM n ORDER BY qualified_name, id LIMIT 300")
+def table_of_contents(s: SparkSession, d: str) -> DataFrame:
+    return search.contents(trade.nodes(s, d)).select("id", "qualified_name")
+
+
+@_query(f"""WITH {_N}, {_E}, h AS (SELECT source_id, target_id FROM e WHERE source_id = 's7' OR target_id = 's7')
+SELECT id, kind FROM n WHERE id = 's7' OR id IN (SELECT source_id FROM h) OR id IN (SELECT target_id FROM h)""")
+def node_neighbourhood(s: SparkSession, d: str) -> DataFrame:
+    return search.neighbourhood(trade.nodes(s, d), trade.edges(s, d), "s7")[0].select("id", "kind")
+
+
+@_query(f"""WITH {_N}, {_E}, v AS (SELECT id FROM n WHERE language IS NULL OR language IN ('python', 'building'))
+SELECT id, relation_type FROM e WHERE source_id IN (SELECT id FROM v) AND target_id IN (SELECT id FROM v)""")
+def visible_edges(s: SparkSession, d: str) -> DataFrame:
+    return search.visible(trade.nodes(s, d), trade.edges(s, d), ["python", "building"])[1].select("id", "relation_type")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_nationkey BETWEEN 5 AND 15 AND c_acctbal BETWEEN 100 AND 3000")
+def in_viewport(s: SparkSession, d: str) -> DataFrame:
+    at = table(s, d, "customer").withColumns({"x": F.col("c_nationkey"), "y": F.col("c_acctbal")})
+    return at.where(scalars.inside(F.col("x"), F.col("y"), 10, 1550, 5, 1450)).select("c_custkey")
+
+
+# --- set operations
+
+
+@_query("""SELECT l_partkey, l_suppkey, abs(n) AS n, CASE WHEN n > 0 THEN 'missing' ELSE 'extra' END AS side FROM (
+  SELECT l_partkey, l_suppkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE -1 END) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2) WHERE n <> 0""")
+def multiset_diff(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem")
+    part = lambda f: rows.where(F.col("l_returnflag") == f).select("l_partkey", "l_suppkey")
+    return merge.difference(part("A"), part("R"))
+
+
+@_query("SELECT DISTINCT c_mktsegment AS id FROM customer GROUP BY c_mktsegment, c_nationkey HAVING count(*) > 0 AND (SELECT count(DISTINCT c_nationkey) FROM customer c WHERE c.c_mktsegment = customer.c_mktsegment) > 1")
+def union_conflicts(s: SparkSession, d: str) -> DataFrame:
+    return merge.conflicts(table(s, d, "customer").select(F.col("c_mktsegment").alias("id"), "c_nationkey"))
+
+
+@_query(f"""WITH {_N}, {_E}, a AS (SELECT concat('manual:', n_name) AS id, 'external' AS kind, n_name AS qualified_name, 'unknown' AS visibility FROM nation)
+SELECT id, kind, qualified_name, visibility FROM n UNION ALL SELECT * FROM a""")
+def overlay_merge(s: SparkSession, d: str) -> DataFrame:
+    hand = table(s, d, "nation").select(F.concat(F.lit("manual:"), "n_name").alias("id"), F.col("n_name").alias("label"), F.lit("external").alias("kind"))
+    base = trade.graph(s, d)
+    return merge.merge_overlay(base, hand, base.edges.limit(0).drop("provenance")).nodes.select("id", "kind", "qualified_name", "visibility")
+
+
+# --- resolution
+
+
+@_query("""WITH c AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS one FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1)
+SELECT c_custkey AS ref, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN one END AS target_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'unresolved' ELSE 'external' END AS status FROM customer LEFT JOIN c ON c_nationkey = k""")
+def resolve_unique(s: SparkSession, d: str) -> DataFrame:
+    refs = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("name"))
+    defs = table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("target"))
+    return resolve.unique_match(refs, defs, ["name"]).drop("name")
+
+
+@_query("""WITH r AS (SELECT p_partkey AS ref, unnest([concat('a.', p_brand), concat('b.', p_type)]) AS name FROM part),
+d AS (SELECT concat('a.', p_brand) AS name, p_size AS target FROM part WHERE p_size < 3 UNION ALL SELECT concat('c.', p_type), p_size FROM part WHERE p_size = 50),
+f AS (SELECT ref, count(DISTINCT target) AS n, min(target) AS t FROM r JOIN d USING (name) GROUP BY ref),
+g AS (SELECT ref, count(DISTINCT d.target) AS n, min(d.target) AS t FROM r JOIN d ON split_part(r.name, '.', -1) = split_part(d.name, '.', -1) WHERE ref NOT IN (SELECT ref FROM f) GROUP BY ref),
+u AS (SELECT *, 'name' AS how FROM f UNION ALL SELECT *, 'short name' FROM g)
+SELECT p_partkey AS ref, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN t END AS target_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'unresolved' ELSE 'external' END AS status, how FROM part LEFT JOIN u ON p_partkey = ref""")
+def resolve_cascade(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part")
+    refs = part.select(F.col("p_partkey").alias("ref"), F.array(F.concat(F.lit("a."), "p_brand"), F.concat(F.lit("b."), "p_type")).alias("names"))
+    defs = part.where("p_size < 3").select(F.concat(F.lit("a."), "p_brand").alias("name"), F.col("p_size").alias("target")).union(part.where("p_size = 50").select(F.concat(F.lit("c."), "p_type"), "p_size"))
+    return resolve.cascade(refs, defs)
+
+
+@_query(f"""WITH {_N}, b AS (SELECT concat('n', n_nationkey) AS scope, 'x' AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS target FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT concat('r', r_regionkey), 'x', r_name FROM region WHERE r_regionkey < 3),
+q AS (SELECT c_custkey AS ref, concat('c', c_custkey) AS scope, 'x' AS name, concat('n', c_nationkey) AS p1, concat('r', n_regionkey) AS p2 FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT ref, q.scope, q.name, coalesce(u.scope, v.scope) AS bound_in, CASE WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END AS target_id,
+  CASE WHEN coalesce(u.scope, v.scope) IS NULL THEN 'unbound' WHEN CASE WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+FROM q LEFT JOIN b u ON u.scope = p1 LEFT JOIN b v ON v.scope = p2""")
+def resolve_lexical(s: SparkSession, d: str) -> DataFrame:
+    refs = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), F.concat(F.lit("c"), "c_custkey").alias("scope"), F.lit("x").alias("name"))
+    bind = lambda df, p, k, t: df.select(F.concat(F.lit(p), k).alias("scope"), F.lit("x").alias("name"), t.alias("target"), F.lit(False).alias("is_import"))
+    nations = bind(table(s, d, "nation").where("n_nationkey % 2 = 0"), "n", "n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")))
+    regions = bind(table(s, d, "region").where("r_regionkey < 3"), "r", "r_regionkey", F.col("r_name"))
+    return resolve.lexical(refs, trade.nodes(s, d).where("id not like 's%'"), nations.union(regions))
+
+
+@_query("""SELECT e.event_id AS ref, CASE WHEN e.event_id % 3 = 0 THEN CASE WHEN n1.n_nationkey IS NOT NULL THEN mod ELSE concat('module:', mod) END WHEN n1.n_nationkey IS NOT NULL AND r.r_regionkey IS NOT NULL THEN concat('s', r.r_regionkey) ELSE concat('symbol:', mod, '.', member) END AS target_id,
+  CASE WHEN e.event_id % 3 = 0 AND n1.n_nationkey IS NOT NULL OR e.event_id % 3 <> 0 AND n1.n_nationkey IS NOT NULL AND r.r_regionkey IS NOT NULL THEN 'resolved' ELSE 'external' END AS status
+FROM (SELECT *, concat('m', user_id % 40) AS mod, CASE WHEN event_id % 3 <> 0 THEN concat('k', event_id % 9) END AS member FROM events) e
+LEFT JOIN nation n1 ON mod = concat('m', n1.n_nationkey) LEFT JOIN region r ON member = concat('k', r.r_regionkey) AND n1.n_regionkey = r.r_regionkey""")
+def resolve_imports(s: SparkSession, d: str) -> DataFrame:
+    asked = table(s, d, "events").select(F.col("event_id").alias("ref"), F.concat(F.lit("m"), F.col("user_id") % 40).alias("module_name"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("k"), F.col("event_id") % 9)).alias("member"))
+    name = F.concat(F.lit("m"), "n_nationkey")
+    modules = table(s, d, "nation").select(name.alias("module_name"), name.alias("id"))
+    symbols = table(s, d, "nation").select(name.alias("module_id"), F.concat(F.lit("k"), "n_regionkey").alias("name"), F.concat(F.lit("s"), "n_regionkey").alias("id"))
+    return resolve.bind_imports(asked, modules, symbols)
+
+
+@_query("""WITH d AS (SELECT lower(p_brand) AS k, min(p_partkey) AS target_id FROM part GROUP BY 1) SELECT p_partkey AS ref, target_id FROM part LEFT JOIN d ON lower(replace(p_brand, '1', '2')) = k""")
+def first_definition(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part")
+    refs = part.select(F.col("p_partkey").alias("ref"), F.upper(F.replace("p_brand", F.lit("1"), F.lit("2"))).alias("name"))
+    defs = part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("target"))
+    return resolve.first_definition(refs, defs, ["target"]).select("ref", "target_id")
+
+
+@_query("""SELECT p_partkey AS ref, CASE WHEN p_size % 4 = 0 THEN concat(p_size, '.ts') WHEN p_size % 2 = 0 THEN concat(p_size, '/index.js') END AS path FROM part""")
+def first_path(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part")
+    size = F.col("p_size").cast("string")
+    refs = part.select(F.col("p_partkey").alias("ref"), F.array(F.concat(F.lit("../"), size), F.concat(size, F.lit(".ts")), F.concat(size, F.lit("/index.js"))).alias("candidates"))
+    files = part.where("p_size % 4 = 0").select(F.concat(size, F.lit(".ts")).alias("path")).union(part.where("p_size % 2 = 0").select(F.concat(size, F.lit("/index.js")))).union(part.select(F.concat(F.lit("../"), size))).distinct()
+    return resolve.first_path(refs, files)
+
+
+@_query("""SELECT e.event_id AS ref, e.user_id, e.event_id AS at, max(v.event_id) AS scope_id FROM events e LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = e.user_id AND v.event_id <= e.event_id WHERE e.event_type = 'click' GROUP BY ALL""")
+def last_started_scope(s: SparkSession, d: str) -> DataFrame:
+    ev = table(s, d, "events")
+    points = ev.where("event_type = 'click'").select(F.col("event_id").alias("ref"), "user_id", F.col("event_id").alias("at"))
+    scopes = ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("start"), F.col("event_id").alias("scope_id"))
+    return resolve.last_started(points, scopes, "user_id")
+
+
+@_query("""WITH sc AS (SELECT l_orderkey AS k, l_linenumber AS s, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 2 END AS e, l_partkey AS scope_id FROM lineitem WHERE l_linenumber <> 3)
+SELECT p.l_orderkey, p.l_linenumber AS ref, p.l_linenumber AS at, arg_max(scope_id, s * 100000000 + scope_id) AS scope_id FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) p LEFT JOIN sc ON k = p.l_orderkey AND s <= p.l_linenumber AND (e IS NULL OR e > p.l_linenumber) GROUP BY 1, 2, 3""")
+def enclosing_scope(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem")
+    points = li.select("l_orderkey", F.col("l_linenumber").alias("ref"), F.col("l_linenumber").alias("at")).distinct()
+    scopes = li.where("l_linenumber <> 3").select("l_orderkey", F.col("l_linenumber").alias("start"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") + 2).alias("end"), F.col("l_partkey").alias("scope_id"))
+    return resolve.enclosing(points, scopes, "l_orderkey")
+
+
+@_query("SELECT conv_id, turn AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations QUALIFY after IS NOT NULL")
+def pipeline_pairs(s: SparkSession, d: str) -> DataFrame:
+    return resolve.adjacent_pairs(table(s, d, "conversations"), "conv_id", "turn", "turn")
+
+
+@_query("""WITH RECURSIVE p AS (SELECT p_partkey AS child, CAST(round(p_partkey / 3) AS BIGINT) AS parent FROM part WHERE p_partkey > 2),
+a AS (SELECT p_partkey AS own, p_partkey AS place, 0 AS depth FROM part UNION ALL SELECT a.own, p.parent, a.depth + 1 FROM a JOIN p ON a.place = p.child WHERE a.depth < 20),
+h AS (SELECT own, depth, p_size AS target FROM a JOIN part ON place = p_partkey WHERE p_size < 5),
+b AS (SELECT own, min(depth) AS depth FROM h GROUP BY own),
+g AS (SELECT h.own, count(DISTINCT target) AS n, min(target) AS t FROM h JOIN b ON h.own = b.own AND h.depth = b.depth GROUP BY h.own)
+SELECT p_partkey AS ref, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN t END AS target_id FROM part LEFT JOIN g ON p_partkey = own""")
+def owner_members(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part")
+    owners = part.select(F.col("p_partkey").alias("ref"), F.col("p_partkey").alias("owner"), F.lit("size").alias("name"))
+    parents = part.where("p_partkey > 2").select(F.col("p_partkey").alias("child"), F.round(F.col("p_partkey") / 3).cast("long").alias("parent"))
+    members = part.where("p_size < 5").select(F.col("p_partkey").alias("owner"), F.lit("size").alias("name"), F.col("p_size").alias("target"))
+    return resolve.owner_members(owners, parents, members, nearest=True)
+
+
+# --- scalars and extraction
+
+
+@_query("SELECT doc_id, sha256(text) AS sha256, substr(sha1(text), 1, 16) AS sha1_16, length(text) AS chars FROM documents")
+def digest_ids(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha1("text"), 1, 16).alias("sha1_16"), F.length("text").cast("long").alias("chars"))
+
+
+@_query("""SELECT doc_id, length(p) - length(replace(p, chr(10), '')) + 1 AS line, strlen(list_last(string_split(p, chr(10)))) AS col FROM (SELECT doc_id, left(text, 700) AS p FROM documents)""")
+def offset_positions(s: SparkSession, d: str) -> DataFrame:
+    line, col = scalars.position_of(F.col("text"), 700)
+    return table(s, d, "documents").select("doc_id", line.cast("long").alias("line"), col.cast("long").alias("col"))
+
+
+@_query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'b') THEN 'private' ELSE 'public' END AS visibility, left(p_type, 5) AS shown FROM part")
+def visibility_and_labels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", F.when(F.startswith("p_name", F.lit("b")), "private").otherwise("public").alias("visibility"), F.substring("p_type", 1, 5).alias("shown"))
+
+
+@_query("""WITH t AS (SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y, least(greatest(((c_acctbal - 100) * 3 + (c_nationkey - 2) * 4) / CAST(25 AS DOUBLE), 0), 1) AS t FROM customer)
+SELECT c_custkey, t, sqrt((x - (100 + t * 3)) * (x - (100 + t * 3)) + (y - (2 + t * 4)) * (y - (2 + t * 4))) AS distance FROM t""")
+def segment_distance(s: SparkSession, d: str) -> DataFrame:
+    t, far = scalars.to_segment(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), 100, 2, 103, 6)
+    return table(s, d, "customer").select("c_custkey", t.alias("t"), far.alias("distance"))
+
+
+@_query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY page_id, tag")
+def html_elements(s: SparkSession, d: str) -> DataFrame:
+    tags = table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
+    return tags.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT page_id, len(x) AS refs, len(list_distinct(x)) AS targets FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS x FROM pages)")
+def html_references(s: SparkSession, d: str) -> DataFrame:
+    refs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return table(s, d, "pages").select("page_id", F.size(refs).cast("long").alias("refs"), F.size(F.array_distinct(refs)).cast("long").alias("targets"))
