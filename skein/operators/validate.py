@@ -43,12 +43,13 @@ def on_parent_cycles(nodes: DataFrame) -> DataFrame:
     """(id,) of nodes whose chain of parents never ends.
 
     Pointers double every round, so chains of any length take a logarithmic number of joins; each round
-    is written to the shared folder, which keeps plans small. A round that loses no node ends the work
-    once it has reached farther than any chain without a cycle can.
+    is written to the shared folder, which keeps plans small. What is left once the pointers reach
+    farther than any chain without a cycle can is on a cycle or leads to one.
     """
     now = written(nodes.where("parent_id is not null and id is not null").select("id", F.col("parent_id").alias("up")).dropDuplicates(["id"]))
-    left, reach = now.count(), 1
-    while left and reach <= left:
+    total, reach = now.count(), 1
+    left = total
+    while left and reach <= total:
         far = now.select(F.col("id").alias("up"), F.col("up").alias("_next"))
         now = written(now.join(far, "up").select("id", F.col("_next").alias("up")))
         left, reach = now.count(), reach * 2
