@@ -118,38 +118,39 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8, floor: float = 0.55) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8) -> tuple[np.ndarray, float, np.ndarray]:
     """EM on distinct vote patterns with their counts: (accuracy of each rule, share of good, posterior of good).
 
-    A rule that votes is right with its accuracy, whichever class the document has; an abstention says
-    nothing. Accuracies start at 0.8 and stay within [floor, 0.99]: a rule is never worse than chance,
-    which fixes which of the two classes is the good one. The share of good documents stays within
-    [0.5, 0.98] for the same reason.
+    Each rule has its own chances of voting good, bad or not at all on good and on bad documents, so a
+    rule that votes good on almost everything says little by it. All rules start as mostly right, which
+    fixes which of the two classes is the good one; ten pseudo-documents of each class hold them there
+    where a table is small.
     """
-    acc, share = np.full(votes.shape[1], 0.8), prior
-    post = np.full(len(votes), prior)
-    good, bad, any_vote = votes == 1, votes == -1, votes != 0
-    total = counts.sum()
+    kinds = np.stack([votes == 1, votes == 0, votes == -1], 2).astype(float)  # patterns x rules x votes
+    held = np.array([[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]])
+    chance = np.repeat(held[:, None, :], votes.shape[1], 1)  # class x rules x votes
+    share, post, total = prior, np.full(len(votes), prior), counts.sum()
     for _ in range(rounds if total else 0):
-        up, down = np.log(acc), np.log(1 - acc)
-        lg = np.log(share) + good @ up + bad @ down
-        lb = np.log(1 - share) + bad @ up + good @ down
-        new = 1 / (1 + np.exp(np.clip(lb - lg, -500, 500)))
-        right = counts[:, None] * (good * new[:, None] + bad * (1 - new[:, None]))
-        cast = (counts[:, None] * any_vote).sum(0)
-        acc = np.clip((right.sum(0) + 8) / (cast + 10), floor, 0.99)
-        share = float(np.clip((counts * new).sum() / total, 0.5, 0.98))
+        good, bad = (np.einsum("prv,rv->p", kinds, np.log(c)) for c in chance)
+        new = 1 / (1 + np.exp(np.clip(bad + np.log(1 - share) - good - np.log(share), -500, 500)))
+        for c, weight in enumerate((counts * new, counts * (1 - new))):
+            seen = np.einsum("p,prv->rv", weight, kinds) + 10 * held[c]
+            chance[c] = seen / seen.sum(1, keepdims=True)
+        share = float(((counts * new).sum() + 8) / (total + 10))
         done, post = np.abs(new - post).max() < 1e-10, new
         if done:
             break
-    return acc, share, post
+    right = np.einsum("p,pr->r", counts, kinds[:, :, 0] * post[:, None] + kinds[:, :, 2] * (1 - post[:, None]))
+    cast = np.einsum("p,pr->r", counts, 1 - kinds[:, :, 1])
+    return right / np.maximum(cast, 1), share, post
 
 
 def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Features, votes' posterior and verdict per document.
 
-    The features are written once to the shared folder: pattern counts and verdicts read that small
-    table instead of the texts. Every document is counted.
+    A document is kept if its posterior is `least` or more, or if no rule votes bad on it. The features
+    are written once to the shared folder: pattern counts and verdicts read that small table instead of
+    the texts. Every document is counted.
     """
     scratch = Scratch(spark, "quality")
     feats = scratch.keep(features(docs, id_col, text_col), "features")
@@ -161,7 +162,8 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     known = spark.createDataFrame([(r[0], float(round(p, 12))) for r, p in zip(patterns, post, strict=True)], "_sk_pattern string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = voted.join(F.broadcast(known), "_sk_pattern").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop("_sk_pattern")
+    spoken_against = F.contains("_sk_pattern", F.lit("-1"))
+    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("posterior") >= least) | ~spoken_against)).drop("_sk_pattern")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
