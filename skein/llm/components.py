@@ -1,7 +1,10 @@
-"""Distributed connected components: rounds of large-star and small-star over an edge table.
+"""Distributed connected components: hooking and pointer doubling over an edge table.
 
-Each round is two minima (combined before the shuffle) and two joins; edges stay in tables in the
-shared folder, and no component is ever gathered in one task. Nodes are longs.
+Every node hooks onto its smallest neighbour if that is smaller than itself, which makes trees; pointers
+double until they reach the roots; edges are renamed to the roots, and what still joins two of them goes
+into the next round. A round moves each edge twice and each node a few times, whatever the size of its
+component, and no component is ever gathered in one task. Tables between the steps stand in the shared
+folder. Nodes are longs.
 """
 
 from __future__ import annotations
@@ -12,16 +15,17 @@ from pyspark.sql import functions as F
 from skein.llm.common import Scratch
 
 
-def _star(pairs: DataFrame, both_ways: bool) -> DataFrame:
-    """Links neighbours of each a (all, or the smaller ones) to the smallest of a and its neighbours."""
-    near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else pairs
-    least = near.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-    linked = near.join(least, "a")
-    if both_ways:
-        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = linked.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.distinct()
+def _roots(scratch: Scratch, up: DataFrame, most_rounds: int) -> DataFrame:
+    """(a, b): from each node and its parent to each node and the root of its tree."""
+    for _ in range(most_rounds):
+        far = up.select(F.col("a").alias("b"), F.col("b").alias("_far"))
+        new = scratch.keep(up.join(far, "b", "left").select("a", F.coalesce("_far", "b").alias("b"), F.col("_far").isNotNull().alias("moved")), "up")
+        scratch.drop(up)
+        up = new.select("a", "b")
+        up._sk_path = new._sk_path
+        if new.where("moved").isEmpty():
+            return up
+    raise RuntimeError(f"trees are deeper than 2**{most_rounds}")
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
@@ -32,21 +36,20 @@ def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v:
     """
     scratch = Scratch(spark, "components")
     given = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
-    now = scratch.keep(given.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
-    loops = now.where("a = b").select("a")
-    pairs, seen = now.where("a <> b"), None
+    first = scratch.keep(given.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    now, name = first.where("a <> b"), None
     for _ in range(most_rounds):
-        new = scratch.keep(_star(_star(pairs, True), False), "round")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen is not None:
-            scratch.drop(pairs)
-        pairs = new
-        if state == seen or not state[0]:
+        if now.isEmpty():
             break
-        seen = state
+        root = _roots(scratch, scratch.keep(now.groupBy("a").agg(F.min("b").alias("b")), "up"), most_rounds)
+        # the larger end of every edge has hooked; the smaller one may be a root
+        left = now.join(root.withColumnRenamed("b", "ra"), "a").select("ra", "b")
+        both = left.join(root.select(F.col("a").alias("b"), F.col("b").alias("rb")), "b", "left").select("ra", F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        now = scratch.keep(both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+        step = root.select(F.col("a").alias("component"), F.col("b").alias("_to"))
+        before = nodes.select("node", F.col("node").alias("component")) if name is None else name
+        name = scratch.keep(before.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "names")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    members = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return members.union(roots).union(alone).groupBy("node").agg(F.min("component").alias("component"))
+    return nodes.select("node", F.col("node").alias("component")) if name is None else name

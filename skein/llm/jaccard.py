@@ -37,17 +37,19 @@ from skein.llm.hashing import in_slices, mix, shingles
 LEAST = (4, 5)
 SIZE = 5
 #: Sampled tokens of a set, and the share of linked pairs that may stay unmet.
-SLOTS, MISS = 32, 1e-6
+SLOTS, MISS = 64, 1e-5
 RUNS = ceil_log(MISS, LEAST[0] / LEAST[1])
 #: Sets that a bucket may hold to be compared by brute force, children of a path, and the longest path.
-SMALL, FORKS, DEPTH = 256, 3, 8
-#: Slots in which two sets agree: so many make one stand for the other, so many join them to one candidate group.
-SAME, NEAR = 26, 6
+SMALL, FORKS, DEPTH = 1024, 2, 4
+#: Slots in which two sets agree: so many join them to one candidate group, and so many make one stand for the other.
+#: Sets linked to a set that agrees with a third in SAME slots have a similarity of 0.5 or more to the third,
+#: and so agree with it in NEAR slots; the gap allows for the sampling.
+SAME, NEAR = 46, 24
 #: A class's internal name: the smallest row key of its texts, since ids may be null or repeat.
 CLASS = "_sk_class"
 #: Words of the texts in a tile's side, about.
 TILE = 150_000
-_SEEDS = np.random.default_rng(32).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(64).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -80,37 +82,44 @@ def _agree(a, b):  # noqa: ANN001, ANN202
 
 
 def _met_in_small(rows: DataFrame) -> DataFrame:
-    """(u, v) from buckets: a row is joined to the rows before it that it is near to and that stand for others."""
+    """(u, v) from buckets: a row is joined to the groups of rows before it that it is near to.
+
+    A row that is much like one before it is stood for by that one; the edges of a bucket are a forest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, nodes, sketches = None, np.zeros(0, np.int64), np.zeros((0, SLOTS), np.int32)
+        bucket, stand, joined, sketches, size = None, [], [], np.zeros((0, SLOTS), np.int32), 0
+
+        def root(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = joined[joined[k]]
+                k = joined[k]
+            return k
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, node = b.column("bucket").to_numpy(), b.column("node").to_numpy()
-            sketch = b.column("sketch").flatten().to_numpy().reshape(-1, SLOTS)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             u, v = [], []
-            for x, y in itertools.pairwise(cuts.tolist()):
-                if key[x] != bucket:
-                    bucket, nodes, sketches = key[x], np.zeros(0, np.int64), np.zeros((0, SLOTS), np.int32)
-                new_nodes, new = [nodes], [sketches]
-                size = len(nodes)
-                stand = sketches
-                for i in range(x, y):
-                    alike = (stand == sketch[i]).sum(1) if size else np.zeros(0, np.int64)
-                    near = np.flatnonzero(alike >= NEAR)
-                    if len(near):
-                        u.append(np.full(len(near), node[i])), v.append(np.concatenate(new_nodes)[near] if len(new_nodes) > 1 else nodes[near])
-                    if not size or not (alike >= SAME).any():
-                        new_nodes.append(node[i : i + 1]), new.append(sketch[i : i + 1])
-                        size += 1
-                        stand = np.concatenate(new)
-                        new, nodes = [stand], np.concatenate(new_nodes)
-                        new_nodes = [nodes]
-                sketches = stand
+            sketch = b.column("sketch").flatten().to_numpy().reshape(-1, SLOTS)
+            for i, (key, node) in enumerate(zip(b.column("bucket").to_pylist(), b.column("node").to_pylist(), strict=True)):
+                if key != bucket:
+                    bucket, stand, joined, size = key, [], [], 0
+                alike = (sketches[:size] == sketch[i]).sum(1)
+                near = np.flatnonzero(alike >= NEAR).tolist()
+                own = None
+                for k in near:  # one edge for each group of standing sets that it is near to: a forest
+                    if own is None or root(k) != own:
+                        u.append(node), v.append(stand[k])
+                        if own is not None:
+                            joined[root(k)] = own
+                        own = root(k)
+                if not (alike >= SAME).any():
+                    if size == len(sketches):
+                        sketches = np.concatenate([sketches, np.zeros((max(64, size), SLOTS), np.int32)])
+                    sketches[size] = sketch[i]
+                    stand.append(node)
+                    joined.append(size if own is None else own)
+                    size += 1
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return rows.select("bucket", "node", "sketch").mapInArrow(run, "u long, v long")
 
@@ -118,28 +127,27 @@ def _met_in_small(rows: DataFrame) -> DataFrame:
 def _meetings(scratch: Scratch, texts: DataFrame) -> DataFrame:
     """(u, v): texts that met in a bucket and are near, or near to the same third."""
     found: list[DataFrame] = []
-    first = texts.select("node", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("sketch", k + 1)) for k in range(RUNS)])).alias("bucket"))
+    sketches = texts.select("node", "sketch")
+    first = texts.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("sketch", k + 1)) for k in range(RUNS)])).alias("bucket"))
+    # most buckets hold one text: the others are found before any sample is moved
+    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1")
+    rows = scratch.keep(first.join(shared, "bucket").join(sketches, "node"), "met")
     for depth in range(1, DEPTH + 1):
-        if depth == 1:
-            # most buckets hold one text: find the others before any sample is moved
-            shared = first.groupBy("bucket").count().where("count > 1")
-            rows = first.select("bucket", "node").join(shared, "bucket").join(texts.select("node", "sketch"), "node")
-        else:
-            shared = first.groupBy("bucket").count().where("count > 1")
-            rows = first.join(shared, "bucket")
-        rows = scratch.keep(rows.select("bucket", "node", "sketch", "count"), "met")
         last = depth == DEPTH
         small = rows if last else rows.where(F.col("count") <= SMALL)
-        found.append(scratch.keep(_met_in_small(small.repartition("bucket").sortWithinPartitions("bucket", "node")).distinct(), "edges"))
+        found.append(scratch.keep(_met_in_small(small.repartition("bucket").sortWithinPartitions("bucket", "node")), "edges"))
         crowded = rows.where(F.col("count") > SMALL)
         if last or crowded.isEmpty():
             break
-        heads = crowded.groupBy("bucket").agg(F.min(F.struct("node", "sketch")).alias("head"))
-        beside = scratch.keep(crowded.join(heads, "bucket").select("bucket", "node", "sketch", F.col("head.node").alias("head"), _agree("sketch", F.col("head.sketch")).alias("alike")), "crowded")
-        found.append(beside.where((F.col("alike") >= NEAR) & (F.col("node") != F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
+        heads = crowded.where("node = head").select("bucket", F.col("sketch").alias("_head"))  # one row per bucket
+        alike = _agree("sketch", "_head")
+        beside = scratch.keep(crowded.join(heads, "bucket").select("bucket", "node", "sketch", "head", alike.alias("alike")), "crowded")
+        found.append(beside.where((F.col("alike") >= NEAR) & (F.col("node") != F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")))
         slot = [F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SLOTS)).cast("int") + 1 for k in range(FORKS)]
         children = F.array_distinct(F.array(*[F.xxhash64("bucket", s, F.element_at("sketch", s)) for s in slot]))
         first = beside.where(F.col("alike") < SAME).select("node", "sketch", F.explode(children).alias("bucket"))
+        shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1")
+        rows = scratch.keep(first.join(shared, "bucket"), "met")
     return reduce(DataFrame.union, found)
 
 
@@ -247,7 +255,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     member = texts.select("node", "copies", "n_words").join(groups, "node")
     sizes = member.groupBy("component").agg(F.ceil(F.sum("n_words") / TILE).cast("int").alias("blocks"))
     placed = scratch.keep(member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
-    whole = placed.drop("n_words").join(keyed.select(F.col(KEY).alias("node"), F.col("_sk_text").alias("text")), "node")
+    # the same plan at every size: neither side is broadcast, however small it is
+    whole = placed.drop("n_words").hint("merge").join(keyed.select(F.col(KEY).alias("node"), F.col("_sk_text").alias("text")), "node")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = other.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
     tiled = tiled.repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "block", "node")
