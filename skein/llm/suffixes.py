@@ -34,8 +34,8 @@ from skein.llm.common import KEY, Scratch, row_key, table
 from skein.llm.hashing import Prefixes, in_slices, mix
 
 SPAN, GRAM = 200, 32
-#: Batches of the query; entries of one gram that are compared by one suffix array.
-BATCHES, CROWD = 2, 400
+#: Batches of the query; entries of one gram that one suffix array compares at most, some 6 MB of text.
+BATCHES, CROWD = 2, 20_000
 #: Bytes of pieces under one suffix array, about.
 PIECES = 2_000_000
 
