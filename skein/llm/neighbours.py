@@ -33,7 +33,7 @@ from skein.llm.common import Scratch, table
 TABLES = 6
 WIDTH = 1.5
 SAMPLE, SAMPLE_QUERIES, AIM = 2000, 200, 0.98
-CHUNK = 4096
+CHUNK = 512
 #: Levels over which the smallest ids of a repeated vector are found.
 _LEVELS = (64, 8, 1)
 
@@ -232,7 +232,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 2
     index = usable.join(alike, ["h1", "h2", "id"]).select("id", "vector")
     sample = [r[0] for r in index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()]
     dim = max({len(x) for x in sample}, key=lambda d: sum(len(x) == d for x in sample))
-    bits = int(min(7, max(1, round(math.log2(max(n, 2) / 300) / 1.6))))
+    bits = int(min(7, max(1, round(math.log2(max(n, 2) / 300) / 2))))
     probes = fitted_probes(np.array([x for x in sample if len(x) == dim], float), n, k, norm, bits)
     placed = _placed(index, norm, bits, probes, False).select("id", "vector", F.explode("cells").alias("cell"))
     full = placed.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
