@@ -6,10 +6,12 @@ into cells by a few random projections (p-stable for p = 2). A query visits its
 to it in the order of their estimated success, that is of its squared distance to the walls between,
 and all candidates met in any table are ranked by their exact inner product.
 
-How many cells a query visits is fitted on a sample of SAMPLE rows at most, so that the share of true
-neighbours that are reached is at least AIM there; all rows are indexed. Rows of the same vector are
-one entry with its smallest ids, all that a list of k neighbours can show of them. Cells with more than
-CHUNK entries are dealt in chunks, and a query meets every chunk.
+How many cells a query visits is fitted for each vector length on a sample of SAMPLE rows at most, so that
+the share of true neighbours that are reached is at least AIM there; all rows are indexed. A query that
+meets fewer candidates than it could list, min(k, other rows of its length), is ranked exactly against
+all rows instead, BLOCK such queries in one pass over the rows. Rows of the same vector are one entry
+with its smallest ids, all that a list of k neighbours can show of them. Cells with more than CHUNK
+entries are dealt in chunks, and a query meets every chunk.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
 part; ties go to the smaller id; rows alike in id and vector are one; vectors of another length than
@@ -34,6 +36,8 @@ TABLES = 6
 WIDTH = 1.5
 SAMPLE, SAMPLE_QUERIES, AIM = 2000, 200, 0.98
 CHUNK = 512
+#: Queries ranked exactly in one pass over all rows; more of them take more passes.
+BLOCK = 1024
 #: Levels over which the smallest ids of a repeated vector are found.
 _LEVELS = (64, 8, 1)
 
@@ -75,7 +79,8 @@ def costs(inside: np.ndarray, bits: int) -> np.ndarray:
 
 def names(cell: np.ndarray, dim: int) -> np.ndarray:
     """One long per cell (..., bits), the table's number included by the second axis from the left."""
-    h = np.full(cell.shape[:-1], 0x9E3779B97F4A7C15 ^ dim, np.uint64)
+    # the length is spread over all bits, so that a cell's number can't make up for it
+    h = np.full(cell.shape[:-1], (0x9E3779B97F4A7C15 ^ dim) * 0xBF58476D1CE4E5B9 % 2**64, np.uint64)
     h += np.arange(cell.shape[1], dtype=np.uint64).reshape((1, -1) + (1,) * (cell.ndim - 3)) * np.uint64(0xD1B54A32D192ED03)
     for k in range(cell.shape[-1]):
         h = (h ^ cell[..., k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -118,14 +123,15 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, _matrix(column.take(pa.array(rows)))
 
 
-def _placed(df: DataFrame, norm: float, bits: int, probes: int, query: bool) -> DataFrame:
-    """df (id, vector) with the cells it is in, or visits, as an array of longs; no shuffle."""
+def _placed(df: DataFrame, norm: float, fits: dict[int, tuple[int, int]], query: bool) -> DataFrame:
+    """df (id, vector) with the cells it is in, or visits, as an array of longs; no shuffle. fits: (bits, probes) by vector length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 out: list[np.ndarray] = [np.zeros(0, np.int64)] * b.num_rows
                 for rows, m in _by_length(b.column("vector")):
+                    bits, probes = fits[m.shape[1]]
                     cell, inside = cells(lifted(m, norm, query), TABLES, bits, WIDTH)
                     if query:
                         visit = costs(inside, bits).argsort(2, kind="stable")[:, :, :probes]
@@ -138,6 +144,9 @@ def _placed(df: DataFrame, norm: float, bits: int, probes: int, query: bool) ->
     return df.select("id", "vector").mapInArrow(run, "id long, vector array<float>, cells array<long>")
 
 
+_FOUND = "query long, entry long, score double"
+
+
 class _Best:
     """The best `keep` entries of each query so far, within one task."""
 
@@ -166,11 +175,25 @@ class _Best:
         self.size = int(top.sum())
         return self.q[0], self.v[0], self.s[0]
 
+    def meet(self, who: np.ndarray, part: np.ndarray, have: np.ndarray, mat: np.ndarray) -> None:
+        """Adds the best of the entries (have, mat) for each of the queries (who, part)."""
+        score = part @ mat.T
+        n = min(self.keep, len(have))
+        if n < len(have):  # all that tie with the last one
+            edge = np.take_along_axis(score, np.argpartition(-score, n - 1, axis=1)[:, :n], 1).min(1)
+            qi, vi = np.nonzero(score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge[:, None])))
+        else:
+            qi, vi = np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part))
+        self.add(who[qi], have[vi], (part[qi] * mat[vi]).sum(1))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        q, v, s = self.pack()
+        for z in range(0, len(q), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(q[z : z + 20_000]), pa.array(v[z : z + 20_000]), pa.array(s[z : z + 20_000])], ["query", "entry", "score"])
+
 
 def _met(rows: DataFrame, keep: int) -> DataFrame:
     """From entries and visiting queries sorted by cell: each query's best entries of this task's cells."""
-    schema = "query long, entry long, score double"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, cell, ids, vectors = _Best(keep), None, [], []
         for b in batches:
@@ -191,21 +214,27 @@ def _met(rows: DataFrame, keep: int) -> DataFrame:
                 have, mat = np.concatenate(ids), np.concatenate(vectors)
                 ids, vectors = [have], [mat]
                 for z in range(0, len(m), 1024):
-                    part, who = m[z : z + 1024], id_[x:y][z : z + 1024]
-                    score = part @ mat.T
-                    n = min(keep, len(have))
-                    top = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(have) else np.tile(np.arange(n), (len(part), 1))
-                    if n < len(have):  # all that tie with the last one
-                        edge = np.take_along_axis(score, top, 1).min(1)
-                        qi, vi = np.nonzero(score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge[:, None])))
-                    else:
-                        qi, vi = np.repeat(np.arange(len(part)), n), top.ravel()
-                    best.add(who[qi], have[vi], (part[qi] * mat[vi]).sum(1))
-        q, v, s = best.pack()
-        for z in range(0, len(q), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(q[z : z + 20_000]), pa.array(v[z : z + 20_000]), pa.array(s[z : z + 20_000])], ["query", "entry", "score"])
+                    best.meet(id_[x:y][z : z + 1024], m[z : z + 1024], have, mat)
+        yield from best.rows()
+
+    return rows.mapInArrow(run, _FOUND)
 
-    return rows.mapInArrow(run, schema)
+
+def _exact(index: DataFrame, ids: np.ndarray, vectors: list[list[float]], keep: int) -> DataFrame:
+    """The best entries of each task's rows for each of a block of queries; every row is compared with every query of its length."""
+    lengths = np.array([len(x) for x in vectors])
+    asked = {d: (ids[lengths == d], np.array([x for x in vectors if len(x) == d], float)) for d in set(lengths.tolist())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(keep)
+        for b in batches:
+            id_ = b.column("id").to_numpy()
+            for rows, m in _by_length(b.column("vector")):
+                if m.shape[1] in asked:
+                    best.meet(*asked[m.shape[1]], id_[rows], m)
+        yield from best.rows()
+
+    return index.select("id", "vector").mapInArrow(run, _FOUND)
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -230,25 +259,44 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 2
     entries = scratch.keep(grouped.withColumn("entry", F.element_at("ids", 1)).select("entry", "ids"), "entries")
     alike = usable.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     index = usable.join(alike, ["h1", "h2", "id"]).select("id", "vector")
-    sample = [r[0] for r in index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()]
-    dim = max({len(x) for x in sample}, key=lambda d: sum(len(x) == d for x in sample))
-    bits = int(min(7, max(1, round(math.log2(max(n, 2) / 300) / 2))))
-    probes = fitted_probes(np.array([x for x in sample if len(x) == dim], float), n, k, norm, bits)
-    placed = _placed(index, norm, bits, probes, False).select("id", "vector", F.explode("cells").alias("cell"))
+    sizes = {r[0]: r[1] for r in usable.groupBy(F.size("vector")).count().collect()}  # a row for each vector length
+    fits = {}
+    for dim, many in sizes.items():
+        sample = index.where(F.size("vector") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+        bits = int(min(7, max(1, round(math.log2(max(many, 2) / 300) / 2))))
+        fits[dim] = bits, fitted_probes(np.array([r[0] for r in sample], float), many, k, norm, bits)
+    placed = _placed(index, norm, fits, False).select("id", "vector", F.explode("cells").alias("cell"))
     full = placed.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     full = scratch.keep(full, "full")
     chunks = F.coalesce("chunks", F.lit(1))
     dealt = placed.join(full, "cell", "left").select("cell", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("is_query"), "id", "vector")
     asked = usable.where("asks")
-    visits = _placed(asked, norm, bits, probes, True).select("id", "vector", F.explode("cells").alias("cell"))
+    visits = _placed(asked, norm, fits, True).select("id", "vector", F.explode("cells").alias("cell"))
     visits = visits.join(full, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("is_query"), "id", "vector")
     together = dealt.union(visits).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "id")
-    found = _met(together, k + 1).dropDuplicates(["query", "entry"])
-    best = _first(found, ["query"], [F.desc("score"), "entry"], k + 1)
-    shown = best.join(entries, "entry").select("query", "score", F.explode("ids").alias("vec_id")).where("query <> vec_id")
-    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    ranked = scratch.keep(_listed(_met(together, k + 1), entries, k), "ranked")
+    others = F.create_map(*[F.lit(x) for d, c in sizes.items() for x in (d, c - 1)])
+    could = asked.select("id", F.size("vector").alias("dim")).distinct().groupBy(F.col("id").alias("query")).agg(F.sum(others[F.col("dim")]).alias("could"))
+    got = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("got"))
+    short = could.join(got, "query", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "could")).select("query")
+    short = scratch.keep(short, "short")
+    again = asked.join(short.withColumnRenamed("query", "id"), "id", "left_semi").select("id", "vector").toLocalIterator()
+    path, met = scratch.path("exact"), False
+    while block := list(itertools.islice(again, BLOCK)):
+        _exact(index, np.array([r[0] for r in block], np.int64), [r[1] for r in block], k + 1).write.mode("append").parquet(path)
+        met = True
+    if met:
+        exact = _listed(spark.read.schema(_FOUND).parquet(path), entries, k)
+        ranked = ranked.join(short, "query", "left_anti").select(exact.columns).union(exact)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _listed(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(query, score, vec_id, rank): the k best rows behind the entries found."""
+    best = _first(found.dropDuplicates(["query", "entry"]), ["query"], [F.desc("score"), "entry"], k + 1)
+    shown = best.join(entries, "entry").select("query", "score", F.explode("ids").alias("vec_id")).where("query <> vec_id")
+    return shown.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))

@@ -145,3 +145,19 @@ def test_neighbours_recall(spark, monkeypatch):
         s[q] = -np.inf
         hit += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & {x.vec_id for x in got if x.query_id == q})
     assert hit / (200 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_neighbours_of_isolated_queries_and_rare_lengths(spark, monkeypatch, rare):
+    monkeypatch.setattr(neighbours, "BLOCK", 2, raising=False)
+    r = np.random.default_rng(4)
+    tight = np.float32(np.eye(8)[0] + 0.01 * r.standard_normal((2000, 8)))
+    rows = [(i * 20 + 1, v.tolist()) for i, v in enumerate(tight)] + [(20 * i, [float(x) for x in -np.eye(8)[i % 8]]) for i in range(1, 9)]
+    if rare:
+        rows += [(20 * i, [float(x) for x in r.standard_normal(3)]) for i in range(10, 19)] + [(400, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = exact(rows, 20), {}
+    for x in neighbours.nearest(spark, df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert {q: len(got.get(q, [])) for q in want} == {q: len(v) for q, v in want.items()}
+    assert all(set(got[20 * i]) == {j for j, _ in want[20 * i]} for i in range(10, 19) if rare)
