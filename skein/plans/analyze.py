@@ -39,6 +39,20 @@ def _placeholder(kind: str, label) :  # noqa: ANN001, ANN202
     return F.concat_ws(":", "language", F.lit(kind), F.substring(F.sha1(F.coalesce(label, F.lit(""))), 1, 16))
 
 
+def _followed(step: DataFrame, inside: DataFrame) -> DataFrame:
+    """step with `at` moved along `rest`, however long: one join a round, until no row has a place and parts left.
+
+    inside: (at, _part, _next). A part that its place doesn't have leaves no place.
+    """
+    more = F.col("at").isNotNull() & (F.size("rest") > 0)
+    step = written(step)
+    while not step.where(more).isEmpty():
+        moved = step.where(more).withColumn("_part", F.get("rest", F.lit(0))).join(inside, ["at", "_part"], "left")
+        moved = moved.withColumns({"at": F.col("_next"), "rest": F.slice("rest", F.lit(2), F.size("rest") - 1)})
+        step = written(step.where(~more).unionByName(moved.select(step.columns)))
+    return step
+
+
 def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges' rows, problems) of extraction records: imports by module, references through scopes and members."""
     nodes = found.where("record = 'node'")
@@ -63,13 +77,8 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = resolve.lexical(heads, nodes.select("id", "parent_id"), bindings).select("ref", F.col("target_id").alias("at"), "status")
     own = F.col("chain").isNotNull() & F.element_at(F.coalesce("chain", F.array(F.lit(""))), 1).isin("self", "cls") & F.col("in_class").isNotNull()
     step = refs.join(head, "ref", "left").withColumn("at", F.when(own & F.col("at").isNull(), F.col("in_class")).otherwise(F.col("at")))
-    step = step.withColumn("rest", F.when(F.size("chain") > 1, F.slice("chain", 2, 99)).otherwise(F.array().cast("array<string>")))
-    # a.b.c: one join for each further part, three at most; longer chains stay unresolved
-    inside = symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next"))
-    for _ in range(3):
-        step = step.withColumn("_part", F.get("rest", F.lit(0))).join(inside, ["at", "_part"], "left")
-        more = F.size("rest") > 0
-        step = step.withColumn("at", F.when(more, F.col("_next")).otherwise(F.col("at"))).withColumn("rest", F.when(more, F.slice("rest", 2, 99)).otherwise(F.col("rest"))).drop("_part", "_next")
+    step = step.withColumn("rest", F.when(F.size("chain") > 1, F.slice("chain", F.lit(2), F.size("chain") - 1)).otherwise(F.array().cast("array<string>")))
+    step = _followed(step, symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
     known = F.col("at").isNotNull() & (F.size("rest") == 0)
     outside = F.col("at").contains(":external:")
     status = F.when(known & ~outside, "resolved").when(known, "external").otherwise("unresolved")

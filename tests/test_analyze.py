@@ -57,6 +57,18 @@ def test_python_graph(spark, tree):
     assert ("parse_error", "broken.py") in codes and ("excluded_file", "tests/test_x.py") in codes and ("generated_file", "gen/generated/y.py") in codes
 
 
+def test_chains_of_any_length(spark, tmp_path):
+    depth = 8
+    body = "".join(f"{'    ' * i}class C{i}:\n" for i in range(depth)) + "    " * depth + "def run():\n" + "    " * (depth + 1) + "pass\n"
+    chain = ".".join(f"C{i}" for i in range(depth))
+    (tmp_path / "deep.py").write_text(f"{body}\n\ndef go():\n    {chain}.run()\n    {chain}.walk()\n    C0.C2.C3.C4.C5.run()\n")
+    g = analyze(spark, str(tmp_path), ["python"])
+    name = {r.id: r.qualified_name for r in g.nodes.collect()}
+    calls = {(name[r.target_id], r.resolution_status) for r in g.edges.where("relation_type = 'calls'").collect()}
+    assert calls == {(f"deep.{chain}.run", "resolved"), (f"{chain}.walk", "unresolved"), ("C0.C2.C3.C4.C5.run", "unresolved")}
+    assert g.diagnostics.where("code = 'unresolved_call'").count() == 2
+
+
 def test_graphs_do_not_depend_on_partitions(spark, tree):
     a = analyze(spark, tree, ["python", "javascript"])
     old = spark.conf.get("spark.sql.shuffle.partitions")
