@@ -383,6 +383,64 @@ def owner_members(s: SparkSession, d: str) -> DataFrame:
     return resolve.owner_members(owners, parents, members, nearest=True)
 
 
+# --- whole tables: the operators of queries above whose SQL takes a part of its rows, over all rows and with their own limits
+
+
+@_query(f"""WITH RECURSIVE {_N}, a AS (SELECT id, id AS ancestor, 0 AS depth FROM n UNION ALL SELECT a.id, n.parent_id, a.depth + 1 FROM a JOIN n ON a.ancestor = n.id WHERE n.parent_id IS NOT NULL)
+SELECT id, ancestor, depth FROM a""")
+def containment_closure_whole(s: SparkSession, d: str) -> DataFrame:
+    return rollup.ancestors(trade.nodes(s, d))
+
+
+@_query(f"""WITH {_N}, {_E}, x AS (SELECT id, source_id, CASE WHEN confidence >= 0.09 THEN concat(target_id, 'x') ELSE target_id END AS target_id FROM e)
+SELECT 'edge.target_id does not exist' AS rule, x.id AS item FROM x ANTI JOIN n ON x.target_id = n.id
+UNION ALL SELECT 'edge.source_id does not exist', x.id FROM x ANTI JOIN n ON x.source_id = n.id""")
+def dangling_edges_whole(s: SparkSession, d: str) -> DataFrame:
+    known, e = trade.nodes(s, d), trade.edges(s, d)
+    e = e.withColumn("target_id", F.when(F.col("confidence") >= 0.09, F.concat("target_id", F.lit("x"))).otherwise(F.col("target_id")))
+    return validate.dangling(e, "target_id", known, "edge.target_id does not exist").union(validate.dangling(e, "source_id", known, "edge.source_id does not exist"))
+
+
+@_query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_partkey * 7 + 3) % 100 AS up FROM part),
+a AS (SELECT id, up, 1 AS depth FROM p UNION ALL SELECT a.id, p.up, depth + 1 FROM a JOIN p ON a.up = p.id WHERE depth < 45)
+SELECT DISTINCT id FROM a WHERE depth = 45""")
+def parent_cycles_whole(s: SparkSession, d: str) -> DataFrame:
+    return validate.on_parent_cycles(table(s, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7 + 3) % 100).alias("parent_id")))
+
+
+@_query("SELECT l_orderkey AS id, 'line.id is duplicate' AS rule FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def duplicate_ids_whole(s: SparkSession, d: str) -> DataFrame:
+    return validate.duplicates(table(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), "line.id is duplicate").withColumnRenamed("item", "id")
+
+
+@_query(f"""WITH {_E}, r AS (SELECT *, CASE WHEN source_id = 'c11' OR target_id = 's7' THEN 0 WHEN relation_type = 'imports' THEN 1 ELSE 2 END AS priority FROM e)
+SELECT id, priority, (SELECT greatest(count(*) - 24000, 0) FROM e) AS omitted FROM r ORDER BY priority, id LIMIT 24000""")
+def drawn_edges_whole(s: SparkSession, d: str) -> DataFrame:
+    e = trade.edges(s, d)
+    return search.drawn_edges(e, (F.col("source_id") == "c11") | (F.col("target_id") == "s7"), F.col("relation_type") == "imports").select("id", "priority", "omitted")
+
+
+@_query("""WITH c AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS one FROM supplier GROUP BY 1)
+SELECT c_custkey AS ref, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN one END AS target_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'unresolved' ELSE 'external' END AS status FROM customer LEFT JOIN c ON c_nationkey = k""")
+def resolve_unique_whole(s: SparkSession, d: str) -> DataFrame:
+    refs = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("name"))
+    return resolve.unique_match(refs, table(s, d, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("target")), ["name"]).drop("name")
+
+
+@_query(f"""WITH {_N}, b AS (SELECT concat('n', n_nationkey) AS scope, concat('x', n_nationkey % 2) AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS target FROM nation
+  UNION ALL SELECT concat('r', r_regionkey), concat('x', r_regionkey % 2), r_name FROM region),
+q AS (SELECT x.id AS ref, x.id AS scope, concat('x', length(x.id) % 2) AS name, x.parent_id AS p1, p.parent_id AS p2 FROM n x LEFT JOIN n p ON x.parent_id = p.id)
+SELECT ref, q.scope, q.name, coalesce(o.scope, u.scope, v.scope) AS bound_in, CASE WHEN o.scope IS NOT NULL THEN o.target WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END AS target_id,
+  CASE WHEN coalesce(o.scope, u.scope, v.scope) IS NULL THEN 'unbound' WHEN CASE WHEN o.scope IS NOT NULL THEN o.target WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+FROM q LEFT JOIN b o ON o.scope = q.scope AND o.name = q.name LEFT JOIN b u ON u.scope = p1 AND u.name = q.name LEFT JOIN b v ON v.scope = p2 AND v.name = q.name""")
+def resolve_lexical_whole(s: SparkSession, d: str) -> DataFrame:
+    nodes = trade.nodes(s, d)
+    refs = nodes.select(F.col("id").alias("ref"), F.col("id").alias("scope"), F.concat(F.lit("x"), F.length("id") % 2).alias("name"))
+    bind = lambda df, p, k, t: df.select(F.concat(F.lit(p), k).alias("scope"), F.concat(F.lit("x"), F.col(k) % 2).alias("name"), t.alias("target"), F.lit(False).alias("is_import"))
+    nations = bind(table(s, d, "nation"), "n", "n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")))
+    return resolve.lexical(refs, nodes, nations.union(bind(table(s, d, "region"), "r", "r_regionkey", F.col("r_name"))))
+
+
 # --- scalars and extraction
 
 

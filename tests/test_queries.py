@@ -35,3 +35,13 @@ def test_query_equals_its_sql(spark, con, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     assert rows == sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall())
+
+
+def test_whole_tables_reach_the_operators(spark):
+    rows = lambda name: catalog.queries()[name](spark, DATA)
+    count = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
+    closed = rows("containment_closure_whole")
+    assert closed.where("depth = 0").count() == sum(map(count, ("region", "nation", "customer", "supplier"))) and closed.where("id like 's%' and depth = 2").count()
+    assert rows("drawn_edges_whole").count() == min(24_000, count("lineitem")) > 1000
+    assert {r.status for r in rows("resolve_lexical_whole").select("status").distinct().collect()} == {"resolved", "unresolved", "unbound"}
+    assert all(rows(f"{n}_whole").count() for n in ("dangling_edges", "parent_cycles", "duplicate_ids", "resolve_unique"))
