@@ -4,14 +4,22 @@ Redirects and canonical links join urls into classes of aliases (distributed con
 A url that a rule fits keeps that rule's verdict. Any other url is blocked if a rule blocks one of its
 aliases and none allows one: an explicit allow takes precedence over a block that arrives by an alias.
 
+Links are resolved against the page's url, or the base it declares, after character references are decoded;
+all canonical links and refresh redirects of a page count, with whatever other relations they name.
+
 Defined results: null urls and urls without :// have empty host and path, fit no rule and have no
 aliases (allow); null html has no links; repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
 from typing import NamedTuple
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +28,9 @@ from skein.llm.components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: A refresh's delay, separator, url= and target; all but the target may be missing.
+_TARGET = re.compile(r"""\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:'([^']*)|"([^"]*)|(.*))""", re.IGNORECASE | re.DOTALL)
+_BLANK = " \t\n\f\r"
 
 
 class Rule(NamedTuple):
@@ -65,20 +72,55 @@ def rule_of(host_col: Column, path_col: Column, rules: tuple[Rule, ...] = RULES)
     return out
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link that may lack scheme and host, as an absolute url."""
-    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(link == "", F.lit(None)).when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(origin, link))
+class _Links(HTMLParser):
+    """The base, and the canonical and refresh links, as a page writes them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.base: str | None = None
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in ("base", "link", "meta"):
+            return
+        has = {k: v or "" for k, v in reversed(attrs)}  # the first of a name counts
+        if tag == "base" and self.base is None and "href" in has:
+            self.base = has["href"]
+        elif tag == "link" and "canonical" in has.get("rel", "").lower().split():
+            self.found.append(has.get("href", ""))
+        elif tag == "meta" and has.get("http-equiv", "").strip().lower() == "refresh" and (m := _TARGET.match(has.get("content", ""))):
+            self.found.append(next((x for x in m.groups() if x), ""))
+
+
+def targets(url: str, html: str) -> list[str]:
+    """The absolute urls that a page declares as its canonical url or redirects to. Schemes don't count, so any base reads as http."""
+    parser = _Links()
+    parser.feed(html)
+    parser.close()
+    out, base = [], "http://" + url.split("://", 1)[1]
+    for link in [parser.base or "", *parser.found]:
+        link = re.sub(r"[\t\n\r]", "", link.strip(_BLANK))
+        try:
+            out.append(urljoin(base, link) if link else "")
+        except ValueError:  # no url, such as http://[
+            out.append("")
+        if len(out) == 1 and "://" in out[0]:
+            base = out[0]
+    return [x for x in out[1:] if "://" in x]
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target) for canonical links and immediate redirects that pages declare."""
+    """(url, target) for canonical links and refresh redirects that pages declare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(u, t) for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True) for t in targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["url", "target"])
+
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    found = F.array(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))
     # the cheap test first: most pages have neither
     some = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    out = pages.where(url.isNotNull() & some).select(url.alias("url"), F.explode(found).alias("_sk_link"))
-    return out.select("url", _absolute(F.col("_sk_link"), F.col("url")).alias("target")).where("target is not null")
+    return pages.where(url.contains("://") & some).select(url.alias("url"), html.alias("html")).mapInArrow(run, "url string, target string")
 
 
 def judge(spark: SparkSession, pages: DataFrame, edges: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -85,6 +85,22 @@ def test_blocks_follow_aliases_but_allow_goes_first(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow"}
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<link rel=canonical href="page.html">', ["http://a.org/en/page.html"]), ('<link rel="canonical" href="../fr/x">', ["http://a.org/fr/x"]), ("<link rel='canonical' href='?id=3'>", ["http://a.org/en/p?id=3"]),
+        ('<link rel="nofollow canonical" href="/q?a=1&amp;b=2">', ["http://a.org/q?a=1&b=2"]), ('<link rel=canonical href="/1"><LINK href="/2" rel=Canonical>', ["http://a.org/1", "http://a.org/2"]),
+        ('<base href="http://b.org/d/"><link rel=canonical href=e>', ["http://b.org/d/e"]), ('<link rel=canonical href=e><base href="/f/">', ["http://a.org/f/e"]), ('<link rel=canonical href="//c.org/x?u=http://d.org">', ["http://c.org/x?u=http://d.org"]),
+        ('<meta http-equiv=refresh content="0;url=x"><meta http-equiv=refresh content="5; URL=\'y\'"><meta http-equiv=refresh content="3">', ["http://a.org/en/x", "http://a.org/en/y"]),
+        ('<!-- <link rel=canonical href="/1"> --><p>canonical</p><link rel=canonical href="mailto:x"><link rel=canonical href="http://[">', []),
+    ],
+)
+def test_links_are_resolved_as_browsers_do(spark, html, want):
+    pages = spark.createDataFrame([("x://a.org/en/p", html)], "url string, html string")
+    got = [x.target for x in urls.links(pages).collect()]
+    assert [g.split("://", 1)[1] for g in got] == [w.split("://", 1)[1] for w in want]
+
+
 def test_components_match_union_find(spark):
     r = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(2000, 2100)] + [(7, 7), (9000, 9000)]
