@@ -129,11 +129,28 @@ class Rollup:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, inserted in BATCHES batches, one of which is committed twice, as after a lost reply."""
+    """All documents, inserted in BATCHES batches, one of which is committed twice, as after a lost reply.
+
+    Batch 1 arrives with provisional counts, which a revision brings right; batch 2 arrives with the rows of
+    batch 3 under a source that is not theirs, which a delete takes away. The batches are folded before the
+    last load and after it, and what was folded commits no second time.
+    """
     scratch = Scratch(spark, "tokens")
     counts = scratch.keep(counted(table(spark, sf_dir, "documents")), "counts")
     rollup = Rollup(spark, scratch.path("rollup"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))
-    for b in [*range(BATCHES), 0]:
-        rollup.commit(f"load-{b}", inserts(counts.where(part == b)))
+    batch = [counts.where(part == b) for b in range(BATCHES)]
+    rough = batch[1].withColumns({"final": F.col("n_tokens"), "n_tokens": F.col("n_tokens") * 2 + 1})
+    misfiled = batch[3].withColumn("source", F.concat(F.lit("misfiled "), F.coalesce("source", F.lit(""))))
+    loads = {"load-0": inserts(batch[0]), "load-1": inserts(rough), "load-2": inserts(batch[2].union(misfiled))}
+    fixes = {
+        "revised-1": revisions(rough.withColumns({"old_tokens": F.col("n_tokens"), "n_tokens": F.col("final")})),
+        "deleted-2": deletes(misfiled),
+    }
+    for name, changes in [*loads.items(), ("load-0", loads["load-0"]), *fixes.items()]:
+        rollup.commit(name, changes)
+    rollup.compact()
+    for name, changes in [("load-3", inserts(batch[3])), ("deleted-2", fixes["deleted-2"])]:
+        rollup.commit(name, changes)
+    rollup.compact()
     return rollup.totals()

@@ -304,6 +304,19 @@ def test_token_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert not rollup.commit("gone", token_counts.deletes(some)) and total() == expected
 
 
+def test_token_query_revises_deletes_and_compacts(spark, tmp_path, monkeypatch):
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    said, folded = [], []
+    commit, compact = token_counts.Rollup.commit, token_counts.Rollup.compact
+    monkeypatch.setattr(token_counts.Rollup, "commit", lambda self, b, c: said.append((commit(self, b, c), {x.n_docs for x in c.collect()})) or said[-1][0])
+    monkeypatch.setattr(token_counts.Rollup, "compact", lambda self: folded.append(len(self.batches())) or compact(self))
+    got = Counter({(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in token_counts.op10_token_counts(spark, str(tmp_path)).collect()})
+    want = token_counts.counted(frame(spark)).groupBy("source", "lang", "tokenizer").agg(F.count(F.lit(1)).alias("d"), F.sum("n_tokens").alias("t")).collect()
+    assert got == {(x.source, x.lang, x.tokenizer): (x.d, x.t) for x in want}
+    assert {1, 0, -1} <= set().union(*(kinds for new, kinds in said if new)) and not all(new for new, _ in said)
+    assert len(folded) == 2 and folded[1] > folded[0] > token_counts.BATCHES
+
+
 def test_token_counts_are_those_of_the_vocabulary(spark):
     enc = token_counts.encoder()
     for x in token_counts.counted(frame(spark)).where("tokenizer = 'byte_bpe_50k'").join(frame(spark).select("doc_id", "text"), "doc_id").where("doc_id < 13").collect():
