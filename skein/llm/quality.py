@@ -6,7 +6,7 @@ replaces a filter in which every rule must pass. The pattern table has at most 3
 the corpus holds, so it is the only thing that reaches the driver.
 
 Defined results: a null text counts as empty (no words, base_failed); a null id stays null; repeated
-rows are judged alike; an empty table gives no rows; columns of the input other than id and text are
+rows are judged alike, and several texts under one id, or none, each by itself; an empty table gives no rows; columns of the input other than id and text are
 not looked at, and none clashes with the results, which are made from those two alone.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import Scratch, table
+from skein.llm.common import KEY, Scratch, row_key, table
 
 #: Fixed values of the symbol rule.
 SYMBOLS = b"#*$%&|<>"
@@ -28,6 +28,7 @@ WINDOW = 5
 
 FEATURES = T.StructType(
     [
+        T.StructField(KEY, T.LongType()),
         T.StructField("doc_id", T.LongType()),
         *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha")],
     ]
@@ -90,14 +91,15 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = FEATURES.names
     for b in batches:
         rows = [features_of(t) for t in b["_sk_text"]]
-        out = pd.DataFrame(rows, columns=names[1:], dtype="int64") if rows else pd.DataFrame(columns=names[1:], dtype="int64")
-        out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None) if b["doc_id"].isna().any() else b["doc_id"].to_numpy())
+        out = pd.DataFrame(rows, columns=names[2:], dtype="int64") if rows else pd.DataFrame(columns=names[2:], dtype="int64")
+        out.insert(0, KEY, b[KEY].to_numpy())
+        out.insert(1, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None) if b["doc_id"].isna().any() else b["doc_id"].to_numpy())
         yield out
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of counts per document; no shuffle."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_sk_text")).mapInPandas(_featured, FEATURES)
+    """One row of counts per document, with its row key; no shuffle."""
+    return docs.select(row_key(id_col, text_col).alias(KEY), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_sk_text")).mapInPandas(_featured, FEATURES)
 
 
 def _c(name: str) -> Column:
@@ -174,6 +176,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents the rules keep, with the columns they came with."""
     del sf_dir
-    verdicts = judge(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_sk_id")).agg(F.lit(1).alias("_sk_1"))
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_sk_id"]), "left_semi")
-
+    verdicts = judge(spark, docs).where("kept").select(KEY).distinct()
+    return docs.withColumn(KEY, row_key("doc_id", "text")).join(verdicts, KEY, "left_semi").drop(KEY)

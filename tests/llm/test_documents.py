@@ -52,6 +52,14 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_quality_stage_judges_texts_under_one_id_apart(spark):
+    clean = ["the plan of the town is old and " + " ".join(words(90, i, 3000)) for i in range(30)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)]
+    rows += [(0, "#" * 40, "en", "s", 40), (None, clean[1] + " and", "en", "s", 0), (None, "* " * 60, "en", "s", 120), (None, None, "en", "s", 0)]
+    got = Counter((x.doc_id, x.text) for x in quality.stage(spark, frame(spark, rows), "").collect())
+    assert got == Counter((i, t) for i, t, *_ in [*rows[:30], rows[31]])
+
+
 def test_quality_em_recovers_accuracies():
     r = np.random.default_rng(1)
     good = r.random(20_000) < 0.8
