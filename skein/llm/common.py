@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The row key of an operator that has to find a row again; xxhash64 of the id and the text.
+#: The row key of an operator that has to find a row again: 128 bits, of the id and the text.
 KEY = "_sk_key"
 
 _scratch: dict[str, SparkSession] = {}
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where none is set."""
+    """The folder that all executors and the driver share. Where none is set, a local session has a temporary one; a cluster has none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = f"{tempfile.gettempdir()}/skein-shared"
     return where.rstrip("/")
 
@@ -78,37 +81,22 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Rows alike in id and text share a key, and are treated alike."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def runs_of(batches: Iterator, names: list[str]) -> Iterator:
-    """From batches sorted by names, frames that hold whole groups: the last group of a batch waits for the next batch."""
-    import pandas as pd
-
-    wait: list = []
-    for b in batches:
-        if not len(b):
-            continue
-        same = (b[names] == b[names].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(b) - int(same[::-1].argmin()) if not same.all() else 0
-        if cut == 0 and wait and (wait[0][names].iloc[-1] == b[names].iloc[0]).all():
-            wait.append(b)
-            continue
-        if wait and (wait[0][names].iloc[-1] != b[names].iloc[0]).any():
-            yield pd.concat(wait, ignore_index=True)
-            wait = []
-        if cut:
-            yield pd.concat([*wait, b.iloc[:cut]], ignore_index=True)
-            wait = []
-        wait.append(b.iloc[cut:])
-    if wait:
-        yield pd.concat(wait, ignore_index=True)
+def row_key(*names: str) -> Column:
+    """128 bits of the columns' values. Rows alike in them share a key, and are treated alike."""
+    told = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in names)]
+    return F.unhex(F.md5(F.concat(*told)))
+
+
+def by_bytes(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of rows of `most` bytes at most, or of one row that is longer."""
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if k > begin and held + n > most:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
 
 
 def ceil_log(miss: float, p: float) -> int:

@@ -4,7 +4,7 @@ Every node hooks onto its smallest neighbour if that is smaller than itself, whi
 double until they reach the roots; edges are renamed to the roots, and what still joins two of them goes
 into the next round. A round moves each edge twice and each node a few times, whatever the size of its
 component, and no component is ever gathered in one task. Tables between the steps stand in the shared
-folder. Nodes are longs.
+folder. Nodes are of any one type that has an order.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v:
     An empty edge table gives no rows.
     """
     scratch = Scratch(spark, "components")
-    given = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
+    given = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     first = scratch.keep(given.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now, name = first.where("a <> b"), None

@@ -2,17 +2,21 @@
 
 Every string of SPAN bytes that starts at two places or more is removed at all of them. Only some
 suffixes need be indexed: of the grams of GRAM bytes in a string of SPAN bytes the one with the least
-hash is its anchor, so equal strings have equal anchors at equal offsets, and neighbouring strings share
-theirs. The stretch of a document whose strings share an anchor is one entry of the index, kept under
-the anchor's gram: about one entry for 85 bytes.
-
-A batch of documents gets its own sorted array of entries, with the number of times each occurs. It is
-merge-scanned with the arrays of the levels there are, which shows the grams that occur twice or more;
-levels of equal size merge before the next batch comes, so n batches leave log n levels. Entries that
-repeat as a whole are repeated passages. Where entries of one gram differ, which is where passages begin
-and end, their bytes are fetched, and a suffix array over them (prefix doubling to SPAN bytes) finds
-the strings they share, byte by byte. Grams with more than CROWD differing entries are settled string by
-string instead, by hashes of 128 bits and counts that combine before the shuffle: no gram is gathered in one task.
+hash (the leftmost of equals) is its anchor, so equal strings have equal anchors at equal offsets, and
+neighbouring strings share theirs. The stretch of a document whose strings share an anchor is one entry
+of the index, kept under the anchor's gram: about one entry for 85 bytes.
+
+The documents come in BATCHES batches. A batch gets its own sorted array of entries, with the number of
+times each occurs, and is merge-scanned with the arrays of the levels there are, which shows the grams
+that occur twice or more; then levels of equal size merge, so n batches leave log n levels at most.
+Entries that repeat as a whole are repeated passages. Where entries of one gram differ, which is where
+passages begin and end, their bytes are fetched, and a suffix array over them (prefix doubling to SPAN
+bytes) finds the strings that they share, byte by byte. A gram whose differing pieces hold more than
+CROWD bytes is split first: its strings are dealt by their distance to the anchor into two halves, and
+within a half by the bytes that all of its strings would share. Pieces that are alike in a half combine
+to one, with their number, before the shuffle; halves that are still too large are split again, down to
+single strings, of which all that are alike are one. So no task gets more than CROWD bytes of a gram,
+however often it occurs, and nothing is left out.
 
 Defined results: a null text is empty; texts shorter than SPAN lose nothing; a passage that overlaps
 itself is removed whole; rows alike repeat each other; a null id stays null; an empty table gives no
@@ -26,18 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import KEY, Scratch, row_key, table
-from skein.llm.hashing import Prefixes, in_slices, mix
+from skein.llm.common import KEY, Scratch, by_bytes, row_key, table
+from skein.llm.hashing import Prefixes, mix
 
 SPAN, GRAM = 200, 32
-#: Batches of the query; entries of one gram that one suffix array compares at most, some 6 MB of text.
-BATCHES, CROWD = 2, 20_000
-#: Bytes of pieces under one suffix array, about.
-PIECES = 2_000_000
+#: Batches of the query, each with a suffix array of its own.
+BATCHES = 4
+#: Bytes of differing pieces that a task may hold of one gram, and those after which it starts a new suffix array.
+CROWD, PIECES = 3_000_000, 1_000_000
+#: Bytes of text that a task fingerprints, cuts or returns at once; longer texts are fingerprinted in overlapping parts.
+SLICE = 1_000_000
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -45,55 +52,70 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
 
 
-def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of `width` values."""
-    out, have = v, 1
-    while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    rest = width - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+def sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
+    """Where the minimum of each run of `width` values is, the leftmost of equals."""
+    at, have = np.arange(len(v), dtype=np.int32), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = v[:-step], v[step:]
+        at = np.where(right < left, at[step:], at[:-step])
+        v = np.minimum(left, right)
+        have += step
+    return at
 
 
 def stretches(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, strings, gram hash, stretch hash) of the stretches of the texts whose strings share an anchor."""
+    """(text, start, strings, distance to the anchor, gram hash, stretch hash) of the stretches of the texts whose strings share an anchor."""
     lens = np.array([len(t) for t in texts], np.int64)
     windows = np.maximum(0, lens - span + 1)
-    none = np.zeros(0, np.int64)
     if not windows.sum():
-        return none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     data = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum(lens) - lens
     prefix = Prefixes(data)
     at = np.arange(len(data) - gram + 1)
     grams = prefix.of(at, at + gram)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    anchor = (sliding_min((grams & ~low) | at.astype(np.uint64), span - gram + 1) & low).astype(np.int64)
+    anchor = sliding_argmin(grams, span - gram + 1)
     p = _ranges(begins, windows)
     owner = np.repeat(np.arange(len(texts)), windows)
     a = anchor[p]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])]))
     n = np.diff(np.append(first, len(p)))
-    start = p[first]
-    whole = prefix.of(start, start + n + span - 1)
-    key = grams[a[first]]
-    # the anchor's offset is part of what makes two stretches the same
-    whole = mix(whole + mix((a[first] - start).astype(np.uint64)))
-    return owner[first], start - begins[owner[first]], n, key.view(np.int64), whole.view(np.int64)
+    start, owner, a = p[first], owner[first], a[first].astype(np.int64)
+    away = a - start
+    # the anchor's distance is part of what makes two stretches the same
+    whole = mix(prefix.of(start, start + n + span - 1) + mix(away.astype(np.uint64)))
+    return owner, start - begins[owner], n, away, grams[a].view(np.int64), whole.view(np.int64)
+
+
+def _parts(texts: list[str | None], span: int, most: int = SLICE) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(row, offset, bytes) of texts in runs of about `most` bytes; a longer text comes in parts that overlap by a string less a byte."""
+    rows, offsets, held, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        for x in range(0, max(1, len(raw) - span + 1), most):
+            part = raw[x : x + most + span - 1]
+            if held and size + len(part) > most:
+                yield rows, offsets, held
+                rows, offsets, held, size = [], [], [], 0
+            rows.append(k), offsets.append(x), held.append(part)
+            size += len(part)
+    if held:
+        yield rows, offsets, held
 
 
 def entries(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, start, n, m, h): the index entries of rows of (key, _sk_text); no shuffle."""
+    """(key, start, n, r, m, h): the index entries of rows of (key, _sk_text); n strings from start, the first r before the anchor. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(KEY).to_numpy()
-            for begin, part in in_slices(b.column("_sk_text").to_pylist()):
-                owner, start, n, m, h = stretches(part, span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[begin + owner]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(m), pa.array(h)], [KEY, "start", "n", "m", "h"])
+            keys = b.column(KEY)
+            for rows, offsets, part in _parts(b.column("_sk_text").to_pylist(), span):
+                owner, start, n, r, m, h = stretches(part, span, gram)
+                cols = [keys.take(pa.array(np.array(rows)[owner], pa.int64())), pa.array(start + np.array(offsets)[owner]), pa.array(n.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(m), pa.array(h)]
+                yield pa.RecordBatch.from_arrays(cols, [KEY, "start", "n", "r", "m", "h"])
 
-    return docs.select(KEY, "_sk_text").mapInArrow(run, f"{KEY} long, start long, n int, m long, h long")
+    return docs.select(KEY, "_sk_text").mapInArrow(run, f"{KEY} binary, start long, n int, r int, m long, h long")
 
 
 class IndexFamily:
@@ -108,16 +130,21 @@ class IndexFamily:
         return self.scratch.keep(counted.sortWithinPartitions("m", "h"), "level")
 
     def _merge(self) -> None:
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = self._array(a.union(b))
-            for old in (a, b):
-                self.scratch.drop(old)
-            self.levels.append((size + 1, merged))
+        """Equal levels merge as long as there are any, all of a run of them in one pass."""
+        size, run = self.levels[-1][0], 1
+        while run < len(self.levels) and self.levels[-1 - run][0] == size:
+            size, run = size + 1, run + 1
+        if run > 1:
+            old, self.levels = [x for _, x in self.levels[-run:]], self.levels[:-run]
+            merged = old[0]
+            for x in old[1:]:
+                merged = merged.union(x)
+            self.levels.append((size, self._array(merged)))
+            for x in old:
+                self.scratch.drop(x)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Indexes a batch of entries; (m,) of the grams that it makes repeated or that repeat in it."""
-        self._merge()
         own = self._array(batch.select("m", "h", F.lit(1).cast("long").alias("c")))
         scan = own.select("m", "c", F.lit(1).alias("new"))
         for _, level in self.levels:
@@ -125,9 +152,28 @@ class IndexFamily:
         found = scan.groupBy("m").agg(F.sum("c").alias("c"), F.max("new").alias("new")).where("c > 1 and new = 1").select("m")
         found = self.scratch.keep(found, "repeated")
         self.levels.append((0, own))
+        self._merge()
         self.scratch.release()
         return found
 
+    def array(self) -> DataFrame:
+        """(m, h, c) of all that was added."""
+        rows = self.levels[0][1]
+        for _, level in self.levels[1:]:
+            rows = rows.union(level)
+        return rows if len(self.levels) == 1 else rows.groupBy("m", "h").agg(F.sum("c").alias("c"))
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """The rank of each key, equal for equal keys."""
+    order = np.argsort(key)
+    key = key[order]
+    step = np.zeros(len(key), np.uint32)
+    step[1:] = key[1:] != key[:-1]
+    out = np.empty(len(key), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
+
 
 def equal_strings(pieces: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array over the strings of `span` bytes inside the pieces: (piece, start, class) in its order.
@@ -140,21 +186,32 @@ def equal_strings(pieces: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np
     n = len(data) - 7
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | data[k : k + n].astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key <<= np.uint64(8)
+        key |= data[k : k + n]
+    rank = _ranked(key)
+    del key
     width = 8
     while width * 2 <= span:
-        rank = np.unique(rank[:-width] * (len(data) + 1) + rank[width:], return_inverse=True)[1].astype(np.int64)
+        rank = _ranked((rank[:-width].astype(np.uint64) << np.uint64(32)) | rank[width:])
         width *= 2
     windows = np.maximum(0, lens - span + 1)
     p = _ranges(begins, windows)
     owner = np.repeat(np.arange(len(pieces)), windows)
-    whole = rank[p] * (len(data) + 1) + rank[p + span - width]
+    whole = (rank[p].astype(np.uint64) << np.uint64(32)) | rank[p + span - width]
     order = np.argsort(whole, kind="stable")
     cls = np.cumsum(np.concatenate([[0], whole[order][1:] != whole[order][:-1]])) if len(order) else order
     return owner[order], (p - begins[owner])[order], cls
 
 
+PIECE = f"m long, h long, c long, {KEY} binary, start long, r int, n int, size int, piece binary"
+_PIECE = [x.split()[0] for x in PIECE.split(", ")]
+_KINDS = dict(zip(_PIECE, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True))
+
+
+def _pieces(cols: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[n], _KINDS[n]) for n in _PIECE], _PIECE)
+
+
 def _compared(rows: DataFrame, span: int) -> DataFrame:
     """From pieces sorted by (m, h), whole grams in a task: (key, start, length) of what a piece shares with another."""
 
@@ -170,7 +227,7 @@ def _compared(rows: DataFrame, span: int) -> DataFrame:
         owner, at = owner[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + span)]))
         last = np.append(first[1:], len(at)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(np.array(keys)[owner[first]]), pa.array(np.array(starts)[owner[first]] + at[first]), pa.array(at[last] - at[first] + span)], [KEY, "start", "length"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(owner[first])), pa.array(np.array(starts)[owner[first]] + at[first]), pa.array(at[last] - at[first] + span)], [KEY, "start", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -191,79 +248,112 @@ def _compared(rows: DataFrame, span: int) -> DataFrame:
         if held and (out := spans(held)) is not None:
             yield out
 
-    return rows.select("m", "h", "c", KEY, "start", "piece").mapInArrow(run, f"{KEY} long, start long, length long")
+    return rows.select("m", "h", "c", KEY, "start", "piece").mapInArrow(run, f"{KEY} binary, start long, length long")
 
 
-def _strings(rows: DataFrame, span: int) -> DataFrame:
-    """(w1, w2, c, key, start): each string of each piece by two hashes."""
+def _halved(rows: DataFrame, width: int, span: int) -> DataFrame:
+    """Pieces split by the distance of their strings to the anchor into intervals of `width`, under the hash of what all strings of the interval would share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pieces = b.column("piece").to_pylist()
-            for i in range(0, len(pieces), 500):
-                part = pieces[i : i + 500]
-                lens = np.array([len(p) for p in part], np.int64)
-                windows = np.maximum(0, lens - span + 1)
+            for s in by_bytes(b.column("size").to_pylist(), SLICE):
+                part = pieces[s]
+                lens = np.array([len(x) for x in part], np.int64)
                 begins = np.cumsum(lens) - lens
-                p, owner = _ranges(begins, windows), np.repeat(np.arange(len(part)), windows)
                 prefix = Prefixes(np.frombuffer(b"".join(part), np.uint8))
-                half = span // 2
-                left, right = prefix.of(p, p + half), prefix.of(p + half, p + span)
-                col = lambda n: b.column(n).to_numpy()[i : i + len(part)][owner]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(col("c")), pa.array(col(KEY)), pa.array(col("start") + p - begins[owner])], ["w1", "w2", "c", KEY, "start"])
-
-    return rows.select("piece", "c", KEY, "start").mapInArrow(run, f"w1 long, w2 long, c long, {KEY} long, start long")
+                m, r, n = (b.column(c).to_numpy()[s].astype(np.int64) for c in ("m", "r", "n"))
+                c, key, start = (b.column(x).to_pylist()[s] for x in ("c", KEY, "start"))
+                cols: dict[str, list] = {x: [] for x in _PIECE}
+                for low in range(int((r - n + 1).min()) // width * width, int(r.max()) + 1, width):
+                    top, least = np.minimum(r, low + width - 1), np.maximum(r - n + 1, low)
+                    some = np.flatnonzero(top >= least)
+                    skip, many = (r - top)[some], (top - least + 1)[some]
+                    core = begins[some] + r[some] - (low + width - 1)  # where the interval's last string would begin
+                    shared = prefix.of(core + width - 1, core + span)
+                    left = begins[some] + skip
+                    whole = mix(prefix.of(left, left + many + span - 1) + mix(top[some].astype(np.uint64)))
+                    cols["m"] += mix(shared ^ mix(m[some].astype(np.uint64) + np.uint64(low * 1024 + width))).view(np.int64).tolist()
+                    cols["h"] += whole.view(np.int64).tolist()
+                    cols["r"] += top[some].tolist()
+                    cols["n"] += many.tolist()
+                    cols["size"] += (many + span - 1).tolist()
+                    for k, x, y in zip(some.tolist(), skip.tolist(), many.tolist(), strict=True):
+                        cols["c"].append(c[k]), cols[KEY].append(key[k]), cols["start"].append(start[k] + x)
+                        cols["piece"].append(part[k][x : x + y + span - 1])
+                yield _pieces(cols)
+
+    return rows.select(*_PIECE).mapInArrow(run, PIECE)
+
+
+def _shared(scratch: Scratch, pieces: DataFrame, span: int, gram: int) -> list[DataFrame]:
+    """Tables of (key, start, length): what the pieces of each gram, distinct and two or more, share with each other."""
+    found, width = [], 1 << (span - gram).bit_length()
+    while True:
+        sizes = pieces.groupBy("m").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("d")).where("d > 1").withColumn("crowded", F.col("bytes") > CROWD)
+        sizes = scratch.keep(sizes.select("m", "crowded"), "sizes")
+        few = pieces.join(sizes.where("not crowded"), "m", "left_semi")
+        found.append(_compared(few.repartition("m").sortWithinPartitions("m", "h"), span))
+        if sizes.where("crowded").isEmpty():
+            return found
+        width //= 2
+        halves = scratch.keep(_halved(pieces.join(sizes.where("crowded"), "m", "left_semi"), width, span), "halves")
+        one = F.struct(*[c for c in _PIECE if c not in ("m", "h", "c")])
+        pieces = scratch.keep(halves.groupBy("m", "h").agg(F.sum("c").alias("c"), F.min(one).alias("one")).select("m", "h", "c", "one.*"), "pieces")
+        again = halves.where("c = 1").join(pieces.where("c > 1").select("m", "h"), ["m", "h"], "left_semi")
+        found.append(again.select(KEY, "start", (F.col("n") + span - 1).cast("long").alias("length")))
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """The bytes of wanted stretches: wanted has (key, pieces: array of (m, h, c, d, start, n))."""
+    """The bytes of wanted stretches: wanted has (key, pieces: array of (m, h, c, start, r, n))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: dict[str, list] = {n: [] for n in ("m", "h", "c", "d", KEY, "start", "piece")}
+            cols: dict[str, list] = {n: [] for n in _PIECE}
             size = 0
-            for key, text, asked in zip(b.column(KEY).to_pylist(), b.column("_sk_text").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for x in asked:
-                    for n in ("m", "h", "c", "d", "start"):
+            for k in range(b.num_rows):
+                raw = (b.column("_sk_text")[k].as_py() or "").encode("utf-8", "surrogatepass")
+                for x in b.column("pieces")[k].as_py():
+                    for n in ("m", "h", "c", "start", "r", "n"):
                         cols[n].append(x[n])
-                    cols[KEY].append(key)
-                    cols["piece"].append(raw[x["start"] : x["start"] + x["n"] + span - 1])
-                    size += x["n"] + span
-                if size > 8_000_000:
-                    yield batch(cols)
-                    cols, size = {n: [] for n in cols}, 0
-            yield batch(cols)
-
-    def batch(cols: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if n == "piece" else pa.int64()) for n, v in cols.items()], list(cols))
+                    piece = raw[x["start"] : x["start"] + x["n"] + span - 1]
+                    cols[KEY].append(b.column(KEY)[k].as_py()), cols["size"].append(len(piece)), cols["piece"].append(piece)
+                    size += len(piece)
+                    if size > SLICE:
+                        yield _pieces(cols)
+                        cols, size = {n: [] for n in _PIECE}, 0
+            yield _pieces(cols)
 
-    return docs.join(wanted, KEY).select(KEY, "_sk_text", "pieces").mapInArrow(run, f"m long, h long, c long, d long, {KEY} long, start long, piece binary")
+    return docs.join(wanted, KEY).select(KEY, "_sk_text", "pieces").mapInArrow(run, PIECE)
 
 
 def repeated_spans(spark: SparkSession, keyed: DataFrame, scratch: Scratch, span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(key, spans: array of (start, length)) for rows of (key, _sk_text) that hold a repeated string. Spans may overlap."""
-    family, repeated = IndexFamily(scratch), None
+    family, repeated, every = IndexFamily(scratch), None, None
     for k in range(batches):
-        new = family.add(entries(keyed.where(F.pmod(F.col(KEY), F.lit(batches)) == k), span, gram))
+        batch = scratch.keep(entries(keyed.where(F.pmod(F.xxhash64(KEY), F.lit(batches)) == k), span, gram), "entries")
+        new = family.add(batch)
         repeated = new if repeated is None else repeated.union(new)
-    mine = scratch.keep(entries(keyed, span, gram).join(repeated.distinct(), "m", "left_semi"), "mine")
+        every = batch if every is None else every.union(batch)
+    repeated = scratch.keep(repeated.distinct(), "repeated")
+    alike = scratch.keep(family.array().join(repeated, "m", "left_semi"), "alike")
     for _, level in family.levels:
         scratch.drop(level)
+    differ = scratch.keep(alike.groupBy("m").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "differ")
+    alike = scratch.keep(alike.join(differ, "m", "left").select("m", "h", "c", F.col("d").isNotNull().alias("differs")).where("c > 1 or differs"), "alike")
+    mine = scratch.keep(every.join(alike, ["m", "h"]), "mine")
     scratch.release()
-    alike = scratch.keep(mine.groupBy("m", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(KEY, "start", "n")).alias("one")), "alike")
-    whole = mine.join(alike.where("c > 1").select("m", "h"), ["m", "h"], "left_semi").select(KEY, "start", (F.col("n") + span - 1).cast("long").alias("length"))
-    differ = alike.groupBy("m").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    asked = alike.join(differ, "m").select(F.col("one")[KEY].alias(KEY), F.struct("m", "h", "c", "d", F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("p"))
-    pieces = scratch.keep(_cut(keyed, asked.groupBy(KEY).agg(F.collect_list("p").alias("pieces")), span), "pieces")
+    whole = mine.where("c > 1").select(KEY, "start", (F.col("n") + span - 1).cast("long").alias("length"))
+    place = F.struct(KEY, "start", "r", "n")
+    often = mine.where("differs and c > 1").groupBy("m", "h").agg(F.min("c").alias("c"), F.min(place).alias("one")).select("m", "h", "c", "one.*")
+    asked = mine.where("differs and c = 1").select("m", "h", "c", KEY, "start", "r", "n").union(often)
+    wanted = asked.groupBy(KEY).agg(F.collect_list(F.struct("m", "h", "c", "start", "r", "n")).alias("pieces"))
+    pieces = scratch.keep(_cut(keyed, wanted, span), "pieces")
     scratch.release()
-    few = pieces.where(F.col("d") <= CROWD)
-    partly = _compared(few.repartition("m").sortWithinPartitions("m", "h"), span)
-    strings = _strings(pieces.where(F.col("d") > CROWD).dropDuplicates(["m", "h"]), span)
-    twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("t")).where("t > 1").select("w1", "w2")
-    crowded = strings.where("c = 1").join(twice, ["w1", "w2"], "left_semi").select(KEY, "start", F.lit(span).cast("long").alias("length"))
-    every = whole.union(partly).union(crowded)
-    out = scratch.keep(every.groupBy(KEY).agg(F.collect_list(F.struct("start", "length")).alias("spans")), "spans")
+    rows = whole
+    for x in _shared(scratch, pieces, span, gram):
+        rows = rows.union(x)
+    out = scratch.keep(rows.groupBy(KEY).agg(F.collect_list(F.struct("start", "length")).alias("spans")), "spans")
     scratch.release()
     return out
 
@@ -294,7 +384,8 @@ def strip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in found:
-            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+            sizes = pc.fill_null(pc.binary_length(whole.column("_sk_text")), 0).to_pylist()
+            for b in (whole.slice(s.start, s.stop - s.start) for s in by_bytes(sizes, 4 * SLICE)):
                 rows = []
                 for text, cut in zip(b.column("_sk_text").to_pylist(), b.column("_sk_spans").to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")

@@ -169,7 +169,7 @@ def passages(n, seed):
     return [*out, "ab" * 300, "c" * 199, "c" * 200, "d" * 201]
 
 
-@pytest.mark.parametrize("crowd", [400, 3])
+@pytest.mark.parametrize("crowd", [suffixes.CROWD, 3000, 3])
 def test_repeated_passages_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     texts = [t if len(t or "") < 9000 else t[:2000] for _, t, *_ in documents()] + passages(60, 2)
@@ -190,11 +190,44 @@ def test_index_family_keeps_levels_logarithmic(spark):
     rows = [(i, " ".join(words(150, i)), "en", "s", 0) for i in range(8)]
     sizes = []
     for x in [*rows, rows[2]]:
-        keyed = frame(spark, [x]).select(F.col("doc_id").alias(KEY), F.col("text").alias("_sk_text"))
+        keyed = frame(spark, [x]).select(F.col("doc_id").cast("string").cast("binary").alias(KEY), F.col("text").alias("_sk_text"))
         new = family.add(suffixes.entries(keyed))
         sizes.append([s for s, _ in family.levels])
         assert (new.count() > 0) == (len(sizes) == 9)
-    assert sizes[3] == [1, 0, 0] and sizes[7] == [2, 1, 0, 0] and sizes[8] == [3, 0]
+    assert sizes == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0], [3], [3, 0]]
+    assert family.array().agg(F.sum("c")).first()[0] == sum(suffixes.entries(keyed_all).count() for keyed_all in [frame(spark, [*rows, rows[2]]).select(F.lit(b"k").alias(KEY), F.col("text").alias("_sk_text"))])
+
+
+def test_repeated_passages_split_a_hot_gram(spark):
+    """One gram whose differing pieces hold more than CROWD bytes, as shipped."""
+    r = random.Random(12)
+    common = "".join(r.choice("abcdefgh ") for _ in range(260))
+    edge = lambda n: "".join(r.choice("pqrstuvw ") for _ in range(n))
+    texts = [edge(60) + common[r.randrange(30) : 260 - r.randrange(30)] + edge(60) for _ in range(14_000)]
+    texts += [common[:230], edge(40) + common[20:219] + edge(40)]
+    got = suffixes.strip(spark, frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), with_text=False).collect()
+    n = Counter(hash(x[p : p + 200]) for x in texts for p in range(len(x) - 199))
+    assert sum(len(x) for x in texts) > suffixes.CROWD
+    for x in got:
+        t = texts[x.doc_id]
+        gone = [p for p in range(len(t) - 199) if n[hash(t[p : p + 200])] > 1]
+        runs = suffixes.merged([(p, 200) for p in gone])
+        assert (x.n_removed, x.n_spans) == (sum(b - a for a, b in runs), len(runs))
+
+
+def test_anchor_is_the_leftmost_least():
+    r = np.random.default_rng(4)
+    v = r.integers(0, 9, 500).astype(np.uint64)
+    for width in (1, 2, 5, 169):
+        assert suffixes.sliding_argmin(v, width).tolist() == [i + int(v[i : i + width].argmin()) for i in range(len(v) - width + 1)]
+
+
+def test_long_texts_are_fingerprinted_in_parts():
+    texts = ["ab" * 700, None, "x" * 199, "".join(words(300, 5))]
+    whole = list(suffixes._parts(texts, 200, 10_000))
+    cut = list(suffixes._parts(texts, 200, 300))
+    strings = lambda parts: sorted((k, o + p) for rows, offsets, held in parts for k, o, x in zip(rows, offsets, held, strict=True) for p in range(len(x) - 199))
+    assert len(cut) > len(whole) and strings(cut) == strings(whole)
 
 
 def brute_classes(rows):
