@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (+1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the
-table of vote patterns estimates each rule's accuracy; the posterior probability of good quality then
-replaces a filter in which every rule must pass. The pattern table has at most 3**rules rows whatever
-the corpus holds, so it is the only thing that reaches the driver.
+table of vote patterns estimates how right each rule is when it votes, for good and for bad documents;
+the posterior probability of good quality, from the votes that were cast, then replaces a filter in which
+every rule must pass. The pattern table has at most 3**rules rows whatever the corpus holds, so it is the
+only thing that reaches the driver.
 
 Defined results: a null text counts as empty (no words, base_failed); a null id stays null; repeated
 rows are judged alike, and several texts under one id, or none, each by itself; an empty table gives no rows; columns of the input other than id and text are
@@ -15,29 +16,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import KEY, Scratch, row_key, table
+from skein.llm.common import Scratch, table
 
 #: Fixed values of the symbol rule.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-
-FEATURES = T.StructType(
-    [
-        T.StructField(KEY, T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha")],
-    ]
-)
+#: Chance of a vote to be right on good and on bad documents at the start (most rules find nothing amiss with most
+#: bad documents), and documents of each class that hold it there.
+START, PSEUDO = (0.98, 0.4), 10
+#: Columns of features().
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha")
 _DROP = bytes(i for i in range(256) if i not in SYMBOLS)
 _CONTINUED = bytes(range(0x80, 0xC0))
 _NOT_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
 _SPACE = b" \t\n\x0b\x0c\r"
-#: Common short words of the four languages of the corpus, used by one rule that can only vote good.
+#: Common short words of the four languages of the corpus, used by one rule.
 STOP = frozenset("the of and to in is that it for on was with as be der die und das den von zu mit le la les de des et en un une el los que y del se por".encode().split())
 
 
@@ -87,19 +85,16 @@ def features_of(text: str | None) -> tuple[int, ...]:
     return (len(words), chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), stop, len(solid.translate(None, _NOT_LETTERS).translate(None, _CONTINUED)))
 
 
-def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = FEATURES.names
-    for b in batches:
-        rows = [features_of(t) for t in b["_sk_text"]]
-        out = pd.DataFrame(rows, columns=names[2:], dtype="int64") if rows else pd.DataFrame(columns=names[2:], dtype="int64")
-        out.insert(0, KEY, b[KEY].to_numpy())
-        out.insert(1, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None) if b["doc_id"].isna().any() else b["doc_id"].to_numpy())
-        yield out
+def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows of docs, their columns (or those of `keep`) in a struct _sk_row, each with the counts of its text; no shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([features_of(t.as_py()) for t in b.column("_sk_text")], np.int64).reshape(b.num_rows, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([b.column("_sk_row"), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], ["_sk_row", *COUNTS])
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of counts per document, with its row key; no shuffle."""
-    return docs.select(row_key(id_col, text_col).alias(KEY), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_sk_text")).mapInPandas(_featured, FEATURES)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_sk_row"), F.col(text_col).alias("_sk_text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_sk_row"], *[T.StructField(n, T.LongType()) for n in COUNTS]]))
 
 
 def _c(name: str) -> Column:
@@ -115,47 +110,46 @@ def rules() -> dict[str, Column]:
         "mean_word": F.when((_c("word_chars") > 20 * n) | (_c("word_chars") < 2 * n), -1).when((_c("word_chars") <= 12 * n) & (_c("word_chars") >= 3 * n), 1).otherwise(0),
         "symbols": F.when(10 * _c("n_symbols") > n, -1).when(100 * _c("n_symbols") <= 2 * n, 1).otherwise(0),
         "dup_lines": F.when(10 * _c("n_dup_lines") > 3 * _c("n_lines"), -1).when(_c("n_dup_lines") == 0, 1).otherwise(0),
-        "stop_words": F.when(100 * _c("n_stop") >= 5 * n, 1).when((n >= 50) & (_c("n_stop") < 2), -1).otherwise(0),
-        "letters": F.when(2 * _c("n_alpha") < _c("word_chars"), -1).when(10 * _c("n_alpha") >= 8 * _c("word_chars"), 1).otherwise(0),
+        "stop_words": F.when(100 * _c("n_stop") >= 5 * n, 1).when(n >= 50, -1).otherwise(0),
+        "letters": F.when((2 * _c("n_alpha") < _c("word_chars")) | ((n >= 50) & (10 * _c("n_alpha") < 7 * _c("word_chars"))), -1).when(10 * _c("n_alpha") >= 8 * _c("word_chars"), 1).otherwise(0),
     }
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: float = 0.8) -> tuple[np.ndarray, float, np.ndarray]:
     """EM on distinct vote patterns with their counts: (accuracy of each rule, share of good, posterior of good).
 
-    Each rule has its own chances of voting good, bad or not at all on good and on bad documents, so a
-    rule that votes good on almost everything says little by it. All rules start as mostly right, which
-    fixes which of the two classes is the good one; ten pseudo-documents of each class hold them there
-    where a table is small.
+    A rule that votes has its own chance of being right on good documents and on bad ones, so a rule that
+    votes good on almost everything says little by it; a rule that abstains says nothing. A rule is never
+    taken to be worse than chance: what it says for a class doesn't count against it. All rules start at
+    START, and PSEUDO documents of each class hold them there where a table is small.
     """
-    kinds = np.stack([votes == 1, votes == 0, votes == -1], 2).astype(float)  # patterns x rules x votes
-    held = np.array([[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]])
-    chance = np.repeat(held[:, None, :], votes.shape[1], 1)  # class x rules x votes
+    up, down = (votes == 1).astype(float), (votes == -1).astype(float)
+    right = np.repeat(np.array(START)[:, None], votes.shape[1], 1)  # of the good documents voted on, and of the bad ones
     share, post, total = prior, np.full(len(votes), prior), counts.sum()
     for _ in range(rounds if total else 0):
-        good, bad = (np.einsum("prv,rv->p", kinds, np.log(c)) for c in chance)
-        new = 1 / (1 + np.exp(np.clip(bad + np.log(1 - share) - good - np.log(share), -500, 500)))
-        for c, weight in enumerate((counts * new, counts * (1 - new))):
-            seen = np.einsum("p,prv->rv", weight, kinds) + 10 * held[c]
-            chance[c] = seen / seen.sum(1, keepdims=True)
-        share = float(((counts * new).sum() + 8) / (total + 10))
+        says = up @ np.log(right[0] / (1 - right[1])) - down @ np.log(right[1] / (1 - right[0]))
+        new = 1 / (1 + np.exp(np.clip(np.log((1 - share) / share) - says, -500, 500)))
+        good, bad = counts * new, counts * (1 - new)
+        right[0] = (good @ up + PSEUDO * START[0]) / (good @ (up + down) + PSEUDO)
+        right[1] = (bad @ down + PSEUDO * START[1]) / (bad @ (up + down) + PSEUDO)
+        low = right.sum(0) < 1  # worse than chance
+        right[:, low] /= right[:, low].sum(0)
+        share = float((good.sum() + PSEUDO * prior) / (total + PSEUDO))
         done, post = np.abs(new - post).max() < 1e-10, new
         if done:
             break
-    right = np.einsum("p,pr->r", counts, kinds[:, :, 0] * post[:, None] + kinds[:, :, 2] * (1 - post[:, None]))
-    cast = np.einsum("p,pr->r", counts, 1 - kinds[:, :, 1])
-    return right / np.maximum(cast, 1), share, post
+    truth = counts @ (up * post[:, None] + down * (1 - post[:, None]))
+    return truth / np.maximum(counts @ (up + down), 1), share, post
 
 
-def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Features, votes' posterior and verdict per document.
+def judge(spark: SparkSession, docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """Rows as in features(), with base_failed, posterior and kept: a posterior of `least` or more, and no base failure.
 
-    A document is kept if its posterior is `least` or more, or if no rule votes bad on it. The features
-    are written once to the shared folder: pattern counts and verdicts read that small table instead of
-    the texts. Every document is counted.
+    What features() gives is written once to the shared folder: pattern counts and verdicts read that
+    table instead of counting the texts again. Every document is counted.
     """
     scratch = Scratch(spark, "quality")
-    feats = scratch.keep(features(docs, id_col, text_col), "features")
+    feats = scratch.keep(features(docs, text_col, keep), "features")
     named = rules()
     voted = feats.withColumn("_sk_pattern", F.concat_ws(",", *[v.cast("string") for v in named.values()]))
     patterns = voted.groupBy("_sk_pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # 3**rules rows at most
@@ -164,17 +158,15 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     known = spark.createDataFrame([(r[0], float(round(p, 12))) for r, p in zip(patterns, post, strict=True)], "_sk_pattern string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = voted.join(F.broadcast(known), "_sk_pattern").withColumn("base_failed", failed)
-    spoken_against = F.contains("_sk_pattern", F.lit("-1"))
-    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("posterior") >= least) | ~spoken_against)).drop("_sk_pattern")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop("_sk_pattern")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(spark, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    out = judge(spark, table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("_sk_row.doc_id", *COUNTS[:5], "base_failed", "kept", "posterior")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents the rules keep, with the columns they came with."""
+    """Pipeline stage: documents the rules keep, with the columns they came with; each row has a verdict of its own."""
     del sf_dir
-    verdicts = judge(spark, docs).where("kept").select(KEY).distinct()
-    return docs.withColumn(KEY, row_key("doc_id", "text")).join(verdicts, KEY, "left_semi").drop(KEY)
+    return judge(spark, docs).where("kept").select("_sk_row.*")
