@@ -5,8 +5,8 @@ or more. Every set is sampled by min-hashing: SLOTS tokens, slot by slot, so tha
 slot with a probability equal to their similarity. The join splits all sets on sampled shared tokens:
 a set follows a path if it has the token chosen there. In a crowded bucket the sets close to the
 bucket's first set are joined to it and leave; the others are split again on the tokens chosen for that
-path; small buckets are compared by brute force. RUNS first splits are made, after which a linked pair
-has met in a bucket with the target recall.
+path, until no bucket is crowded; small buckets are compared by brute force. RUNS first splits are made,
+after which a linked pair has met in a bucket with the target recall.
 
 What meets is joined to candidate groups (distributed components, no pairs are emitted), and within
 each candidate group every two sets are compared exactly, in tiles of bounded size, so a group of any
@@ -39,16 +39,16 @@ SIZE = 5
 #: Sampled tokens of a set, and the share of linked pairs that may stay unmet.
 SLOTS, MISS = 64, 1e-5
 RUNS = ceil_log(MISS, LEAST[0] / LEAST[1])
-#: Sets that a bucket may hold to be compared by brute force, children of a path, and the longest path.
-SMALL, FORKS, DEPTH = 1024, 2, 4
+#: Sets that a bucket may hold to be compared by brute force, and children of a path.
+SMALL, FORKS = 1024, 2
 #: Slots in which two sets agree: so many join them to one candidate group, and so many make one stand for the other.
 #: Sets linked to a set that agrees with a third in SAME slots have a similarity of 0.5 or more to the third,
 #: and so agree with it in NEAR slots; the gap allows for the sampling.
 SAME, NEAR = 46, 24
-#: A class's internal name: the smallest row key of its texts, since ids may be null or repeat.
+#: A class's internal name: the number of one of its texts, since ids may be null or repeat.
 CLASS = "_sk_class"
-#: Words of the texts in a tile's side, about.
-TILE = 150_000
+#: Words and sets of the texts in a tile's side, about.
+TILE, SETS = 150_000, 1024
 _SEEDS = np.random.default_rng(64).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,7 +73,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
                     [KEY, "doc_id", "f1", "f2", "n_words", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"{KEY} long, doc_id long, f1 long, f2 long, n_words long, sketch array<int>")
+    return docs.mapInArrow(run, f"{KEY} binary, doc_id long, f1 long, f2 long, n_words long, sketch array<int>")
 
 
 def _agree(a, b):  # noqa: ANN001, ANN202
@@ -129,16 +129,15 @@ def _meetings(scratch: Scratch, texts: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     sketches = texts.select("node", "sketch")
     first = texts.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), F.element_at("sketch", k + 1)) for k in range(RUNS)])).alias("bucket"))
-    # most buckets hold one text: the others are found before any sample is moved
-    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1")
+    # most buckets hold one text: the others are found before any sample is moved, and written, so that Spark can split the join of a crowded one
+    shared = scratch.keep(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1"), "shared")
     rows = scratch.keep(first.join(shared, "bucket").join(sketches, "node"), "met")
-    for depth in range(1, DEPTH + 1):
-        last = depth == DEPTH
-        small = rows if last else rows.where(F.col("count") <= SMALL)
+    while True:
+        small = rows.where(F.col("count") <= SMALL)
         found.append(scratch.keep(_met_in_small(small.repartition("bucket").sortWithinPartitions("bucket", "node")), "edges"))
         crowded = rows.where(F.col("count") > SMALL)
-        if last or crowded.isEmpty():
-            break
+        if crowded.isEmpty():
+            return reduce(DataFrame.union, found)
         heads = crowded.where("node = head").select("bucket", F.col("sketch").alias("_head"))  # one row per bucket
         alike = _agree("sketch", "_head")
         beside = scratch.keep(crowded.join(heads, "bucket").select("bucket", "node", "sketch", "head", alike.alias("alike")), "crowded")
@@ -146,9 +145,8 @@ def _meetings(scratch: Scratch, texts: DataFrame) -> DataFrame:
         slot = [F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SLOTS)).cast("int") + 1 for k in range(FORKS)]
         children = F.array_distinct(F.array(*[F.xxhash64("bucket", s, F.element_at("sketch", s)) for s in slot]))
         first = beside.where(F.col("alike") < SAME).select("node", "sketch", F.explode(children).alias("bucket"))
-        shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1")
+        shared = scratch.keep(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("head")).where("count > 1"), "shared")
         rows = scratch.keep(first.join(shared, "bucket"), "met")
-    return reduce(DataFrame.union, found)
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -248,15 +246,16 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     rows = scratch.keep(_sampled(keyed), "samples")
     worded = rows.where("n_words > 0")
     texts = worded.groupBy("f1", "f2").agg(
-        F.min(KEY).alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"), F.min("sketch").alias("sketch")
+        F.min(KEY).alias("one"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"), F.min("sketch").alias("sketch")
     )
-    texts = scratch.keep(texts, "texts")
+    # the number is written with the text, and stays the same whatever is lost
+    texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     groups = scratch.keep(connected_components(spark, _meetings(scratch, texts)), "groups")
-    member = texts.select("node", "copies", "n_words").join(groups, "node")
-    sizes = member.groupBy("component").agg(F.ceil(F.sum("n_words") / TILE).cast("int").alias("blocks"))
+    member = texts.select("node", "one", "copies", "n_words").join(groups, "node")
+    sizes = member.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_words") / TILE, F.count(F.lit(1)) / SETS)).cast("int").alias("blocks"))
     placed = scratch.keep(member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
     # the same plan at every size: neither side is broadcast, however small it is
-    whole = placed.drop("n_words").hint("merge").join(keyed.select(F.col(KEY).alias("node"), F.col("_sk_text").alias("text")), "node")
+    whole = placed.drop("n_words").hint("merge").join(keyed.select(F.col(KEY).alias("one"), F.col("_sk_text").alias("text")), "one").drop("one")
     other = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = other.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
     tiled = tiled.repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "block", "node")
@@ -291,14 +290,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest id; documents without words stay."""
+    """Pipeline stage: of each class the row with the smallest id; all rows without words stay, as they are."""
     del sf_dir
     scratch = Scratch(spark, "jaccard-stage")
     found = scratch.keep(classes(spark, docs), "classes")
     first = found.where("_sk_words > 0").groupBy(CLASS).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias(KEY))
-    stay = first.select(KEY).union(found.where("_sk_words = 0").select(KEY)).distinct()
-    out = docs.withColumn(KEY, row_key("doc_id", "text")).join(stay, KEY, "left_semi")
-    if found.where("_sk_words > 0").groupBy(KEY).count().where("count > 1").isEmpty():
-        return out.drop(KEY)
-    alike = out.dropDuplicates([KEY]).where(F.length(F.trim("text")) > 0)
-    return alike.unionByName(out.where(F.col("text").isNull() | (F.length(F.trim("text")) == 0))).drop(KEY)
+    stay = scratch.keep(first.select(KEY, F.lit(True).alias("_sk_one")).union(found.where("_sk_words = 0").select(KEY, F.lit(False)).distinct()), "stay")
+    out = docs.withColumn(KEY, row_key("doc_id", "text")).join(stay, KEY)
+    if not found.where("_sk_words > 0").groupBy(KEY).count().where("count > 1").isEmpty():
+        # rows alike in id and text: of those with words one stays
+        out = out.where("_sk_one").dropDuplicates([KEY]).union(out.where("not _sk_one"))
+    return out.select(*[f"`{c}`" for c in docs.columns])

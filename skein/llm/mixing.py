@@ -191,7 +191,10 @@ SELECT doc_id, size, source_size, target, CAST(n * size AS BIGINT) AS taken, CAS
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix in training order, a document as often as it is taken, with the columns it came with."""
+    """Pipeline stage: the mix in training order, a document as often as it is taken, with the columns it came with.
+
+    The order is that of the files it is written to and of their rows, which the next stage reads.
+    """
     del spark, sf_dir
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_sk_row")
     return in_training_order(mix(docs.select("doc_id", "text", "source", whole))).select("_sk_row.*")

@@ -33,7 +33,7 @@ START, PSEUDO = (0.98, 0.4), 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha")
 _DROP = bytes(i for i in range(256) if i not in SYMBOLS)
 _CONTINUED = bytes(range(0x80, 0xC0))
-_NOT_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
+_NOT_LETTERS = bytes(i for i in range(128) if not chr(i).isalnum())
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Common short words of the four languages of the corpus, used by one rule.
 STOP = frozenset("the of and to in is that it for on was with as be der die und das den von zu mit le la les de des et en un une el los que y del se por".encode().split())
@@ -102,7 +102,7 @@ def _c(name: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes as columns over features(): +1 good, -1 bad, 0 abstains. Thresholds compare integers."""
+    """Votes as columns over features(): +1 good, -1 bad, 0 abstains. Thresholds compare integers; n_alpha counts letters and digits."""
     n = _c("n_words")
     return {
         "length": F.when(n < 10, -1).when(n >= 50, 1).otherwise(0),

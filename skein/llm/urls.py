@@ -8,7 +8,8 @@ Links are resolved against the page's url, or the base it declares, after charac
 all canonical links and refresh redirects of a page count, with whatever other relations they name.
 
 Defined results: null urls and urls without :// have empty host and path, fit no rule and have no
-aliases (allow); null html has no links; repeated rows are judged alike; an empty table gives no rows.
+aliases (allow); null html has no links; repeated rows are judged alike; an empty table gives no rows;
+further columns pass through judge(), but for columns named like its results.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def path(url: Column) -> Column:
 def node(url: Column) -> Column:
     """A url's name among aliases: scheme and fragment don't count, nor does an empty path differ from /. Null if it has no ://."""
     where = F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/"))
-    return F.when(url.contains("://"), F.xxhash64(host(url), where, F.regexp_extract(url, _PARTS, 3)))
+    return F.when(url.contains("://"), F.md5(F.concat(host(url), where, F.regexp_extract(url, _PARTS, 3))))
 
 
 def rule_of(host_col: Column, path_col: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -157,6 +157,21 @@ def test_mix_follows_the_schedule(spark):
     assert order == sorted(order)
 
 
+def test_jaccard_stage_keeps_all_rows_without_words(spark):
+    rows = [(1, "\t\n", "en", "s", 0)] * 2 + [(2, "  ", "en", "s", 0)] * 2 + [(3, "one two three four five six", "en", "s", 0)] * 2 + [(4, None, "en", "s", 0)] * 2
+    assert sorted(x.doc_id for x in jaccard.stage(spark, frame(spark, rows), "").collect()) == [1, 1, 2, 2, 3, 4, 4]
+
+
+def test_training_order_outlives_the_files(spark, tmp_path):
+    rows = [(i, "a b c " * (1 + i % 9), "en", ("a", "b", "c")[i % 3], 0) for i in range(600)]
+    docs = frame(spark, rows)
+    mixing.stage(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    out = pieces.stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    got = [x.doc_id for x in out.orderBy("file", "file_row").collect()]
+    assert got == [x.doc_id for x in mixing.in_training_order(mixing.mix(docs)).orderBy("_sk_position", "doc_id").collect()]
+    assert "file" in pieces.stage(spark, docs, "").columns
+
+
 def test_mix_stage_repeats_documents_and_keeps_columns(spark):
     rows = [(i, "a b c d", "en", s, 7) for i in range(90) for s in ("big",)] + [(1000 + i, "e f g h", "en", "small", 7) for i in range(10)]
     docs = with_extra(frame(spark, rows))
