@@ -27,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import table
+from skein.llm.common import by_bytes, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of whose encodings a worker keeps hold, and characters that it works on at once.
+#: Words of whose encodings a worker keeps hold, characters of text and of new words that it works on at once.
 CACHE = 200_000
-CHUNK = 6_000_000
+CHUNK, INDEXED = 2_000_000, 250_000
 #: Places, a power of two in bits, in which a worker remembers what may follow what.
-FOLLOWS = 20
+FOLLOWS = 18
 _MARK = "▁"
 _WORDS = re.compile(f"{_MARK}+[^{_MARK}]*")
 
@@ -300,9 +301,10 @@ class Encoder:
             where[k] = index.setdefault(words[k], len(index))
         if len(index) > size:
             new = [_MARK + w for w in itertools.islice(index, size, None)]
-            more, ids = encode_words(self.v, new)
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + more[1:]])
-            self.ids = np.concatenate([self.ids, ids])
+            for part in by_bytes([len(w) for w in new], INDEXED):
+                more, ids = encode_words(self.v, new[part])
+                self.offsets = np.concatenate([self.offsets, self.offsets[-1] + more[1:]])
+                self.ids = np.concatenate([self.ids, ids])
         self.uses = np.concatenate([self.uses, np.zeros(len(index) - size, np.int64)]) + np.bincount(where, minlength=len(index))
         n = self.offsets[where + 1] - self.offsets[where]
         flat = self.ids[_ranges(self.offsets[where], n)]
@@ -320,24 +322,14 @@ def _encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    begin = size = 0
-    for k, t in enumerate(texts):
-        if k > begin and size + len(t) > CHUNK:
-            yield slice(begin, k)
-            begin, size = k, 0
-        size += len(t)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, out: str = "piece_ids") -> DataFrame:
     """docs with an array of piece ids and round_trip, whether they decode to the text. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, enc = vocabulary(model), _encoder(model)
         for b in batches:
-            for part in (b.slice(s.start, s.stop - s.start) for s in _slices([t or "" for t in b.column("_sk_text").to_pylist()])):
+            sizes = pc.fill_null(pc.utf8_length(b.column("_sk_text")), 0).to_pylist()
+            for part in (b.slice(s.start, s.stop - s.start) for s in by_bytes(sizes, CHUNK)):
                 texts = [t or "" for t in part.column("_sk_text").to_pylist()]
                 offsets, ids = enc.encode(texts)
                 flat = ids.tolist()
