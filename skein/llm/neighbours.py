@@ -2,16 +2,21 @@
 
 Vectors are scaled by the largest norm and given one more coordinate that makes every norm 1, which
 turns the largest inner product into the smallest Euclidean distance. Each of TABLES tables cuts space
-into cells by a few random projections (p-stable for p = 2). A query visits its own cell and cells next
-to it in the order of their estimated success, that is of its squared distance to the walls between,
-and all candidates met in any table are ranked by their exact inner product.
-
-How many cells a query visits is fitted for each vector length on a sample of SAMPLE rows at most, so that
-the share of true neighbours that are reached is at least AIM there; all rows are indexed. A query that
-meets fewer candidates than it could list, min(k, other rows of its length), is ranked exactly against
-all rows instead, BLOCK such queries in one pass over the rows. Rows of the same vector are one entry
-with its smallest ids, all that a list of k neighbours can show of them. Cells with more than CHUNK
-entries are dealt in chunks, and a query meets every chunk.
+into cells by a few random projections (p-stable for p = 2). A query visits its own cell and cells beside
+it in the order of their estimated success, that is of its squared distance to the walls between, and
+all candidates met in any table are ranked by their exact inner product. Sets of steps to cells beside
+come from a list in the order of their expected cost, made by shifting and expanding sets from the
+cheapest on, so no more of them are made than may be visited, however many projections there are.
+
+How many projections a table has and how many cells a query visits is fitted for each vector length on a
+sample of SAMPLE rows at most: of the numbers of projections, which may grow with the table without end,
+the one that costs least among those that reach at least AIM of the true neighbours there; all rows are
+indexed. Queries meet their own cells in FIRST tables first; what they have then as the last of their
+lists goes with them to all other cells, which answer only with what is better. A query that meets fewer
+candidates than it could list, min(k, other rows of its length), is ranked exactly against all rows
+instead, BLOCK such queries in one pass over the rows. Rows of the same vector are one entry with its
+smallest ids, all that a list of k neighbours can show of them. Cells with more than CHUNK entries are
+dealt in chunks, and a query meets every chunk.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
 part; ties go to the smaller id; rows alike in id and vector are one; vectors of another length than
@@ -21,6 +26,7 @@ the query's are no candidates; an empty table gives no rows; further columns are
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import math
 from collections.abc import Iterator
@@ -29,12 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import Scratch, table
 
-TABLES = 6
+TABLES, FIRST = 6, 2
 WIDTH = 1.5
 SAMPLE, SAMPLE_QUERIES, AIM = 2000, 200, 0.98
+#: Sets of steps in the list, and the work of one visit in entries compared.
+PROBES, VISIT = 2048, 64
 CHUNK = 512
 #: Queries ranked exactly in one pass over all rows; more of them take more passes.
 BLOCK = 1024
@@ -50,8 +59,26 @@ def planes(dim: int, tables: int, bits: int, width: float) -> tuple[np.ndarray,
 
 
 @functools.cache
-def steps(bits: int) -> np.ndarray:
-    return np.array(list(itertools.product((-1, 0, 1), repeat=bits)), np.int64)
+def sets(bits: int, most: int = PROBES) -> np.ndarray:
+    """Sets of steps, sets x 2 bits, in the order of their expected cost, the empty one first.
+
+    A step is named by its place among a query's 2 bits steps in the order of their cost; place j and place
+    2 bits - 1 - j are the two ways along one projection, and never in one set.
+    """
+    near = [j * (j + 1) / (4 * (bits + 1) * (bits + 2)) for j in range(1, bits + 1)]
+    cost = near + [1 - j / (bits + 1) + j * (j + 1) / (4 * (bits + 1) * (bits + 2)) for j in range(bits, 0, -1)]
+    out, heap = [()], [(cost[0], (0,))]
+    while heap and len(out) < most:
+        now, chosen = heapq.heappop(heap)
+        if not {2 * bits - 1 - j for j in chosen} & set(chosen):
+            out.append(chosen)
+        if (last := chosen[-1]) + 1 < 2 * bits:
+            heapq.heappush(heap, (now - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (now + cost[last + 1], (*chosen, last + 1)))
+    inside = np.zeros((len(out), 2 * bits), np.int8)
+    for k, chosen in enumerate(out):
+        inside[k, list(chosen)] = 1
+    return inside
 
 
 def lifted(vectors: np.ndarray, norm: float, query: bool) -> np.ndarray:
@@ -70,11 +97,21 @@ def cells(x: np.ndarray, tables: int, bits: int, width: float) -> tuple[np.ndarr
     return cell.astype(np.int64).reshape(len(x), tables, bits), (at - cell).reshape(len(x), tables, bits)
 
 
-def costs(inside: np.ndarray, bits: int) -> np.ndarray:
-    """Estimated cost (squared distance) of each step to a next cell: rows x tables x 3**bits."""
-    s = steps(bits)
-    down, up = inside**2, (1 - inside) ** 2
-    return down @ (s == -1).T.astype(float) + up @ (s == 1).T.astype(float)
+def ordered(inside: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps in the order of their cost, sets in the order of theirs), each rows x tables x many. Steps below `bits` go down."""
+    cost = np.concatenate([inside**2, (1 - inside) ** 2], 2)
+    steps = cost.argsort(2, kind="stable")
+    whole = np.take_along_axis(cost, steps, 2) @ sets(bits).T.astype(float)
+    return steps, whole.argsort(2, kind="stable")
+
+
+def visited(cell: np.ndarray, inside: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """Cells that a query visits, rows x tables x probes x bits, its own first."""
+    steps, order = ordered(inside, bits)
+    way = np.zeros((*steps.shape, bits), np.int8)
+    r, t, j = np.ogrid[: steps.shape[0], : steps.shape[1], : steps.shape[2]]
+    way[r, t, j, steps % bits] = np.where(steps < bits, -1, 1)
+    return cell[:, :, None, :] + sets(bits)[order[:, :, :probes]] @ way
 
 
 def names(cell: np.ndarray, dim: int) -> np.ndarray:
@@ -88,25 +125,41 @@ def names(cell: np.ndarray, dim: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def fitted_probes(sample: np.ndarray, n: int, k: int, norm: float, bits: int) -> int:
-    """Cells per table that a query has to visit to reach AIM of the sample's neighbours that stand for the k nearest of n rows."""
-    most = 3**bits
+def ranks(cell: np.ndarray, inside: np.ndarray, other: np.ndarray, bits: int) -> np.ndarray:
+    """As which of its visits each row of cell comes to each of its others (rows x others x tables x bits); the number of all if never."""
+    steps, order = ordered(inside, bits)
+    place, turn = steps.argsort(2), order.argsort(2)
+    powers = 1 << np.arange(2 * bits, dtype=np.int64)
+    names_ = sets(bits).astype(np.int64) @ powers
+    by_name = names_.argsort()
+    apart = other - cell[:, None]
+    value = powers[place]  # rows x tables x steps
+    name = ((apart == -1) * value[:, None, :, :bits] + (apart == 1) * value[:, None, :, bits:]).sum(-1)
+    at = np.minimum(np.searchsorted(names_[by_name], name), len(names_) - 1)
+    known = (names_[by_name][at] == name) & (np.abs(apart) <= 1).all(-1)
+    r, t = np.ogrid[: len(cell), : cell.shape[1]]
+    return np.where(known, turn[r[:, None], t[None], by_name[at]], len(names_))
+
+
+def fitted(sample: np.ndarray, n: int, k: int, norm: float) -> tuple[int, int]:
+    """(projections of a table, cells a query visits in it): the least work among what reaches AIM of the sample's neighbours that stand for the k nearest of n rows."""
     if len(sample) < 2:
-        return most
+        return 1, len(sets(1))
     q = sample[:SAMPLE_QUERIES]
     score = q @ sample.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     near = min(len(sample) - 1, max(1, math.ceil(k * len(sample) / max(n, 1))))
     best = np.argpartition(-score, near - 1, axis=1)[:, :near]
-    mine, inside = cells(lifted(q, norm, True), TABLES, bits, WIDTH)
-    theirs, _ = cells(lifted(sample, norm, False), TABLES, bits, WIDTH)
-    order = costs(inside, bits).argsort(2, kind="stable").argsort(2, kind="stable")
-    apart = theirs[best] - mine[:, None]
-    number = ((apart + 1) * 3 ** np.arange(bits - 1, -1, -1)).sum(-1)
-    beside = (np.abs(apart) <= 1).all(-1)
-    i, t = np.arange(len(q))[:, None, None], np.arange(TABLES)[None, None, :]
-    rank = np.where(beside, order[i, t, np.where(beside, number, 0)], most).min(-1).ravel()
-    return int(min(most, np.quantile(rank, AIM, method="higher") + 1))
+    found: list[tuple[bool, float, int, int]] = []
+    for bits in range(1, max(1, round(math.log2(max(n, 2) / 300) / 2)) + 1):
+        mine, inside = cells(lifted(q, norm, True), TABLES, bits, WIDTH)
+        theirs, _ = cells(lifted(sample, norm, False), TABLES, bits, WIDTH)
+        rank = ranks(mine, inside, theirs[best], bits).min(-1).ravel()
+        probes = int(min(len(sets(bits)), np.quantile(rank, AIM, method="higher") + 1))
+        few = slice(0, 20)
+        share = (ranks(mine[few], inside[few], np.broadcast_to(theirs, (len(q[few]), *theirs.shape)), bits) < probes).mean()
+        found.append(((rank < probes).mean() < AIM, TABLES * (probes * VISIT + share * n), bits, probes))
+    return min(found)[2:]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -124,27 +177,32 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _placed(df: DataFrame, norm: float, fits: dict[int, tuple[int, int]], query: bool) -> DataFrame:
-    """df (id, vector) with the cells it is in, or visits, as an array of longs; no shuffle. fits: (bits, probes) by vector length."""
+    """df (id, vector) with the cells it is in, or visits, as an array of longs, and those of them that are its own in the FIRST tables; no shuffle.
+
+    fits: (projections, probes) by vector length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(i, 100) for i in range(0, whole.num_rows, 100)):
                 out: list[np.ndarray] = [np.zeros(0, np.int64)] * b.num_rows
+                own = np.zeros((b.num_rows, FIRST), np.int64)
                 for rows, m in _by_length(b.column("vector")):
                     bits, probes = fits[m.shape[1]]
                     cell, inside = cells(lifted(m, norm, query), TABLES, bits, WIDTH)
-                    if query:
-                        visit = costs(inside, bits).argsort(2, kind="stable")[:, :, :probes]
-                        cell = cell[:, :, None, :] + steps(bits)[visit]
-                    for r, x in zip(rows, names(cell, m.shape[1]).reshape(len(rows), -1), strict=True):
+                    named = names(visited(cell, inside, bits, probes) if query else cell[:, :, None, :], m.shape[1])
+                    own[rows] = named[:, :FIRST, 0]
+                    for r, x in zip(rows, named.reshape(len(rows), -1), strict=True):
                         out[r] = x
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))], ["id", "vector", "cells"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32)), pa.array(np.concatenate(v))) for v in (out, list(own))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), *lists], ["id", "vector", "cells", "own"])
 
-    return df.select("id", "vector").mapInArrow(run, "id long, vector array<float>, cells array<long>")
+    kept = df.select("id", "vector")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("cells", "own")]]))
 
 
-_FOUND = "query long, entry long, score double"
+#: A row for each query that a task met, with the best entries it found there.
+_FOUND = "query long, entries array<long>, scores array<double>"
 
 
 class _Best:
@@ -175,21 +233,26 @@ class _Best:
         self.size = int(top.sum())
         return self.q[0], self.v[0], self.s[0]
 
-    def meet(self, who: np.ndarray, part: np.ndarray, have: np.ndarray, mat: np.ndarray) -> None:
-        """Adds the best of the entries (have, mat) for each of the queries (who, part)."""
+    def meet(self, who: np.ndarray, part: np.ndarray, have: np.ndarray, mat: np.ndarray, least: np.ndarray | None = None) -> None:
+        """Adds the best of the entries (have, mat) for each of the queries (who, part), if not below `least`."""
         score = part @ mat.T
         n = min(self.keep, len(have))
+        edge = np.full(len(part), -np.inf) if least is None else least
         if n < len(have):  # all that tie with the last one
-            edge = np.take_along_axis(score, np.argpartition(-score, n - 1, axis=1)[:, :n], 1).min(1)
-            qi, vi = np.nonzero(score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge[:, None])))
-        else:
-            qi, vi = np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part))
+            edge = np.maximum(edge, np.take_along_axis(score, np.argpartition(-score, n - 1, axis=1)[:, :n], 1).min(1))
+        qi, vi = np.nonzero(score >= np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1, np.abs(edge)), edge)[:, None])
         self.add(who[qi], have[vi], (part[qi] * mat[vi]).sum(1))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         q, v, s = self.pack()
-        for z in range(0, len(q), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(q[z : z + 20_000]), pa.array(v[z : z + 20_000]), pa.array(s[z : z + 20_000])], ["query", "entry", "score"])
+        if not len(q):
+            return
+        first = np.append(np.flatnonzero(np.diff(q, prepend=q[0] - 1)), len(q))
+        for z in range(0, len(first) - 1, 2000):
+            cut = first[z : z + 2001]
+            part = slice(cut[0], cut[-1])
+            lists = [pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(x[part])) for x in (v, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(q[cut[:-1]]), *lists], ["query", "entries", "scores"])
 
 
 def _met(rows: DataFrame, keep: int) -> DataFrame:
@@ -200,7 +263,7 @@ def _met(rows: DataFrame, keep: int) -> DataFrame:
             if not b.num_rows:
                 continue
             key = np.stack([b.column("cell").to_numpy(), b.column("chunk").to_numpy(zero_copy_only=False).astype(np.int64), b.column("is_query").to_numpy(zero_copy_only=False).astype(np.int64)])
-            id_, column = b.column("id").to_numpy(), b.column("vector")
+            id_, column, least = b.column("id").to_numpy(), b.column("vector"), b.column("least").to_numpy(zero_copy_only=False)
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0).any(0)) + 1, [b.num_rows]])
             for x, y in itertools.pairwise(cuts.tolist()):
                 if cell != (here := tuple(key[:2, x])):
@@ -214,12 +277,27 @@ def _met(rows: DataFrame, keep: int) -> DataFrame:
                 have, mat = np.concatenate(ids), np.concatenate(vectors)
                 ids, vectors = [have], [mat]
                 for z in range(0, len(m), 1024):
-                    best.meet(id_[x:y][z : z + 1024], m[z : z + 1024], have, mat)
+                    best.meet(id_[x:y][z : z + 1024], m[z : z + 1024], have, mat, least[x:y][z : z + 1024])
         yield from best.rows()
 
     return rows.mapInArrow(run, _FOUND)
 
 
+def _merged(found: DataFrame, keep: int) -> DataFrame:
+    """(query, entry, score): the best entries of each query in what all tasks found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(keep)
+        for b in batches:
+            n = np.asarray(b.column("entries").value_lengths()).astype(np.int64)
+            best.add(np.repeat(b.column("query").to_numpy(), n), b.column("entries").flatten().to_numpy(), b.column("scores").flatten().to_numpy())
+        q, v, s = best.pack()
+        for z in range(0, len(q), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[z : z + 20_000]) for x in (q, v, s)], ["query", "entry", "score"])
+
+    return found.repartition("query").mapInArrow(run, "query long, entry long, score double")
+
+
 def _exact(index: DataFrame, ids: np.ndarray, vectors: list[list[float]], keep: int) -> DataFrame:
     """The best entries of each task's rows for each of a block of queries; every row is compared with every query of its length."""
     lengths = np.array([len(x) for x in vectors])
@@ -244,7 +322,9 @@ def _first(df: DataFrame, by: list[str], order: list[Column | str], n: int) -> D
 def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows with the largest inner product found, for each row that `queries` picks."""
     scratch = Scratch(spark, "neighbours")
-    picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), queries.alias("asks"))
+    single = vectors.select(F.col(vector_col).alias("v")).schema["v"].dataType == T.ArrayType(T.FloatType())
+    kind = "array<float>" if single else "array<double>"
+    picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"), queries.alias("asks"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = picked.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).where(finite & F.exists("vector", lambda x: x != 0))
     usable = usable.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit("second"), "vector")}).dropDuplicates(["id", "h1", "h2"])
@@ -263,18 +343,27 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 2
     fits = {}
     for dim, many in sizes.items():
         sample = index.where(F.size("vector") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-        bits = int(min(7, max(1, round(math.log2(max(many, 2) / 300) / 2))))
-        fits[dim] = bits, fitted_probes(np.array([r[0] for r in sample], float), many, k, norm, bits)
-    placed = _placed(index, norm, fits, False).select("id", "vector", F.explode("cells").alias("cell"))
-    full = placed.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+        fits[dim] = fitted(np.array([r[0] for r in sample], float), many, k, norm)
+    placed = _placed(index, norm, fits, False)
+    cells_of = placed.select("id", "vector", F.explode("cells").alias("cell"))
+    full = cells_of.groupBy("cell").count().where(F.col("count") > CHUNK).select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     full = scratch.keep(full, "full")
-    chunks = F.coalesce("chunks", F.lit(1))
-    dealt = placed.join(full, "cell", "left").select("cell", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("is_query"), "id", "vector")
     asked = usable.where("asks")
-    visits = _placed(asked, norm, fits, True).select("id", "vector", F.explode("cells").alias("cell"))
-    visits = visits.join(full, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("is_query"), "id", "vector")
-    together = dealt.union(visits).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "id")
-    ranked = scratch.keep(_listed(_met(together, k + 1), entries, k), "ranked")
+    visits = _placed(asked, norm, fits, True)
+
+    def answers(entries_in: DataFrame, visits_to: DataFrame) -> DataFrame:
+        """What queries meet: entries_in (cell, id, vector), visits_to (cell, id, vector, least)."""
+        chunks = F.coalesce("chunks", F.lit(1))
+        dealt = entries_in.join(full, "cell", "left").select("cell", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("is_query"), "id", "vector", F.lit(None).cast("double").alias("least"))
+        come = visits_to.join(full, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("is_query"), "id", "vector", "least")
+        together = dealt.union(come).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "id")
+        return scratch.keep(_merged(_met(together, k + 1), k + 1), "met")
+
+    nothing = F.lit(float("-inf"))
+    at_home = answers(placed.select(F.explode("own").alias("cell"), "id", "vector"), visits.select(F.explode("own").alias("cell"), "id", "vector", nothing.alias("least")))
+    least = scratch.keep(at_home.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least")), "least")
+    known = visits.join(least.withColumnRenamed("query", "id"), "id", "left").select(F.explode("cells").alias("cell"), "id", "vector", F.coalesce("least", nothing).alias("least"))
+    ranked = scratch.keep(_listed(at_home.union(answers(cells_of.select("cell", "id", "vector"), known)), entries, k), "ranked")
     others = F.create_map(*[F.lit(x) for d, c in sizes.items() for x in (d, c - 1)])
     could = asked.select("id", F.size("vector").alias("dim")).distinct().groupBy(F.col("id").alias("query")).agg(F.sum(others[F.col("dim")]).alias("could"))
     got = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("got"))
@@ -286,7 +375,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 2
         _exact(index, np.array([r[0] for r in block], np.int64), [r[1] for r in block], k + 1).write.mode("append").parquet(path)
         met = True
     if met:
-        exact = _listed(spark.read.schema(_FOUND).parquet(path), entries, k)
+        exact = _listed(_merged(spark.read.schema(_FOUND).parquet(path), k + 1), entries, k)
         ranked = ranked.join(short, "query", "left_anti").select(exact.columns).union(exact)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
