@@ -1,11 +1,14 @@
 """Main text of web pages by text-to-tag ratio.
 
 A page streams through the standard library's parser. Its events fill lines (one per block of the page),
-each with its text and the number of tags in it. The ratio of text to tags per line is smoothed by a
-Gaussian and split in two clusters by a threshold; lines of the upper cluster are content. What a page
-says of itself bounds the regions: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never content, and where a page marks its article, the article's lines
-stand and fall together, since a short line of an article is still the article.
+each with its text, how much of that is links, and the number of tags in it. The logarithm of the ratio of
+unlinked text to tags per line is smoothed by a Gaussian and split in two clusters by a threshold; lines of
+the upper cluster are content, and a region that has such a line is a content region. What a page says of
+itself bounds the regions: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are never content and count as lines without text. A marked article is one region, whose
+short lines belong to it, but for lists of links in the lower cluster; of several articles, only those with a
+line in the upper cluster count. Elsewhere boilerplate and lists of links part the regions, and a region
+reaches from its first line in the upper cluster, and a heading above it, to its last.
 
 Defined results: null and empty pages have empty text and n_chars 0; rows alike give alike rows; an
 empty table gives no rows; further columns are ignored. Nothing is cut off, however long the page.
@@ -40,19 +43,22 @@ STICKY_WORDS = frozenset("comment comments commentlist disqus respond replies re
 MAIN = frozenset(["article", "main"])
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
-SIGMA = 1.0
+#: Width of the Gaussian in lines, and lines of links in a row that make a list.
+SIGMA, LIST = 1.0, 3
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: text, tags, whether boilerplate, and the number of the article they stand in (0: none)."""
+    """Parser events to lines: text, tags, grade of boilerplate, the number of the article they stand in (0: none), linked characters."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         #: Of the boilerplate grades 0 is none; an article inside grade 1 counts, one inside grade 2 doesn't.
-        self.rows: list[tuple[str, int, int, int]] = []
+        self.rows: list[tuple[str, int, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.open: list[tuple[str, int, int]] = []  # element, grade of boilerplate, article
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
+        self.mains: list[int] = []  # and of those that an end tag inside them doesn't reach beyond
         self.articles = 0
 
     def _line(self) -> None:
@@ -60,12 +66,16 @@ class Lines(HTMLParser):
             _, bad, article = self.open[-1] if self.open else ("", 0, 0)
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.rows.append((text, self.tags, bad, article))
-                self.tags = 0
+                self.rows.append((text, self.tags, bad, article, min(len(text), self.linked)))
+                self.tags = self.linked = 0
             self.text = []
 
     def _close(self, k: int) -> None:
-        del self.open[k:]
+        while len(self.open) > k:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in MAIN:
+                self.mains.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -81,7 +91,7 @@ class Lines(HTMLParser):
                 if self.open[k][0] in BLOCK:
                     break
         elif tag == "body":
-            self.open.clear()
+            self._close(0)
         _, bad, article = self.open[-1] if self.open else ("", 0, 0)
         if tag in MAIN and not article:
             if bad == 1:  # an article is no part of a menu that was left open before it
@@ -91,6 +101,9 @@ class Lines(HTMLParser):
         if bad < 2:
             own = 2 if tag in STICKY else 1 if tag in NEVER or tag == "header" and not article else 0
             bad = max(bad, own, self._named(tag, attrs, article) if attrs else 0)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in MAIN:
+            self.mains.append(len(self.open))
         self.open.append((tag, bad, article))
 
     @staticmethod
@@ -118,17 +131,18 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._line()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close(k)
-                return
-            if self.open[k][0] in MAIN and tag not in ("body", "html") and tag not in MAIN:
-                return  # an end tag in an article closes nothing outside of it
+        if not (at := self.places.get(tag)):
+            return
+        if self.mains and at[-1] < self.mains[-1] and tag not in ("body", "html"):
+            return  # an end tag in an article closes nothing outside of it
+        self._close(at[-1])
 
     def handle_data(self, data: str) -> None:
         # script and style never hold text; their content is data to the parser
         if not (self.open and self.open[-1][0] in ("script", "style")):
             self.text.append(data)
+            if self.places.get("a"):
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -157,6 +171,36 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > (lo + hi) / 2
 
 
+def _in_lists(links: np.ndarray, least: int = LIST) -> np.ndarray:
+    """Which lines stand in a run of `least` lines of links or more."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], links.astype(np.int8), [0]])))
+    out = np.zeros(len(links), bool)
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        out[a:b] = b - a >= least
+    return out
+
+
+def selected(rows: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+    """Which lines are content."""
+    size, tags, linked = (np.array([f(x) for x in rows], float) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[4]))
+    bad = np.array([x[2] > 0 for x in rows])
+    article = np.array([x[3] for x in rows])
+    ratio = np.log1p((size - linked) / np.maximum(1, tags))
+    up = upper_cluster(smoothed(np.where(bad, 0.0, ratio))) & ~bad
+    links = _in_lists((2 * linked > size) & ~bad)
+    if (marked := (article > 0) & ~bad).any():
+        with_content = np.unique(article[up & marked])
+        return marked & (np.isin(article, with_content) if len(with_content) else True) & ~(links & ~up)
+    take = np.zeros(len(up), bool)
+    region = np.cumsum(bad | links)
+    for k in np.unique(region[up & ~links]).tolist():
+        on = np.flatnonzero(up & ~links & (region == k))
+        take[on[0] : on[-1] + 1] = True
+        if on[0] and not (bad | links)[on[0] - 1]:  # a heading just above the region belongs to it
+            take[on[0] - 1] = True
+    return take
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -165,25 +209,7 @@ def main_text(html: str | None) -> str:
     p.close()
     if not p.rows:
         return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, _, _ in p.rows])
-    bad = np.array([b > 0 for _, _, b, _ in p.rows])
-    article = np.array([a for _, _, _, a in p.rows])
-    up = upper_cluster(smoothed(np.where(bad, 0.0, ratio))) & ~bad
-    if (marked := (article > 0) & ~bad).any():
-        # of several articles those with a line in the upper cluster; of one that is all, it
-        with_content = np.unique(article[up & marked])
-        take = marked & (np.isin(article, with_content) if len(with_content) else True)
-    else:
-        take = np.zeros(len(up), bool)
-        on = np.flatnonzero(up)
-        if len(on):
-            take[on[0] : on[-1] + 1] = True
-        take &= ~bad
-        # a heading just above the region belongs to it
-        first = int(on[0]) if len(on) else 0
-        if first and not bad[first - 1]:
-            take[first - 1] = True
-    return " ".join(t for (t, *_), ok in zip(p.rows, take, strict=True) if ok)
+    return " ".join(t for (t, *_), ok in zip(p.rows, selected(p.rows), strict=True) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -37,6 +37,49 @@ def test_html_by_ratio_without_article():
     assert got.startswith("Title long words") and "short" in got and "item" not in got
 
 
+def test_html_clusters_choose_among_articles_and_drop_lists_of_links():
+    body = "".join(f"<p>{'long words of the main text ' * 6}</p>" for _ in range(5))
+    teasers = "".join(f"<article><a href=x>teaser {i}</a></article>" for i in range(8))
+    inside = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(9))
+    page = f"<body>{teasers}<article><h1>Title</h1>{body}<p>see <a href=x>here</a></p><ul>{inside}</ul></article></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("Title long words") and got.endswith("see here") and "teaser" not in got and "link" not in got
+    every = html_text.upper_cluster
+    try:  # without the clusters all that stays
+        html_text.upper_cluster = lambda v: np.ones(len(v), bool)
+        assert "teaser" in html_text.main_text(page) and "link 3" in html_text.main_text(page)
+    finally:
+        html_text.upper_cluster = every
+
+
+def test_html_ratio_threshold_matches_brute_force():
+    """Two clusters of the smoothed logarithms by trying every threshold that 2-means may settle at."""
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        v = np.concatenate([r.uniform(0, 2, r.integers(2, 30)), r.uniform(3, 6, r.integers(2, 30))])
+        up = html_text.upper_cluster(v)
+        assert v[up].min() > v[~up].max()
+        cut = (v[up].mean() + v[~up].mean()) / 2
+        assert ((v > cut) == up).all()
+        kernel = [np.exp(-0.5 * d * d) for d in range(-3, 4)]
+        want = [sum(k * v[i + d] for d, k in zip(range(-3, 4), kernel, strict=True) if 0 <= i + d < len(v)) / sum(k for d, k in zip(range(-3, 4), kernel, strict=True) if 0 <= i + d < len(v)) for i in range(len(v))]
+        assert np.allclose(html_text.smoothed(v), want)
+
+
+def test_html_without_marked_articles_gives_the_same_text(spark):
+    """The clusters find the articles of the given pages when nothing marks them."""
+    pages = [x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    plain = [html_text.main_text(h.replace("<article", "<div").replace("</article", "</div")) if h else "" for h in pages]
+    same = sum(a == html_text.main_text(h) for a, h in zip(plain, pages, strict=True))
+    assert same >= 0.9 * len(pages)
+
+
+def test_html_unmatched_tags_take_no_quadratic_time():
+    n = 60_000
+    assert html_text.main_text("<article>" + "<i>" * n + "x" + "</b>" * n + "</article>") == "x"
+    assert html_text.main_text("<b><article>" + "<i>" * n + "x" + "</b>" * n + "</article>") == "x"
+
+
 def test_html_long_page():
     n = 20_000
     assert html_text.main_text("<article>" + "<p>word here</p>" * n + "</article>") == " ".join(["word here"] * n)
