@@ -30,6 +30,8 @@ from skein.llm.common import Scratch, table
 
 #: Tokens in the workers' dictionary at most, and symbols of the model: words, classes of other words, the end.
 HEAD = 131_072
+#: Bytes of a token in that dictionary at most; longer ones are looked up by the join, however frequent.
+LONGEST = 64
 WORDS, CLASSES = 447, 64
 SYMBOLS = WORDS + CLASSES + 1
 DIM, NOISE, ROUNDS, RATE = 32, 10, 300, 0.05
@@ -111,7 +113,7 @@ def head_of(counts: DataFrame, most: int = HEAD) -> Head:
         total, least = total + n, s
     if least is None:
         return Head([], [])
-    rows = counts.where(step >= least).select("token", "c").collect()
+    rows = counts.where((step >= least) & (F.octet_length("token") <= LONGEST)).select("token", "c").collect()
     rows.sort(key=lambda r: (-r[1], bytes(r[0])))
     return Head([bytes(r[0]) for r in rows], [r[1] for r in rows])
 

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, table
+from skein.llm.common import WORD, Scratch, table
 
 #: Hash buckets of a source, a power of two; a bucket's documents are summed up by one task.
 BUCKET_BITS = 12
@@ -125,10 +125,11 @@ def mix(
     # the tie-breaker is taken before the shuffle, so the text moves only if the caller asks for it
     rows = docs.withColumns({"size": size, "_sk_source": source, "_sk_place": place, "_sk_tie": F.xxhash64(F.col(text_col))})
     rows = rows.withColumn("_sk_bucket", F.shiftright("_sk_place", 4 * _HEX - BUCKET_BITS))
-    buckets = rows.groupBy("_sk_source", "_sk_bucket").agg(F.sum("size").alias("_sk_sum"))
+    # written, so that the texts are counted once for all sums: a row for each source and bucket at most
+    buckets = Scratch(docs.sparkSession, "mixing").keep(rows.groupBy("_sk_source", "_sk_bucket").agg(F.sum("size").alias("_sk_sum")), "buckets")
     so_far = Window.partitionBy("_sk_source").orderBy("_sk_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_sk_source", "_sk_bucket", F.coalesce(F.sum("_sk_sum").over(so_far), F.lit(0)).alias("_sk_offset"))
-    wanted = targets(rows.groupBy("_sk_source").agg(F.sum("size").alias("source_size")), weight, most)
+    wanted = targets(buckets.groupBy("_sk_source").agg(F.sum("_sk_sum").alias("source_size")), weight, most)
     wanted = wanted.withColumn("_sk_segments", _segments(schedule(F.col("_sk_weight"))))
     starts = offsets.join(wanted, "_sk_source")
     inside = Window.partitionBy("_sk_source", "_sk_bucket").orderBy("_sk_place", F.col(id_col), "size", "_sk_tie")

@@ -2,8 +2,10 @@
 
 Totals by source, language and tokenizer version are sums of batch deltas: an insert adds a document
 and its tokens, a delete takes both away, a revision adds the difference. Each batch writes one small
-table under its own name, by a rename that only one commit can win, so committing a batch again, or
-after a crash half way, changes nothing. compact() folds batches into one without losing their names.
+table, and then a numbered state that names all tables and batches which count: the file of the next
+number is created without overwriting, which one writer can do, and the other starts from what the first
+one wrote. So committing a batch again, or after a crash half way, changes nothing. compact() folds tables
+into one without losing their batches; old tables go after the state that no longer names them stands.
 
 Defined results: a null text has no tokens; null is a source (or language) of its own; rows alike count
 once each; an empty batch commits and adds nothing; further columns are ignored.
@@ -14,11 +16,13 @@ from __future__ import annotations
 import base64
 import functools
 import importlib
+import json
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,13 +83,55 @@ class Rollup:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self) -> list[str]:
-        where = self._path(f"{self.folder}/batches")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """(number, batches of each table) of the last state that is whole; the number is that of the last file."""
+        where = self._path(f"{self.folder}/states")
+        files = sorted((s.getPath() for s in self._fs.listStatus(where)), key=lambda p: p.getName(), reverse=True) if self._fs.exists(where) else []
+        for file in files:
+            lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+            stream = self._fs.open(file)
+            try:
+                told = lines.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if told.endswith("\n"):  # a writer that died half way leaves none
+                return int(files[0].getName()), json.loads(told)
+        return int(files[0].getName()) if files else 0, {}
+
+    def _write(self, number: int, state: dict[str, list[str]]) -> bool:
+        """Whether this call made the state of that number."""
+        try:
+            out = self._fs.create(self._path(f"{self.folder}/states/{number:012d}"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray((json.dumps(state) + "\n").encode()))
+        out.close()
+        return True
+
+    def _change(self, table_name: str, change: Callable[[dict[str, list[str]]], dict[str, list[str]] | None]) -> bool:
+        """Goes on to what `change` makes of the last state, until a state names the table; False if it makes nothing."""
+        while True:
+            number, state = self._state()
+            new = change(state)
+            if new is None:
+                return False
+            # a writer that took this one for dead has gone on without it: read again
+            if self._write(number + 1, new) and table_name in self._state()[1]:
+                return True
 
     def batches(self) -> set[str]:
         """Names of the batches that count, folded ones included."""
-        return {b for n in self._names() for b in n.split("=", 1)[1].split("+")}
+        return {b for names in self._state()[1].values() for b in names}
+
+    def _table(self, delta: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        delta.write.parquet(f"{self.folder}/tables/{name}")
+        return name
+
+    def _drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/tables/{name}"), True)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed changes; False, and no change, if that name was committed before. Names are letters, digits, - and _."""
@@ -93,39 +139,33 @@ class Rollup:
             raise ValueError(f"not a batch name: {batch!r}")
         if batch in self.batches():
             return False
-        delta = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return self._install(delta, f"batch={batch}")
-
-    def _install(self, delta: DataFrame, name: str) -> bool:
-        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
-        delta.write.parquet(staged)
-        self._fs.mkdirs(self._path(f"{self.folder}/batches"))
-        to = self._path(f"{self.folder}/batches/{name}")
-        if self._fs.exists(to) or not self._fs.rename(self._path(staged), to):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return True
+        name = self._table(changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
+        won = self._change(name, lambda state: None if any(batch in x for x in state.values()) else state | {name: [batch]})
+        if not won:
+            self._drop(name)
+        return won
 
     def totals(self) -> DataFrame:
         """One row per key that has documents or tokens left."""
-        names = self._names()
+        return self._sum(list(self._state()[1]))
+
+    def _sum(self, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/batches/{n}" for n in names])
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/tables/{n}" for n in names])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all batches into one that carries their names; the old ones go after the new one stands."""
-        names = self._names()
-        if len(names) < 2:
-            return
-        delta = self.totals()
-        merged = "batch=" + "+".join(sorted(self.batches()))
-        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
-        delta.write.parquet(staged)
-        for n in names:
-            self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
-        self._fs.rename(self._path(staged), self._path(f"{self.folder}/batches/{merged}"))
+    def compact(self) -> bool:
+        """Folds the tables that count into one that carries their batches; False if another writer folded them meanwhile."""
+        old = self._state()[1]
+        if len(old) < 2:
+            return False
+        name = self._table(self._sum(list(old)))
+        carried = sorted(b for x in old.values() for b in x)
+        won = self._change(name, lambda state: None if not old.keys() <= state.keys() else {k: v for k, v in state.items() if k not in old} | {name: carried})
+        for n in old if won else [name]:
+            self._drop(n)
+        return won
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,6 +408,43 @@ def test_token_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert not rollup.commit("gone", token_counts.deletes(some)) and total() == expected
 
 
+def test_token_rollup_survives_races_and_crashes(spark, tmp_path, monkeypatch):
+    counts = spark.createDataFrame([("s", "en", "v", 1, 10)], token_counts.DELTA)
+    rollup, other = (token_counts.Rollup(spark, str(tmp_path / "rollup")) for _ in range(2))
+    total = lambda: [tuple(x)[3:] for x in rollup.totals().collect()]
+    assert rollup.commit("one", counts)
+    # the second writer has read the state before the first one wrote: one batch of a name counts, two of different names both do
+    stale, real = other._state(), token_counts.Rollup._state
+    assert rollup.commit("two", counts)
+    left = [stale, stale]
+    monkeypatch.setattr(token_counts.Rollup, "_state", lambda self: left.pop() if self is other and left else real(self))
+    assert not other.commit("two", counts) and total() == [(2, 20)]
+    left += [stale, stale]
+    assert other.commit("three", counts) and total() == [(3, 30)]
+    # a compaction that began before another commit keeps it
+    before = real(other)
+    assert rollup.commit("four", counts)
+    left += [before, before]
+    assert other.compact() and total() == [(4, 40)] and rollup.batches() == {"one", "two", "three", "four"}
+    # a writer that died after its table, or within its state, or a compaction that died before its state, changes nothing
+    rollup._table(counts)
+    (tmp_path / "rollup" / "states" / f"{real(rollup)[0] + 1:012d}").write_text('{"half')
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.Rollup, "_write", lambda self, number, state: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            rollup.compact()
+    assert total() == [(4, 40)] and rollup.commit("five", counts) and total() == [(5, 50)]
+    assert rollup.compact() and total() == [(5, 50)] and not rollup.compact()
+
+
+def test_token_query_counts_words_as_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sql = r"""SELECT source, lang, count(*), CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT)
+        FROM '/root/testdata/sf0.001/documents.parquet' GROUP BY source, lang"""
+    got = token_counts.op10_token_counts(spark, "/root/testdata/sf0.001")
+    assert sorted(tuple(x) for x in got.where("tokenizer = 'words-1'").drop("tokenizer").collect()) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_token_query_revises_deletes_and_compacts(spark, tmp_path, monkeypatch):
     frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
     said, folded = [], []
@@ -427,6 +464,11 @@ def test_token_counts_are_those_of_the_vocabulary(spark):
         assert x.n_tokens == len(enc.encode_ordinary(x.text or ""))
 
 
+def test_token_query_over_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert token_counts.op10_token_counts(spark, str(tmp_path)).count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.judge(spark, none).count() == 0
