@@ -212,6 +212,8 @@ class _Best:
         self.keep, self.q, self.v, self.s, self.size = keep, [], [], [], 0
 
     def add(self, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
+        if not len(q):
+            return
         self.q.append(q), self.v.append(v), self.s.append(s)
         self.size += len(q)
         if self.size > 1_000_000:

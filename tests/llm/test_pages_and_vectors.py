@@ -191,6 +191,27 @@ def test_neighbours_small_tables_are_exact(spark):
     assert neighbours.nearest(spark, df.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_when_nothing_is_better():
+    best = neighbours._Best(2)
+    m = np.eye(3)
+    best.meet(np.array([1, 2]), m[:2], np.array([7, 8, 9]), m, np.array([5.0, 5.0]))
+    assert list(best.rows()) == []
+    best.meet(np.array([1, 2]), m[:2], np.array([7, 8, 9]), m, np.array([-np.inf, 1.0]))
+    (b,) = best.rows()
+    assert b.to_pydict() == {"query": [1, 2], "entries": [[7, 8], [8]], "scores": [[1.0, 0.0], [1.0]]}
+
+
+def test_probes_come_in_the_order_of_their_cost():
+    for bits in (1, 3, 5):
+        inside = np.random.default_rng(bits).random((4, 2, bits))
+        cell = np.zeros((4, 2, bits), np.int64)
+        many = neighbours.visited(cell, inside, bits, 3**bits)
+        assert many.shape[2] == 3**bits and (many[:, :, 0] == 0).all()
+        price = (np.where(many < 0, inside[:, :, None] ** 2, 0) + np.where(many > 0, (1 - inside[:, :, None]) ** 2, 0)).sum(-1)
+        assert (np.diff(price, axis=2) >= -1e-12).all() and len({tuple(x) for x in many[0, 0].tolist()}) == 3**bits
+        assert (neighbours.ranks(cell, inside, many.transpose(0, 2, 1, 3), bits) == np.arange(3**bits)[None, :, None]).all()
+
+
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 64)
     r = np.random.default_rng(2)
