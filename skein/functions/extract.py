@@ -97,7 +97,7 @@ class _Python(ast.NodeVisitor):
         is_async = isinstance(node, ast.AsyncFunctionDef)
         how = ("async_generator" if is_async else "generator") if yields else "async" if is_async else "sync"
         kind = "method" if self.classes and self.classes[-1] == self.scope else "function"
-        id_ = self._define(node, kind, node.name, signature=f"{node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), return_behavior=behaviour, execution_kind=how)
+        id_ = self._define(node, kind, node.name, signature=("async def " if is_async else "def ") + f"{node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), return_behavior=behaviour, execution_kind=how)
         for x in node.decorator_list:
             self.visit(x)
         args = node.args

@@ -16,10 +16,13 @@ def conflicts(rows: DataFrame) -> DataFrame:
 
 
 def union(graphs: list[Graph]) -> Graph:
-    """Nodes and edges once each, diagnostics all. Ids must not conflict; conflicts() tells."""
+    """Nodes and edges once each, diagnostics all. An id that stands for different rows is an error."""
     nodes, edges, diagnostics = graphs[0].nodes, graphs[0].edges, graphs[0].diagnostics
     for g in graphs[1:]:
         nodes, edges, diagnostics = nodes.unionByName(g.nodes), edges.unionByName(g.edges), diagnostics.unionByName(g.diagnostics)
+    for what, rows in (("node", nodes), ("edge", edges)):
+        if found := conflicts(rows).limit(5).collect():
+            raise ValueError(f"{what} ids stand for different rows: {', '.join(sorted(r.id for r in found))}")
     return Graph(nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"]), diagnostics, graphs[0].meta)
 
 

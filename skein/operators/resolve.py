@@ -84,16 +84,22 @@ def first_path(references: DataFrame, files: DataFrame, ref: str = "ref", candid
     return references.select(ref).join(hit, ref, "left")
 
 
-def enclosing(points: DataFrame, scopes: DataFrame, by: str, point: str = "at", start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
+def enclosing(points: DataFrame, scopes: DataFrame, by: str, point: str = "at", start: str = "start", end: str = "end", width: int = 4096) -> DataFrame:
     """points with scope_id, the scope of the same `by` that holds the point and starts last.
 
-    scopes: (by, start, end or null, scope_id). One sort per `by`: scopes and points stand in one order
-    of positions; where no scope ends, the last one started is the answer, so a running last value does.
-    Scopes that end are joined by range within `by`.
+    scopes: (by, start, end or null, scope_id). Positions are cut into cells of `width`, and a scope is listed
+    in all cells with points that it reaches, so a point meets the scopes of its cell, not those of its whole
+    `by`: the join is one of equality, with few rows for a key where scopes are short or nest.
     """
-    del buckets
-    ends = scopes.select(by, F.col(start).alias("_s"), F.col(end).alias("_e"), "scope_id")
-    hit = points.join(ends, by, "left").where(F.col("_s").isNull() | (F.col("_s") <= F.col(point)) & (F.col("_e").isNull() | (F.col("_e") > F.col(point))))
+    cell = lambda c: F.floor(F.col(c) / width)
+    spans = scopes.select(by, F.col(start).alias("_s"), F.col(end).alias("_e"), "scope_id")
+    used = points.select(by, cell(point).alias("_cell")).distinct()
+    most = used.groupBy(by).agg(F.max("_cell").alias("_most"))
+    # only cells that hold points are listed, and for each of them the scopes that reach it
+    reach = spans.join(most, by).withColumns({"_a": cell("_s"), "_b": F.least(F.coalesce(F.floor((F.col("_e") - 1) / width), F.col("_most")), F.col("_most"))}).where("_a <= _b")
+    listed = reach.withColumn("_cell", F.explode(F.sequence("_a", "_b"))).join(used, [by, "_cell"], "left_semi")
+    hit = points.withColumn("_cell", cell(point)).join(listed.select(by, "_cell", "_s", "_e", "scope_id"), [by, "_cell"])
+    hit = hit.where((F.col("_s") <= F.col(point)) & (F.col("_e").isNull() | (F.col("_e") > F.col(point))))
     best = hit.groupBy(by, "ref").agg(F.max_by("scope_id", F.struct("_s", "scope_id")).alias("scope_id"))
     return points.join(best, [by, "ref"], "left")
 
@@ -119,17 +125,17 @@ def owner_members(owners: DataFrame, parents: DataFrame, members: DataFrame, nea
     return out.select("ref", "candidates", F.when(F.col("candidates") == 1, F.col("_t")).alias("target_id"))
 
 
-def ancestors_of(parents: DataFrame, starts: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(owner, at, depth) over a graph of (child, parent), each ancestor at its least depth; cycles end."""
+def ancestors_of(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """(owner, at, depth) over a graph of (child, parent), each ancestor at its least depth, however far; cycles end."""
     seen = starts.select("owner", F.col("owner").alias("at"), F.lit(0).alias("depth"))
-    level = seen
-    for d in range(1, most_depth + 1):
-        up = level.join(parents.select(F.col("child").alias("at"), F.col("parent").alias("_up")), "at").select("owner", F.col("_up").alias("at"), F.lit(d).alias("depth")).distinct()
+    level, depth = seen, 0
+    while True:
+        depth += 1
+        up = level.join(parents.select(F.col("child").alias("at"), F.col("parent").alias("_up")), "at").select("owner", F.col("_up").alias("at"), F.lit(depth).alias("depth")).distinct()
         level = written(up.join(seen.select("owner", "at"), ["owner", "at"], "left_anti"))
         if level.isEmpty():
             return seen
         seen = seen.union(level)
-    raise ValueError(f"inheritance is deeper than {most_depth}")
 
 
 def adjacent_pairs(steps: DataFrame, by: str, order: str, what: str) -> DataFrame:

@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from skein.sources.shared import written
 
 
-def ancestors(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth): every node with itself (0) and all that contain it. A cycle ends where it closes."""
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): every node with itself (0) and all that contain it, however deep. A cycle ends where it closes."""
     nodes = written(nodes.select("id", "parent_id"))
     up = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("_path"))
     out = level
-    for _ in range(most_depth):
+    while True:
         nxt = level.join(up, F.col("ancestor") == F.col("_id")).where("_parent is not null and not array_contains(_path, _parent)")
         level = written(nxt.select("id", F.col("_parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("_path", F.col("_parent")).alias("_path")))
         if level.isEmpty():
             return out.drop("_path")
         out = out.union(level)
-    raise ValueError(f"parents are nested deeper than {most_depth}")
+
+
+def nearest_marked(starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, found): the nearest marked node above each start. starts: (id); nodes: (id, parent_id, marked).
+
+    Unmarked nodes point at their parents, marked ones at themselves, and pointers double: a logarithmic
+    number of joins, and no paths. What is on a cycle without a mark, or ends at a root without one, has none.
+    """
+    stop = F.col("marked") | F.col("parent_id").isNull()
+    now = written(nodes.select("id", F.when(stop, F.col("id")).otherwise(F.col("parent_id")).alias("up"), F.lit(False).alias("moved")).dropDuplicates(["id"]))
+    total, reach = now.count(), 1
+    while reach <= total:
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        now = written(now.select("id", "up").join(far, "up", "left").select("id", F.coalesce("_next", "up").alias("up"), (F.col("_next") != F.col("up")).alias("moved")))
+        reach *= 2
+        if now.where("moved").isEmpty():
+            break
+    hit = nodes.where("marked").select(F.col("id").alias("up"))
+    return starts.select("id").join(now.select("id", "up"), "id").join(hit, "up", "left_semi").select("id", F.col("up").alias("found"))
 
 
 def virtual_module(kind: Column, language: Column) -> Column:
@@ -34,9 +52,8 @@ def node_modules(nodes: DataFrame) -> DataFrame:
     of_file = nodes.where("kind = 'module' and file <> ''").groupBy("file").agg(F.max("id").alias("_by_file"))
     placed = nodes.join(of_file, "file", "left").select("id", "kind", "language", "parent_id", "_by_file")
     rest = placed.where("_by_file is null")
-    is_module = nodes.where("kind = 'module'").select(F.col("id").alias("ancestor"))
-    chains = ancestors(nodes).join(rest.select("id"), "id", "left_semi").join(is_module, "ancestor", "left_semi")
-    nearest = chains.groupBy("id").agg(F.min_by("ancestor", "depth").alias("_by_parent"))
+    marked = nodes.select("id", "parent_id", (F.col("kind") == "module").alias("marked"))
+    nearest = nearest_marked(rest.where("parent_id is not null or kind = 'module'"), marked).withColumnRenamed("found", "_by_parent")
     out = placed.join(nearest, "id", "left")
     module = F.coalesce("_by_file", "_by_parent", virtual_module(F.col("kind"), F.col("language")))
     how = F.when(F.col("_by_file").isNotNull(), "file").when(F.col("_by_parent").isNotNull(), "parent").otherwise("virtual")
@@ -53,7 +70,10 @@ GROUP = ("source_module", "target_module", "relation_type", "resolution_status")
 
 
 def edge_groups(edges: DataFrame) -> DataFrame:
-    """Edges between different modules in groups, with counts, the range of confidence and the first edge. edges has both modules."""
+    """Edges between different modules in groups, with counts, the range of confidence and the first edge.
+
+    edges has both modules; a document holds its edges by id, so the first is the one with the least.
+    """
     across = edges.where("source_module <> target_module")
     grouped = across.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("count"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"), F.min("id").alias("representative_edge_id"))
     return grouped.withColumn("group_id", F.substring(F.sha1(F.concat_ws("\x1f", *GROUP)), 1, 20))
@@ -64,13 +84,12 @@ def pseudo_edges(groups: DataFrame) -> DataFrame:
     return groups.select(F.concat(F.lit("overview:"), "group_id").alias("id"), F.col("source_module").alias("source_id"), F.col("target_module").alias("target_id"), "relation_type", "resolution_status", F.lit(None).cast("double").alias("confidence"), "count")
 
 
-def with_ordinals(df: DataFrame, by: str = "id", buckets: int = 4096) -> DataFrame:
+def with_ordinals(df: DataFrame, by: str = "id") -> DataFrame:
     """df with `ordinal`, its place from 0 in the order of `by`.
 
     A global row number would sort everything in one task. Rows are dealt by range, numbered within
     their range, and the ranges' sizes are summed up: two passes, both parallel.
     """
-    del buckets
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
@@ -111,14 +130,18 @@ LOW, HIGH = 0.55, 1.25
 
 
 def displayed(nodes: DataFrame, modules: DataFrame, zoom: float) -> DataFrame:
-    """(id, display_id): modules when zoomed out, nodes but not their inner parts between, all when zoomed in."""
+    """(id, display_id): modules when zoomed out, all nodes when zoomed in.
+
+    Between, functions, methods and lambdas show as the class that holds them, or else as their module.
+    """
     if zoom >= HIGH:
         return nodes.select("id", F.col("id").alias("display_id"))
     if zoom < LOW:
         return modules.select("id", F.col("module_id").alias("display_id"))
-    top = nodes.select(F.col("id").alias("parent_id"), F.col("kind").alias("_parent_kind"))
-    inner = F.col("_parent_kind").isin("class", "interface", "function", "method")
-    return nodes.join(top, "parent_id", "left").select("id", F.when(inner, F.col("parent_id")).otherwise(F.col("id")).alias("display_id"))
+    holder = nodes.where("kind = 'class'").select(F.col("id").alias("parent_id"), F.lit(True).alias("_class"))
+    placed = nodes.select("id", "kind", "parent_id").join(holder, "parent_id", "left").join(modules.select("id", "module_id"), "id", "left")
+    inner = F.when(F.col("_class"), F.col("parent_id")).otherwise(F.col("module_id"))
+    return placed.select("id", F.when(F.col("kind").isin("function", "method", "lambda"), inner).otherwise(F.col("id")).alias("display_id"))
 
 
 def bounding_boxes(positions: DataFrame, modules: DataFrame) -> DataFrame:

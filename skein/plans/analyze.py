@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import builtins
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from skein.sources.shared import written
 
 #: Confidence by outcome.
 CONFIDENCE = {"resolved": 1.0, "external": 0.7, "unresolved": 0.2, "unsupported": 0.1}
+#: Names that Python itself binds.
+BUILTINS = tuple(n for n in dir(builtins) if not n.startswith("_") or n == "__import__")
 
 
 def _span():  # noqa: ANN202
@@ -81,6 +85,9 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = _followed(step, symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
     known = F.col("at").isNotNull() & (F.size("rest") == 0)
     outside = F.col("at").contains(":external:")
+    # a name that nothing binds may be one of the language's own
+    builtin = (F.col("language") == "python") & F.col("at").isNull() & (F.col("status") == "unbound") & (F.size("chain") == 1) & F.col("message").isin(*BUILTINS)
+    step = step.withColumns({"at": F.when(builtin, _placeholder("external", F.concat(F.lit("builtin:"), "message"))).otherwise(F.col("at")), "message": F.when(builtin, F.concat(F.lit("builtin:"), "message")).otherwise(F.col("message"))})
     status = F.when(known & ~outside, "resolved").when(known, "external").otherwise("unresolved")
     ref_rows = step.select(
         F.col("scope").alias("source_id"), F.when(known, F.col("at")).otherwise(_placeholder("unknown", F.col("message"))).alias("target_id"), F.col("relation").alias("relation_type"),

@@ -65,7 +65,8 @@ def overview_pseudo_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {_N}, {_E}, {_M}, v AS (
-  SELECT x.id, CASE WHEN p.kind IN ('class', 'interface', 'function', 'method') THEN x.parent_id ELSE x.id END AS display_id FROM n x LEFT JOIN n p ON x.parent_id = p.id)
+  SELECT x.id, CASE WHEN x.kind NOT IN ('function', 'method', 'lambda') THEN x.id WHEN p.kind = 'class' THEN x.parent_id ELSE m.module_id END AS display_id
+  FROM n x LEFT JOIN n p ON x.parent_id = p.id LEFT JOIN m ON x.id = m.id)
 SELECT s.display_id AS source_module, t.display_id AS target_module, relation_type, resolution_status, count(*) AS count
 FROM e JOIN v s ON e.source_id = s.id JOIN v t ON e.target_id = t.id WHERE s.display_id <> t.display_id GROUP BY ALL""")
 def zoom_edge_groups(s: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def skip_reason(path: Column, length: Column, config: ScanConfig) -> Column:
     out = F.when(~globs(path, config.include), "not_included").when(globs(path, config.exclude), "excluded")
     if not config.with_tests:
         out = out.when(globs(path, config.tests), "tests_excluded")
-    return out.when(globs(path, config.generated), "generated").when(length > config.max_bytes, "file_too_large")
+    return out.when(globs(path, config.generated), "generated").when(length.isNull(), "stat_failed").when(length > config.max_bytes, "file_too_large")
 
 
 def _fits(path: str, patterns: list[str]) -> bool:
@@ -78,16 +78,24 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, con
         for name in names:
             whole = os.path.join(folder, name)
             link = os.path.islink(whole)
-            rows.append((prefix + name, 0 if link else os.path.getsize(whole), link))
-    found = spark.createDataFrame(rows, "path string, length long, link boolean").withColumn("language", language(F.col("path"))).where("language is not null")
-    if languages is not None:
-        found = found.where(F.col("language").isin(languages))
+            try:
+                size = 0 if link else os.path.getsize(whole)
+            except OSError:  # it has gone, or may not be looked at
+                size = None
+            rows.append((prefix + name, size, link))
+    found = spark.createDataFrame(rows, "path string, length long, link boolean").withColumn("language", language(F.col("path")))
+    # links are told of before anyone asks for their language
+    wanted = F.col("language").isNotNull() if languages is None else F.coalesce(F.col("language").isin(languages), F.lit(False))
+    found = found.where(F.col("link") | wanted)
 
     @F.pandas_udf(T.BinaryType())
     def content(paths: pd.Series) -> pd.Series:
-        def read(path: str) -> bytes:
-            with open(os.path.join(root, path), "rb") as f:
-                return f.read()
+        def read(path: str) -> bytes | None:
+            try:
+                with open(os.path.join(root, path), "rb") as f:
+                    return f.read()
+            except OSError:  # it went after it was listed
+                return None
 
         return paths.map(read)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,13 @@ _made: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names. Where none is set, a local session has a temporary one; a cluster has none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (where or f"{tempfile.gettempdir()}/skein-shared").rstrip("/")
+    if not where:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = f"{tempfile.gettempdir()}/skein-shared"
+    return where.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
