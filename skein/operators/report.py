@@ -34,3 +34,14 @@ def rates(graph: Graph) -> DataFrame:
     share = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
     one = n.crossJoin(e).crossJoin(d)  # three tables of one row
     return one.select("nodes", "edges", "diagnostics", share("open", "edges").alias("unresolved_or_unsupported_edge_rate"), share("diagnostics", "nodes").alias("diagnostics_per_node"), "parse_error_file_count")
+
+
+def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The nearest-rank p50, p95 and p99 of a value, and the largest."""
+    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)")
+    return rows.groupBy(by).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max(value).alias("top"))
+
+
+def summary(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """The least, most, first and last of a value in an order."""
+    return rows.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))

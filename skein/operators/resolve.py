@@ -138,6 +138,11 @@ def ancestors_of(parents: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.union(level)
 
 
+def next_start(declarations: DataFrame, by: str, start: str) -> DataFrame:
+    """declarations with `next_start`, where the next one of the same `by` starts; null after the last."""
+    return declarations.withColumn("next_start", F.lead(start).over(Window.partitionBy(by).orderBy(start)))
+
+
 def adjacent_pairs(steps: DataFrame, by: str, order: str, what: str) -> DataFrame:
     """(by, before, after) of neighbours in a sequence."""
     return steps.select(by, F.col(what).alias("before"), F.lead(what).over(Window.partitionBy(by).orderBy(order)).alias("after")).where("after is not null")

@@ -99,6 +99,11 @@ def with_ordinals(df: DataFrame, by: str = "id") -> DataFrame:
     return numbered.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")  # one row per partition
 
 
+def sibling_index(rows: DataFrame, parent: str, order: str) -> DataFrame:
+    """rows with `sibling`, a row's place from 0 among those of its parent."""
+    return rows.withColumn("sibling", F.row_number().over(Window.partitionBy(parent).orderBy(order)) - 1)
+
+
 def chunked(df: DataFrame, size: int, by: str = "id") -> DataFrame:
     """df with `chunk`: consecutive runs of `size` rows in the order of `by`."""
     if size < 1:

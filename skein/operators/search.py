@@ -33,14 +33,19 @@ def haystack(separator: str = "\n") -> Column:
 
 def search(nodes: DataFrame, query: str, limit: int = LIMIT, languages: list[str] | None = None, separator: str = "\n") -> DataFrame:
     """Nodes whose id, names or file hold the query, by id; none for a blank query."""
+    if languages is not None:
+        nodes = nodes.where(F.col("language").isNull() | F.col("language").isin(languages))
+    return holding(nodes, haystack(separator), query, "id", limit)
+
+
+def holding(rows: DataFrame, text: Column, query: str, order: str, limit: int = LIMIT) -> DataFrame:
+    """Rows whose text holds the query, both in normal form, the first `limit` in an order."""
     if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
         raise ValueError("limit must be a positive integer")
     wanted = normal(query).strip()
     if not wanted:
-        return nodes.limit(0)
-    if languages is not None:
-        nodes = nodes.where(F.col("language").isNull() | F.col("language").isin(languages))
-    return nodes.where(F.contains(normalised(haystack(separator)), F.lit(wanted))).orderBy("id").limit(limit)
+        return rows.limit(0)
+    return rows.where(F.contains(normalised(text), F.lit(wanted))).orderBy(order).limit(limit)
 
 
 def search_page(nodes: DataFrame, query: str, limit: int = LIMIT, languages: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.extract import records
+from skein.functions.scalars import visibility
 from skein.operators import resolve
 from skein.sources.files import ScanConfig, scan, skipped
 from skein.sources.graph import Graph, conform
@@ -105,7 +106,7 @@ def analyze(spark: SparkSession, root: str, languages: list[str] | None = None,
     files = scan(spark, root, languages, config)
     found = written(records(files.where("reason is null")))
     rows, problems = resolved(found)
-    nodes = found.where("record = 'node'").withColumns({"display_name": F.col("name"), "span": _span(), "visibility": F.when(F.startswith("name", F.lit("_")), "private").otherwise("public")})
+    nodes = found.where("record = 'node'").withColumns({"display_name": F.col("name"), "span": _span(), "visibility": visibility(F.col("name"), F.col("language"), F.lit(None).cast("string"))})
     failed = found.where("record = 'problem'").select(F.col("name").alias("code"), F.lit("error").alias("severity"), F.coalesce("message", F.lit("?")).alias("message"), "file")
     diagnostics = conform(failed, DIAGNOSTICS).unionByName(conform(problems, DIAGNOSTICS)).unionByName(conform(skipped(files), DIAGNOSTICS))
     return Graph(conform(nodes, NODES).unionByName(_outside(rows)), _edge(rows), diagnostics, {"languages": languages})

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions import scalars
-from skein.operators import merge, report, resolve, rollup, search, validate
-from skein.sources import trade
+from skein.functions import display, scalars, web
+from skein.operators import infer, merge, packages, report, resolve, rollup, search, validate
+from skein.operators import web as web_joins
+from skein.sources import bundle, trade
 from skein.sources.trade import DIAGNOSTICS_SQL, EDGES_SQL, MODULES_SQL, NODES_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,8 +115,7 @@ def chunk_sets(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS sibling FROM customer")
 def sibling_index(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(s, d, "customer").select("c_custkey", "c_nationkey", (F.row_number().over(w) - 1).alias("sibling"))
+    return rollup.sibling_index(table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey")
 
 
 @_query("""SELECT p_partkey, concat(p_brand, CASE WHEN k = 0 THEN '' ELSE concat('~', k) END) AS id FROM (
@@ -126,19 +126,17 @@ def duplicate_id_suffix(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS next_start FROM lineitem")
 def next_declaration(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lead("l_linenumber").over(w).alias("next_start"))
+    return resolve.next_start(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 
 @_query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS top FROM events GROUP BY event_type")
 def nearest_rank_percentiles(s: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(s, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("top"))
+    return report.percentiles(table(s, d, "events"), "event_type", "value")
 
 
 @_query("SELECT user_id, min(value) AS least, max(value) AS most, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY user_id")
 def resource_summary(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("user_id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.min_by("value", "event_id").alias("first"), F.max_by("value", "event_id").alias("last"))
+    return report.summary(table(s, d, "events"), "user_id", "value", "event_id")
 
 
 # --- report
@@ -206,8 +204,7 @@ def contains_search(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'ertion') ORDER BY doc_id LIMIT 80")
 def text_search(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where(F.contains(F.lower("text"), F.lit("ertion")))
-    return docs.orderBy("doc_id").limit(search.LIMIT).select("doc_id")
+    return search.holding(table(s, d, "documents").select("doc_id", "text"), F.col("text"), "ertion", "doc_id").select("doc_id")
 
 
 @_query(f"""WITH {_N}, f AS (SELECT id, qualified_name FROM n WHERE (language IS NULL OR language IN ('building', 'machinery')) AND contains(lower(concat_ws(' ', id, qualified_name, display_name, coalesce(file, ''))), 'customer') ORDER BY id LIMIT 81)
@@ -447,7 +444,8 @@ def resolve_lexical_whole(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT doc_id, sha256(text) AS sha256, substr(sha1(text), 1, 16) AS sha1_16, length(text) AS chars FROM documents")
 def digest_ids(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha1("text"), 1, 16).alias("sha1_16"), F.length("text").cast("long").alias("chars"))
+    text = F.col("text")
+    return table(s, d, "documents").select("doc_id", scalars.digest(text).alias("sha256"), scalars.digest(text, 160, 16).alias("sha1_16"), F.length(text).cast("long").alias("chars"))
 
 
 @_query("""SELECT doc_id, length(p) - length(replace(p, chr(10), '')) + 1 AS line, strlen(list_last(string_split(p, chr(10)))) AS col FROM (SELECT doc_id, left(text, 700) AS p FROM documents)""")
@@ -456,9 +454,19 @@ def offset_positions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", line.cast("long").alias("line"), col.cast("long").alias("col"))
 
 
-@_query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'b') THEN 'private' ELSE 'public' END AS visibility, left(p_type, 5) AS shown FROM part")
+@_query("""WITH t AS (
+  SELECT p_partkey, p_type, concat(CASE WHEN p_size % 3 = 0 THEN '_' WHEN p_size % 3 = 1 THEN '-' ELSE '' END, p_brand) AS name, ['python', 'go', 'lua', 'java'][p_size % 4 + 1] AS language, ['', 'public final', 'private', 'fileprivate', 'openly'][p_size % 5 + 1] AS modifiers FROM part)
+SELECT p_partkey, CASE language WHEN 'java' THEN CASE WHEN regexp_matches(modifiers, '\\b(private|protected|fileprivate)\\b') THEN 'private' WHEN regexp_matches(modifiers, '\\b(public|open)\\b') THEN 'public' ELSE 'unknown' END
+  WHEN 'go' THEN CASE WHEN left(name, 1) BETWEEN 'A' AND 'Z' THEN 'public' ELSE 'private' END
+  WHEN 'lua' THEN CASE WHEN left(name, 1) IN ('_', '-') THEN 'private' ELSE 'public' END
+  ELSE CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END END AS visibility,
+  CASE WHEN length(p_type) > 12 THEN concat(left(p_type, 11), '…') ELSE p_type END AS shown FROM t""")
 def visibility_and_labels(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").select("p_partkey", F.when(F.startswith("p_name", F.lit("b")), "private").otherwise("public").alias("visibility"), F.substring("p_type", 1, 5).alias("shown"))
+    lead = F.when(F.col("p_size") % 3 == 0, "_").when(F.col("p_size") % 3 == 1, "-").otherwise("")
+    language = F.element_at(F.array(*map(F.lit, ("python", "go", "lua", "java"))), (F.col("p_size") % 4 + 1).cast("int"))
+    modifiers = F.element_at(F.array(*map(F.lit, ("", "public final", "private", "fileprivate", "openly"))), (F.col("p_size") % 5 + 1).cast("int"))
+    shown = display.shortened(F.col("p_type"), 12)
+    return table(s, d, "part").select("p_partkey", scalars.visibility(F.concat(lead, "p_brand"), language, modifiers).alias("visibility"), shown.alias("shown"))
 
 
 @_query("""WITH t AS (SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y, least(greatest(((c_acctbal - 100) * 3 + (c_nationkey - 2) * 4) / CAST(25 AS DOUBLE), 0), 1) AS t FROM customer)
@@ -468,13 +476,127 @@ def segment_distance(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", t.alias("t"), far.alias("distance"))
 
 
+def _elements(s: SparkSession, d: str) -> DataFrame:
+    return web.elements(table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "utf-8").alias("content")))
+
+
 @_query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY page_id, tag")
 def html_elements(s: SparkSession, d: str) -> DataFrame:
-    tags = table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("tag"))
-    return tags.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return _elements(s, d).groupBy(F.col("file").cast("long").alias("page_id"), "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT page_id, len(x) AS refs, len(list_distinct(x)) AS targets FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS x FROM pages)")
+@_query("""WITH s(selector, pattern) AS (VALUES ('article', '<article[ >]'), ('LI', '<li[ >]'), ('.ad', 'class="ad"'), ('#none', ' id="none"'), ('p > b', '<no match>')),
+x AS (SELECT selector, page_id, len(regexp_extract_all(html, pattern)) AS n FROM pages, s)
+SELECT selector, CASE WHEN contains(selector, '>') THEN 'unsupported' WHEN sum(n) = 0 THEN 'unresolved' ELSE 'resolved' END AS status, CAST(sum(n) AS BIGINT) AS elements, count(CASE WHEN n > 0 THEN 1 END) AS files FROM x GROUP BY selector""")
 def html_references(s: SparkSession, d: str) -> DataFrame:
-    refs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
-    return table(s, d, "pages").select("page_id", F.size(refs).cast("long").alias("refs"), F.size(F.array_distinct(refs)).cast("long").alias("targets"))
+    asked = s.createDataFrame([(i, x) for i, x in enumerate(("article", "LI", ".ad", "#none", "p > b"))], "ref int, selector string")
+    found = web_joins.matches(asked, _elements(s, d))
+    return found.groupBy("selector", "status").agg(F.count("element").alias("elements"), F.count_distinct("element_file").alias("files"))
+
+
+# --- bundles
+
+
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    return rollup.chunked(trade.nodes(s, d), 2000)
+
+
+_RECORDS = f"""WITH {_N}, {_M}, r AS (SELECT row_number() OVER (ORDER BY n.id) - 1 AS ordinal, n.id, kind, qualified_name, display_name, file, language, module_id AS module FROM n JOIN m ON n.id = m.id)"""
+
+
+@_query(f"{_RECORDS} SELECT * FROM r")
+def search_records(s: SparkSession, d: str) -> DataFrame:
+    return bundle.records(_ordered(s, d), _modules(s, d))
+
+
+@_query(f"""{_RECORDS}, f AS (SELECT id, ordinal FROM r WHERE contains(lower(concat_ws(chr(10), id, qualified_name, display_name, coalesce(file, ''))), 'r#00') ORDER BY ordinal LIMIT 80) SELECT id, ordinal FROM f""")
+def bundle_search(s: SparkSession, d: str) -> DataFrame:
+    found = bundle.records(_ordered(s, d), _modules(s, d))
+    return bundle.candidates(found, bundle._postings(found, 5000), " R#00").select("id", "ordinal")
+
+
+@_query(f"""{_RECORDS}, {_E}, g AS (
+  SELECT s.module_id AS sm, t.module_id AS tm, relation_type, resolution_status, count(*) AS count, min(confidence) AS min_confidence, max(confidence) AS max_confidence, min(e.id) AS representative_edge_id
+  FROM e JOIN m s ON e.source_id = s.id JOIN m t ON e.target_id = t.id WHERE s.module_id <> t.module_id GROUP BY ALL)
+SELECT substr(sha1(concat(sm, chr(31), tm, chr(31), relation_type, chr(31), resolution_status)), 1, 20) AS group_id, coalesce(a.ordinal, -1) AS source_ordinal, coalesce(b.ordinal, -1) AS target_ordinal,
+  CASE WHEN a.id IS NULL THEN sm END AS source_virtual, CASE WHEN b.id IS NULL THEN tm END AS target_virtual, relation_type, resolution_status, count, min_confidence, max_confidence, representative_edge_id
+FROM g LEFT JOIN r a ON sm = a.id LEFT JOIN r b ON tm = b.id""")
+def compact_groups(s: SparkSession, d: str) -> DataFrame:
+    return bundle.compact_groups(rollup.edge_groups(_edges_in_modules(s, d)), _ordered(s, d))
+
+
+@_query(f"""{_RECORDS} SELECT module AS module_id, list_sort(list_distinct(list(CAST(ordinal // 2000 AS INTEGER)))) AS chunks FROM r GROUP BY module""")
+def module_chunk_sets(s: SparkSession, d: str) -> DataFrame:
+    modules = _modules(s, d)
+    placed = modules.join(_ordered(s, d).select("id", "chunk"), "id")
+    return rollup.chunk_sets(modules.select("module_id").distinct(), placed, "module_id")
+
+
+# --- display
+
+
+@_query(f"""WITH {_N}, w AS (SELECT greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS width FROM n WHERE kind = 'module'),
+g AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n WHERE kind = 'module'),
+x AS (SELECT id, kind, parent_id, CASE WHEN parent_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY parent_id ORDER BY id) - 1 END AS sibling,
+  list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(id, ''), lambda c: CAST(unicode(c) AS UBIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM n)
+SELECT id, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS BIGINT) AS sibling, CAST(NULL AS BIGINT) AS angle, CAST(NULL AS BIGINT) AS radius, k % width AS "column", k // width AS "row" FROM g, w
+UNION ALL SELECT id, parent_id, sibling, CAST(h % 360 AS BIGINT), 150 + (sibling % 5) * 34, NULL, NULL FROM x WHERE kind <> 'module'""")
+def layout_places(s: SparkSession, d: str) -> DataFrame:
+    return display.places(trade.nodes(s, d))
+
+
+@_query(f"WITH {_N} SELECT id, coalesce(nullif(language, ''), CASE WHEN id LIKE 'r1%' THEN 'indexed' END, 'java') AS language FROM n")
+def node_languages(s: SparkSession, d: str) -> DataFrame:
+    indexed = F.when(F.col("id").like("r1%"), "indexed")
+    return trade.nodes(s, d).select("id", display.language_of(F.col("extensions"), F.col("language"), indexed, "java").alias("language"))
+
+
+@_query(f"WITH {_N} SELECT id, coalesce(CASE WHEN kind = 'module' THEN nullif(file, '') END, nullif(display_name, ''), nullif(qualified_name, ''), id) AS label FROM n")
+def node_labels(s: SparkSession, d: str) -> DataFrame:
+    return trade.nodes(s, d).select("id", display.label(*map(F.col, ("kind", "file", "display_name", "qualified_name", "id"))).alias("label"))
+
+
+@_query("""WITH e AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) * 10 AS x1, c_acctbal / 10 AS y1 FROM customer), t AS (SELECT id, least(greatest((30 * (125 - x1) + 40 * (300 - y1)) / 2500, 0), 1) AS t, x1, y1 FROM e),
+f AS (SELECT id, sqrt((125 - x1 - t * 30) * (125 - x1 - t * 30) + (300 - y1 - t * 40) * (300 - y1 - t * 40)) AS distance FROM t)
+SELECT id FROM f WHERE distance < 200 ORDER BY distance, id LIMIT 1""")
+def nearest_edge(s: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("c_nationkey").cast("double") * 10, F.col("c_acctbal") / 10
+    edges = table(s, d, "customer").select(F.col("c_custkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 40).alias("y2"))
+    return display.hit_edge(edges, 125.0, 300.0, 200.0).select("id")
+
+
+# --- inference
+
+
+@_query("""WITH p AS (SELECT p_brand AS base, p_type AS folder, CASE WHEN p_size % 2 = 0 THEN 'pkg' ELSE 'pkg_test' END AS package, p_partkey FROM part),
+g AS (SELECT folder, package, base, count(*) AS n_files FROM p GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ends_with(package, '_test'), package, folder) AS k FROM g)
+SELECT folder, package, base, n_files, CASE WHEN k = 1 THEN base ELSE concat(base, '#', package) END AS import_path FROM o""")
+def go_packages(s: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("p_size") % 2 == 0, "pkg").otherwise("pkg_test")
+    return packages.go_packages(table(s, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_type").alias("folder"), name.alias("package"), F.col("p_brand").alias("base")))
+
+
+@_query("""WITH v AS (SELECT s_nationkey AS scope, s_suppkey % 7 AS name, min(s_suppkey % 3) AS type FROM supplier GROUP BY ALL HAVING count(DISTINCT s_suppkey % 3) = 1)
+SELECT c_custkey AS ref, coalesce(CAST(a.type AS VARCHAR), CAST(b.type AS VARCHAR), CASE WHEN c_custkey % 7 = 5 THEN '5' END) AS owner,
+  CASE WHEN a.type IS NOT NULL THEN 'variable' WHEN b.type IS NOT NULL THEN 'field' WHEN c_custkey % 7 = 5 THEN 'type' ELSE 'unknown' END AS how
+FROM customer LEFT JOIN v a ON a.scope = c_nationkey AND a.name = c_custkey % 7 LEFT JOIN v b ON b.scope = (c_nationkey + 1) % 25 AND b.name = c_custkey % 7""")
+def receiver_types(s: SparkSession, d: str) -> DataFrame:
+    text = lambda c: c.cast("string")
+    calls = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), text(F.col("c_nationkey")).alias("caller"), text((F.col("c_nationkey") + 1) % 25).alias("caller_owner"), text(F.col("c_custkey") % 7).alias("receiver"))
+    variables = table(s, d, "supplier").select(text(F.col("s_nationkey")).alias("scope"), text(F.col("s_suppkey") % 7).alias("name"), text(F.col("s_suppkey") % 3).alias("type"))
+    return infer.receiver_types(calls, variables, s.createDataFrame([("5",)], "name string")).select("ref", "owner", "how")
+
+
+@_query("""WITH k AS (SELECT s_nationkey AS key, count(DISTINCT s_suppkey) AS n, min(s_name) AS target FROM supplier GROUP BY s_nationkey)
+SELECT c_custkey AS ref, CASE WHEN n = 1 THEN target END AS target_id, CASE WHEN n = 1 THEN 'resolved' ELSE 'unresolved' END AS status FROM customer LEFT JOIN k ON c_nationkey = key""")
+def global_names(s: SparkSession, d: str) -> DataFrame:
+    one = lambda t, key, n: table(s, d, t).select(F.lit("lua").alias("language"), F.col(key).cast("string").alias("name"), F.col(n))
+    refs = one("customer", "c_nationkey", "c_custkey").withColumnRenamed("c_custkey", "ref")
+    return infer.global_names(refs, one("supplier", "s_nationkey", "s_name").withColumnRenamed("s_name", "target")).select("ref", "target_id", "status")
+
+
+@_query(f"""WITH {_N}, {_E}, x AS (SELECT id, qualified_name FROM n WHERE kind IN ('module', 'class', 'function'))
+SELECT relation_type, a.qualified_name AS source, b.qualified_name AS target, count(*) AS n FROM e JOIN x a ON source_id = a.id JOIN x b ON target_id = b.id WHERE resolution_status = 'resolved' GROUP BY ALL""")
+def relation_counts(s: SparkSession, d: str) -> DataFrame:
+    named = trade.nodes(s, d).withColumn("file", F.when(F.col("kind").isin("module", "class", "function"), F.lit("f")))
+    return packages.relation_counts(trade.edges(s, d), named)
