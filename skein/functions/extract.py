@@ -12,15 +12,18 @@ import re
 import tokenize
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: record: node, binding, import, ref or problem; the other columns are null where they don't apply.
+from skein.functions.code_text import block_end
+
+#: record: node, binding, import, ref, variable or problem; the other columns are null where they don't apply. A variable's
+#: target is the name of its type; arity is the number of parameters or arguments, owner the type a definition belongs to.
 RECORDS = (
     "record string, file string, language string, id string, kind string, name string, qualified_name string, parent_id string, scope string, target string, module_name string, member string, relation string, "
-    "chain array<string>, in_class string, signature string, return_behavior string, execution_kind string, start int, start_line int, start_col int, end_line int, end_col int, message string"
+    "chain array<string>, in_class string, signature string, return_behavior string, execution_kind string, start int, start_line int, start_col int, end_line int, end_col int, message string, arity int, owner string, receiver string"
 )
 _NAMES = [x.strip().split(" ")[0] for x in RECORDS.split(", ")]
 
@@ -173,10 +176,16 @@ class Profile:
 
     definitions: tuple[tuple[str, str], ...]
     imports: tuple[str, ...] = ()
+    #: How blocks end, for block_end(); blocks that belong to a type without being one; what a type inherits; variables and their types.
+    ends: str = "braces"
+    end_words: tuple[str, ...] = ("end",)
+    owners: tuple[str, ...] = ()
+    inherits: tuple[str, ...] = ()
+    variables: tuple[str, ...] = ()
     line_comment: str = "//"
     block_comment: tuple[str, str] | None = ("/*", "*/")
     quotes: str = "\"'"
-    ignore: frozenset[str] = field(default=frozenset("if for while switch return catch sizeof function elseif match with".split()))
+    ignore: frozenset[str] = field(default=frozenset("func fn fun def if for while switch return catch sizeof function elseif match with".split()))
 
 
 _N = r"(?P<name>[A-Za-z_]\w*)"
@@ -214,12 +223,63 @@ PROFILES: dict[str, Profile] = {
 }
 
 
+_MORE_N = r"(?P<name>[A-Za-z_][\w.]*)"
+PROFILES |= {
+    "erlang": Profile((("function", r"^(?P<name>[a-z]\w*)\s*\([^)]*\)\s*(?:when[^>]*)?->"), ("namespace", r"^-module\(\s*(?P<name>\w+)")), (r"^-(?:import|include(?:_lib)?)\(\s*\"?(?P<name>[\w./]+)",), ends="indent", line_comment="%", block_comment=None),
+    "ocaml": Profile((("function", rf"^\s*let\s+(?:rec\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^\s*module\s+(?P<name>[A-Z]\w*)")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends="indent", line_comment="", block_comment=("(*", "*)"), quotes='"'),
+    "fsharp": Profile((("function", rf"^\s*let\s+(?:rec\s+|inline\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^\s*(?:module|namespace)\s+(?P<name>[\w.]+)"), ("method", rf"^\s*member\s+\w+\.{_N}")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends="indent", block_comment=("(*", "*)"), quotes='"'),
+    "clojure": Profile((("function", r"\(defn-?\s+(?P<name>[^\s\[\]()]+)"), ("namespace", r"\(ns\s+(?P<name>[\w.-]+)"), ("type", r"\(def(?:record|type|protocol)\s+(?P<name>\w+)")), (r"\(:?require\s+'?\[?(?P<name>[\w.-]+)",), ends="indent", line_comment=";", block_comment=None, quotes='"'),
+    "nim": Profile((("function", rf"^\s*(?:proc|func|method|template|macro|iterator)\s+{_N}"), ("type", rf"^\s+{_N}\*?\s*=\s*(?:ref\s+)?object\b")), (r"^\s*(?:import|include|from)\s+(?P<name>[\w/.]+)",), ends="indent", **_HASH),
+    "ada": Profile((("function", r"(?i)\b(?:procedure|function)\s+(?P<name>\w+)"), ("namespace", r"(?i)\bpackage\s+(?:body\s+)?(?P<name>[\w.]+)"), ("type", rf"(?i)\btype\s+{_N}")), (r"(?i)^\s*with\s+(?P<name>[\w.]+)",), ends="words", end_words=("end",), line_comment="--", block_comment=None, quotes='"'),
+    "objectivec": Profile((("class", rf"@(?:interface|implementation)\s+{_N}"), ("interface", rf"@protocol\s+{_N}"), ("method", r"^[-+]\s*\([^)]*\)\s*(?P<name>\w+)"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"#\s*(?:import|include)\s*[<\"](?P<name>[^>\"]+)",), inherits=(r"@interface\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",)),
+    "vba": Profile((("method", r"(?im)^\s*(?:public\s+|private\s+)?(?:sub|function|property\s+\w+)\s+(?P<name>\w+)"), ("type", rf"(?im)^\s*(?:public\s+|private\s+)?type\s+{_N}")), (), ends="words", end_words=("end sub", "end function", "end property", "end type"), line_comment="'", block_comment=None, quotes='"'),
+    "matlab": Profile((("function", r"^\s*function\s+(?:\[?[\w,\s]*\]?\s*=\s*)?(?P<name>\w+)"), ("class", rf"^\s*classdef\s+{_N}")), (r"^\s*import\s+(?P<name>[\w.*]+)",), ends="nested", line_comment="%", block_comment=("%{", "%}"), inherits=(r"classdef\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w &]+)",)),
+    "cobol": Profile((("namespace", r"(?im)^[\s\d]*program-id\.\s+(?P<name>[\w-]+)"), ("function", r"(?im)^[\s\d]{0,7}(?P<name>[A-Z][\w-]*)\s+section\s*\.")), (r"(?im)^\s*copy\s+(?P<name>[\w-]+)",), ends="indent", line_comment="*>", block_comment=None),
+    "assembly": Profile((("function", r"^(?P<name>[A-Za-z_.][\w.$]*):"),), (r"^\s*[.%]?include\s+[\"<]?(?P<name>[\w./]+)",), ends="indent", line_comment=";", block_comment=None),
+    "hcl": Profile((("type", r"^(?:resource|data)\s+\"[^\"]+\"\s+\"(?P<name>[^\"]+)\""), ("namespace", r"^module\s+\"(?P<name>[^\"]+)\""), ("function", r"^(?:variable|output)\s+\"(?P<name>[^\"]+)\"")), (r"^\s*source\s*=\s*\"(?P<name>[^\"]+)",), line_comment="#", block_comment=("/*", "*/"), quotes=""),
+    "gdscript": Profile((("class", rf"^(?:class_name|class)\s+{_N}"), ("function", rf"^\s*(?:static\s+)?func\s+{_N}")), (r"\b(?:preload|load)\(\s*\"(?P<name>[^\"]+)",), ends="indent", inherits=(r"^class\s+(?P<name>\w+)\s+extends\s+(?P<bases>\w+)",), **_HASH),
+}
+PROFILES["cuda"] = PROFILES["cpp"]
+_EXTENDS = r"\b(?:class|struct|interface|record|object|trait)\s+(?P<name>[A-Za-z_]\w*)(?:<[^{>]*>)?[^{:;]*?"
+_TYPED = r"\b(?P<type>[A-Z]\w*)(?:<[^;=(){}]*>)?(?:\[\])?\s+(?P<name>[a-z_]\w*)\s*(?=[=;,):])"
+_LABELLED = r"\b(?P<name>[a-z_]\w*)\s*:\s*(?P<type>[A-Z]\w*)"
+_MADE = r"\b(?:val|var|let|const)\s+(?P<name>[a-z_]\w*)\s*=\s*(?:new\s+)?(?P<type>[A-Z]\w*)\s*[({]"
+#: What the profiles of languages with classes add: what types inherit, which blocks belong to a type, what variables hold.
+_CLASSES = {
+    "java": {"inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:implements|permits|\{))", r"\b(?:class|record|enum)\s+(?P<name>\w+)[^{;]*?\bimplements\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:permits|\{))"), "variables": (_TYPED,)},
+    "csharp": {"inherits": (r"\b(?:class|struct|interface|record)\s+(?P<name>\w+)(?:<[^{>]*>)?\s*:\s*(?P<bases>[\w.,<> ]+)",), "variables": (_TYPED,)},
+    "kotlin": {"inherits": (r"\b(?:class|interface|object)\s+(?P<name>\w+)(?:<[^{>]*>)?(?:\([^)]*\))?\s*:\s*(?P<bases>[\w.,<>() ]+)",), "variables": (_LABELLED, _MADE)},
+    "swift": {"inherits": (r"\b(?:class|struct|protocol|enum|extension)\s+(?P<name>\w+)(?:<[^{>]*>)?\s*:\s*(?P<bases>[\w.,<> ]+)",), "variables": (_LABELLED, _MADE)},
+    "php": {"inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w\\\\, ]+?)(?=\s*(?:implements|\{))", r"\bclass\s+(?P<name>\w+)[^{;]*?\bimplements\s+(?P<bases>[\w\\\\, ]+?)(?=\s*\{)"), "variables": (r"\$(?P<name>\w+)\s*=\s*new\s+(?P<type>\w+)", r"\b(?P<type>[A-Z]\w*)\s+\$(?P<name>\w+)")},
+    "scala": {"inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w.]+(?:\s+with\s+[\w.]+)*)",), "variables": (_LABELLED, _MADE)},
+    "dart": {"inherits": (r"\bclass\s+(?P<name>\w+)[^{;]*?\b(?:extends|implements|with)\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:implements|with|\{))",), "variables": (_TYPED,)},
+    "javascript": {"inherits": (r"\bclass\s+(?P<name>\w+)\s+extends\s+(?P<bases>[\w.]+)",), "variables": (_MADE,)},
+    "typescript": {"inherits": (r"\b(?:class|interface)\s+(?P<name>\w+)(?:<[^{>]*>)?\s+(?:extends|implements)\s+(?P<bases>[\w., ]+?)(?=\s*(?:implements|\{))",), "variables": (_LABELLED, _MADE)},
+    "cpp": {"inherits": (r"\b(?:class|struct)\s+(?P<name>\w+)\s*(?:final\s*)?:\s*(?P<bases>[\w:,<> ]+)",)},
+    "ruby": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w:]+)",), "variables": (r"\b(?P<name>[a-z_]\w*)\s*=\s*(?P<type>[A-Z]\w*)\.new\b",), "ends": "nested"},
+    "go": {"owners": (), "variables": (r"\b(?P<name>[a-z_]\w*)\s*:?=\s*&?(?P<type>[A-Z]\w*)\{", r"\b(?P<name>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\s*(?=[,)])")},
+    "rust": {"owners": (r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>[A-Za-z_]\w*)",), "inherits": (r"\btrait\s+(?P<name>\w+)\s*:\s*(?P<bases>[\w:+ ]+)", r"\bimpl(?:<[^>]*>)?\s+(?P<bases>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<name>\w+)"), "variables": (r"\blet\s+(?:mut\s+)?(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)\s*(?:::|\{)", r"\b(?P<name>[a-z_]\w*)\s*:\s*&?(?:mut\s+)?(?P<type>[A-Z]\w*)")},
+    "powershell": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",)},
+    "shell": {}, "julia": {"ends": "nested"}, "elixir": {"ends": "nested"}, "haskell": {"ends": "indent"}, "lua": {"ends": "words"},
+    "vbnet": {"ends": "words", "end_words": ("end sub", "end function", "end class"), "inherits": (r"(?i)\bclass\s+(?P<name>\w+)\s+inherits\s+(?P<bases>\w+)",)},
+    "fortran": {"ends": "words", "end_words": ("end subroutine", "end function", "end module")}, "pascal": {"ends": "words", "end_words": ("end",)},
+}
+PROFILES |= {k: replace(PROFILES[k], **v) for k, v in _CLASSES.items()}
+#: Of JavaScript and TypeScript, methods inside classes too.
+_JS_METHOD = ("method", r"^\s+(?:static\s+|async\s+|public\s+|private\s+|protected\s+)*(?P<name>[A-Za-z_$]\w*)\s*\([^;{}()]*\)\s*(?::[^={;]+)?\{")
+PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JS_METHOD)) for k in ("javascript", "typescript")}
+_JAVA_METHOD = ("method", r"^\s+(?:@\w+\s+)*(?:[\w<>\[\], .?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?\{")
+PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JAVA_METHOD)) for k in ("java", "csharp", "dart")}
+
+
 def masked(text: str, p: Profile) -> str:
     """text with comments and the insides of strings as spaces; line breaks and offsets stay."""
     parts = [re.escape(p.line_comment) + r"[^\n]*"] if p.line_comment else []
     if p.block_comment:
         a, b = map(re.escape, p.block_comment)
         parts.insert(0, rf"{a}[\s\S]*?(?:{b}|\Z)")
+    if not p.quotes:
+        return re.sub("|".join(parts), lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.M) if parts else text
     strings = "|".join(rf"{q}(?:\\[\s\S]|[^{q}\\\n])*(?:{q}|$)" if q != "`" else r"`[^`]*(?:`|\Z)" for q in p.quotes)
 
     def blank(m: re.Match) -> str:
@@ -244,36 +304,109 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
     new = lambda record, **v: dict.fromkeys(_NAMES) | {"record": record, "file": path, "language": lang} | v
     module = f"{lang}:{path}:module"
     rows = [new("node", id=module, kind="module", name=path.rsplit("/", 1)[-1], qualified_name=path)]
-    found: dict[int, tuple[str, str]] = {}
+    found: dict[int, tuple[str, str, int]] = {}
     for kind, pattern in p.definitions:
         for m in re.finditer(pattern, code, re.M):
-            if m["name"] not in p.ignore:
-                found.setdefault(m.start("name"), (kind, m["name"]))
+            if m["name"] not in p.ignore and m["name"] not in _WORDS:
+                found.setdefault(m.start("name"), (kind, m["name"], m.end("name")))
+    spans: list[tuple[int, int, str, str]] = []  # (start, end, id or type, kind): what encloses what
+    for pattern in p.owners:
+        spans += [(m.start(), block_end(code, m.end(), p.ends, p.end_words), m["name"], "owner") for m in re.finditer(pattern, code, re.M)]
     used: dict[str, int] = {}
-    starts = sorted(found)
-    ids, holder = [], module
-    for s in starts:
-        kind, name = found[s]
+    named: dict[str, str] = {}
+    for s in sorted(found):
+        kind, name, e = found[s]
+        params = _arguments(code, e)
+        end = block_end(code, max(e, params[1]), p.ends, p.end_words)
+        around = [x for x in spans if x[0] <= s < x[1]]
+        holder = max((x for x in around if x[3] != "owner"), default=None)
+        owner = max((x for x in around if x[3] in _TYPES or x[3] == "owner"), default=None)
+        owner_name = _go_receiver(code, s) if lang == "go" else None
+        if owner is not None and owner_name is None:
+            owner_name = owner[2] if owner[3] == "owner" else named[owner[2]]
+        if kind == "function" and owner_name is not None:
+            kind = "method"
         base = f"{lang}:{path}:{name}:{kind}"
         k = used[base] = used.get(base, -1) + 1
         id_ = base if not k else f"{base}~{s}"
-        if kind in ("class", "interface", "namespace", "type"):
-            parent, holder = module, id_
-        else:
-            parent = holder if kind == "method" else module
-        rows += [new("node", id=id_, kind=kind, name=name, qualified_name=f"{path}:{name}", parent_id=parent, **at(s, s + len(name))), new("binding", scope=module, name=name, target=id_)]
-        ids.append(id_)
+        named[id_] = name
+        parent = holder[2] if holder is not None else module
+        own = lang == "rust" and re.match(r"[^(]*\(\s*&?(?:'\w+\s+)?(?:mut\s+)?self\b", code[e : params[1]]) is not None  # a call doesn't name it
+        arity = params[0] - own if kind in ("function", "method") else None
+        rows += [new("node", id=id_, kind=kind, name=name, qualified_name=f"{path}:{name}", parent_id=parent, arity=arity, owner=owner_name, **at(s, e)), new("binding", scope=module, name=name, target=id_, start=s)]
+        spans.append((code.rfind("\n", 0, s) + 1 if lang == "go" else s, end, id_, kind))  # a Go method's receiver stands before its name
+    spans.sort()
+    starts = [x[0] for x in spans]
+
+    def inside(offset: int) -> tuple[str, str | None]:
+        """The definition around an offset, and the type it belongs to."""
+        scope, owner = module, None
+        for x in reversed(spans[: bisect_right(starts, offset)]):
+            if offset < x[1]:
+                if scope == module and x[3] != "owner":
+                    scope = x[2]
+                if owner is None and (x[3] in _TYPES or x[3] == "owner"):
+                    owner = x[2] if x[3] == "owner" else named[x[2]]
+                if scope != module and owner is not None:
+                    break
+        return scope, owner
+
     for pattern in p.imports:
         for m in re.finditer(pattern, text, re.M):
             if code[m.start()] == text[m.start()] and not code[m.start()].isspace():
                 rows.append(new("import", relation="imports", scope=module, name=m["name"], module_name=m["name"], message=m["name"], **at(m.start(), m.end())))
-    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", code):
-        if m[1] not in p.ignore and m.start(1) not in found:
-            k = bisect_right(starts, m.start()) - 1
-            rows.append(new("ref", relation="calls", scope=ids[k] if k >= 0 else module, chain=[m[1]], message=m[1], **at(m.start(1), m.end(1))))
+    types = {x["name"]: x["id"] for x in rows if x["record"] == "node" and x["kind"] in _TYPES}
+    for pattern in p.inherits:
+        for m in re.finditer(pattern, code, re.M):
+            for base in re.split(r"\s*(?:,|&|\+|\bwith\b)\s*", re.sub(r"<[^<>]*>|\([^()]*\)", "", m["bases"])):
+                base = re.split(r"\.|::|\\\\", re.sub(r"^(?:public|private|protected|virtual)\s+", "", base.strip()).strip())[-1]
+                if base and m["name"] in types:
+                    rows.append(new("ref", relation="inherits", scope=types[m["name"]], chain=[base], message=base, owner=m["name"], **at(m.start("bases"), m.end("bases"))))
+    for pattern in p.variables:
+        for m in re.finditer(pattern, code, re.M):
+            if m["type"] not in _WORDS and m["name"] not in _WORDS:
+                scope, owner = inside(m.start())
+                rows.append(new("variable", scope=scope, name=m["name"], target=m["type"], owner=owner, start=m.start()))
+    go_scope = {x["id"]: x["owner"] for x in rows if x["record"] == "node"}
+    for m in re.finditer(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|->|::|\?\.)\s*)?(?<![\w$])([A-Za-z_]\w*)\s*\(", code):
+        if m[2] not in p.ignore and m[2] not in _WORDS and m.start(2) not in found:
+            scope, owner = inside(m.start())
+            owner = owner or go_scope.get(scope)
+            receiver = (m[1] or "").lstrip("$") or None
+            rows.append(new("ref", relation="calls", scope=scope, chain=[m[2]], message=f"{m[1]}.{m[2]}" if m[1] else m[2], owner=owner, receiver=receiver, arity=_arguments(code, m.end(2))[0], **at(m.start(2), m.end(2))))
     return rows
 
 
+_TYPES = frozenset(["class", "interface", "type", "namespace"])
+_WORDS = frozenset("func fn fun def if for while switch return catch sizeof function elseif match with new throw else do in of typeof await yield import super this self using lock foreach".split())
+
+
+def _arguments(code: str, after: int) -> tuple[int, int]:
+    """(number of arguments, where they end) of the brackets that open after an offset; none without brackets."""
+    m = re.compile(r"\s*(?:<[^<>()]*>\s*)?\(").match(code, after)
+    if not m:
+        return 0, after
+    depth, commas, some = 1, 0, False
+    for k in range(m.end(), len(code)):
+        c = code[k]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if not depth:
+                return commas + 1 if some else 0, k + 1
+        elif c == "," and depth == 1:
+            commas += 1
+        some = some or not c.isspace()
+    return commas + 1 if some else 0, len(code)
+
+
+def _go_receiver(code: str, at: int) -> str | None:
+    """The type that a Go method is declared on."""
+    m = re.search(r"\bfunc\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)[^()]*\)\s*$", code[max(0, at - 200) : at])
+    return m[1] if m else None
+
+
 def records(files: DataFrame) -> DataFrame:
     """Records of files of (path, language, content); a file that can't be read gives a problem, not a failure."""
 
@@ -282,7 +415,7 @@ def records(files: DataFrame) -> DataFrame:
             for path, lang, content in zip(b["path"], b["language"], b["content"], strict=True):
                 rows = python_records(path, bytes(content or b"")) if lang == "python" else profile_records(path, bytes(content or b""), lang) if lang in PROFILES else [dict.fromkeys(_NAMES) | {"record": "problem", "file": path, "language": lang, "name": "parser_unavailable", "message": lang}]
                 out = pd.DataFrame(rows, columns=_NAMES)
-                for c in ("start", "start_line", "start_col", "end_line", "end_col"):
+                for c in ("start", "start_line", "start_col", "end_line", "end_col", "arity"):
                     out[c] = out[c].astype("Int32")
                 yield out
 

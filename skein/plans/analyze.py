@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.extract import records
 from skein.functions.scalars import visibility
 from skein.operators import resolve
+from skein.plans.typed import typed
 from skein.sources.files import ScanConfig, scan, skipped
 from skein.sources.graph import Graph, conform
 from skein.sources.schema import DIAGNOSTICS, EDGES, NODES
@@ -84,6 +85,12 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = refs.join(head, "ref", "left").withColumn("at", F.when(own & F.col("at").isNull(), F.col("in_class")).otherwise(F.col("at")))
     step = step.withColumn("rest", F.when(F.size("chain") > 1, F.slice("chain", F.lit(2), F.size("chain") - 1)).otherwise(F.array().cast("array<string>")))
     step = _followed(step, symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
+    # of other languages a definition of the same file goes first only if the call has no receiver
+    other = refs.where("language <> 'python'").select("ref", "language", "scope", "relation", F.element_at("chain", 1).alias("name"), "arity", "owner", "receiver")
+    found_so = typed(found, other).select("ref", F.col("target_id").alias("_target"), F.col("status").alias("_status"))
+    step = step.join(found_so, "ref", "left")
+    foreign = F.col("_status").isNotNull()
+    step = step.withColumn("at", F.when(~foreign, F.col("at")).when(F.col("_status") == "resolved", F.col("_target")).when(F.col("_status") == "external", _placeholder("external", F.col("message"))))
     known = F.col("at").isNotNull() & (F.size("rest") == 0)
     outside = F.col("at").contains(":external:")
     # a name that nothing binds may be one of the language's own
