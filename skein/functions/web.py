@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ELEMENTS = "file string, element int, tag string, dom_id string, classes array<string>, parent int, line int, col int"
+ELEMENTS = "file string, element int, tag string, dom_id string, classes array<string>, parent int, line int, col int, reference string"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -22,7 +22,7 @@ class _Elements(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = dict(attrs)
         line, col = self.getpos()
-        self.rows.append((len(self.rows), tag, values.get("id"), (values.get("class") or "").split(), self.open[-1][1] if self.open else None, line, col))
+        self.rows.append((len(self.rows), tag, values.get("id"), (values.get("class") or "").split(), self.open[-1][1] if self.open else None, line, col, values.get("src") if tag == "script" else values.get("href") if tag == "link" else None))
         if tag not in _VOID:
             self.open.append((tag, len(self.rows) - 1))
 
@@ -44,7 +44,7 @@ def elements(files: DataFrame) -> DataFrame:
                 p.feed(bytes(content or b"").decode("utf-8", "replace"))
                 p.close()
                 rows += [(path, *r) for r in p.rows]
-            out = pd.DataFrame(rows, columns=["file", "element", "tag", "dom_id", "classes", "parent", "line", "col"])
+            out = pd.DataFrame(rows, columns=["file", "element", "tag", "dom_id", "classes", "parent", "line", "col", "reference"])
             out["parent"] = out["parent"].astype("Int32")
             yield out
 

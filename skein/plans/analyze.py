@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.extract import records
 from skein.functions.scalars import visibility
 from skein.operators import resolve
+from skein.plans.markup import LANGUAGES, markup
 from skein.plans.typed import typed
 from skein.sources.files import ScanConfig, scan, skipped
 from skein.sources.graph import Graph, conform
@@ -111,9 +112,15 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def analyze(spark: SparkSession, root: str, languages: list[str] | None = None, config: ScanConfig | None = None) -> Graph:
     """The graph of a source tree. Files are parsed once, in parallel; what they refer to is found by joins."""
     files = scan(spark, root, languages, config)
-    found = written(records(files.where("reason is null")))
+    kept = files.where("reason is null")
+    found = written(records(kept.where(~F.col("language").isin(*LANGUAGES))))
     rows, problems = resolved(found)
-    nodes = found.where("record = 'node'").withColumns({"display_name": F.col("name"), "span": _span(), "visibility": visibility(F.col("name"), F.col("language"), F.lit(None).cast("string"))})
+    marked, links, more = markup(written(kept.where(F.col("language").isin(*LANGUAGES, "javascript", "typescript")).select("path", "language", "content")))
+    rows, problems = written(rows.unionByName(links)), problems.unionByName(more)
+    seen = visibility(F.col("name"), F.col("language"), F.lit(None).cast("string"))
+    nodes = found.where("record = 'node'").withColumns({"display_name": F.col("name"), "span": _span(), "visibility": seen})
+    made = conform(nodes, NODES).unionByName(conform(marked.withColumn("visibility", F.lit("unknown")), NODES))
     failed = found.where("record = 'problem'").select(F.col("name").alias("code"), F.lit("error").alias("severity"), F.coalesce("message", F.lit("?")).alias("message"), "file")
     diagnostics = conform(failed, DIAGNOSTICS).unionByName(conform(problems, DIAGNOSTICS)).unionByName(conform(skipped(files), DIAGNOSTICS))
-    return Graph(conform(nodes, NODES).unionByName(_outside(rows)), _edge(rows), diagnostics, {"languages": languages})
+    outside = _outside(rows).join(made.select("id"), "id", "left_anti")
+    return Graph(made.unionByName(outside), _edge(rows), diagnostics, {"languages": languages})
