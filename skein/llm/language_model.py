@@ -4,11 +4,13 @@ Counts of every token of every training text are kept in a table. The HEAD most
 go to the workers as a dictionary; the rest is looked up by a join, so no table that grows with the
 corpus is broadcast. The model predicts a symbol (one of the most frequent words, the end of the text,
 or a class of rarer words by their last letters) from the symbol before it: s(w|h) = q_h C q_w + b_w,
-with one embedding per symbol. The numbers of all pairs of neighbouring symbols in all training texts
-are what it learns from: with the expectation over the noise taken in closed form, the contrastive
-objective over that table is the objective over the corpus. One matrix product over all symbols then
-gives the scores, and their log-sum-exp normalises them. A rare word has the probability of its class
-times its smoothed share of the class, so a text's probability is over all words, known or not.
+with one embedding per symbol. The number of symbols grows with the training text (symbols_for). The
+numbers of all pairs of neighbouring symbols in all training texts are what it learns from: each pair seen
+is told from NOISE draws of the unigram distribution after the same symbol, drawn anew every REDRAW
+rounds; pairs alike are drawn for together, which costs a draw for each cell of the table and not for each
+token. One matrix product over all symbols then gives the scores, and their log-sum-exp normalises them. A
+rare word has the probability of its class times its smoothed share of the class, so a text's probability
+is over all words, known or not.
 
 Defined results: a null text is empty and has one token, the end; a null id counts as the empty string
 when rows are dealt to training and held-out; rows alike are scored alike; without training rows every
@@ -32,10 +34,12 @@ from skein.llm.common import Scratch, table
 HEAD = 131_072
 #: Bytes of a token in that dictionary at most; longer ones are looked up by the join, however frequent.
 LONGEST = 64
-WORDS, CLASSES = 447, 64
-SYMBOLS = WORDS + CLASSES + 1
-DIM, NOISE, ROUNDS, RATE = 32, 10, 300, 0.05
-_END = WORDS + CLASSES
+CLASSES = 64
+#: Symbols of a model of 2**18 tokens or more; twice as many for each further factor of 64.
+LEAST_SYMBOLS = 512
+DIM, NOISE, ROUNDS, REDRAW, RATE = 32, 10, 300, 25, 0.05
+#: Numbers of the symbols: the classes, the end, then the words.
+_END, _FIRST = CLASSES, CLASSES + 1
 #: The end of a text as a token; no word is empty.
 END = b""
 _FLUSH = 400_000
@@ -49,7 +53,12 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_class(word: bytes) -> int:
-    return WORDS + zlib.crc32(word[-3:]) % CLASSES if word else _END
+    return zlib.crc32(word[-3:]) % CLASSES if word else _END
+
+
+def symbols_for(total: int) -> int:
+    """Symbols of the model of so many training tokens: the table of their pairs grows as the cube root of the corpus."""
+    return LEAST_SYMBOLS << max(0, (int(total).bit_length() - 19) // 6)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[list[list[bytes]]]:
@@ -91,15 +100,16 @@ def token_counts(training: DataFrame) -> DataFrame:
 class Head:
     """The frequent tokens in order, the most frequent first: their counts and classes, and a dictionary made once per task."""
 
-    def __init__(self, words: list[bytes], counts: list[int]) -> None:
-        self.words, self.counts = words, np.array(counts, np.int64)
-        self.symbols = np.array([_END if not w else k if k < WORDS else word_class(w) for k, w in enumerate(words)], np.int64)
+    def __init__(self, words: list[bytes], counts: list[int], size: int = LEAST_SYMBOLS) -> None:
+        self.words, self.counts, self.size = words, np.array(counts, np.int64), size
+        self.own = np.array([bool(w) and k < size - _FIRST for k, w in enumerate(words)], bool)  # words that are symbols
+        self.symbols = np.array([_FIRST + k if own else word_class(w) for k, (w, own) in enumerate(zip(words, self.own.tolist(), strict=True))], np.int64)
 
     def index(self) -> dict[bytes, int]:
         return {w: k for k, w in enumerate(self.words)}
 
 
-def head_of(counts: DataFrame, most: int = HEAD) -> Head:
+def head_of(counts: DataFrame, most: int = HEAD, size: int = LEAST_SYMBOLS) -> Head:
     """All tokens whose count reaches a threshold that at most `most` tokens reach.
 
     The thresholds tried are powers of 2**(1/16), so the histogram they need has a thousand rows at most.
@@ -112,10 +122,10 @@ def head_of(counts: DataFrame, most: int = HEAD) -> Head:
             break
         total, least = total + n, s
     if least is None:
-        return Head([], [])
+        return Head([], [], size)
     rows = counts.where((step >= least) & (F.octet_length("token") <= LONGEST)).select("token", "c").collect()
     rows.sort(key=lambda r: (-r[1], bytes(r[0])))
-    return Head([bytes(r[0]) for r in rows], [r[1] for r in rows])
+    return Head([bytes(r[0]) for r in rows], [r[1] for r in rows], size)
 
 
 def _ids(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
@@ -130,16 +140,16 @@ def _symbols(head: Head, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
 
 
 def pair_counts(training: DataFrame, shared) -> DataFrame:  # noqa: ANN001
-    """(cell, n): numbers of neighbouring symbols, cell = before * SYMBOLS + after. A text begins after an end."""
+    """(cell, n): numbers of neighbouring symbols, cell = before * symbols + after. A text begins after an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
-        index, n = head.index(), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        index, n = head.index(), np.zeros(head.size * head.size, np.int64)
         for part in _texts(batches):
             words = [w for x in part for w in x]
             after = _symbols(head, _ids(index, words), words)
             before = np.concatenate([[_END], after[:-1]])  # the token before a text's first is another text's end
-            n += np.bincount(before * SYMBOLS + after, minlength=len(n))
+            n += np.bincount(before * head.size + after, minlength=len(n))
         at = np.flatnonzero(n)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
@@ -157,14 +167,18 @@ def train(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, rounds: int = R
     total = pairs.sum()
     if not total:
         return np.full((k, k), -np.log10(k))
-    data = pairs / total
-    unigram = (data.sum(0) + 1e-7) / (1 + 1e-7 * k)
-    against = noise * data.sum(1)[:, None] * unigram[None, :]
-    log_noise = np.log(noise * unigram)[None, :]
+    data = (pairs / total).astype(np.float32)
+    unigram = (data.sum(0, dtype=np.float64) + 1e-7) / (1 + 1e-7 * k)
+    unigram /= unigram.sum()
+    draws = noise * pairs.sum(1).astype(np.int64)
+    log_noise = np.log(noise * unigram).astype(np.float32)[None, :]
     r = np.random.default_rng(seed)
     p = {"q": 0.1 * r.standard_normal((k, dim)), "c": np.eye(dim) + 0.1 * r.standard_normal((dim, dim)), "b": np.log(unigram)}
+    p = {n: x.astype(np.float32) for n, x in p.items()}
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
     for t in range(1, rounds + 1):
+        if t % REDRAW == 1:
+            against = (r.multinomial(draws, unigram) / total).astype(np.float32)
         turned = p["q"] @ p["c"]
         true = 1 / (1 + np.exp(np.clip(log_noise - turned @ p["q"].T - p["b"], -60, 60)))
         slope = against * true - data * (1 - true)
@@ -174,8 +188,9 @@ def train(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, rounds: int = R
         for n, g in grad.items():
             m[n] = 0.9 * m[n] + 0.1 * g
             v[n] = 0.99 * v[n] + 0.01 * g * g
-            p[n] -= now * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-9)
-    score = p["q"] @ p["c"] @ p["q"].T + p["b"]
+            p[n] -= (now * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
+    q, c, b = (p[n].astype(np.float64) for n in ("q", "c", "b"))
+    score = q @ c @ q.T + b
     top = score.max(1, keepdims=True)
     return (score - top - np.log(np.exp(score - top).sum(1, keepdims=True))) / np.log(10)
 
@@ -186,7 +201,7 @@ def _scored(docs: DataFrame, shared) -> DataFrame:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, table_, whole, n_class, v_class = shared.value
         index, base = head.index(), np.log10((head.counts + 0.5) / whole)
-        inside = np.where((np.arange(len(head.words)) < WORDS) | (head.symbols == _END), 0.0, np.log10((head.counts + 0.5) / (n_class + 0.5 * (v_class + 1))[head.symbols]))
+        inside = np.where(head.own | (head.symbols == _END), 0.0, np.log10((head.counts + 0.5) / (n_class + 0.5 * (v_class + 1))[np.minimum(head.symbols, _END)]))
         for b in batches:
             done = 0
             for part in _texts(iter([b])):
@@ -225,23 +240,24 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     by_class = {r[0]: (r[1], r[2]) for r in counts.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect()}  # CLASSES + 1 rows
     n, v = (sum(x[k] for x in by_class.values()) for k in (0, 1))
     whole = n + 0.5 * (v + 1)
-    head = head_of(counts)
-    pairs = np.zeros(SYMBOLS * SYMBOLS)
+    size = symbols_for(n)
+    head = head_of(counts, size=size)
+    pairs = np.zeros(size * size)
     shared = spark.sparkContext.broadcast(head)  # HEAD tokens at most
-    for cell, k in pair_counts(training, shared).collect():  # SYMBOLS ** 2 cells at most
-        pairs[cell] = k
-    log_p = train(pairs.reshape(SYMBOLS, SYMBOLS))
-    n_class, v_class = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+    cells = pair_counts(training, shared).toArrow()  # size ** 2 cells at most
+    pairs[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    log_p = train(pairs.reshape(size, size))
+    n_class, v_class = np.zeros(_FIRST), np.zeros(_FIRST)
     for c, (a, b) in by_class.items():
         n_class[c], v_class[c] = a, b
     # the most frequent words are symbols of their own and have left their classes
-    for w, c in zip(head.words[:WORDS], head.counts[:WORDS], strict=True):
-        if w:
-            n_class[word_class(w)] -= c
-            v_class[word_class(w)] -= 1
+    for k in np.flatnonzero(head.own).tolist():
+        c = word_class(head.words[k])
+        n_class[c] -= head.counts[k]
+        v_class[c] -= 1
     model = spark.sparkContext.broadcast((head, log_p, whole, n_class, v_class))
     parts = scratch.keep(_scored(rows.withColumn("_sk_row", F.monotonically_increasing_id()).select("_sk_row", "doc_id", "held_out", "_sk_text"), model), "parts")
-    smooth = F.create_map(*[F.lit(x) for c in range(WORDS, WORDS + CLASSES) for x in (c, float(n_class[c] + 0.5 * (v_class[c] + 1)))])
+    smooth = F.create_map(*[F.lit(x) for c in range(CLASSES) for x in (c, float(n_class[c] + 0.5 * (v_class[c] + 1)))])
     rest = parts.select("_sk_row", F.explode("rest").alias("r")).select("_sk_row", "r.token", "r.class", "r.m")
     found = rest.join(counts.select("token", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = found.groupBy("_sk_row").agg(

@@ -367,6 +367,7 @@ def test_lm_is_normalised():
     log_p = language_model.train(r.integers(0, 50, (40, 40)).astype(float), dim=8, rounds=60)
     assert np.allclose((10**log_p).sum(1), 1)
     assert np.allclose(language_model.train(np.zeros((5, 5))), -np.log10(5))
+    assert [language_model.symbols_for(x) for x in (0, 2**18, 2**24 - 1, 2**24, 2**30, 2**36)] == [512, 512, 512, 1024, 2048, 4096]
 
 
 def test_lm_learns_its_table():
