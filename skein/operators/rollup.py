@@ -88,11 +88,12 @@ def with_ordinals(df: DataFrame, by: str = "id") -> DataFrame:
     """df with `ordinal`, its place from 0 in the order of `by`.
 
     A global row number would sort everything in one task. Rows are dealt by range, numbered within
-    their range, and the ranges' sizes are summed up: two passes, both parallel.
+    their range, and the ranges' sizes are summed up: two passes, both parallel. What was dealt is written
+    in between: bounds come from a sample, so dealing again could cut the ranges elsewhere.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(by)))

@@ -119,3 +119,12 @@ def test_lexical_shadowing(spark):
     refs = spark.createDataFrame([(1, "g", "x"), (2, "m", "x"), (3, "g", "y"), (4, "g", "z")], "ref int, scope string, name string")
     got = {r.ref: (r.target_id, r.status) for r in resolve.lexical(refs, scopes, bound).collect()}
     assert got == {1: (None, "unresolved"), 2: ("X", "resolved"), 3: ("Y", "resolved"), 4: (None, "unbound")}
+
+
+def test_ordinals_hold_whatever_columns_are_read(spark):
+    """Enough rows that the bounds of the ranges come from a sample of them."""
+    df = spark.range(60_000).select(F.sha1(F.col("id").cast("string")).alias("id"), F.lit("x").alias("other"))
+    got = rollup.with_ordinals(df)
+    ids = sorted(r.id for r in df.collect())
+    assert [r.ordinal for r in got.select("id", "ordinal").orderBy("id").collect()] == list(range(len(ids)))
+    assert [r.id for r in got.orderBy("ordinal").collect()] == ids
