@@ -61,18 +61,32 @@ def _plain(row: Any) -> dict[str, Any]:
 def write_json(graph: Graph, path: str, meta: dict[str, Any]) -> str:
     """Writes a graph as one document by an atomic replacement, in its fixed order; returns its digest.
 
-    One document is one file by its format, so the rows pass through the driver, streamed; use Parquet
-    tables for graphs of any size.
+    One document is one file by its format, so the rows pass through the driver, one partition at a time, and
+    are neither held nor written twice; use bundles for graphs of any size.
     """
     order = {"nodes": ["id"], "edges": ["id"], "diagnostics": [F.coalesce("file", F.lit("")), F.coalesce("span.start_line", F.lit(0)), "code", "message"]}
-    doc: dict[str, Any] = {"schema_version": "1.0", "meta": meta}
-    for name, by in order.items():
-        doc[name] = [_plain(r) for r in getattr(graph, name).orderBy(*by).toLocalIterator()]
+    plain: dict[str, Any] = {"schema_version": "1.0", "meta": meta}
+    digest = hashlib.sha256()
     staged = f"{path}.{os.getpid()}.tmp"
     with open(staged, "w", encoding="utf-8") as f:
-        json.dump(doc, f, sort_keys=True, ensure_ascii=False, allow_nan=False)
+
+        def put(text: str) -> None:
+            f.write(text)
+            digest.update(text.encode())
+
+        text = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+        for k, name in enumerate(sorted([*plain, *order])):
+            put(("," if k else "{") + text(name) + ":")
+            if name in plain:
+                put(text(plain[name]))
+                continue
+            put("[")
+            for i, r in enumerate(getattr(graph, name).orderBy(*order[name]).toLocalIterator()):
+                put(("," if i else "") + text(_plain(r)))
+            put("]")
+        put("}")
     os.replace(staged, path)
-    return canonical_digest(doc)
+    return digest.hexdigest()
 
 
 def synthetic(spark: SparkSession, nodes: int, edges_per_node: int = 3, seed: int = 20260816) -> Graph:
