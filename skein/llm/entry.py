@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import html_text, jaccard, language_model, mixing, neighbours, pieces, quality, suffixes, token_counts, urls
+from skein.llm import byte_pairs, html_text, jaccard, language_model, mixing, neighbours, pieces, quality, suffixes, token_counts, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         neighbours.op8_nearest_neighbours,
         jaccard.op9_jaccard_join,
         token_counts.op10_token_counts,
+        byte_pairs.op11_byte_pairs,
     ]
     return {f.__name__: f for f in found}
 
