@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import byte_pairs, html_text, jaccard, language_model, mixing, neighbours, pieces, quality, suffixes, token_counts, turn_trie, urls
+from skein.llm import byte_pairs, html_text, jaccard, language_model, lexical, mixing, neighbours, pieces, quality, suffixes, token_counts, turn_trie, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard.op9_jaccard_join,
         token_counts.op10_token_counts,
         byte_pairs.op11_byte_pairs,
+        lexical.op12_lexical_search,
         turn_trie.op13_turn_trie,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "op13_turn_trie": turn_trie.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_turn_trie": turn_trie.ORACLE}
