@@ -353,7 +353,8 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, scratch: Scratch, span
     rows = whole
     for x in _shared(scratch, pieces, span, gram):
         rows = rows.union(x)
-    out = scratch.keep(rows.groupBy(KEY).agg(F.collect_list(F.struct("start", "length")).alias("spans")), "spans")
+    # rows alike share their key and find the same spans
+    out = scratch.keep(rows.groupBy(KEY).agg(F.collect_set(F.struct("start", "length")).alias("spans")), "spans")
     scratch.release()
     return out
 
