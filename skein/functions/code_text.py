@@ -1,83 +1,85 @@
-"""What patterns tell about code: where blocks end, what routines return and touch, and names in their parts."""
+"""What code tells about itself: what routines of SQL hold, and names in their parts."""
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions.blocks import returns
+from skein.functions.sql_lineage import blanked, lineage
 
-def block_end(code: str, after: int, style: str = "braces", words: tuple[str, ...] = ("end",), reach: int = 400) -> int:
-    """Where the block of a declaration ends whose head ends at `after`; the end of the text if nothing closes it.
-
-    braces: after the brace that closes the first one within `reach`; words: before the first line that begins
-    with one of the words; nested: the same, counting blocks that open in between; indent: before the next line
-    without indentation. code has its comments and strings masked.
-    """
-    if style == "braces":
-        depth, opened = 0, False
-        for m in re.compile(r"[{}]").finditer(code, after):
-            if not opened and (m[0] == "}" or m.start() >= after + reach):
-                break
-            opened = True
-            depth += 1 if m[0] == "{" else -1
-            if not depth:
-                return m.end()
-    elif style == "words":
-        if m := re.compile(r"^\s*(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", re.I | re.M).search(code, after):
-            return m.start()
-    elif style == "nested":
-        depth = 1
-        openers = r"module|function|struct|mutable\s+struct|if|for|while|let|begin|try|macro|classdef|do|switch"
-        for m in re.compile(rf"^\s*(?:(?P<open>{openers})|end)\b", re.I | re.M).finditer(code, after):
-            depth += 1 if m["open"] else -1
-            if not depth:
-                return m.start()
-    elif style == "indent":
-        if m := re.compile(r"^\S", re.M).search(code, code.find("\n", after) + 1 or len(code)):
-            return m.start()
-    else:
-        raise ValueError(f"no such style: {style}")
-    return len(code)
+_SQL = re.compile(r"'(?:''|[^'])*'|\"[^\"]*\"|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/|\w+|\S")
 
 
-def return_behavior(body: Column) -> Column:
-    """What the return statements of a body tell."""
-    values = F.transform(F.regexp_extract_all(body, F.lit(r"(?i)\breturn\b([^\n;}]*)"), 1), lambda x: F.trim(x) != "")
-    some, none = F.exists(values, lambda x: x), F.exists(values, lambda x: ~x)
-    return F.when(some & none, "mixed").when(some, "returns_value").when(none, "returns_none").otherwise("no_explicit_return")
+def _words(statement: str) -> list[tuple[str, str, int, int]]:
+    """(lower-case word, text, start, end) of the tokens of a statement; literals and comments are one token each."""
+    return [(m[0].lower(), m[0], m.start(), m.end()) for m in _SQL.finditer(statement) if not m[0].startswith(("--", "/*"))]
 
 
-_DOLLAR, _QUOTED, _BLOCK = r"(?s)\$[^$]*\$(.*?)\$[^$]*\$", r"""(?is)\bas\s+['"](.*?)['"]""", r"(?is)\bbegin\b(.*)\bend\b"
+def routine_text(statement: str) -> str:
+    """What a routine's statement holds: a dollar-quoted text, the literal after AS, or what stands between its outermost BEGIN and END."""
+    found = _words(statement)
+    for k, (word, text, start, end) in enumerate(found):
+        if word.startswith("$") and text.endswith("$") and len(text) > 1:
+            tag = text.index("$", 1) + 1
+            return statement[start + tag : end - tag]
+        if word[0] in "'\"" and k and found[k - 1][0] == "as":
+            return text[1:-1]
+    begins, ends = ([k for k, x in enumerate(found) if x[0] == w] for w in ("begin", "end"))
+    return statement[found[begins[0]][3] : found[ends[-1]][2]] if begins and ends and ends[-1] > begins[0] else ""
 
 
-def routine_body(statement: Column) -> Column:
-    """The body of a routine: between dollar quotes, quoted after AS, or from the first BEGIN to the last END; empty if none."""
-    part = lambda p: F.when(statement.rlike(p), F.regexp_extract(statement, p, 1))
-    return F.coalesce(part(_DOLLAR), part(_QUOTED), part(_BLOCK), F.lit(""))
+def trigger_text(statement: str) -> str:
+    """When a trigger fires and on what: the words from BEFORE, AFTER or INSTEAD OF up to ON."""
+    found = _words(statement)
+    begin = next((k for k, x in enumerate(found) if x[0] in ("before", "after") or x[0] == "instead" and k + 1 < len(found) and found[k + 1][0] == "of"), None)
+    end = next((k for k in range(begin or 0, len(found)) if found[k][0] == "on"), None)
+    if begin is None or end is None or end - begin < 2:
+        return "unknown"
+    return re.sub(r" (?=,)", "", " ".join(x[1] for x in found[begin:end]))
 
 
-def trigger_event(statement: Column) -> Column:
-    p = r"(?i)\b(before|after|instead\s+of)\s+([\w\s,]+?)\s+on\b"
-    return F.when(statement.rlike(p), F.concat_ws(" ", F.regexp_extract(statement, p, 1), F.regexp_extract(statement, p, 2))).otherwise("unknown")
+def touched_tables(body: str) -> list[tuple[str, str]]:
+    """(table, relation) of what a routine's body writes and reads, by the lineage of its statements."""
+    how = {"writes": "writes", "reads": "reads", "joins": "reads"}
+    return list(dict.fromkeys((table, how[relation]) for part in blanked(body).split(";") for relation, table, _ in lineage(part) if relation in how))
+
 
+def _mapped(column: Column, f, kind: str) -> Column:  # noqa: ANN001
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([f(t or "") for t in texts], dtype=object)
 
-_TABLE = r"([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?)"
+    return run(column)
+
+
+def routine_body(statement: Column) -> Column:
+    return _mapped(statement, routine_text, "string")
+
+
+def trigger_event(statement: Column) -> Column:
+    return _mapped(statement, trigger_text, "string")
 
 
 def routine_tables(body: Column) -> Column:
     """Tables that a body names, each as a struct of table and relation; comments and literals don't count."""
-    code = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"--[^\r\n]*", " "), r"(?s)/\*.*?\*/", " "), r"'(?:''|[^'])*'", "''")
-    found = lambda words, how: F.transform(F.regexp_extract_all(code, F.lit(rf"(?i)\b(?:{words})\s+{_TABLE}"), 1), lambda t: F.struct(t.alias("table"), F.lit(how).alias("relation")))
-    return F.array_distinct(F.concat(found(r"insert\s+into|update|delete\s+from|merge\s+into", "writes"), found(r"(?<!delete\s)from|join|using", "reads")))
+    return _mapped(body, lambda t: [{"table": a, "relation": b} for a, b in touched_tables(t)], "array<struct<table:string,relation:string>>")
+
+
+def return_behavior(body: Column) -> Column:
+    """What the return statements of a body (masked) tell."""
+    return _mapped(body, returns, "string")
 
 
-def without_generics(name: Column, rounds: int = 8) -> Column:
-    """A type's name without what stands in angle brackets, innermost first, array marks and question marks."""
-    for _ in range(rounds):
-        name = F.regexp_replace(name, r"<[^<>]*>", "")
-    return F.trim(F.regexp_replace(name, r"(\[\s*\])+|\?$|\.\.\.$", ""))
+def without_generics(name: Column) -> Column:
+    """A type's name without what stands in angle brackets however deep, array marks and question marks."""
+    deep = F.regexp_replace(name, r"[^<>]", "")
+    step = lambda left, _: F.regexp_replace(left, r"<[^<>]*>", "")
+    plain = F.aggregate(F.sequence(F.lit(0), F.length(deep)), name, step)
+    return F.trim(F.regexp_replace(plain, r"(\[\s*\])+|\?$|\.\.\.$", ""))
 
 
 def _leaves(text: str, separator: str) -> list[str]:

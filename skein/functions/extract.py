@@ -17,7 +17,7 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from skein.functions.code_text import block_end
+from skein.functions.blocks import Blocks, Style, returns, style
 
 #: record: node, binding, import, ref, variable or problem; the other columns are null where they don't apply. A variable's
 #: target is the name of its type; arity is the number of parameters or arguments, owner the type a definition belongs to.
@@ -170,18 +170,29 @@ def python_records(path: str, content: bytes) -> list[dict]:
     return [r for r in v.rows if not (r["record"] == "binding" and r["message"] == "assigned" and (r["scope"], r["name"]) in defined)]
 
 
+_CALL = r"(?:(?P<receiver>[A-Za-z_$][\w$]*)\s*(?:\.|->|::|\?\.)\s*)?(?<![\w$])(?P<name>[A-Za-z_]\w*)\s*\("
+#: How far a definition reaches: its block, the rest of the file, the end of the first block after it, or, by number, the next definition of that rank or a lower one.
+BLOCK, FILE, AFTER = -1, -2, -3
+
+
 @dataclass(frozen=True)
 class Profile:
-    """How a language looks to regular expressions: group `name` of each pattern is the name."""
+    """How a language looks to regular expressions: group `name` of each pattern is the name, `of` what it is told with before it."""
 
-    definitions: tuple[tuple[str, str], ...]
+    definitions: tuple[tuple, ...]
     imports: tuple[str, ...] = ()
-    #: How blocks end, for block_end(); blocks that belong to a type without being one; what a type inherits; variables and their types.
-    ends: str = "braces"
-    end_words: tuple[str, ...] = ("end",)
+    #: How blocks end; blocks that belong to a type without being one; what a type inherits; variables and their types.
+    ends: Style = Style()
     owners: tuple[str, ...] = ()
     inherits: tuple[str, ...] = ()
     variables: tuple[str, ...] = ()
+    calls: tuple[str, ...] = (_CALL,)
+    references: tuple[str, ...] = ()
+    #: Definitions whose name stands in a string; whether definitions of one name are one; what qualified names begin with and are joined by.
+    told: tuple[tuple, ...] = ()
+    once: bool = False
+    root: str = "path"
+    joint: str = "."
     line_comment: str = "//"
     block_comment: tuple[str, str] | None = ("/*", "*/")
     quotes: str = "\"'"
@@ -190,13 +201,24 @@ class Profile:
 
 _N = r"(?P<name>[A-Za-z_]\w*)"
 _C_TYPES = (("class", rf"\b(?:class|struct|enum|record)\s+{_N}"), ("interface", rf"\b(?:interface|trait|protocol)\s+{_N}"))
+_INDENT = style("indent")
+_RANKED = style("next")
+_RUBY = style("ends", "class module def do begin case", "if unless while until for", "while until for")
+_LUA = style("ends", "function do", "if while for", "while for")
+_JULIA = style("ends", "module baremodule struct function begin quote do macro let try", "if for while")
+_ELIXIR = style("ends", "do fn")
+_MATLAB = style("ends", "", "function classdef if for while switch try parfor methods properties events enumeration")
+_PASCAL = style("ends", "begin class record case try asm", folded=True)
+_BASIC = style("named", "", "sub function property class module namespace structure interface enum type")
+_FORTRAN = style("named", "", "program module submodule subroutine function interface")
+_ADA = style("named", "", "procedure function package task protected")
 _HASH = {"line_comment": "#", "block_comment": None}
 PROFILES: dict[str, Profile] = {
     "c": Profile((("type", rf"\b(?:struct|enum|union)\s+{_N}\s*\{{"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"#\s*include\s*[<\"](?P<name>[^>\"]+)",)),
     "cpp": Profile((("class", rf"\b(?:class|struct)\s+{_N}[^;{{]*\{{"), ("namespace", rf"\bnamespace\s+{_N}"), ("function", rf"^[A-Za-z_][\w\s*&:<>]*?\b{_N}\s*\([^;{{}}]*\)\s*(?:const\s*)?\{{")), (r"#\s*include\s*[<\"](?P<name>[^>\"]+)",)),
-    "java": Profile((*_C_TYPES, ("method", rf"\b(?:public|private|protected|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*[^;{{}}]*\{{")), (r"\bimport\s+(?:static\s+)?(?P<name>[\w.*]+)",)),
-    "csharp": Profile((*_C_TYPES, ("namespace", r"\bnamespace\s+(?P<name>[\w.]+)"), ("method", rf"\b(?:public|private|protected|internal|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"\busing\s+(?P<name>[\w.]+)\s*;",)),
-    "go": Profile((("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?{_N}\s*\("), ("type", rf"\btype\s+{_N}\s+")), (r"\bimport\s+(?:\w+\s+)?\"(?P<name>[^\"]+)\"",), quotes="\"'`"),
+    "java": Profile((("namespace", r"^\s*package\s+(?P<name>[\w.]+)", FILE), *_C_TYPES, ("method", rf"\b(?:public|private|protected|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*[^;{{}}]*\{{")), (r"\bimport\s+(?:static\s+)?(?P<name>[\w.*]+)",)),
+    "csharp": Profile((*_C_TYPES, ("namespace", r"^\s*namespace\s+(?P<name>[\w.]+)\s*;", FILE), ("namespace", r"\bnamespace\s+(?P<name>[\w.]+)\s*\{"), ("method", rf"\b(?:public|private|protected|internal|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"\busing\s+(?P<name>[\w.]+)\s*;",)),
+    "go": Profile((("namespace", rf"^package\s+{_N}", FILE), ("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?{_N}\s*\("), ("type", rf"\btype\s+{_N}\s+")), (r"\bimport\s+(?:\w+\s+)?\"(?P<name>[^\"]+)\"",), quotes="\"'`"),
     "rust": Profile((("function", rf"\bfn\s+{_N}"), ("type", rf"\b(?:struct|enum|type)\s+{_N}"), ("interface", rf"\btrait\s+{_N}"), ("namespace", rf"\bmod\s+{_N}")), (r"\buse\s+(?P<name>[\w:]+)",), quotes='"'),
     "php": Profile((*_C_TYPES, ("function", rf"\bfunction\s+{_N}\s*\(")), (r"\buse\s+(?P<name>[\w\\]+)",)),
     "ruby": Profile((("class", r"\bclass\s+(?P<name>[A-Z]\w*)"), ("namespace", r"\bmodule\s+(?P<name>[A-Z]\w*)"), ("method", r"\bdef\s+(?:self\.)?(?P<name>\w+[?!]?)")), (r"\brequire(?:_relative)?\s+[\"'](?P<name>[^\"']+)",), **_HASH),
@@ -209,15 +231,15 @@ PROFILES: dict[str, Profile] = {
     "shell": Profile((("function", rf"^\s*(?:function\s+)?{_N}\s*\(\)\s*\{{"),), (r"^\s*(?:source|\.)\s+(?P<name>\S+)",), **_HASH),
     "powershell": Profile((("function", r"\bfunction\s+(?P<name>[\w-]+)"), ("class", rf"\bclass\s+{_N}")), (r"\bImport-Module\s+(?P<name>\S+)",), line_comment="#", block_comment=("<#", "#>")),
     "lua": Profile((("function", r"\bfunction\s+(?P<name>[\w.:]+)"),), (r"\brequire\s*\(?\s*[\"'](?P<name>[^\"']+)",), line_comment="--", block_comment=("--[[", "]]")),
-    "perl": Profile((("function", rf"\bsub\s+{_N}"), ("namespace", r"\bpackage\s+(?P<name>[\w:]+)")), (r"\buse\s+(?P<name>[\w:]+)",), **_HASH),
+    "perl": Profile((("function", rf"\bsub\s+{_N}"), ("namespace", r"\bpackage\s+(?P<name>[\w:]+)", AFTER)), (r"\buse\s+(?P<name>[\w:]+)",), **_HASH),
     "julia": Profile((("function", rf"\bfunction\s+{_N}"), ("type", rf"\bstruct\s+{_N}"), ("namespace", rf"\bmodule\s+{_N}")), (r"\b(?:using|import)\s+(?P<name>[\w.]+)",), line_comment="#", block_comment=("#=", "=#"), quotes='"'),
     "elixir": Profile((("namespace", r"\bdefmodule\s+(?P<name>[\w.]+)"), ("function", r"\bdefp?\s+(?P<name>\w+[?!]?)")), (r"\b(?:import|alias|use)\s+(?P<name>[\w.]+)",), **_HASH),
-    "haskell": Profile((("type", r"^(?:data|newtype|type)\s+(?P<name>[A-Z]\w*)"), ("interface", r"^class\s+(?P<name>[A-Z]\w*)"), ("function", r"^(?P<name>[a-z]\w*)\s*::")), (r"^import\s+(?:qualified\s+)?(?P<name>[\w.]+)",), line_comment="--", block_comment=("{-", "-}"), quotes='"'),
-    "groovy": Profile((*_C_TYPES, ("method", rf"\bdef\s+{_N}\s*\(")), (r"\bimport\s+(?P<name>[\w.*]+)",)),
+    "haskell": Profile((("type", r"^(?:data|newtype|type)\s+(?P<name>[A-Z]\w*)"), ("interface", r"^class\s+(?P<name>[A-Z]\w*)"), ("function", r"^(?P<name>(?!module\b|import\b|where\b|instance\b)[a-z][\w']*)[^=\n:|]*(?:::|=(?!=))")), (r"^import\s+(?:qualified\s+)?(?P<name>[\w.]+)",), line_comment="--", block_comment=("{-", "-}"), quotes='"'),
+    "groovy": Profile((("namespace", r"^\s*package\s+(?P<name>[\w.]+)", FILE), *_C_TYPES, ("function", rf"\bdef\s+{_N}\s*\(")), (r"\bimport\s+(?P<name>[\w.*]+)",)),
     "r": Profile((("function", r"(?P<name>[\w.]+)\s*(?:<-|=)\s*function\s*\("),), (r"\b(?:library|require)\(\s*(?P<name>\w+)",), **_HASH),
-    "vbnet": Profile((("class", rf"(?i)\bclass\s+{_N}"), ("method", rf"(?i)\b(?:sub|function)\s+{_N}")), (r"(?i)\bimports\s+(?P<name>[\w.]+)",), line_comment="'", block_comment=None, quotes='"'),
-    "fortran": Profile((("namespace", rf"(?im)^\s*module\s+{_N}"), ("function", rf"(?i)\b(?:subroutine|function)\s+{_N}")), (r"(?im)^\s*use\s+(?P<name>\w+)",), line_comment="!", block_comment=None),
-    "pascal": Profile((("function", r"(?i)\b(?:procedure|function)\s+(?P<name>[\w.]+)"), ("class", rf"(?i)\b{_N}\s*=\s*class\b")), (r"(?i)\buses\s+(?P<name>\w+)",), block_comment=("{", "}"), quotes="'"),
+    "vbnet": Profile((("namespace", r"(?i)\b(?:namespace|module)[ \t]+(?P<name>[\w.]+)"), ("class", rf"(?i)\b(?:class|structure)[ \t]+{_N}"), ("interface", rf"(?i)\binterface[ \t]+{_N}"), ("function", rf"(?i)\b(?:sub|function|property)[ \t]+{_N}")), (r"(?i)\bimports\s+(?P<name>[\w.]+)",), line_comment="'", block_comment=None, quotes='"'),
+    "fortran": Profile((("namespace", rf"(?im)^\s*(?:module|program)\s+(?!procedure\b){_N}"), ("function", rf"(?i)\b(?:subroutine|function)[ \t]+{_N}")), (r"(?im)^\s*use\s+(?P<name>\w+)",), line_comment="!", block_comment=None),
+    "pascal": Profile((("namespace", r"(?im)^\s*(?:unit|program|library)\s+(?P<name>[\w.]+)", FILE), ("function", r"(?i)\b(?:procedure|function|constructor|destructor)\s+(?:(?P<of>\w+)\.)?(?P<name>\w+)"), ("class", rf"(?i)\b{_N}\s*=\s*(?:class|record|object)\b")), (r"(?i)\buses\s+(?P<name>\w+)",), block_comment=("{", "}"), quotes="'"),
     "zig": Profile((("function", rf"\bfn\s+{_N}"), ("type", rf"\bconst\s+{_N}\s*=\s*(?:struct|enum|union)\b")), (r"@import\(\"(?P<name>[^\"]+)",), block_comment=None),
     "solidity": Profile((("class", rf"\b(?:contract|library)\s+{_N}"), ("interface", rf"\binterface\s+{_N}"), ("function", rf"\bfunction\s+{_N}")), (r"\bimport\s+[\"'](?P<name>[^\"']+)",)),
 }
@@ -225,19 +247,19 @@ PROFILES: dict[str, Profile] = {
 
 _MORE_N = r"(?P<name>[A-Za-z_][\w.]*)"
 PROFILES |= {
-    "erlang": Profile((("function", r"^(?P<name>[a-z]\w*)\s*\([^)]*\)\s*(?:when[^>]*)?->"), ("namespace", r"^-module\(\s*(?P<name>\w+)")), (r"^-(?:import|include(?:_lib)?)\(\s*\"?(?P<name>[\w./]+)",), ends="indent", line_comment="%", block_comment=None),
-    "ocaml": Profile((("function", rf"^\s*let\s+(?:rec\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^\s*module\s+(?P<name>[A-Z]\w*)")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends="indent", line_comment="", block_comment=("(*", "*)"), quotes='"'),
-    "fsharp": Profile((("function", rf"^\s*let\s+(?:rec\s+|inline\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^\s*(?:module|namespace)\s+(?P<name>[\w.]+)"), ("method", rf"^\s*member\s+\w+\.{_N}")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends="indent", block_comment=("(*", "*)"), quotes='"'),
-    "clojure": Profile((("function", r"\(defn-?\s+(?P<name>[^\s\[\]()]+)"), ("namespace", r"\(ns\s+(?P<name>[\w.-]+)"), ("type", r"\(def(?:record|type|protocol)\s+(?P<name>\w+)")), (r"\(:?require\s+'?\[?(?P<name>[\w.-]+)",), ends="indent", line_comment=";", block_comment=None, quotes='"'),
-    "nim": Profile((("function", rf"^\s*(?:proc|func|method|template|macro|iterator)\s+{_N}"), ("type", rf"^\s+{_N}\*?\s*=\s*(?:ref\s+)?object\b")), (r"^\s*(?:import|include|from)\s+(?P<name>[\w/.]+)",), ends="indent", **_HASH),
-    "ada": Profile((("function", r"(?i)\b(?:procedure|function)\s+(?P<name>\w+)"), ("namespace", r"(?i)\bpackage\s+(?:body\s+)?(?P<name>[\w.]+)"), ("type", rf"(?i)\btype\s+{_N}")), (r"(?i)^\s*with\s+(?P<name>[\w.]+)",), ends="words", end_words=("end",), line_comment="--", block_comment=None, quotes='"'),
-    "objectivec": Profile((("class", rf"@(?:interface|implementation)\s+{_N}"), ("interface", rf"@protocol\s+{_N}"), ("method", r"^[-+]\s*\([^)]*\)\s*(?P<name>\w+)"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"#\s*(?:import|include)\s*[<\"](?P<name>[^>\"]+)",), inherits=(r"@interface\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",)),
-    "vba": Profile((("method", r"(?im)^\s*(?:public\s+|private\s+)?(?:sub|function|property\s+\w+)\s+(?P<name>\w+)"), ("type", rf"(?im)^\s*(?:public\s+|private\s+)?type\s+{_N}")), (), ends="words", end_words=("end sub", "end function", "end property", "end type"), line_comment="'", block_comment=None, quotes='"'),
-    "matlab": Profile((("function", r"^\s*function\s+(?:\[?[\w,\s]*\]?\s*=\s*)?(?P<name>\w+)"), ("class", rf"^\s*classdef\s+{_N}")), (r"^\s*import\s+(?P<name>[\w.*]+)",), ends="nested", line_comment="%", block_comment=("%{", "%}"), inherits=(r"classdef\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w &]+)",)),
-    "cobol": Profile((("namespace", r"(?im)^[\s\d]*program-id\.\s+(?P<name>[\w-]+)"), ("function", r"(?im)^[\s\d]{0,7}(?P<name>[A-Z][\w-]*)\s+section\s*\.")), (r"(?im)^\s*copy\s+(?P<name>[\w-]+)",), ends="indent", line_comment="*>", block_comment=None),
-    "assembly": Profile((("function", r"^(?P<name>[A-Za-z_.][\w.$]*):"),), (r"^\s*[.%]?include\s+[\"<]?(?P<name>[\w./]+)",), ends="indent", line_comment=";", block_comment=None),
-    "hcl": Profile((("type", r"^(?:resource|data)\s+\"[^\"]+\"\s+\"(?P<name>[^\"]+)\""), ("namespace", r"^module\s+\"(?P<name>[^\"]+)\""), ("function", r"^(?:variable|output)\s+\"(?P<name>[^\"]+)\"")), (r"^\s*source\s*=\s*\"(?P<name>[^\"]+)",), line_comment="#", block_comment=("/*", "*/"), quotes=""),
-    "gdscript": Profile((("class", rf"^(?:class_name|class)\s+{_N}"), ("function", rf"^\s*(?:static\s+)?func\s+{_N}")), (r"\b(?:preload|load)\(\s*\"(?P<name>[^\"]+)",), ends="indent", inherits=(r"^class\s+(?P<name>\w+)\s+extends\s+(?P<bases>\w+)",), **_HASH),
+    "erlang": Profile((("function", r"^(?P<name>[a-z]\w*)\s*\([^)]*\)\s*(?:when[^>]*)?->"), ("namespace", r"^-module\(\s*(?P<name>\w+)", FILE)), (r"^-(?:import|include(?:_lib)?)\(\s*\"?(?P<name>[\w./]+)",), ends=_INDENT, line_comment="%", block_comment=None),
+    "ocaml": Profile((("function", rf"^\s*let\s+(?:rec\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^\s*module\s+(?P<name>[A-Z]\w*)")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends=_INDENT, line_comment="", block_comment=("(*", "*)"), quotes='"'),
+    "fsharp": Profile((("function", rf"^\s*let\s+(?:rec\s+|inline\s+)?{_N}"), ("type", rf"^\s*type\s+{_N}"), ("namespace", r"^(?:module|namespace)\s+(?P<name>[\w.]+)\s*$", FILE), ("namespace", r"^\s*module\s+(?P<name>[\w.]+)\s*="), ("method", rf"^\s*member\s+\w+\.{_N}")), (r"^\s*open\s+(?P<name>[\w.]+)",), ends=_INDENT, block_comment=("(*", "*)"), quotes='"'),
+    "clojure": Profile((("function", r"\(defn-?\s+(?P<name>[^\s\[\]()]+)"), ("namespace", r"\(ns\s+(?P<name>[\w.-]+)"), ("type", r"\(def(?:record|type|protocol)\s+(?P<name>\w+)")), (r"\(:?require\s+'?\[?(?P<name>[\w.-]+)",), ends=_INDENT, line_comment=";", block_comment=None, quotes='"'),
+    "nim": Profile((("function", rf"^\s*(?:proc|func|method|template|macro|iterator)\s+{_N}"), ("type", rf"^\s+{_N}\*?\s*=\s*(?:ref\s+)?object\b")), (r"^\s*(?:import|include|from)\s+(?P<name>[\w/.]+)",), ends=_INDENT, **_HASH),
+    "ada": Profile((("function", r"(?i)\b(?:procedure|function)\s+(?P<name>\w+)"), ("namespace", r"(?i)\bpackage\s+(?:body\s+)?(?P<name>[\w.]+)"), ("type", rf"(?i)\btype\s+{_N}")), (r"(?i)^\s*with\s+(?P<name>[\w.]+)",), ends=_ADA, line_comment="--", block_comment=None, quotes='"'),
+    "objectivec": Profile((("class", rf"@(?:interface|implementation)\s+{_N}", "@end"), ("interface", rf"@protocol\s+{_N}(?!\s*[;,])", "@end"), ("method", r"^[-+]\s*\([^)]*\)\s*(?P<name>\w+)"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"#\s*(?:import|include)\s*[<\"](?P<name>[^>\"]+)",), inherits=(r"@interface\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",), calls=(_CALL, r"\[\s*(?P<receiver>\w+)\s+(?P<name>\w+)"), once=True),
+    "vba": Profile((("method", r"(?im)^\s*(?:public\s+|private\s+)?(?:sub|function|property\s+\w+)\s+(?P<name>\w+)"), ("type", rf"(?im)^\s*(?:public\s+|private\s+)?type\s+{_N}")), (), told=(("namespace", r"(?im)^attribute\s+vb_name\s*=\s*\"(?P<name>\w+)\"", FILE),), ends=_BASIC, line_comment="'", block_comment=None, quotes='"'),
+    "matlab": Profile((("function", r"^\s*function\s+(?:\[?[\w,\s]*\]?\s*=\s*)?(?P<name>\w+)"), ("class", rf"^\s*classdef\s+{_N}")), (r"^\s*import\s+(?P<name>[\w.*]+)",), ends=_MATLAB, line_comment="%", block_comment=("%{", "%}"), inherits=(r"classdef\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w &]+)",)),
+    "cobol": Profile((("namespace", r"(?im)^[ \d]*program-id\.\s+(?P<name>[\w-]+)", 0), ("namespace", r"(?im)^[ \d]{0,10}(?P<name>[A-Z][\w-]*)\s+section\s*\.", 1), ("function", r"(?im)^(?:[ \d]{6} {1,4})?(?P<name>[A-Z][\w-]*)\s*\.[ \t]*$", 2)), (r"(?im)^\s*copy\s+(?P<name>[\w-]+)",), calls=(r"(?i)\bperform\s+(?P<name>(?!until\b|varying\b|with\b)[A-Z][\w-]*)",), ends=_RANKED, line_comment="*>", block_comment=None),
+    "assembly": Profile((("function", r"^(?P<name>[A-Za-z_.][\w.$]*):", 0),), (r"^\s*[.%]?include\s+[\"<]?(?P<name>[\w./]+)",), calls=(r"(?i)^\s+(?:call|bl|blx|jal|jsr)\s+(?P<name>[A-Z_.][\w.$]*)",), ends=_RANKED, line_comment=";", block_comment=None),
+    "hcl": Profile((("type", r"^(?:resource|data)\s+\"(?P<of>[^\"]+)\"\s+\"(?P<name>[^\"]+)\""), ("type", r"^(?:variable|output|module|provider)\s+\"(?P<name>[^\"]+)\"")), (r"^\s*source\s*=\s*\"(?P<name>[^\"]+)",), calls=(), references=(r"\b(?:var|module|local)\.(?P<name>\w+)", r"(?<![\w.])(?:data\.)?(?!var\.|module\.|local\.|data\.|each\.|path\.)(?P<of>[a-z]\w*)\.(?P<name>\w+)"), line_comment="#", block_comment=("/*", "*/"), quotes=""),
+    "gdscript": Profile((("class", rf"^class_name\s+{_N}", FILE), ("class", rf"^class\s+{_N}"), ("function", rf"^\s*(?:static\s+)?func\s+{_N}")), (r"\b(?:preload|load)\(\s*\"(?P<name>[^\"]+)",), ends=_INDENT, inherits=(r"^class\s+(?P<name>\w+)\s+extends\s+(?P<bases>\w+)",), **_HASH),
 }
 PROFILES["cuda"] = PROFILES["cpp"]
 _EXTENDS = r"\b(?:class|struct|interface|record|object|trait)\s+(?P<name>[A-Za-z_]\w*)(?:<[^{>]*>)?[^{:;]*?"
@@ -246,8 +268,8 @@ _LABELLED = r"\b(?P<name>[a-z_]\w*)\s*:\s*(?P<type>[A-Z]\w*)"
 _MADE = r"\b(?:val|var|let|const)\s+(?P<name>[a-z_]\w*)\s*=\s*(?:new\s+)?(?P<type>[A-Z]\w*)\s*[({]"
 #: What the profiles of languages with classes add: what types inherit, which blocks belong to a type, what variables hold.
 _CLASSES = {
-    "java": {"inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:implements|permits|\{))", r"\b(?:class|record|enum)\s+(?P<name>\w+)[^{;]*?\bimplements\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:permits|\{))"), "variables": (_TYPED,)},
-    "csharp": {"inherits": (r"\b(?:class|struct|interface|record)\s+(?P<name>\w+)(?:<[^{>]*>)?\s*:\s*(?P<bases>[\w.,<> ]+)",), "variables": (_TYPED,)},
+    "java": {"root": "package", "inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:implements|permits|\{))", r"\b(?:class|record|enum)\s+(?P<name>\w+)[^{;]*?\bimplements\s+(?P<bases>[\w.,<> ]+?)(?=\s*(?:permits|\{))"), "variables": (_TYPED,)},
+    "csharp": {"root": "package", "inherits": (r"\b(?:class|struct|interface|record)\s+(?P<name>\w+)(?:<[^{>]*>)?\s*:\s*(?P<bases>[\w.,<> ]+)",), "variables": (_TYPED,)},
     "kotlin": {"inherits": (r"\b(?:class|interface|object)\s+(?P<name>\w+)(?:<[^{>]*>)?(?:\([^)]*\))?\s*:\s*(?P<bases>[\w.,<>() ]+)",), "variables": (_LABELLED, _MADE)},
     "swift": {"inherits": (r"\b(?:class|struct|protocol|enum|extension)\s+(?P<name>\w+)(?:<[^{>]*>)?\s*:\s*(?P<bases>[\w.,<> ]+)",), "variables": (_LABELLED, _MADE)},
     "php": {"inherits": (_EXTENDS + r"\bextends\s+(?P<bases>[\w\\\\, ]+?)(?=\s*(?:implements|\{))", r"\bclass\s+(?P<name>\w+)[^{;]*?\bimplements\s+(?P<bases>[\w\\\\, ]+?)(?=\s*\{)"), "variables": (r"\$(?P<name>\w+)\s*=\s*new\s+(?P<type>\w+)", r"\b(?P<type>[A-Z]\w*)\s+\$(?P<name>\w+)")},
@@ -256,13 +278,13 @@ _CLASSES = {
     "javascript": {"inherits": (r"\bclass\s+(?P<name>\w+)\s+extends\s+(?P<bases>[\w.]+)",), "variables": (_MADE,)},
     "typescript": {"inherits": (r"\b(?:class|interface)\s+(?P<name>\w+)(?:<[^{>]*>)?\s+(?:extends|implements)\s+(?P<bases>[\w., ]+?)(?=\s*(?:implements|\{))",), "variables": (_LABELLED, _MADE)},
     "cpp": {"inherits": (r"\b(?:class|struct)\s+(?P<name>\w+)\s*(?:final\s*)?:\s*(?P<bases>[\w:,<> ]+)",)},
-    "ruby": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w:]+)",), "variables": (r"\b(?P<name>[a-z_]\w*)\s*=\s*(?P<type>[A-Z]\w*)\.new\b",), "ends": "nested"},
-    "go": {"owners": (), "variables": (r"\b(?P<name>[a-z_]\w*)\s*:?=\s*&?(?P<type>[A-Z]\w*)\{", r"\b(?P<name>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\s*(?=[,)])")},
-    "rust": {"owners": (r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>[A-Za-z_]\w*)",), "inherits": (r"\btrait\s+(?P<name>\w+)\s*:\s*(?P<bases>[\w:+ ]+)", r"\bimpl(?:<[^>]*>)?\s+(?P<bases>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<name>\w+)"), "variables": (r"\blet\s+(?:mut\s+)?(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)\s*(?:::|\{)", r"\b(?P<name>[a-z_]\w*)\s*:\s*&?(?:mut\s+)?(?P<type>[A-Z]\w*)")},
+    "ruby": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w:]+)",), "variables": (r"\b(?P<name>[a-z_]\w*)\s*=\s*(?P<type>[A-Z]\w*)\.new\b",), "ends": _RUBY},
+    "go": {"root": "package", "variables": (r"\b(?P<name>[a-z_]\w*)\s*:?=\s*&?(?P<type>[A-Z]\w*)\{", r"\b(?P<name>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\s*(?=[,)])")},
+    "rust": {"root": "crate", "joint": "::", "owners": (r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>[A-Za-z_]\w*)",), "inherits": (r"\btrait\s+(?P<name>\w+)\s*:\s*(?P<bases>[\w:+ ]+)", r"\bimpl(?:<[^>]*>)?\s+(?P<bases>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<name>\w+)"), "variables": (r"\blet\s+(?:mut\s+)?(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)\s*(?:::|\{)", r"\b(?P<name>[a-z_]\w*)\s*:\s*&?(?:mut\s+)?(?P<type>[A-Z]\w*)")},
     "powershell": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",)},
-    "shell": {}, "julia": {"ends": "nested"}, "elixir": {"ends": "nested"}, "haskell": {"ends": "indent"}, "lua": {"ends": "words"},
-    "vbnet": {"ends": "words", "end_words": ("end sub", "end function", "end class"), "inherits": (r"(?i)\bclass\s+(?P<name>\w+)\s+inherits\s+(?P<bases>\w+)",)},
-    "fortran": {"ends": "words", "end_words": ("end subroutine", "end function", "end module")}, "pascal": {"ends": "words", "end_words": ("end",)},
+    "julia": {"ends": _JULIA}, "elixir": {"ends": _ELIXIR, "once": True}, "haskell": {"ends": _INDENT, "once": True}, "lua": {"ends": _LUA}, "erlang": {"once": True}, "r": {"ends": Style(lines=True)},
+    "vbnet": {"ends": _BASIC, "inherits": (r"(?i)\bclass\s+(?P<name>\w+)\s+inherits\s+(?P<bases>\w+)",)},
+    "fortran": {"ends": _FORTRAN}, "pascal": {"ends": _PASCAL, "calls": (_CALL, r"(?i)(?:;|\b(?:begin|then|else|do|repeat)\b)\s*(?P<name>(?!begin\b|end\b|exit\b|until\b)[a-z_]\w*)\s*(?=;|\bend\b)")},
 }
 PROFILES |= {k: replace(PROFILES[k], **v) for k, v in _CLASSES.items()}
 #: Of JavaScript and TypeScript, methods inside classes too.
@@ -291,6 +313,69 @@ def masked(text: str, p: Profile) -> str:
     return re.sub("|".join([*parts, f"(?P<s>{strings})"]), blank, text, flags=re.M)
 
 
+@dataclass
+class _Definition:
+    kind: str
+    name: str
+    before: str | None  # what the name is told with
+    at: int
+    end: int  # of the name
+    reach: int | str
+    head: int = 0
+    params: int = 0  # where they are looked for
+    stop: int = 0
+    id: str | None = None  # none for a block that only belongs to a type
+    arity: int | None = None
+    around: list[_Definition] = field(default_factory=list)
+
+    @property
+    def shown(self) -> str:
+        return self.name if self.before is None else f"{self.before}.{self.name}"
+
+    @property
+    def owns(self) -> bool:
+        return self.kind in _TYPES or self.kind == "owner"
+
+
+def _definitions(code: str, text: str, p: Profile) -> list[_Definition]:
+    """Definitions and blocks of types in the order of their names' places."""
+    found: dict[int, _Definition] = {}
+    for where, entries in ((code, p.definitions), (text, p.told), (code, [("owner", x) for x in p.owners])):
+        for kind, pattern, *reach in entries:
+            for m in re.finditer(pattern, where, re.M):
+                s, name = m.start("name"), m["name"]
+                closing = re.search(r"(?i)\b(?:end|exit)[ \t]+(?:\w+[ \t]+)?$", code[max(0, s - 40) : s])
+                hidden = entries is p.told and code[m.start()].isspace()  # in a comment
+                if name not in p.ignore and name not in _WORDS and not closing and not hidden:
+                    found.setdefault(s, _Definition(kind, name, m.groupdict().get("of"), s, m.end("name"), reach[0] if reach else BLOCK, m.start(), m.end() - 1 if m[0].endswith("(") else m.end("name")))
+    return [found[k] for k in sorted(found)]
+
+
+def _reaches(found: list[_Definition], code: str, blocks: Blocks, lang: str) -> None:
+    """Sets where each definition stops, and its number of parameters."""
+    for k, d in enumerate(found):
+        arity, after = _arguments(code, d.params)
+        if d.kind in ("function", "method"):
+            own = lang == "rust" and re.match(r"[^(]*\(\s*&?(?:'\w+\s+)?(?:mut\s+)?self\b", code[d.end : after]) is not None  # a call doesn't name it
+            d.arity = arity - own
+        head = max(d.end, after)
+        if d.reach == FILE:
+            d.stop = len(code)
+        elif d.reach == AFTER:
+            first = next((x for x in blocks.opens if x >= head), None)
+            d.stop = len(code) if first is None else blocks.close.get(first, len(code))
+        elif isinstance(d.reach, str):
+            end = code.find(d.reach, head)
+            d.stop = len(code) if end < 0 else end + len(d.reach)
+        elif d.reach >= 0:
+            d.stop = next((x.head for x in found[k + 1 :] if isinstance(x.reach, int) and 0 <= x.reach <= d.reach), len(code))
+        else:
+            d.stop = blocks.end(d.at, head)
+
+
+_SEEN = re.compile(r"\b(?:public|private|protected|internal|fileprivate|open|static|pub|export)\b")
+
+
 def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
     """Records of a file by its language's profile; matches that begin in a comment or string don't count."""
     p, text = PROFILES[lang], content.decode("utf-8", "replace")
@@ -304,49 +389,72 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
     new = lambda record, **v: dict.fromkeys(_NAMES) | {"record": record, "file": path, "language": lang} | v
     module = f"{lang}:{path}:module"
     rows = [new("node", id=module, kind="module", name=path.rsplit("/", 1)[-1], qualified_name=path)]
-    found: dict[int, tuple[str, str, int]] = {}
-    for kind, pattern in p.definitions:
-        for m in re.finditer(pattern, code, re.M):
-            if m["name"] not in p.ignore and m["name"] not in _WORDS:
-                found.setdefault(m.start("name"), (kind, m["name"], m.end("name")))
-    spans: list[tuple[int, int, str, str]] = []  # (start, end, id or type, kind): what encloses what
-    for pattern in p.owners:
-        spans += [(m.start(), block_end(code, m.end(), p.ends, p.end_words), m["name"], "owner") for m in re.finditer(pattern, code, re.M)]
+    found = _definitions(code, text, p)
+    _reaches(found, code, Blocks(code, p.ends), lang)
+    root = {"path": path, "crate": _crate(path)}.get(p.root, "")
+    types = {d.name: d for d in reversed(found) if d.kind in _TYPES}
     used: dict[str, int] = {}
-    named: dict[str, str] = {}
-    for s in sorted(found):
-        kind, name, e = found[s]
-        params = _arguments(code, e)
-        end = block_end(code, max(e, params[1]), p.ends, p.end_words)
-        around = [x for x in spans if x[0] <= s < x[1]]
-        holder = max((x for x in around if x[3] != "owner"), default=None)
-        owner = max((x for x in around if x[3] in _TYPES or x[3] == "owner"), default=None)
-        owner_name = _go_receiver(code, s) if lang == "go" else None
-        if owner is not None and owner_name is None:
-            owner_name = owner[2] if owner[3] == "owner" else named[owner[2]]
-        if kind == "function" and owner_name is not None:
-            kind = "method"
-        base = f"{lang}:{path}:{name}:{kind}"
+    of_name: dict[str, str] = {}
+    open_: list[_Definition] = []
+    for d in found:
+        open_ = [x for x in open_ if d.at < x.stop]
+        d.around = list(open_)
+        if lang == "go" and d.kind == "function" and (receiver := _go_receiver(code, d.at)):
+            d.around.append(_Definition("owner", receiver, None, d.at, d.end, BLOCK, stop=d.stop))
+            d.head = code.rfind("\n", 0, d.at) + 1  # the receiver stands before the name
+        apart = None
+        if d.before in types and types[d.before] is not d:
+            apart, d.before = types[d.before], None
+            d.around = [*apart.around, apart]
+        open_.append(d)
+        if d.kind == "owner":
+            continue
+        owner = next((x for x in reversed(d.around) if x.owns), None)
+        if d.kind == "function" and owner is not None and not (p.joint == "::" and owner.kind == "namespace"):
+            d.kind = "method"
+        shown = d.shown
+        if p.root != "path" and d.arity is not None:
+            made = lang in ("java", "csharp") and owner is not None and d.name == owner.name
+            shown = f"{'<init>' if made else shown}({d.arity})"
+        chain: list[str] = []
+        for x in [*d.around, d]:
+            told = shown if x is d else x.shown
+            # a block of a type in a package is the type's own
+            chain += [told] if x.kind != "owner" or not chain or chain[-1] != told else []
+        qualified = p.joint.join(x for x in (root, *chain) if x)
+        base = f"{lang}:{path}:{p.joint.join(chain)}:{d.kind}"
+        if p.once and base in of_name:
+            d.id = base
+            continue
         k = used[base] = used.get(base, -1) + 1
-        id_ = base if not k else f"{base}~{s}"
-        named[id_] = name
-        parent = holder[2] if holder is not None else module
-        own = lang == "rust" and re.match(r"[^(]*\(\s*&?(?:'\w+\s+)?(?:mut\s+)?self\b", code[e : params[1]]) is not None  # a call doesn't name it
-        arity = params[0] - own if kind in ("function", "method") else None
-        rows += [new("node", id=id_, kind=kind, name=name, qualified_name=f"{path}:{name}", parent_id=parent, arity=arity, owner=owner_name, **at(s, e)), new("binding", scope=module, name=name, target=id_, start=s)]
-        spans.append((code.rfind("\n", 0, s) + 1 if lang == "go" else s, end, id_, kind))  # a Go method's receiver stands before its name
-    spans.sort()
-    starts = [x[0] for x in spans]
+        d.id = base if not k else f"{base}~{d.at}"
+        of_name[base] = d.id
+        holder = next((x for x in reversed(d.around if apart is None else apart.around) if x.id or x.kind == "owner"), None)
+        parent = module if holder is None else holder.id or (types[holder.name].id if holder.name in types else None)
+        if parent is None:
+            parent = f"?{holder.name}"
+        seen = " ".join(_SEEN.findall(code[max(code.rfind(c, 0, d.at) for c in "\n;{}") + 1 : d.at]))
+        rows += [
+            new("node", id=d.id, kind=d.kind, name=d.name, qualified_name=qualified, parent_id=parent, arity=d.arity, owner=owner.name if owner else None, message=seen or None,
+                return_behavior=returns(code[d.end : d.stop]) if d.kind in ("function", "method") else None, **at(d.at, d.end)),
+            *(new("binding", scope=module, name=n, target=d.id, start=d.at) for n in dict.fromkeys((d.name, d.shown))),
+        ]
+    for r in rows:
+        if r["record"] == "node" and (r["parent_id"] or "").startswith("?"):  # a block of a type that comes later, or from another file
+            t = types.get(r["parent_id"][1:])
+            r["parent_id"] = t.id if t is not None and t.id else module
+    begins = sorted(found, key=lambda d: (d.head if lang == "go" else d.at, -d.stop))
+    starts = [d.head if lang == "go" else d.at for d in begins]
 
     def inside(offset: int) -> tuple[str, str | None]:
         """The definition around an offset, and the type it belongs to."""
         scope, owner = module, None
-        for x in reversed(spans[: bisect_right(starts, offset)]):
-            if offset < x[1]:
-                if scope == module and x[3] != "owner":
-                    scope = x[2]
-                if owner is None and (x[3] in _TYPES or x[3] == "owner"):
-                    owner = x[2] if x[3] == "owner" else named[x[2]]
+        for d in reversed(begins[: bisect_right(starts, offset)]):
+            if offset < d.stop:
+                if scope == module and d.id:
+                    scope, outer = d.id, [x.name for x in d.around if x.owns]
+                    owner = owner or (outer[-1] if outer and not d.owns else None)
+                owner = owner or (d.name if d.owns else None)
                 if scope != module and owner is not None:
                     break
         return scope, owner
@@ -355,28 +463,42 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
         for m in re.finditer(pattern, text, re.M):
             if code[m.start()] == text[m.start()] and not code[m.start()].isspace():
                 rows.append(new("import", relation="imports", scope=module, name=m["name"], module_name=m["name"], message=m["name"], **at(m.start(), m.end())))
-    types = {x["name"]: x["id"] for x in rows if x["record"] == "node" and x["kind"] in _TYPES}
     for pattern in p.inherits:
         for m in re.finditer(pattern, code, re.M):
             for base in re.split(r"\s*(?:,|&|\+|\bwith\b)\s*", re.sub(r"<[^<>]*>|\([^()]*\)", "", m["bases"])):
                 base = re.split(r"\.|::|\\\\", re.sub(r"^(?:public|private|protected|virtual)\s+", "", base.strip()).strip())[-1]
                 if base and m["name"] in types:
-                    rows.append(new("ref", relation="inherits", scope=types[m["name"]], chain=[base], message=base, owner=m["name"], **at(m.start("bases"), m.end("bases"))))
+                    rows.append(new("ref", relation="inherits", scope=types[m["name"]].id, chain=[base], message=base, owner=m["name"], **at(m.start("bases"), m.end("bases"))))
     for pattern in p.variables:
         for m in re.finditer(pattern, code, re.M):
             if m["type"] not in _WORDS and m["name"] not in _WORDS:
                 scope, owner = inside(m.start())
                 rows.append(new("variable", scope=scope, name=m["name"], target=m["type"], owner=owner, start=m.start()))
-    go_scope = {x["id"]: x["owner"] for x in rows if x["record"] == "node"}
-    for m in re.finditer(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|->|::|\?\.)\s*)?(?<![\w$])([A-Za-z_]\w*)\s*\(", code):
-        if m[2] not in p.ignore and m[2] not in _WORDS and m.start(2) not in found:
-            scope, owner = inside(m.start())
-            owner = owner or go_scope.get(scope)
-            receiver = (m[1] or "").lstrip("$") or None
-            rows.append(new("ref", relation="calls", scope=scope, chain=[m[2]], message=f"{m[1]}.{m[2]}" if m[1] else m[2], owner=owner, receiver=receiver, arity=_arguments(code, m.end(2))[0], **at(m.start(2), m.end(2))))
+                if p.root != "path":
+                    rows.append(new("ref", relation="uses", scope=scope, chain=[m["type"]], message=m["type"], owner=owner, **at(m.start("type"), m.end("type"))))
+    names = {d.at for d in found}
+    for relation, patterns in (("calls", p.calls), ("references", p.references)):
+        for pattern in patterns:
+            for m in re.finditer(pattern, code, re.M):
+                name = m["name"]
+                if name in p.ignore or name in _WORDS or m.start("name") in names:
+                    continue
+                scope, owner = inside(m.start("name"))
+                said = m.groupdict()
+                receiver = (said.get("receiver") or "").lstrip("$") or None
+                name = f"{said['of']}.{name}" if said.get("of") else name
+                if scope != module or relation == "calls":
+                    rows.append(new("ref", relation=relation, scope=scope, chain=[name], message=f"{said['receiver']}.{name}" if receiver else name, owner=owner, receiver=receiver, arity=_arguments(code, m.end("name"))[0], **at(m.start("name"), m.end("name"))))
     return rows
 
 
+def _crate(path: str) -> str:
+    """The path of a Rust file's module: src/a/b.rs is crate::a::b, and lib, main and mod name their folder."""
+    parts = re.sub(r"\.rs$", "", path).split("/")
+    parts = parts[len(parts) - parts[::-1].index("src") :] if "src" in parts else parts
+    return "::".join(["crate", *(parts[:-1] if parts[-1] in ("lib", "main", "mod") else parts)])
+
+
 _TYPES = frozenset(["class", "interface", "type", "namespace"])
 _WORDS = frozenset("func fn fun def if for while switch return catch sizeof function elseif match with new throw else do in of typeof await yield import super this self using lock foreach".split())
 

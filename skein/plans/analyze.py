@@ -12,13 +12,16 @@ from skein.functions.scalars import visibility
 from skein.operators import resolve
 from skein.plans.markup import LANGUAGES, markup
 from skein.plans.typed import typed
-from skein.sources.files import ScanConfig, scan, skipped
+from skein.sources.config import refined_language
+from skein.sources.files import EXTENSIONS, ScanConfig, scan, skipped
 from skein.sources.graph import Graph, conform
 from skein.sources.schema import DIAGNOSTICS, EDGES, NODES
 from skein.sources.shared import written
 
 #: Confidence by outcome.
 CONFIDENCE = {"resolved": 1.0, "external": 0.7, "unresolved": 0.2, "unsupported": 0.1}
+#: Languages that share suffixes, told apart by content.
+SHARED = ("c", "cpp", "objectivec", "matlab")
 #: Names that Python itself binds.
 BUILTINS = tuple(n for n in dir(builtins) if not n.startswith("_") or n == "__import__")
 
@@ -111,8 +114,11 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def analyze(spark: SparkSession, root: str, languages: list[str] | None = None, config: ScanConfig | None = None) -> Graph:
     """The graph of a source tree. Files are parsed once, in parallel; what they refer to is found by joins."""
-    files = scan(spark, root, languages, config)
-    kept = files.where("reason is null")
+    wanted = languages and [*languages, *(x for x in SHARED if set(languages) & set(SHARED))]
+    files = scan(spark, root, wanted, config)
+    files = files.withColumn("language", refined_language(F.col("path"), F.col("language"), F.col("content"), languages or list(EXTENSIONS)))
+    files = files.where(F.col("language").isin(languages) | F.col("reason").eqNullSafe("symlink")) if languages else files
+    kept = written(files.where("reason is null"))
     found = written(records(kept.where(~F.col("language").isin(*LANGUAGES))))
     rows, problems = resolved(found)
     marked, links, more = markup(written(kept.where(F.col("language").isin(*LANGUAGES, "javascript", "typescript")).select("path", "language", "content")))

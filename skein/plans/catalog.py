@@ -82,15 +82,6 @@ def module_bounding_boxes(s: SparkSession, d: str) -> DataFrame:
     return rollup.bounding_boxes(at, _modules(s, d))
 
 
-@_query("""WITH RECURSIVE t AS (
-  SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent FROM nation UNION ALL SELECT concat('r', r_regionkey), NULL FROM region
-  UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer),
-a AS (SELECT id, id AS ancestor, 0 AS depth FROM t UNION ALL SELECT a.id, t.parent, a.depth + 1 FROM a JOIN t ON a.ancestor = t.id WHERE t.parent IS NOT NULL)
-SELECT id, ancestor, depth FROM a""")
-def containment_closure(s: SparkSession, d: str) -> DataFrame:
-    return rollup.ancestors(trade.nodes(s, d).where("id not like 's%'"))
-
-
 # --- chunks and ordinals
 
 
@@ -160,34 +151,12 @@ def report_rates(s: SparkSession, d: str) -> DataFrame:
 # --- validation
 
 
-@_query(f"""WITH {_N}, {_E}, k AS (SELECT id FROM n WHERE id NOT LIKE 's1%')
-SELECT 'edge.target_id does not exist' AS rule, e.id AS item FROM e ANTI JOIN k ON e.target_id = k.id
-UNION ALL SELECT 'edge.source_id does not exist', e.id FROM e ANTI JOIN k ON e.source_id = k.id""")
-def dangling_edges(s: SparkSession, d: str) -> DataFrame:
-    known, e = trade.nodes(s, d).where("id not like 's1%'"), trade.edges(s, d)
-    return validate.dangling(e, "target_id", known, "edge.target_id does not exist").union(validate.dangling(e, "source_id", known, "edge.source_id does not exist"))
-
-
 @_query("SELECT o_orderkey AS item, 'order without lines' AS rule FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 def dangling_orders(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"))
     return validate.dangling(table(s, d, "orders"), "o_orderkey", lines, "order without lines", "o_orderkey")
 
 
-@_query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_partkey * 7 + 3) % 1000 AS up FROM part WHERE p_partkey % 10 <> 0),
-a AS (SELECT id, up, 1 AS depth FROM p UNION ALL SELECT a.id, p.up, depth + 1 FROM a JOIN p ON a.up = p.id WHERE depth < 45)
-SELECT DISTINCT id FROM a WHERE depth = 45""")
-def parent_cycles(s: SparkSession, d: str) -> DataFrame:
-    tree = table(s, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7 + 3) % 1000).alias("parent_id"))
-    return validate.on_parent_cycles(tree)
-
-
-@_query("SELECT l_orderkey AS id, 'line.id is duplicate' AS rule FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey HAVING count(*) > 1")
-def duplicate_ids(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("id"))
-    return validate.duplicates(rows, "line.id is duplicate").withColumnRenamed("item", "id")
-
-
 @_query(f"WITH {_E} SELECT 'edge.id is duplicate' AS rule, id AS item FROM e GROUP BY id HAVING count(*) > 1")
 def contract_violations(s: SparkSession, d: str) -> DataFrame:
     """All rules together: line numbers repeat within orders, and nothing else is wrong."""
@@ -224,13 +193,6 @@ def severity_top(s: SparkSession, d: str) -> DataFrame:
     return search.top_diagnostics(trade.diagnostics(s, d)).select("code", "severity", "message", "file", "rank")
 
 
-@_query(f"""WITH {_E}, r AS (SELECT *, CASE WHEN source_id = 'c11' OR target_id = 's7' THEN 0 WHEN relation_type = 'imports' THEN 1 ELSE 2 END AS priority FROM e)
-SELECT id, priority, (SELECT greatest(count(*) - 1000, 0) FROM e) AS omitted FROM r ORDER BY priority, id LIMIT 1000""")
-def drawn_edges(s: SparkSession, d: str) -> DataFrame:
-    e = trade.edges(s, d)
-    return search.drawn_edges(e, (F.col("source_id") == "c11") | (F.col("target_id") == "s7"), F.col("relation_type") == "imports", 1000).select("id", "priority", "omitted")
-
-
 @_query(f"WITH {_N} SELECT id, qualified_name FROM n ORDER BY qualified_name, id LIMIT 300")
 def table_of_contents(s: SparkSession, d: str) -> DataFrame:
     return search.contents(trade.nodes(s, d)).select("id", "qualified_name")
@@ -281,14 +243,6 @@ def overlay_merge(s: SparkSession, d: str) -> DataFrame:
 # --- resolution
 
 
-@_query("""WITH c AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS one FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1)
-SELECT c_custkey AS ref, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN one END AS target_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'unresolved' ELSE 'external' END AS status FROM customer LEFT JOIN c ON c_nationkey = k""")
-def resolve_unique(s: SparkSession, d: str) -> DataFrame:
-    refs = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("name"))
-    defs = table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("target"))
-    return resolve.unique_match(refs, defs, ["name"]).drop("name")
-
-
 @_query("""WITH r AS (SELECT p_partkey AS ref, unnest([concat('a.', p_brand), concat('b.', p_type)]) AS name FROM part),
 d AS (SELECT concat('a.', p_brand) AS name, p_size AS target FROM part WHERE p_size < 3 UNION ALL SELECT concat('c.', p_type), p_size FROM part WHERE p_size = 50),
 f AS (SELECT ref, count(DISTINCT target) AS n, min(target) AS t FROM r JOIN d USING (name) GROUP BY ref),
@@ -302,20 +256,6 @@ def resolve_cascade(s: SparkSession, d: str) -> DataFrame:
     return resolve.cascade(refs, defs)
 
 
-@_query(f"""WITH {_N}, b AS (SELECT concat('n', n_nationkey) AS scope, 'x' AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS target FROM nation WHERE n_nationkey % 2 = 0
-  UNION ALL SELECT concat('r', r_regionkey), 'x', r_name FROM region WHERE r_regionkey < 3),
-q AS (SELECT c_custkey AS ref, concat('c', c_custkey) AS scope, 'x' AS name, concat('n', c_nationkey) AS p1, concat('r', n_regionkey) AS p2 FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT ref, q.scope, q.name, coalesce(u.scope, v.scope) AS bound_in, CASE WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END AS target_id,
-  CASE WHEN coalesce(u.scope, v.scope) IS NULL THEN 'unbound' WHEN CASE WHEN u.scope IS NOT NULL THEN u.target ELSE v.target END IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
-FROM q LEFT JOIN b u ON u.scope = p1 LEFT JOIN b v ON v.scope = p2""")
-def resolve_lexical(s: SparkSession, d: str) -> DataFrame:
-    refs = table(s, d, "customer").select(F.col("c_custkey").alias("ref"), F.concat(F.lit("c"), "c_custkey").alias("scope"), F.lit("x").alias("name"))
-    bind = lambda df, p, k, t: df.select(F.concat(F.lit(p), k).alias("scope"), F.lit("x").alias("name"), t.alias("target"), F.lit(False).alias("is_import"))
-    nations = bind(table(s, d, "nation").where("n_nationkey % 2 = 0"), "n", "n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")))
-    regions = bind(table(s, d, "region").where("r_regionkey < 3"), "r", "r_regionkey", F.col("r_name"))
-    return resolve.lexical(refs, trade.nodes(s, d).where("id not like 's%'"), nations.union(regions))
-
-
 @_query("""SELECT e.event_id AS ref, CASE WHEN e.event_id % 3 = 0 THEN CASE WHEN n1.n_nationkey IS NOT NULL THEN mod ELSE concat('module:', mod) END WHEN n1.n_nationkey IS NOT NULL AND r.r_regionkey IS NOT NULL THEN concat('s', r.r_regionkey) ELSE concat('symbol:', mod, '.', member) END AS target_id,
   CASE WHEN e.event_id % 3 = 0 AND n1.n_nationkey IS NOT NULL OR e.event_id % 3 <> 0 AND n1.n_nationkey IS NOT NULL AND r.r_regionkey IS NOT NULL THEN 'resolved' ELSE 'external' END AS status
 FROM (SELECT *, concat('m', user_id % 40) AS mod, CASE WHEN event_id % 3 <> 0 THEN concat('k', event_id % 9) END AS member FROM events) e

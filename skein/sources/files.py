@@ -20,6 +20,7 @@ EXTENSIONS = {
     "lua": (".lua",), "perl": (".pl", ".pm"), "r": (".r",), "julia": (".jl",), "elixir": (".ex", ".exs"), "erlang": (".erl",), "haskell": (".hs",), "ocaml": (".ml", ".mli"), "fsharp": (".fs", ".fsx"),
     "clojure": (".clj", ".cljs"), "groovy": (".groovy",), "vbnet": (".vb",), "vba": (".bas", ".cls"), "fortran": (".f90", ".f95", ".f"), "pascal": (".pas",), "cobol": (".cob", ".cbl"), "ada": (".adb", ".ads"),
     "nim": (".nim",), "zig": (".zig",), "objectivec": (".m", ".mm"), "solidity": (".sol",), "matlab": (".matlab",),
+    "cuda": (".cu", ".cuh"), "assembly": (".asm", ".s"), "hcl": (".tf", ".hcl"), "gdscript": (".gd",),
 }
 
 

@@ -7,23 +7,35 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import blocks as B
 from skein.functions import code_text as C
 from skein.functions import display as D
+from skein.functions import extract as X
 from skein.operators import infer, packages, rollup
 from skein.sources.graph import synthetic
 
 
 def test_block_ends():
+    def end(code, start, after, how=B.Style()):  # noqa: B008
+        return code[start : B.Blocks(code, how).end(start, after)]
+
     brace = "void f() { if (x) { y(); } }\nint z;"
-    assert brace[: C.block_end(brace, 8)].endswith("} }") and C.block_end("f() }", 3) == 5 and C.block_end("f() {", 3) == 5
+    assert end(brace, 0, 8).endswith("} }") and end("f() }", 0, 3) == "f() " and end("f() {", 0, 3) == "f() {"
+    assert end("void f(); void g() { }", 0, 8) == "void f();" and end("f(a, {b: 1}) { c; }", 0, 12) == "f(a, {b: 1}) { c; }"
+    assert end("fun f() = g()\nfun h() { }", 0, 7) == "fun f() = g()"
     words = "sub a\n x\nEnd Sub\nb"
-    assert words[C.block_end(words, 5, "words", ("end sub",)) :].strip() == "End Sub\nb"
+    assert end(words, 0, 5, X._BASIC) == "sub a\n x\nEnd Sub"
     nested = "function a\n if x\n end\nend\nb"
-    assert nested[C.block_end(nested, 10, "nested") :].startswith("end\nb") or nested[C.block_end(nested, 10, "nested") :].strip() == "end\nb"
+    assert end(nested, 0, 10, X._JULIA) == "function a\n if x\n end\nend"
+    assert end("def a\n  x if y\n  while z do\n  end\nend\nb", 0, 5, X._RUBY).endswith("end\nend")
+    assert end("def f(x), do: x\ndef g do\nend", 0, 8, X._ELIXIR) == "def f(x), do: x"
+    assert end("module m\nsubroutine s\nif (x) then\nend if\nend\nend module m\nb", 9, 21, X._FORTRAN).endswith("end if\nend")
     indent = "def a:\n  x\n\n  y\nb"
-    assert indent[C.block_end(indent, 5, "indent") :] == "b"
-    with pytest.raises(ValueError):
-        C.block_end("", 0, "none")
+    assert end(indent, 0, 5, X._INDENT) == "def a:\n  x\n\n  y"
+
+
+def test_returns():
+    assert [B.returns(x) for x in ("x", "return 1; return;", "return x\n", "RETURN\n}", "f() { return }")] == ["no_explicit_return", "mixed", "returns_value", "returns_none", "returns_none"]
 
 
 def test_routines(spark):
@@ -39,7 +51,7 @@ def test_routines(spark):
     assert {tuple(t) for t in tables} == {("a.x", "writes"), ("d", "writes"), ("e", "writes"), ("b", "reads"), ("c", "reads")}
     says = [("x", "no_explicit_return"), ("return 1; return;", "mixed"), ("return x\n", "returns_value"), ("RETURN\n}", "returns_none")]
     assert [r[0] for r in spark.createDataFrame(says, "s string, w string").select(C.return_behavior(F.col("s"))).collect()] == [w for _, w in says]
-    types = [("Map<String, List<int>>[]", "Map"), ("A.B<C>", "A.B"), ("x?", "x"), ("T...", "T")]
+    types = [("Map<String, List<int>>[]", "Map"), ("a" + "<b" * 12 + ">" * 12, "a"), ("A.B<C>", "A.B"), ("x?", "x"), ("T...", "T")]
     assert [r[0] for r in spark.createDataFrame(types, "s string, w string").select(C.without_generics(F.col("s"))).collect()] == [w for _, w in types]
     assert spark.sql("select timestamp '2024-02-29 12:00:01' t").select(C.utc_text(F.col("t"))).first()[0] == "2024-02-29T12:00:01Z"
 
