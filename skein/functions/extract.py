@@ -201,6 +201,7 @@ class Profile:
 
 _N = r"(?P<name>[A-Za-z_]\w*)"
 _C_TYPES = (("class", rf"\b(?:class|struct|enum|record)\s+{_N}"), ("interface", rf"\b(?:interface|trait|protocol)\s+{_N}"))
+_SPLIT_TYPES = (("class", rf"\bclass\s+{_N}"), ("type", rf"\b(?:struct|enum|record)\s+(?:class\s+|struct\s+)?{_N}"), ("interface", rf"\binterface\s+{_N}"))
 _INDENT = style("indent")
 _RANKED = style("next")
 _RUBY = style("ends", "class module def do begin case", "if unless while until for", "while until for")
@@ -216,8 +217,8 @@ _HASH = {"line_comment": "#", "block_comment": None}
 PROFILES: dict[str, Profile] = {
     "c": Profile((("type", rf"\b(?:struct|enum|union)\s+{_N}\s*\{{"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"#\s*include\s*[<\"](?P<name>[^>\"]+)",)),
     "cpp": Profile((("class", rf"\b(?:class|struct)\s+{_N}[^;{{]*\{{"), ("namespace", rf"\bnamespace\s+{_N}"), ("function", rf"^[A-Za-z_][\w\s*&:<>]*?\b{_N}\s*\([^;{{}}]*\)\s*(?:const\s*)?\{{")), (r"#\s*include\s*[<\"](?P<name>[^>\"]+)",)),
-    "java": Profile((("namespace", r"^\s*package\s+(?P<name>[\w.]+)", FILE), *_C_TYPES, ("method", rf"\b(?:public|private|protected|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*[^;{{}}]*\{{")), (r"\bimport\s+(?:static\s+)?(?P<name>[\w.*]+)",)),
-    "csharp": Profile((*_C_TYPES, ("namespace", r"^\s*namespace\s+(?P<name>[\w.]+)\s*;", FILE), ("namespace", r"\bnamespace\s+(?P<name>[\w.]+)\s*\{"), ("method", rf"\b(?:public|private|protected|internal|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"\busing\s+(?P<name>[\w.]+)\s*;",)),
+    "java": Profile((("namespace", r"^\s*package\s+(?P<name>[\w.]+)", FILE), *_SPLIT_TYPES, ("method", rf"\b(?:public|private|protected|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*[^;{{}}]*\{{")), (r"\bimport\s+(?:static\s+)?(?P<name>[\w.*]+)",)),
+    "csharp": Profile((*_SPLIT_TYPES, ("namespace", r"^\s*namespace\s+(?P<name>[\w.]+)\s*;", FILE), ("namespace", r"\bnamespace\s+(?P<name>[\w.]+)\s*\{"), ("method", rf"\b(?:public|private|protected|internal|static)\s+[\w<>\[\], ]*?\b{_N}\s*\([^;{{}}]*\)\s*\{{")), (r"\busing\s+(?:static\s+)?(?:(?P<local>\w+)\s*=\s*)?(?P<name>[\w.]+)\s*;",)),
     "go": Profile((("namespace", rf"^package\s+{_N}", FILE), ("function", rf"\bfunc\s+(?:\([^)]*\)\s*)?{_N}\s*\("), ("type", rf"\btype\s+{_N}\s+")), (r"\bimport\s+(?:\w+\s+)?\"(?P<name>[^\"]+)\"",), quotes="\"'`"),
     "rust": Profile((("function", rf"\bfn\s+{_N}"), ("type", rf"\b(?:struct|enum|type)\s+{_N}"), ("interface", rf"\btrait\s+{_N}"), ("namespace", rf"\bmod\s+{_N}")), (r"\buse\s+(?P<name>[\w:]+)",), quotes='"'),
     "php": Profile((*_C_TYPES, ("function", rf"\bfunction\s+{_N}\s*\(")), (r"\buse\s+(?P<name>[\w\\]+)",)),
@@ -292,6 +293,8 @@ _JS_METHOD = ("method", r"^\s+(?:static\s+|async\s+|public\s+|private\s+|protect
 PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JS_METHOD)) for k in ("javascript", "typescript")}
 _JAVA_METHOD = ("method", r"^\s+(?:@\w+\s+)*(?:[\w<>\[\], .?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?\{")
 PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JAVA_METHOD)) for k in ("java", "csharp", "dart")}
+_JAVA_DECLARED = ("method", r"^\s+(?!return\b|throw\b|new\b|else\b|await\b|yield\b|using\b|case\b|import\b)(?:[\w<>\[\],.?]+\s+)+(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?;")
+PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JAVA_DECLARED)) for k in ("java", "csharp")}
 
 
 def masked(text: str, p: Profile) -> str:
@@ -462,7 +465,7 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
     for pattern in p.imports:
         for m in re.finditer(pattern, text, re.M):
             if code[m.start()] == text[m.start()] and not code[m.start()].isspace():
-                rows.append(new("import", relation="imports", scope=module, name=m["name"], module_name=m["name"], message=m["name"], **at(m.start(), m.end())))
+                rows.append(new("import", relation="imports", scope=module, name=m["name"], module_name=m["name"], message=m["name"], receiver=m.groupdict().get("local"), **at(m.start(), m.end())))
     for pattern in p.inherits:
         for m in re.finditer(pattern, code, re.M):
             for base in re.split(r"\s*(?:,|&|\+|\bwith\b)\s*", re.sub(r"<[^<>]*>|\([^()]*\)", "", m["bases"])):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.extract import records
 from skein.functions.scalars import visibility
 from skein.operators import resolve
+from skein.plans import rules
 from skein.plans.markup import LANGUAGES, markup
 from skein.plans.typed import typed
 from skein.sources.config import refined_language
@@ -18,8 +19,6 @@ from skein.sources.graph import Graph, conform
 from skein.sources.schema import DIAGNOSTICS, EDGES, NODES
 from skein.sources.shared import written
 
-#: Confidence by outcome.
-CONFIDENCE = {"resolved": 1.0, "external": 0.7, "unresolved": 0.2, "unsupported": 0.1}
 #: Languages that share suffixes, told apart by content.
 SHARED = ("c", "cpp", "objectivec", "matlab")
 #: Names that Python itself binds.
@@ -33,8 +32,7 @@ def _span():  # noqa: ANN202
 def _edge(rows: DataFrame) -> DataFrame:
     """Rows of (source_id, target_id, relation_type, resolution_status, span, label) as edges, each once."""
     identity = F.to_json(F.struct("source_id", "target_id", "relation_type", "span", "label"))
-    confidence = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("resolution_status"))
-    out = rows.withColumns({"id": F.concat(F.lit("edge:"), F.substring(F.sha1(identity), 1, 20)), "provenance": F.lit("ast"), "confidence": confidence, "source_span": F.col("span"), "detail": F.to_json(F.struct(F.col("label").alias("name")))})
+    out = rules.with_confidence(rows).withColumns({"id": F.concat(F.lit("edge:"), F.substring(F.sha1(identity), 1, 20)), "provenance": F.lit("ast"), "source_span": F.col("span"), "detail": F.to_json(F.struct(F.col("label").alias("name")))})
     return conform(out, EDGES).dropDuplicates(["id"])
 
 
@@ -90,7 +88,7 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = step.withColumn("rest", F.when(F.size("chain") > 1, F.slice("chain", F.lit(2), F.size("chain") - 1)).otherwise(F.array().cast("array<string>")))
     step = _followed(step, symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
     # of other languages a definition of the same file goes first only if the call has no receiver
-    other = refs.where("language <> 'python'").select("ref", "language", "scope", "relation", F.element_at("chain", 1).alias("name"), "arity", "owner", "receiver")
+    other = refs.where("language <> 'python'").select("ref", "file", "language", "scope", "relation", F.element_at("chain", 1).alias("name"), "arity", "owner", "receiver")
     found_so = typed(found, other).select("ref", F.col("target_id").alias("_target"), F.col("status").alias("_status"))
     step = step.join(found_so, "ref", "left")
     foreign = F.col("_status").isNotNull()
@@ -107,7 +105,7 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     contains = nodes.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation_type"), F.lit("resolved").alias("resolution_status"), _span().alias("span"), F.col("name").alias("label"), "language")
     rows = written(import_rows.union(open_imports).union(ref_rows).union(contains))
-    code = F.when(F.col("relation_type").contains("import"), "unresolved_import").when(F.col("relation_type") == "inherits", "unresolved_inheritance").otherwise("unresolved_call")
+    code = F.when(F.col("relation_type").contains("import"), "unresolved_import").when(F.col("relation_type") == "inherits", "unresolved_inheritance").when(F.col("relation_type") == "uses", "unresolved_type").otherwise("unresolved_call")
     problems = rows.where("resolution_status in ('unresolved', 'unsupported')").select(code.alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("Not resolved: "), "label").alias("message"), "span", F.col("source_id").alias("node_id"))
     return rows, problems
 
@@ -123,7 +121,7 @@ def analyze(spark: SparkSession, root: str, languages: list[str] | None = None,
     rows, problems = resolved(found)
     marked, links, more = markup(written(kept.where(F.col("language").isin(*LANGUAGES, "javascript", "typescript")).select("path", "language", "content")))
     rows, problems = written(rows.unionByName(links)), problems.unionByName(more)
-    seen = visibility(F.col("name"), F.col("language"), F.lit(None).cast("string"))
+    seen = visibility(F.col("name"), F.col("language"), F.col("message"))
     nodes = found.where("record = 'node'").withColumns({"display_name": F.col("name"), "span": _span(), "visibility": seen})
     made = conform(nodes, NODES).unionByName(conform(marked.withColumn("visibility", F.lit("unknown")), NODES))
     failed = found.where("record = 'problem'").select(F.col("name").alias("code"), F.lit("error").alias("severity"), F.coalesce("message", F.lit("?")).alias("message"), "file")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import display, scalars, web
+from skein.functions.extract import records
 from skein.operators import infer, merge, packages, report, resolve, rollup, search, validate
 from skein.operators import web as web_joins
+from skein.plans import analyze, rules, typed
 from skein.sources import bundle, trade
+from skein.sources.shared import written
 from skein.sources.trade import DIAGNOSTICS_SQL, EDGES_SQL, MODULES_SQL, NODES_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,3 +543,72 @@ SELECT relation_type, a.qualified_name AS source, b.qualified_name AS target, co
 def relation_counts(s: SparkSession, d: str) -> DataFrame:
     named = trade.nodes(s, d).withColumn("file", F.when(F.col("kind").isin("module", "class", "function"), F.lit("f")))
     return packages.relation_counts(trade.edges(s, d), named)
+
+
+# --- rules, types as files see them, and whole sources made from the tables
+
+_LANGS, _RELS = ("java", "ruby", "javascript", "scala", "vbnet", "python", "css", "shell", "rust", "go"), ("calls", "imports", "inherits", "uses", "styles", "handles")
+_VALUES = ", ".join(f"('{a}', '{b}', '{c}', CAST({x} AS DOUBLE))" for a, b, c, x in rules.rows())
+
+
+@_query(f"""WITH o AS (
+  SELECT list_extract({list(_LANGS)}, CAST(l_suppkey % {len(_LANGS)} AS INTEGER) + 1) AS language, list_extract({list(_RELS)}, CAST(l_linenumber % {len(_RELS)} AS INTEGER) + 1) AS relation_type,
+         CASE l_returnflag WHEN 'A' THEN 'resolved' WHEN 'N' THEN 'external' ELSE 'unresolved' END AS resolution_status FROM lineitem),
+r(l, r, s, c) AS (VALUES {_VALUES})
+SELECT language, relation_type, resolution_status, count(*) AS count, coalesce(any_value(x.c), any_value(y.c)) AS confidence
+FROM o LEFT JOIN r x ON x.l = language AND x.r = relation_type AND x.s = resolution_status LEFT JOIN r y ON y.l = '*' AND y.s = resolution_status GROUP BY ALL""")
+def confidence_rules(s: SparkSession, d: str) -> DataFrame:
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    status = F.when(F.col("l_returnflag") == "A", "resolved").when(F.col("l_returnflag") == "N", "external").otherwise("unresolved")
+    o = table(s, d, "lineitem").select(pick(_LANGS, "l_suppkey").alias("language"), pick(_RELS, "l_linenumber").alias("relation_type"), status.alias("resolution_status"))
+    counted = o.groupBy("language", "relation_type", "resolution_status").agg(F.count(F.lit(1)).alias("count"))
+    return rules.with_confidence(counted)
+
+
+@_query("""WITH t AS (SELECT concat('f', s_suppkey * 10) AS file, concat('n', s_nationkey) AS package, concat('S', s_suppkey % 7) AS name, concat('n', s_nationkey, '.S', s_suppkey % 7) AS qualified, concat('s', s_suppkey) AS target FROM supplier),
+a AS (SELECT c_custkey, c_nationkey, concat('f', c_custkey) AS file, concat('S', c_custkey % 9) AS name FROM customer),
+u AS (
+  SELECT file, name, 0 AS step, target FROM a JOIN t USING (file, name) UNION ALL
+  SELECT a.file, a.name, 1, target FROM a JOIN t ON qualified = concat('n', (c_nationkey + 1) % 25, '.', a.name) WHERE c_custkey % 3 = 0 UNION ALL
+  SELECT a.file, a.name, 2, target FROM a JOIN t ON package = concat('n', c_nationkey) AND t.name = a.name UNION ALL
+  SELECT a.file, a.name, 3, target FROM a JOIN t ON package = concat('n', (c_nationkey + 2) % 25) AND t.name = a.name WHERE c_custkey % 3 = 1 UNION ALL
+  SELECT a.file, a.name, 4, target FROM a JOIN t USING (name)),
+g AS (SELECT file, name, step, count(DISTINCT target) AS n, min(target) AS target FROM u GROUP BY ALL),
+b AS (SELECT file, name, arg_min(n, step) AS n, arg_min(target, step) AS target, arg_min(['file', 'import', 'package', 'whole import', 'name'][step + 1], step) AS how FROM g GROUP BY ALL)
+SELECT file, name, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN target END AS target_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'unresolved' ELSE 'external' END AS status, how FROM a LEFT JOIN b USING (file, name)""")
+def type_names(s: SparkSession, d: str) -> DataFrame:
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    key, nation, java = F.col("c_custkey"), F.col("c_nationkey"), F.lit("java").alias("language")
+    name = text("S", F.col("s_suppkey") % 7)
+    package = text("n", F.col("s_nationkey"))
+    types = table(s, d, "supplier").select(java, text("f", F.col("s_suppkey") * 10).alias("file"), package.alias("package"), name.alias("name"), F.concat(package, F.lit("."), name).alias("qualified"), text("s", F.col("s_suppkey")).alias("target"))
+    c = table(s, d, "customer").withColumns({"file": text("f", key), "name": text("S", key % 9)})
+    path = F.when(key % 3 == 0, text("n", (nation + 1) % 25, ".", F.col("name"))).when(key % 3 == 1, text("n", (nation + 2) % 25, ".*"))
+    imports = c.select(java, "file", path.alias("path"), F.lit(None).cast("string").alias("local")).where("path is not null")
+    found = typed.type_names(c.select(java, "file", "name"), types, imports, c.select(java, "file", text("n", nation).alias("package")))
+    return found.drop("language")
+
+
+@_query("""WITH s AS (SELECT s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k FROM supplier),
+f AS (SELECT s.n, s.k, concat('n', s.n, '.C', s.k) AS me, CASE WHEN s.k = 0 OR o.n IS NULL THEN s.n ELSE o.n END AS made FROM s LEFT JOIN (SELECT DISTINCT n FROM s) o ON o.n = (s.n + 1) % 25)
+SELECT 'inherits' AS relation_type, me AS source, concat('n', CASE WHEN k = 1 THEN made ELSE n END, '.C', k - 1) AS target, 'resolved' AS resolution_status, CAST(1.0 AS DOUBLE) AS confidence FROM f WHERE k > 0
+UNION ALL SELECT 'calls', concat(me, '.run(1)'), concat('n', CASE WHEN k = 1 THEN made ELSE n END, '.C', k - 1, '.own', k - 1, '(0)'), 'resolved', 1.0 FROM f WHERE k > 0
+UNION ALL SELECT 'calls', concat(me, '.run(1)'), concat('n', made, '.C0.make(2)'), 'resolved', 1.0 FROM f
+UNION ALL SELECT 'calls', concat(me, '.run(1)'), 'missing', 'external', 0.7 FROM f
+UNION ALL SELECT 'uses', concat(me, '.run(1)'), concat('n', made, '.C0'), 'resolved', 1.0 FROM f""")
+def source_graph(s: SparkSession, d: str) -> DataFrame:
+    """A Java class for each supplier: it extends the one before it in its nation, and uses the first class of the next nation, which it imports."""
+    w = Window.partitionBy("n").orderBy("s_suppkey")  # of suppliers of a nation
+    classes = table(s, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey").withColumn("k", F.row_number().over(w) - 1)
+    other = classes.select(((F.col("n") + 24) % 25).alias("n"), F.col("n").alias("next")).distinct()
+    body = F.format_string("public class C%d", "k"), F.when(F.col("k") > 0, F.format_string(" extends C%d", F.col("k") - 1)).otherwise("")
+    made = F.format_string(" {\n  public void own%d() { }\n  public static void make(int a, int b) { }\n  public void run(C0 other) { other.make(1, 2); ", "k")
+    calls = F.concat(F.when(F.col("k") > 0, F.format_string("own%d(); ", F.col("k") - 1)).otherwise(""), F.lit("missing(3); // not(a, call)\n  }\n}\n"))
+    head = F.concat(F.format_string("package n%d;\n", "n"), F.coalesce(F.format_string("import n%d.C0;\n", F.when(F.col("next").isNotNull(), F.col("next"))), F.lit("")))
+    files = classes.join(other, "n", "left").select(F.format_string("n%d/C%d.java", "n", "k").alias("path"), F.lit("java").alias("language"), F.encode(F.concat(F.when(F.col("next").isNotNull(), head).otherwise(F.format_string("package n%d;\n", "n")), *body, made, calls), "utf-8").alias("content"))
+    found = written(records(files))
+    rows, _ = analyze.resolved(found)
+    names = found.where("record = 'node'").select(F.col("id").alias("_id"), F.col("qualified_name").alias("_name"))
+    edges = rules.with_confidence(rows.where("relation_type in ('inherits', 'calls', 'uses')"))
+    out = edges.join(names.withColumnsRenamed({"_id": "source_id", "_name": "source"}), "source_id").join(names.withColumnsRenamed({"_id": "target_id", "_name": "_to"}), "target_id", "left")
+    return out.select("relation_type", "source", F.coalesce("_to", "label").alias("target"), "resolution_status", "confidence")

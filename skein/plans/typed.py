@@ -1,8 +1,8 @@
-"""Calls and inheritance of languages other than Python, across files: by owner, number of arguments and unique match."""
+"""Calls, inheritance and uses of languages other than Python, across files: types by packages and imports, members by owner and number of arguments."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import infer, resolve
@@ -14,46 +14,90 @@ OUTSIDE = ("java", "csharp", "go", "rust", "kotlin", "php", "ruby", "swift", "c"
 BLIND, LOOSE = ("c", "cpp", "cuda"), ("javascript", "typescript", "kotlin", "dart", "scala", "ruby")
 _TYPES = ("class", "interface", "type", "namespace")
 _CALLABLE = ("function", "method", "lambda")
+_LAST = r"([^.:\\/]+)$"
 
 
-def _named(language: str, name: str):  # noqa: ANN202
-    return F.concat_ws("|", F.col(language), F.col(name))
+def _before(qualified: Column) -> Column:
+    """What a qualified name is in."""
+    return F.regexp_replace(qualified, r"(?:\.|::|\\)?[^.:\\/]+$", "")
+
+
+def type_names(asked: DataFrame, types: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """asked (language, file, name) with target_id, status and how: types in the order in which a file sees them.
+
+    First those of the file, then what it imports by name or alias, then its own package, then packages that it
+    imports whole, and last any type of that name in the language; the first of these that has a type decides.
+    types: (language, file, package, name, qualified, target); imports: (language, file, path, local: the name it
+    goes by or null); packages: (language, file, package).
+    """
+    named = imports.withColumn("name", F.coalesce("local", F.regexp_extract("path", _LAST, 1))).where("name not in ('', '*')").select("language", "file", "name", "path")
+    whole = imports.withColumn("package", F.regexp_replace("path", r"(?:\.|::|\\)\*$", "")).select("language", "file", "package").distinct()
+    by_file = asked.join(types.select("language", "file", "name", "target"), ["language", "file", "name"])
+    by_import = asked.join(named, ["language", "file", "name"]).join(types.select("language", F.col("qualified").alias("path"), "target"), ["language", "path"])
+    in_package = types.select("language", "package", "name", "target")
+    own = asked.join(packages, ["language", "file"]).join(in_package, ["language", "package", "name"])
+    others = asked.join(whole, ["language", "file"]).join(in_package, ["language", "package", "name"])
+    anywhere = asked.join(types.select("language", "name", "target"), ["language", "name"])
+    steps = [(by_file, "file"), (by_import, "import"), (own, "package"), (others, "whole import"), (anywhere, "name")]
+    found = None
+    for k, (rows, how) in enumerate(steps):
+        part = rows.select("language", "file", "name", F.lit(k).alias("_step"), F.lit(how).alias("how"), "target")
+        found = part if found is None else found.unionByName(part)
+    steps_ = found.groupBy("language", "file", "name", "_step", "how").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
+    best = steps_.groupBy("language", "file", "name").agg(F.min_by(F.struct("n", "target", "how"), "_step").alias("b"))
+    out = asked.join(best, ["language", "file", "name"], "left")
+    n = F.coalesce("b.n", F.lit(0))
+    status = F.when(n == 1, "resolved").when(n > 1, "unresolved").otherwise("external")
+    return out.select("language", "file", "name", n.alias("candidates"), F.when(n == 1, F.col("b.target")).alias("target_id"), status.alias("status"), "b.how")
 
 
 def typed(found: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref, target_id, status) of refs: (ref, language, scope, relation, name, arity, owner, receiver), all of one name.
+    """(ref, target_id, status) of refs: (ref, file, language, scope, relation, name, arity, owner, receiver), all of one name.
 
-    Types inherit from the only type of the base's name in the language. A call on this or without a receiver goes to
-    the owner's members of that name and number of arguments, nearest first along what it inherits, and else to the only
+    Types are found as their file sees them (type_names). A call on this or without a receiver goes to the owner's
+    members of that name and number of arguments, nearest first along what it inherits, and else to the only
     definition of them in the language; a call on a variable or a type goes to the members of its type; a call of a
     type's name makes one.
     """
-    nodes = written(found.where("record = 'node' and language <> 'python'").select("id", "language", "kind", "name", "arity", "owner"))
-    types = nodes.where(F.col("kind").isin(*_TYPES)).select("language", "name", F.col("id").alias("target"))
-    bases = resolve.unique_match(refs.where("relation = 'inherits'").select("ref", "language", "name", "owner"), types, ["language", "name"])
-    parents = written(bases.where("status = 'resolved' and owner is not null").select(_named("language", "owner").alias("child"), _named("language", "name").alias("parent")).distinct())
-    calls = written(refs.where("relation = 'calls'").withColumn("caller_owner", F.when(F.col("owner").isNotNull(), _named("language", "owner"))).drop("owner"))
-    variables = found.where("record = 'variable'").select("language", "scope", "name", "owner", _named("language", "target").alias("type"))
-    scoped = variables.select("scope", "name", "type").union(variables.where("owner is not null").select(_named("language", "owner"), "name", "type"))
-    asked = calls.where("receiver is not null").select("ref", "scope", "caller_owner", _named("language", "receiver").alias("receiver"), "language")
-    own = F.substring_index("receiver", "|", -1).isin("this", "self", "Self")
-    asked = asked.select("ref", F.col("scope").alias("caller"), "caller_owner", F.when(own, F.lit("this")).otherwise(F.col("receiver")).alias("receiver"))
-    known = scoped.join(nodes.select(F.col("id").alias("scope"), "language").union(types.select(_named("language", "name"), "language")).distinct(), "scope")
-    told = infer.receiver_types(asked, known.select("scope", _named("language", "name").alias("name"), "type"), types.select(_named("language", "name").alias("name")).distinct())
-    calls = written(calls.join(told.select("ref", F.col("owner").alias("at")), "ref", "left").withColumn("at", F.when(F.col("receiver").isNull(), F.col("caller_owner")).otherwise(F.col("at"))))
-    members = nodes.where(F.col("owner").isNotNull() & F.col("kind").isin(*_CALLABLE)).select(_named("language", "owner").alias("owner"), "name", "arity", F.col("id").alias("target"))
+    mine = found.where("language <> 'python'")
+    nodes = written(mine.where("record = 'node'").select("id", "language", "file", "kind", "name", "qualified_name", "arity", "owner", "start"))
+    types = written(nodes.where(F.col("kind").isin(*_TYPES)).select("language", "file", _before(F.col("qualified_name")).alias("package"), "name", F.col("qualified_name").alias("qualified"), F.col("id").alias("target")))
+    packages = nodes.where("kind = 'namespace'").groupBy("language", "file").agg(F.min_by("qualified_name", "start").alias("package"))
+    imports = mine.where("record = 'import' and module_name is not null").select("language", "file", F.col("module_name").alias("path"), F.col("receiver").alias("local"))
+    variables = written(mine.where("record = 'variable'").select("language", "file", "scope", "name", "owner", F.col("target").alias("type")))
+    refs = written(refs)
+    ask = lambda df, name: df.where(F.col(name).isNotNull()).select("language", "file", F.col(name).alias("name"))
+    asked = ask(refs, "name").union(ask(refs, "owner")).union(ask(refs, "receiver")).union(ask(nodes, "owner")).union(ask(variables, "owner")).union(ask(variables, "type")).distinct()
+    known = written(type_names(asked, types, imports, packages))
+
+    def of(df: DataFrame, name: str, out: str, status: str | None = None) -> DataFrame:
+        cols = [F.col("target_id").alias(out), *([F.col("status").alias(status), F.col("candidates").alias(f"{status}_n")] if status else [])]
+        return df.join(known.select("language", "file", F.col("name").alias(name), *cols), ["language", "file", name], "left")
+
+    by_type = written(of(of(refs.where("relation in ('inherits', 'uses')"), "name", "target_id", "status"), "owner", "child"))
+    parents = written(by_type.where("relation = 'inherits' and target_id is not null and child is not null").select("child", F.col("target_id").alias("parent")).distinct())
+    calls = written(of(of(refs.where("relation = 'calls'"), "owner", "caller_owner"), "name", "_made", "_made_status").drop("owner"))
+    held = written(of(of(variables, "owner", "at"), "type", "type_id").where("type_id is not null"))
+    scoped = held.select("scope", "name", F.col("type_id").alias("type")).union(held.where("at is not null").select("at", "name", "type_id"))
+    asked = of(calls.where("receiver is not null"), "receiver", "_static")
+    own = F.col("receiver").isin("this", "self", "Self")
+    asked = asked.select("ref", F.col("scope").alias("caller"), "caller_owner", F.when(own, F.lit("this")).otherwise(F.col("receiver")).alias("receiver"), "_static")
+    nobody = held.select("name").limit(0)  # types are told by their ids, below
+    told = infer.receiver_types(asked, scoped, nobody).select("ref", F.coalesce("owner", "_static").alias("at"))
+    calls = written(calls.join(told, "ref", "left").withColumn("at", F.when(F.col("receiver").isNull(), F.col("caller_owner")).otherwise(F.col("at"))))
+    callable_ = nodes.where(F.col("kind").isin(*_CALLABLE))
+    members = written(of(callable_.where("owner is not null"), "owner", "_of").where("_of is not null").select(F.col("_of").alias("owner"), "name", "arity", F.col("id").alias("target")))
     by_owner = infer.member_calls(calls.select("ref", F.col("at").alias("owner"), "name", "arity"), parents, members).select("ref", F.col("target_id").alias("_member"), F.col("candidates").alias("_members"))
-    callable_ = nodes.where(F.col("kind").isin(*_CALLABLE)).select("language", "name", F.coalesce("arity", F.lit(0)).alias("arity"), F.col("id").alias("target"))
-    anywhere = resolve.unique_match(calls.select("ref", "language", "name", F.coalesce("arity", F.lit(0)).alias("arity")), callable_, ["language", "name", "arity"]).select("ref", F.col("target_id").alias("_any"), F.col("candidates").alias("_anys"))
-    made = resolve.unique_match(calls.select("ref", "language", "name"), types, ["language", "name"]).select("ref", F.col("target_id").alias("_made"), F.col("candidates").alias("_mades"))
-    rows = calls.join(by_owner, "ref", "left").join(anywhere, "ref", "left").join(made, "ref", "left")
+    every = callable_.select("language", "name", F.coalesce("arity", F.lit(0)).alias("arity"), F.col("id").alias("target"))
+    anywhere = resolve.unique_match(calls.select("ref", "language", "name", F.coalesce("arity", F.lit(0)).alias("arity")), every, ["language", "name", "arity"]).select("ref", F.col("target_id").alias("_any"), F.col("candidates").alias("_anys"))
+    rows = calls.join(by_owner, "ref", "left").join(anywhere, "ref", "left")
     bare, loose = F.col("receiver").isNull(), F.col("language").isin(*LOOSE) & F.col("at").isNull()
     target = F.when(F.col("language").isin(*BLIND) & ~bare, F.lit(None).cast("string")).otherwise(
         F.coalesce("_member", F.when((bare | loose) & (F.coalesce("_members", F.lit(0)) == 0), F.coalesce("_any", "_made")))
     )
-    several = (F.coalesce("_members", F.lit(0)) > 1) | (bare & ((F.col("_anys") > 1) | (F.col("_mades") > 1)))
+    several = (F.coalesce("_members", F.lit(0)) > 1) | (bare & ((F.col("_anys") > 1) | (F.col("_made_status_n") > 1)))
     unknown = ~bare & F.col("at").isNull() & ~F.col("language").isin("php", "ruby", "swift")
     outside = F.col("language").isin(*OUTSIDE) & ~several & ~unknown & ~(F.col("language").isin(*BLIND) & ~bare)
     status = F.when(target.isNotNull(), "resolved").when(outside, "external").otherwise("unresolved")
-    inherited = bases.select("ref", "target_id", F.when(F.col("status") != "external", F.col("status")).when(F.col("language").isin(*OUTSIDE), "external").otherwise("unresolved").alias("status"))
-    return rows.select("ref", target.alias("target_id"), status.alias("status")).unionByName(inherited)
+    told_types = by_type.select("ref", "target_id", F.when(F.col("status") != "external", F.col("status")).when(F.col("language").isin(*OUTSIDE), "external").otherwise("unresolved").alias("status"))
+    return rows.select("ref", target.alias("target_id"), status.alias("status")).unionByName(told_types)

@@ -24,11 +24,27 @@ EXTENSIONS = {
 }
 
 
+# Folders and files that are not looked at, and folders of generated ones.
+EXCLUDED = [
+    ".git/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**", "**/env/**", "**/build/**", "**/dist/**", "**/node_modules/**", "**/.next/**", "**/.cache/**", "**/*.g.cs",
+    "**/*.designer.cs", "**/*.gen.go", "**/*.generated.rs", "**/*_generated.rs", "**/target/**", "**/vendor/**", "**/.build/**", "**/DerivedData/**", "**/Pods/**",
+    "**/Carthage/**", "**/SourcePackages/**", "**/coverage/**", "**/*.generated.php", "**/*_generated.php", "**/*.generated.rb", "**/*_generated.rb", "**/*.generated.kt",
+    "**/*_generated.kt", "**/*.generated.kts", "**/*_generated.kts", "**/*.generated.swift", "**/*_generated.swift", "**/*+Generated.swift", "**/*Generated.swift",
+    "**/*.generated.scala", "**/*_generated.scala", "**/*.generated.vb", "**/*_generated.vb", "**/*.designer.vb", "**/*.generated.bas", "**/*_generated.bas", "**/*.generated.lua",
+    "**/*_generated.lua", "**/*.generated.hs", "**/*_generated.hs", "**/*.generated.pl", "**/*_generated.pl", "**/*.generated.m", "**/*_generated.m", "**/*.generated.f90",
+    "**/*_generated.f90", "**/*.generated.r", "**/*_generated.r", "**/*.generated.mm", "**/*_generated.mm", "**/*.generated.cu", "**/*_generated.cu", "**/*.generated.groovy",
+    "**/*_generated.groovy", "**/*.generated.fs", "**/*_generated.fs", "**/*.generated.asm", "**/*_generated.asm", "**/*.generated.tf", "**/*_generated.tf", "**/*.generated.gd",
+    "**/*_generated.gd", "**/*.generated.ex", "**/*_generated.ex", "**/*.generated.zig", "**/*_generated.zig", "**/*.generated.jl", "**/*_generated.jl", "**/*.generated.pas",
+    "**/*_generated.pas", "**/*.generated.erl", "**/*_generated.erl",
+]
+GENERATED = ["**/Generated/**", "**/generated/**", "**/__generated__/**"]
+
+
 @dataclass
 class ScanConfig:
     include: list[str] = field(default_factory=lambda: ["**/*"])
-    exclude: list[str] = field(default_factory=lambda: [".git/**", "**/node_modules/**", "**/__pycache__/**", "**/.venv/**", "build/**", "dist/**"])
-    generated: list[str] = field(default_factory=lambda: ["**/generated/**", "**/*_pb2.py", "**/*.min.js"])
+    exclude: list[str] = field(default_factory=lambda: list(EXCLUDED))
+    generated: list[str] = field(default_factory=lambda: [*GENERATED, "**/*_pb2.py", "**/*.min.js"])
     tests: list[str] = field(default_factory=lambda: ["tests/**", "**/tests/**", "**/test_*.py", "**/*_test.go", "**/*Test.java"])
     with_tests: bool = False
     max_bytes: int = 2_000_000

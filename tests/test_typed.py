@@ -50,3 +50,33 @@ def edges(spark, tmp_path_factory):
 )
 def test_edge(edges, edge):
     assert edge in edges, sorted(x for x in edges if x[0] == edge[0] and x[1] == edge[1])
+
+
+PACKAGES = {
+    "one/Tool.java": "package one;\npublic class Tool { public void cut() { } }\n",
+    "two/Tool.java": "package two;\npublic class Tool { public void cut() { } protected void dull() { } }\n",
+    "two/Near.java": "package two;\npublic class Near { private Tool tool; void run() { tool.cut(); } }\n",
+    "three/Far.java": "package three;\nimport one.Tool;\npublic class Far extends Tool { public Far(int a) { cut(); } void go(Tool t) { t.cut(); } }\n",
+    "three/All.java": "package three;\nimport two.*;\ninterface All { void put(Tool t); }\n",
+    "three/Lost.java": "package three;\nenum Lost { A; void go(Tool t) { t.cut(); } }\n",
+    "x/Cs.cs": "using T = Deep.Er.Thing;\nnamespace Top {\n  public class Cs { internal void Go(T t) { t.Do(1); } }\n}\n",
+    "x/Thing.cs": "namespace Deep.Er;\npublic class Thing { public void Do(int a) { } }\n",
+}
+
+
+def test_types_by_packages_and_imports(spark, tmp_path):
+    for name, text in PACKAGES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    g = analyze(spark, str(tmp_path))
+    assert validate.violations(g).count() == 0
+    nodes = {r.id: r for r in g.nodes.collect()}
+    name = {k: r.qualified_name for k, r in nodes.items()}
+    edges = {(r.relation_type, name[r.source_id], name[r.target_id], r.resolution_status) for r in g.edges.collect()}
+    assert {
+        ("calls", "two.Near.run(0)", "two.Tool.cut(0)", "resolved"), ("uses", "two.Near", "two.Tool", "resolved"), ("inherits", "three.Far", "one.Tool", "resolved"), ("calls", "three.Far.<init>(1)", "one.Tool.cut(0)", "resolved"),
+        ("calls", "three.Far.go(1)", "one.Tool.cut(0)", "resolved"), ("uses", "three.All.put(1)", "two.Tool", "resolved"), ("uses", "three.Lost.go(1)", "Tool", "unresolved"), ("calls", "three.Lost.go(1)", "t.cut", "unresolved"),
+        ("contains", "three", "three.Far", "resolved"), ("calls", "Top.Cs.Go(1)", "Deep.Er.Thing.Do(1)", "resolved"), ("uses", "Top.Cs.Go(1)", "Deep.Er.Thing", "resolved"),
+    } <= edges
+    kinds = {r.qualified_name: (r.kind, r.visibility) for r in nodes.values()}
+    assert kinds["one.Tool"] == ("class", "public") and kinds["two.Tool.dull(0)"] == ("method", "private") and kinds["three.All"][0] == "interface" and kinds["three.Lost"][0] == "type" and kinds["three"][0] == "namespace"
