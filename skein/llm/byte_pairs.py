@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by Spark's higher-order functions.
 
 Java's regular expressions cut texts into words, with the same classes as the library's. The distinct words of a
-block of documents are encoded in the JVM. All stretches of a word's bytes are looked up in a literal map of the
+task's documents are encoded in the JVM, block by block. All stretches of a word's bytes are looked up in a literal map of the
 ranks, which is dealt into buckets by a checksum, since Spark searches a map from its first key on. The stretches
 that are tokens, sorted by rank and place, are the merges that may come; a fold over them keeps the bounds of the
 parts as bits of a number, and takes the bound between the two parts of a merge away if both are whole just then.
@@ -10,7 +10,8 @@ vocabularies taken here a merge never makes a pair of lower rank than its own; b
 Words too long for the bits of a number are strings of one character for each token, at first one for each byte, and
 their fold replaces the pair of least rank by its token at all places at once, from the left, again and again.
 
-Python only gathers the words of a block and deals their tokens out again; nothing is shuffled. Decoding lays the
+Python only gathers the words of a block that its task has not met yet, and deals all words' tokens out; nothing is
+shuffled. Decoding lays the
 bytes of the pieces of a list of ids side by side.
 
 Defined results: null and empty texts have no tokens; texts that look like special tokens are ordinary text; rows
@@ -44,8 +45,10 @@ from skein.llm.common import by_bytes, table
 
 #: Folder of the vocabulary files and of the module that has their pattern. Only the driver reads them.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text of a block, whose distinct words are encoded once, and words that are dealt out at once.
-BLOCK, DEALT = 24_000_000, 500_000
+#: Bytes of text of a block, words that are dealt out at once, words that a task knows, and input partitions of a task.
+BLOCK, DEALT, KNOWN, SPLITS = 8_000_000, 200_000, 2_000_000, 8
+#: Bytes of the query's batches to Python.
+BATCH = 16_000_000
 #: Buckets of the rank map, and bytes of a word whose bounds are the bits of a number.
 BUCKETS, SHORT = 1 << 17, 56
 #: Token i is the character FIRST + i, which takes WIDTH bytes.
@@ -138,58 +141,67 @@ class Literals:
     def __init__(self, v: Ranks) -> None:
         every = range(len(v.pieces))
         spelled = {r: char(a) + char(b) for r, (a, b) in v.pairs.items()}
-        # a stretch: rank, room for its start, length of its left part, length
-        told = {p.decode("latin-1"): r << 18 | (len(v.pieces[v.pairs[r][0]]) if r in v.pairs else 0) << 6 | len(p) for p, r in v.rank.items() if len(p) <= SHORT}
-        self.stretches = self._map(told, lambda k: k.encode("latin-1"), "bigint")
-        self.ranks = self._map({pair: r for r, pair in spelled.items()}, str.encode, "int")
+        # a stretch by its bytes in hexadecimal: rank, and room for its start
+        self.stretches = self._map({p.hex().upper(): r << 6 for p, r in v.rank.items() if len(p) <= SHORT}, "bigint")
+        # by rank: the bits of a token's stretch, those of its bounds while its two parts are whole, and the one between them
+        cut = [len(v.pieces[v.pairs[r][0]]) if r in v.pairs else 0 for r in every]
+        small = [len(p) if len(p) <= SHORT else 0 for p in v.pieces]
+        told = lambda numbers: F.from_json(F.lit(json.dumps(list(numbers))), "array<bigint>")
+        self.spans, self.cuts = told((2 << n) - 1 for n in small), told(1 << k for k in cut)
+        self.parts = told(1 | 1 << k | 1 << n for k, n in zip(cut, small, strict=True))
+        self.ranks = self._map({pair: r for r, pair in spelled.items()}, "int")
         self.pairs = F.split(F.lit(",".join(spelled.get(r, "") for r in every)), ",")
         self.tokens = F.split(F.lit(",".join(map(char, every))), ",")
         self.bytes = "".join(char(v.rank[bytes([b])]) for b in range(256))
         longest = max(map(len, v.pieces))
-        places = [[i << 6 | k for i in range(n) for k in range(2, min(longest, n - i) + 1)] for n in range(SHORT + 1)]
+        # a place: how many hexadecimal digits it has, and where its bytes start
+        places = [[2 * k << 6 | i for i in range(n) for k in range(2, min(longest, n - i) + 1)] for n in range(SHORT + 1)]
         self.places = F.from_json(F.lit(json.dumps(places)), "array<array<int>>")
 
     @staticmethod
-    def _map(told: dict[str, int], raw, kind: str) -> Column:  # noqa: ANN001
+    def _map(told: dict[str, int], kind: str) -> Column:
         buckets: list[dict[str, int] | None] = [None] * BUCKETS
         for key, value in told.items():
-            at = zlib.crc32(raw(key)) % BUCKETS
+            at = zlib.crc32(key.encode()) % BUCKETS
             buckets[at] = (buckets[at] or {}) | {key: value}
         return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
 
-    def _stretch(self, raw: Column, start: Column, length: Column) -> Column:
-        found = F.substring(raw, start + 1, length)
-        return F.element_at(self.stretches[(F.crc32(found) % BUCKETS).cast("int")], F.decode(found, "ISO-8859-1"))
+    @staticmethod
+    def _in(buckets: Column, key: Column) -> Column:
+        """What the map has for a key (binary), null if nothing."""
+        return F.element_at(buckets[F.crc32(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], key.cast("string"))
 
     def short(self, raw: Column) -> Column:
         """The ids of a word of SHORT bytes at most."""
+        return _let(F.hex(raw).cast("binary"), lambda digits: self._short(F.octet_length(raw), digits))
+
+    def _short(self, n: Column, digits: Column) -> Column:
         right = lambda x, by: F.call_function("shiftright", x, by)
-        left = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by)
-        bits = lambda x, k, low: right(x, F.lit(low)).bitwiseAND(F.lit((1 << k) - 1)).cast("int")
+        left = lambda x, by: F.call_function("shiftleft", x, by)
 
         def merge(bounds: Column, m: Column) -> Column:
-            start, mid, length = bits(m, 6, 12), bits(m, 6, 6), bits(m, 6, 0)
-            whole = right(bounds, start).bitwiseAND(left(length + 1) - 1) == left(length) + left(mid) + 1
-            return F.when(whole, bounds - left(start + mid)).otherwise(bounds)
+            start, rank = m.bitwiseAND(F.lit(63)).cast("int"), right(m, F.lit(6)).cast("int")
+            whole = right(bounds, start).bitwiseAND(self.spans[rank]) == self.parts[rank]
+            return F.when(whole, bounds - left(self.cuts[rank], start)).otherwise(bounds)
 
         def place(x: Column) -> Column:
-            start = right(x, F.lit(6))
-            return self._stretch(raw, start, x.bitwiseAND(F.lit(63))) + F.call_function("shiftleft", start, F.lit(12))
+            start = x.bitwiseAND(F.lit(63))
+            return self._in(self.stretches, F.substring(digits, start * 2 + 1, right(x, F.lit(6)))) + start
+
+        def rank(x: Column, k: Column, i: Column) -> Column:
+            return right(self._in(self.stretches, F.substring(digits, k * 2 + 1, (x[i + 1] - k) * 2)), F.lit(6)).cast("int")
 
-        n = F.octet_length(raw)
         merges = F.sort_array(F.filter(F.transform(self.places[n], place), lambda m: m.isNotNull()))
-        bounds = F.aggregate(merges, left(n + 1) - 1, merge)
+        bounds = F.aggregate(merges, left(F.lit(1).cast("long"), n + 1) - 1, merge)
         at = _let(bounds, lambda b: F.filter(F.sequence(F.lit(0), n), lambda k: right(b, k).bitwiseAND(F.lit(1)) == 1))
-        part = lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda k, i: right(self._stretch(raw, k, x[i + 1] - k), F.lit(18)).cast("int"))
-        return _let(at, part)
+        return _let(at, lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda k, i: rank(x, k, i)))
 
     def _least(self, s: Column) -> Column:
         """The least rank of two neighbouring tokens of s, null if no two of them merge."""
 
         def ranked(raw: Column) -> Column:
             def rank(k: Column) -> Column:
-                pair = F.substring(raw, k * WIDTH + 1, F.lit(2 * WIDTH))
-                return F.element_at(self.ranks[(F.crc32(pair) % BUCKETS).cast("int")], pair.cast("string"))
+                return self._in(self.ranks, F.substring(raw, k * WIDTH + 1, F.lit(2 * WIDTH)))
 
             return F.array_min(F.transform(F.sequence(F.lit(0), many - 2), rank))
 
@@ -230,7 +242,7 @@ class Literals:
 
             return _let(getattr(self, names[0]), then)
 
-        return bound(["stretches", "ranks", "pairs", "tokens", "places"])
+        return bound(["stretches", "spans", "parts", "cuts", "places", "ranks", "pairs", "tokens"])
 
 
 class Result(NamedTuple):
@@ -241,15 +253,18 @@ class Result(NamedTuple):
     make: Callable[[pa.ListArray], pa.Array | list]
 
 
-def _block(b: pa.RecordBatch, words: pa.ListArray) -> pa.RecordBatch:
-    """One row for many: every column as a list, and the words as the distinct ones, sorted (neighbours look up much the same), and their numbers."""
+def _block(b: pa.RecordBatch, words: pa.ListArray, known: pa.Array) -> tuple[pa.RecordBatch, pa.Array]:
+    """One row for many, with every column as a list, and all words known by now. Words new to the task go along."""
     found = words.flatten().dictionary_encode()
-    order = pc.sort_indices(found.dictionary).to_numpy()
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    listed = [*b.columns, pc.list_value_length(words), pa.array(place[found.indices.to_numpy()]), found.dictionary.take(pa.array(order))]
+    known = known if len(known) < KNOWN else known.slice(0, 0)
+    place = pc.index_in(found.dictionary, known)
+    new = found.dictionary.filter(place.is_null())
+    new = new.take(pc.sort_indices(new))  # neighbours look up much the same
+    place = pc.coalesce(place, pc.add(pc.index_in(found.dictionary, new), pa.scalar(len(known), pa.int32())))
+    listed = [*b.columns, pc.list_value_length(words), place.take(found.indices), new]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in listed]
-    return pa.RecordBatch.from_arrays(lists, [*b.schema.names, "_sk_counts", "_sk_codes", "_sk_distinct"])
+    row = pa.RecordBatch.from_arrays([*lists, pa.array([len(known)], pa.int32())], [*b.schema.names, "_sk_counts", "_sk_codes", "_sk_new", "_sk_known"])
+    return row, pa.concat_arrays([known, new])
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -257,13 +272,18 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
 
 
-def _dealt(b: pa.RecordBatch, names: list[str], results: list[Result]) -> Iterator[pa.RecordBatch]:
-    """The rows of blocks, with what the results make of the ids of their tokens."""
-    for k in range(b.num_rows):
-        col = {n: b.column(i)[k].values for i, n in enumerate(b.schema.names)}
+def _dealt(blocks: Iterator[pa.RecordBatch], names: list[str], results: list[Result]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's blocks, with what the results make of the ids of their tokens."""
+    sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)  # of the words that the task knows
+    for b, k in ((b, k) for b in blocks for k in range(b.num_rows)):
+        row = {n: b.column(i)[k] for i, n in enumerate(b.schema.names)}
+        col = {n: x.values for n, x in row.items() if n != "_sk_known"}
         codes, counts = col["_sk_codes"].to_numpy(), col["_sk_counts"].to_numpy().astype(np.int64)
-        bounds, ids = col["_sk_coded"].offsets.to_numpy(), col["_sk_coded"].values.to_numpy()
-        starts, sizes, ends = bounds[:-1], np.diff(bounds), np.cumsum(counts)
+        if row["_sk_known"].as_py() == 0:
+            sizes, ids = sizes[:0], ids[:0]
+        sizes = np.concatenate([sizes, pc.list_value_length(col["_sk_coded"]).to_numpy()])
+        ids = np.concatenate([ids, col["_sk_coded"].flatten().to_numpy()])
+        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(counts)
         for s in by_bytes(counts.tolist(), DEALT):
             own = codes[ends[s.start] - counts[s.start] : ends[s.stop - 1]]
             upto = np.concatenate([[0], np.cumsum(sizes[own])])
@@ -271,39 +291,49 @@ def _dealt(b: pa.RecordBatch, names: list[str], results: list[Result]) -> Iterat
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]).astype(np.int32)), pa.array(ids[_ranges(starts[own], sizes[own])], pa.int32()))
             made = [x if isinstance(x := r.make(lists), pa.Array) else pa.array(x, r.kind) for r in results]
             yield pa.RecordBatch.from_arrays([*(col[x].slice(s.start, s.stop - s.start) for x in names), *made], [*names, *(r.name for r in results)])
+        pa.default_memory_pool().release_unused()
 
 
-def _tokens(docs: DataFrame, text_col: str, vocabulary: str, pattern: str | None, results: list[Result]) -> DataFrame:
-    """docs with results of their ids in place of columns of those names."""
+def _large_tasks(rows: DataFrame) -> DataFrame:
+    """SPLITS partitions to a task, as long as there is a task for each core: the larger a task, the fewer words are new in it."""
+    now = rows.rdd.getNumPartitions()
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, -(-now // SPLITS))
+    return rows.coalesce(wanted) if wanted < now else rows
+
+
+def _tokens(docs: DataFrame, kept: DataFrame, text_col: str, vocabulary: str, pattern: str | None, results: list[Result]) -> DataFrame:
+    """The columns of docs that kept has, and the results of the ids."""
     literals = Literals(ranks(vocabulary))
-    kept = docs.drop(*(r.name for r in results))
     names = [f"_sk_{k}" for k in range(len(kept.columns))]
     found = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(java_pattern(pattern or default_pattern())), F.lit(0))
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept.columns, names, strict=True)], F.coalesce(found, F.array().cast("array<string>")).alias("_sk_words"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array([], pa.string())
         for b in batches:
             words = b.column("_sk_words")
             upto = np.concatenate([[0], np.cumsum(pc.binary_length(words.values).to_numpy(zero_copy_only=False), dtype=np.int64)])
             for s in by_bytes(np.diff(upto[words.offsets.to_numpy()]).tolist(), BLOCK):
                 part = b.slice(s.start, s.stop - s.start)
-                yield _block(part.select(names), part.column("_sk_words"))
+                row, known = _block(part.select(names), part.column("_sk_words"), known)
+                yield row
+                pa.default_memory_pool().release_unused()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _dealt(b, names, results)
+        return _dealt(batches, names, results)
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, kept.schema.fields, strict=True)]
-    inner = [T.StructField(n, T.IntegerType()) for n in ("_sk_counts", "_sk_codes")] + [T.StructField("_sk_distinct", T.StringType())]
-    blocks = rows.mapInArrow(gather, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*fields, *inner]]))
-    coded = blocks.withColumn("_sk_coded", literals.encode(F.col("_sk_distinct"))).drop("_sk_distinct")
+    inner = [T.StructField(n, T.IntegerType()) for n in ("_sk_counts", "_sk_codes")] + [T.StructField("_sk_new", T.StringType())]
+    lists = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*fields, *inner]]
+    blocks = _large_tasks(rows).mapInArrow(gather, T.StructType([*lists, T.StructField("_sk_known", T.IntegerType())]))
+    coded = blocks.withColumn("_sk_coded", literals.encode(F.col("_sk_new"))).drop("_sk_new")
     dealt = coded.mapInArrow(deal, T.StructType([*fields, *(T.StructField(r.name, from_arrow_type(r.kind)) for r in results)]))
     return dealt.toDF(*kept.columns, *(r.name for r in results))
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", pattern: str | None = None, out: str = "token_ids") -> DataFrame:
     """docs with an array of token ids, as the vocabulary's library gives them without special tokens. No shuffle."""
-    return _tokens(docs, text_col, vocabulary, pattern, [Result(out, pa.list_(pa.int32()), lambda ids: ids)])
+    return _tokens(docs, docs.drop(out), text_col, vocabulary, pattern, [Result(out, pa.list_(pa.int32()), lambda ids: ids)])
 
 
 def joined(ids: pa.ListArray, pieces: pa.BinaryArray) -> pa.BinaryArray:
@@ -350,4 +380,7 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined(ids, pieces)]
 
     results = [Result("n_tokens", pa.int64(), lambda ids: pc.list_value_length(ids).cast(pa.int64())), Result("ids_sha256", pa.string(), packed), Result("decoded_sha256", pa.string(), decoded)]
-    return _tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary, None, results).drop("text")
+    own = spark.newSession()  # with smaller batches to Python, which leaves the caller's settings alone
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    docs = table(own, sf_dir, "documents")
+    return _tokens(docs, docs.select("doc_id"), "text", vocabulary, None, results)

@@ -45,6 +45,8 @@ def test_short_and_long_words_agree(spark, library, monkeypatch):
     monkeypatch.setattr(byte_pairs, "SHORT", 3)
     monkeypatch.setattr(byte_pairs, "BLOCK", 400)
     monkeypatch.setattr(byte_pairs, "DEALT", 20)
+    monkeypatch.setattr(byte_pairs, "KNOWN", 50)
+    monkeypatch.setattr(byte_pairs, "SPLITS", 100)
     for x in byte_pairs.encode(spark.createDataFrame(texts, "doc_id long, text string")).collect():
         assert x.token_ids == library.encode_ordinary(x.text)
 
