@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from skein.functions.blocks import Blocks, Style, returns, style
 
-#: record: node, binding, import, ref, variable or problem; the other columns are null where they don't apply. A variable's
+#: record: node, binding, import, ref, variable, returns or problem; the other columns are null where they don't apply. A variable's
 #: target is the name of its type; arity is the number of parameters or arguments, owner the type a definition belongs to.
 RECORDS = (
     "record string, file string, language string, id string, kind string, name string, qualified_name string, parent_id string, scope string, target string, module_name string, member string, relation string, "
@@ -77,6 +77,14 @@ class _Python(ast.NodeVisitor):
 
     def _ref(self, relation: str, node: ast.AST, target: ast.AST) -> None:
         chain = _chain(target)
+        inner, after = target, []
+        while isinstance(inner, ast.Attribute):
+            inner, after = inner.value, [inner.attr, *after]
+        if after and isinstance(inner, ast.Call) and _chain(inner.func):  # f().g(): what f gives back has no name of its own
+            name = f"<result>@{inner.lineno}:{inner.col_offset}:{inner.end_col_offset}"
+            self._add("binding", inner, scope=self.scope, name=name, target=None)
+            self._typed("call", inner, inner.func, self.scope, name)
+            chain = [name, *after]
         self._add("ref", node, relation=relation, scope=self.scope, chain=chain, in_class=next((c for c in reversed(self.classes) if c), None), message=ast.unparse(target)[:240])
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:  # noqa: N802
@@ -106,6 +114,8 @@ class _Python(ast.NodeVisitor):
         args = node.args
         for a in [*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))]:
             self._add("binding", a, scope=id_, name=a.arg, target=None)
+            self._typed("annotation", a, a.annotation, id_, a.arg)
+        self._typed("returns", node, node.returns, self.scope, None, target=id_)
         self._inside(id_, [node.name, "<locals>"], node.body, None)
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function  # noqa: N815
@@ -117,6 +127,26 @@ class _Python(ast.NodeVisitor):
             self._add("binding", a, scope=id_, name=a.arg, target=None)
         self._inside(id_, ["<lambda>"], [node.body], None)
 
+    def _typed(self, relation: str, node: ast.AST, says: ast.AST | None, scope: str, name: str | None, **values) -> None:  # noqa: ANN003
+        """What a name holds or a function gives back, if an annotation or the called name tells."""
+        if isinstance(says, ast.Constant) and isinstance(says.value, str):
+            try:
+                says = ast.parse(says.value, mode="eval").body
+            except SyntaxError:
+                return
+        if says is not None and (chain := _chain(says)):
+            self._add("variable" if name else "returns", node, relation=relation, scope=scope, name=name, chain=chain, message=".".join(chain), **values)
+
+    def visit_Assign(self, node: ast.Assign) -> None:  # noqa: N802
+        if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call):
+            self._typed("call", node, node.value.func, self.scope, node.targets[0].id)
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:  # noqa: N802
+        if isinstance(node.target, ast.Name):
+            self._typed("annotation", node, node.annotation, self.scope, node.target.id)
+        self.generic_visit(node)
+
     def visit_Name(self, node: ast.Name) -> None:  # noqa: N802
         if isinstance(node.ctx, ast.Store):
             self._add("binding", node, scope=self.scope, name=node.id, target=None, message="assigned")
@@ -291,9 +321,10 @@ PROFILES |= {k: replace(PROFILES[k], **v) for k, v in _CLASSES.items()}
 #: Of JavaScript and TypeScript, methods inside classes too.
 _JS_METHOD = ("method", r"^\s+(?:static\s+|async\s+|public\s+|private\s+|protected\s+)*(?P<name>[A-Za-z_$]\w*)\s*\([^;{}()]*\)\s*(?::[^={;]+)?\{")
 PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JS_METHOD)) for k in ("javascript", "typescript")}
-_JAVA_METHOD = ("method", r"^\s+(?:@\w+\s+)*(?:[\w<>\[\], .?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?\{")
+_NO_TYPE = r"(?!(?:return|throw|new|else|await|yield|using|case|import|do|try)\b)"
+_JAVA_METHOD = ("method", r"(?:^|[{};])\s*(?:@\w+\s+)*" + _NO_TYPE + r"(?:[\w<>\[\], .?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?\{")
 PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JAVA_METHOD)) for k in ("java", "csharp", "dart")}
-_JAVA_DECLARED = ("method", r"^\s+(?!return\b|throw\b|new\b|else\b|await\b|yield\b|using\b|case\b|import\b)(?:[\w<>\[\],.?]+\s+)+(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?;")
+_JAVA_DECLARED = ("method", r"(?:^|[{};])\s*" + _NO_TYPE + r"(?:[\w<>\[\],.?]+\s+)+(?P<name>[A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws\s+[\w., ]+)?;")
 PROFILES |= {k: replace(PROFILES[k], definitions=(*PROFILES[k].definitions, _JAVA_DECLARED)) for k in ("java", "csharp")}
 
 
@@ -503,7 +534,7 @@ def _crate(path: str) -> str:
 
 
 _TYPES = frozenset(["class", "interface", "type", "namespace"])
-_WORDS = frozenset("func fn fun def if for while switch return catch sizeof function elseif match with new throw else do in of typeof await yield import super this self using lock foreach".split())
+_WORDS = frozenset("func fn fun def if for while switch return catch sizeof function elseif match with new throw else do in of typeof await yield import super this self using lock foreach try synchronized".split())
 
 
 def _arguments(code: str, after: int) -> tuple[int, int]:

@@ -12,6 +12,7 @@ from skein.functions.scalars import visibility
 from skein.operators import resolve
 from skein.plans import rules
 from skein.plans.markup import LANGUAGES, markup
+from skein.plans.results import variable_types
 from skein.plans.typed import typed
 from skein.sources.config import refined_language
 from skein.sources.files import EXTENSIONS, ScanConfig, scan, skipped
@@ -81,12 +82,20 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         bound.where("name is not null").select("scope", "name", F.when(F.col("status") == "resolved", F.col("target_id")).otherwise(_placeholder("external", F.col("target_id"))), F.lit(True))
     )
     refs = written(found.where("record = 'ref'").withColumn("ref", F.xxhash64("file", "scope", "relation", "message", "start_line", "start_col")).dropDuplicates(["ref"]))
-    heads = refs.where("chain is not null").select("ref", "scope", F.element_at("chain", 1).alias("name"))
-    head = resolve.lexical(heads, nodes.select("id", "parent_id"), bindings).select("ref", F.col("target_id").alias("at"), "status")
+    told = written(found.where("language = 'python' and record in ('variable', 'returns')").withColumn("ref", F.xxhash64("file", "record", "scope", F.coalesce("name", "target"), "message", "start_line", "start_col")).dropDuplicates(["ref"]).select("ref", "record", "relation", "scope", "name", "target", "chain", "message"))
+    asked = refs.where("chain is not null").select("ref", "scope", "chain").unionByName(told.select("ref", "scope", "chain"))
+    heads = asked.select("ref", "scope", F.element_at("chain", 1).alias("name"))
+    head = written(resolve.lexical(heads, nodes.select("id", "parent_id"), bindings).select("ref", F.col("target_id").alias("at"), "status", "bound_in", F.col("name").alias("head")))
+    inside = written(symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
+    python = nodes.where("language = 'python'")
+    unknown = found.where("language = 'python' and record = 'binding' and target is null").select("scope", "name")
+    types = variable_types(told, head.select("ref", "at", "bound_in", "head"), python, unknown, lambda step: _followed(step, inside))
+    held = types.select(F.col("scope").alias("bound_in"), F.col("name").alias("head"), "type_id")
+    head = head.join(held, ["bound_in", "head"], "left").select("ref", F.coalesce("at", F.when(F.col("status") == "unresolved", F.col("type_id"))).alias("at"), "status")
     own = F.col("chain").isNotNull() & F.element_at(F.coalesce("chain", F.array(F.lit(""))), 1).isin("self", "cls") & F.col("in_class").isNotNull()
     step = refs.join(head, "ref", "left").withColumn("at", F.when(own & F.col("at").isNull(), F.col("in_class")).otherwise(F.col("at")))
     step = step.withColumn("rest", F.when(F.size("chain") > 1, F.slice("chain", F.lit(2), F.size("chain") - 1)).otherwise(F.array().cast("array<string>")))
-    step = _followed(step, symbols.select(F.col("scope").alias("at"), F.col("name").alias("_part"), F.col("target").alias("_next")))
+    step = _followed(step, inside)
     # of other languages a definition of the same file goes first only if the call has no receiver
     other = refs.where("language <> 'python'").select("ref", "file", "language", "scope", "relation", F.element_at("chain", 1).alias("name"), "arity", "owner", "receiver")
     found_so = typed(found, other).select("ref", F.col("target_id").alias("_target"), F.col("status").alias("_status"))

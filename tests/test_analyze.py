@@ -69,6 +69,30 @@ def test_chains_of_any_length(spark, tmp_path):
     assert g.diagnostics.where("code = 'unresolved_call'").count() == 2
 
 
+def test_results_of_calls(spark, tmp_path):
+    (tmp_path / "shapes.py").write_text(
+        "class Dot:\n    def draw(self): pass\n    def near(self) -> 'Dot': return self\n    def box(self) -> Box: return Box()\n\n"
+        "class Box:\n    def fill(self): pass\n\ndef make() -> Dot: return Dot()\ndef vague(): return 1\n"
+    )
+    (tmp_path / "use.py").write_text(
+        "import shapes\nfrom shapes import Dot, make\n\n"
+        "def a():\n    d = make()\n    e = d.near()\n    f = e.box()\n    f.fill()\n    d.gone()\n\n"
+        "def b(x: Dot, y: 'shapes.Box', z):\n    x.draw()\n    y.fill()\n    z.draw()\n    make().near().draw()\n    shapes.make().draw()\n\n"
+        "def c():\n    d = Dot()\n    d = 3\n    d.draw()\n    g = shapes.vague()\n    g.draw()\n    h: Dot = None\n    h.draw()\n\n"
+        "def loop():\n    p = q.near()\n    q = p.near()\n    q.draw()\n"
+    )
+    g = analyze(spark, str(tmp_path), ["python"])
+    assert validate.violations(g).count() == 0
+    name = {r.id: r.qualified_name for r in g.nodes.collect()}
+    got = {(name[r.source_id].split(".")[-1], name[r.target_id].removeprefix("shapes."), r.resolution_status) for r in g.edges.where("relation_type = 'calls'").collect() if name[r.source_id].startswith("use.")}
+    assert got == {
+        ("a", "make", "resolved"), ("a", "Dot.near", "resolved"), ("a", "Dot.box", "resolved"), ("a", "Box.fill", "resolved"), ("a", "d.gone", "unresolved"),
+        ("b", "Dot.draw", "resolved"), ("b", "Box.fill", "resolved"), ("b", "z.draw", "unresolved"), ("b", "make", "resolved"), ("b", "Dot.near", "resolved"), ("b", "make().near().draw", "unresolved"),
+        ("c", "Dot", "resolved"), ("c", "d.draw", "unresolved"), ("c", "vague", "resolved"), ("c", "g.draw", "unresolved"), ("c", "Dot.draw", "resolved"),
+        ("loop", "q.near", "unresolved"), ("loop", "p.near", "unresolved"), ("loop", "q.draw", "unresolved"),
+    }
+
+
 def test_graphs_do_not_depend_on_partitions(spark, tree):
     a = analyze(spark, tree, ["python", "javascript"])
     old = spark.conf.get("spark.sql.shuffle.partitions")
