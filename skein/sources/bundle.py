@@ -4,13 +4,12 @@ Tables: nodes, edges and diagnostics in chunks of their fixed order; groups, the
 modules as ordinals of the nodes; records, what a search looks at; postings, for each character the ordinals
 of the records that hold it, in chunks; modules, which chunks a module's members, edges and groups are in.
 A table is Parquet, partitioned by chunk, so a reader of some chunks touches only their folders. A chunk's
-digest is that of its rows' JSON in order. The index is written last: a folder without one is no bundle.
+digest is made of its rows' digests, in any order. The index is written last: a folder without one is no bundle.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -21,10 +20,11 @@ from pyspark.sql import types as T
 
 from skein.operators import merge, rollup, search, validate
 from skein.sources.graph import Graph
+from skein.sources.publish import Journal, recover
 from skein.sources.shared import written
 
 #: Rows of a chunk.
-SIZES = {"nodes": 2000, "edges": 5000, "diagnostics": 2000, "groups": 2000, "records": 2000, "postings": 5000}
+SIZES = {"nodes": 2000, "edges": 5000, "diagnostics": 2000, "groups": 2000, "records": 2000, "postings": 5000, "modules": 2000}
 FORMAT = "skein-bundle-1"
 
 
@@ -88,12 +88,13 @@ def tables(graph: Graph, sizes: dict[str, int]) -> dict[str, DataFrame]:
     sets = modules.select("module_id").distinct()
     for name, rows in (("node_chunks", modules.select("id", "module_id").join(nodes.select("id", "chunk"), "id")), ("edge_chunks", ends(joined, "chunk")), ("group_chunks", ends(groups, "chunk"))):
         sets = sets.join(rollup.chunk_sets(sets, rows, "module_id").withColumnRenamed("chunks", name), "module_id")
-    compact = compact_groups(groups, nodes).join(groups.select("group_id", "ordinal", "chunk"), "group_id")
+    placed = edges.select(F.col("id").alias("representative_edge_id"), F.col("chunk").alias("representative_edge_chunk"))
+    compact = compact_groups(groups, nodes).join(groups.select("group_id", "ordinal", "chunk"), "group_id").join(placed, "representative_edge_id", "left")
     return {
         "nodes": nodes, "edges": edges, "diagnostics": diagnostics, "groups": compact,
         "records": found.withColumn("chunk", F.floor(F.col("ordinal") / sizes["records"]).cast("int")),
         "postings": _postings(found, sizes["postings"]).withColumn("chunk", F.col("part").cast("int")).drop("part"),
-        "modules": sets.withColumn("chunk", F.lit(0)),
+        "modules": rollup.chunked(sets, sizes["modules"], "module_id").drop("ordinal"),
     }
 
 
@@ -102,9 +103,11 @@ def _row(df: DataFrame) -> Column:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """(chunk, count, sha256): the digest of the digests of a chunk's rows in order; a task holds a row's digest only."""
+    """(chunk, count, sha256): the digest of the sums of four parts of the rows' digests, which no order and no gathering of rows enters."""
     rows = df.select("chunk", F.sha2(_row(df), 256).alias("d"))
-    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("count"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("sha256"))
+    part = lambda k: F.sum(F.conv(F.substring("d", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)"))
+    sums = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("count"), *[part(k).alias(f"p{k}") for k in range(4)])
+    return sums.select("chunk", "count", F.sha2(F.concat_ws("-", "count", *[f"p{k}" for k in range(4)]), 256).alias("sha256"))
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202
@@ -119,17 +122,33 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def write(graph: Graph, folder: str, sizes: dict[str, int] | None = None, force: bool = False) -> Bundle:
-    """Splits a graph into a bundle: staged beside the folder, checked, and moved into its place; the old one comes back if that fails."""
+def write(graph: Graph, folder: str, sizes: dict[str, int] | None = None, force: bool = False, full: bool = True) -> Bundle:
+    """Splits a graph into a bundle: staged beside the folder, checked (in full, or quickly), and put in its place by a journal."""
     spark, folder = graph.nodes.sparkSession, folder.rstrip("/")
     sizes = SIZES | (sizes or {})
     if min(sizes.values()) < 1:
         raise BundleError("chunk sizes must be positive")
+    recover(spark, folder)
     there, fs = _fs(spark, folder)
-    taken = fs.exists(there) and len(fs.listStatus(there)) > 0
-    if taken and not force:
+    if fs.exists(there) and len(fs.listStatus(there)) > 0 and not force:
         raise BundleError(f"{folder} is not empty")
-    staged, backup = f"{folder}.staged-{uuid.uuid4().hex[:8]}", f"{folder}.old-{uuid.uuid4().hex[:8]}"
+    journal = Journal(spark, folder)
+    told = journal.begin()
+    try:
+        _stage(graph, told["staged"], sizes)
+        quick_check(spark, told["staged"])
+        wrong = violations(spark, told["staged"]).first() if full else None
+        if wrong is not None:
+            raise BundleError(f"the staged bundle is wrong: {wrong.rule}: {wrong['item']}")
+    except Exception:
+        journal.give_up(told)
+        raise
+    journal.finish(told)
+    return read(spark, folder)
+
+
+def _stage(graph: Graph, staged: str, sizes: dict[str, int]) -> None:
+    spark = graph.nodes.sparkSession
     index: dict[str, Any] = {"format": FORMAT, "meta": graph.meta, "sizes": sizes, "counts": {}, "chunks": {}, "schemas": {}}
     for name, rows in tables(graph, sizes).items():
         rows.repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(f"{staged}/{name}")
@@ -139,18 +158,6 @@ def write(graph: Graph, folder: str, sizes: dict[str, int] | None = None, force:
         index["chunks"][name] = told
         index["counts"][name] = sum(r["count"] for r in told)
     _write_text(spark, f"{staged}/index.json", json.dumps(index, sort_keys=True))
-    quick_check(spark, staged)
-    if taken:
-        fs.rename(there, _fs(spark, backup)[0])
-    elif fs.exists(there):
-        fs.delete(there, True)
-    if not fs.rename(_fs(spark, staged)[0], there):
-        if taken:
-            fs.rename(_fs(spark, backup)[0], there)
-        raise BundleError(f"{folder} could not be put in place")
-    if taken:
-        fs.delete(_fs(spark, backup)[0], True)
-    return read(spark, folder)
 
 
 def read(spark: SparkSession, folder: str) -> Bundle:
@@ -228,7 +235,21 @@ def module_detail(bundle: Bundle, module_id: str) -> tuple[DataFrame, DataFrame]
 
 def representative(bundle: Bundle, group_id: str) -> DataFrame:
     """The edge that stands for a group, from the one chunk that holds it."""
-    group = bundle.table("groups").where(F.col("group_id") == group_id).select("representative_edge_id").first()
+    group = bundle.table("groups").where(F.col("group_id") == group_id).select("representative_edge_id", "representative_edge_chunk").first()
     if group is None:
         raise BundleError(f"no such group: {group_id}")
-    return bundle.table("edges").where(F.col("id") == group.representative_edge_id)
+    return bundle.table("edges", [group.representative_edge_chunk]).where(F.col("id") == group.representative_edge_id)
+
+
+def neighbourhood_page(bundle: Bundle, module_id: str, cursor: int = 0, chunks: int = 4) -> tuple[DataFrame, int | None]:
+    """The groups at a module from the next `chunks` chunks of its list after `cursor`, and the cursor of the page after it, null at the end."""
+    row = bundle.table("modules").where(F.col("module_id") == module_id).select("group_chunks").first()
+    if row is None:
+        raise BundleError(f"no such module: {module_id}")
+    if chunks < 1 or cursor < 0:
+        raise BundleError("a page has one chunk at least and begins at 0 or later")
+    page = row.group_chunks[cursor : cursor + chunks]
+    own = bundle.table("nodes").where(F.col("id") == module_id).select("ordinal").first()
+    ends = [(F.col(f"{e}_ordinal") == own.ordinal) if own is not None else (F.col(f"{e}_virtual") == module_id) for e in ("source", "target")]
+    after = cursor + chunks
+    return bundle.table("groups", page).where(ends[0] | ends[1]), after if after < len(row.group_chunks) else None

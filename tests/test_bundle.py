@@ -8,6 +8,7 @@ import pytest
 
 from skein.operators import search, validate
 from skein.sources import bundle as B
+from skein.sources import publish
 from skein.sources.graph import synthetic
 
 
@@ -45,18 +46,56 @@ def test_detail_and_representative(made):
     assert {r.id for r in nodes.collect()} == own
     assert {r.id for r in edges.collect()} == {r.id for r in graph.edges.collect() if r.source_id in own or r.target_id in own}
     group = bundle.table("groups").first()
-    assert B.representative(bundle, group.group_id).count() == 1
+    found = B.representative(bundle, group.group_id)
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(chunk" in plan and f"= {group.representative_edge_chunk})" in plan
+    seen, cursor = [], 0
+    while cursor is not None:
+        page, cursor = B.neighbourhood_page(bundle, "n1", cursor, 1)
+        seen += [r.group_id for r in page.collect()]
+    node = {r.ordinal: r.id for r in bundle.table("nodes").collect()}
+    assert len(seen) == len(set(seen)) and set(seen) == {r.group_id for r in bundle.table("groups").collect() if "n1" in (node.get(r.source_ordinal), node.get(r.target_ordinal))}
     with pytest.raises(B.BundleError):
         B.module_detail(bundle, "nowhere")
 
 
+@pytest.mark.parametrize("phase", ["begin", "staged", "retire", "place", "placed"])
+def test_a_writer_stopped_at_any_phase(spark, tmp_path, monkeypatch, phase):
+    folder = str(tmp_path / "b")
+    for k in range(2):
+        (tmp_path / ("b" if not k else "b2")).mkdir()
+    (tmp_path / "b" / "old").write_text("old")
+    journal = publish.Journal(spark, folder)
+    note = publish.Journal._note
+
+    def stops(self, at, told):
+        note(self, at, told)
+        if at == phase:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(publish.Journal, "_note", stops)
+    with pytest.raises(KeyboardInterrupt):
+        told = journal.begin()
+        staged = tmp_path / told["staged"].rsplit("/", 1)[-1]
+        staged.mkdir()
+        (staged / "new").write_text("new")
+        journal.finish(told)
+    with pytest.raises(publish.PublishError):
+        publish.Journal(spark, folder).begin()
+    monkeypatch.setattr(publish.Journal, "_note", note)
+    assert publish.recover(spark, folder) == ("undone" if phase == "begin" else "done")
+    assert [p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith(".")] == ["old" if phase == "begin" else "new"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["b", "b2"] and publish.recover(spark, folder) is None
+
+
 def test_damage_is_found(spark, made, tmp_path):
     graph, _ = made
     folder = str(tmp_path / "b")
-    bundle = B.write(graph, folder)
+    bundle = B.write(graph, folder, full=False)
     with pytest.raises(B.BundleError):
         B.write(graph, folder)
-    B.write(synthetic(spark, 60, 2), folder, force=True)
+    B.write(synthetic(spark, 60, 2), folder, force=True, full=False)
     assert B.read(spark, folder).index["counts"]["nodes"] == 60 and bundle.index["counts"]["nodes"] == 120
     index = json.loads((tmp_path / "b" / "index.json").read_text())
     index["chunks"]["edges"][0]["sha256"] = "0"
