@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from skein.functions.blocks import Blocks, Style, returns, style
 
-#: record: node, binding, import, ref, variable, returns or problem; the other columns are null where they don't apply. A variable's
+#: record: node, binding, import, ref, variable, returns, command (arity: where its pipeline begins) or problem; the other columns are null where they don't apply. A variable's
 #: target is the name of its type; arity is the number of parameters or arguments, owner the type a definition belongs to.
 RECORDS = (
     "record string, file string, language string, id string, kind string, name string, qualified_name string, parent_id string, scope string, target string, module_name string, member string, relation string, "
@@ -223,6 +223,8 @@ class Profile:
     once: bool = False
     root: str = "path"
     joint: str = "."
+    #: Words that begin a command but are none, if the language is one of commands.
+    commands: frozenset[str] | None = None
     line_comment: str = "//"
     block_comment: tuple[str, str] | None = ("/*", "*/")
     quotes: str = "\"'"
@@ -312,7 +314,8 @@ _CLASSES = {
     "ruby": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*<\s*(?P<bases>[\w:]+)",), "variables": (r"\b(?P<name>[a-z_]\w*)\s*=\s*(?P<type>[A-Z]\w*)\.new\b",), "ends": _RUBY},
     "go": {"root": "package", "variables": (r"\b(?P<name>[a-z_]\w*)\s*:?=\s*&?(?P<type>[A-Z]\w*)\{", r"\b(?P<name>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\s*(?=[,)])")},
     "rust": {"root": "crate", "joint": "::", "owners": (r"\bimpl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>[A-Za-z_]\w*)",), "inherits": (r"\btrait\s+(?P<name>\w+)\s*:\s*(?P<bases>[\w:+ ]+)", r"\bimpl(?:<[^>]*>)?\s+(?P<bases>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<name>\w+)"), "variables": (r"\blet\s+(?:mut\s+)?(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)\s*(?:::|\{)", r"\b(?P<name>[a-z_]\w*)\s*:\s*&?(?:mut\s+)?(?P<type>[A-Z]\w*)")},
-    "powershell": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",)},
+    "powershell": {"inherits": (r"\bclass\s+(?P<name>\w+)\s*:\s*(?P<bases>\w+)",), "commands": frozenset("if else elseif for foreach while do switch return function class param begin process end try catch finally throw break continue in Import-Module using".split())},
+    "shell": {"calls": (), "commands": frozenset("fi for done case esac in function select local declare typeset readonly export return exit break continue set unset shift trap eval test true false [ [[ ! : . source".split())},
     "julia": {"ends": _JULIA}, "elixir": {"ends": _ELIXIR, "once": True}, "haskell": {"ends": _INDENT, "once": True}, "lua": {"ends": _LUA}, "erlang": {"once": True}, "r": {"ends": Style(lines=True)},
     "vbnet": {"ends": _BASIC, "inherits": (r"(?i)\bclass\s+(?P<name>\w+)\s+inherits\s+(?P<bases>\w+)",)},
     "fortran": {"ends": _FORTRAN}, "pascal": {"ends": _PASCAL, "calls": (_CALL, r"(?i)(?:;|\b(?:begin|then|else|do|repeat)\b)\s*(?P<name>(?!begin\b|end\b|exit\b|until\b)[a-z_]\w*)\s*(?=;|\bend\b)")},
@@ -511,6 +514,9 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
                 if p.root != "path":
                     rows.append(new("ref", relation="uses", scope=scope, chain=[m["type"]], message=m["type"], owner=owner, **at(m.start("type"), m.end("type"))))
     names = {d.at for d in found}
+    for start, end, name, pipeline in _commands(code, p) if p.commands is not None else ():
+        if start not in names and not (m := re.match(r"\s*\(\)", code[end:])):
+            rows.append(new("command", scope=inside(start)[0], name=name, message=name, arity=pipeline, **at(start, end)))
     for relation, patterns in (("calls", p.calls), ("references", p.references)):
         for pattern in patterns:
             for m in re.finditer(pattern, code, re.M):
@@ -526,6 +532,32 @@ def profile_records(path: str, content: bytes, lang: str) -> list[dict]:
     return rows
 
 
+_STEP = re.compile(r"\|\||&&|\|&?|[;&\n(){}]|\$\(|`")
+#: Words before a command that leave it one.
+_LEADS = frozenset("if then elif else while until do time exec coproc !".split())
+
+
+def _commands(code: str, p: Profile) -> Iterator[tuple[int, int, str, int | None]]:
+    """(start, end, name, start of its pipeline or null) of the simple commands of masked code: the first word of each that is no assignment, redirection or reserved word."""
+    at, depth, steps = 0, 0, []
+    for m in [*_STEP.finditer(code), None]:
+        mark = m[0] if m else "\n"
+        case = mark == ")" and not depth  # what stands before it is a pattern
+        depth += (mark in ("(", "$(")) - (mark == ")" and depth > 0)
+        for w in re.finditer(r"\S+", code[at : m.start() if m else len(code)]):
+            word = w[0]
+            if word in _LEADS or re.match(r"[A-Za-z_]\w*\+?=|\d*[<>]", word):
+                continue
+            if word not in p.commands and not case and re.fullmatch(r"[A-Za-z_./][\w./:+-]*", word):
+                steps.append((at + w.start(), at + w.end(), word))
+            break
+        if mark not in ("|", "|&") or case:
+            steps = [] if case else steps
+            yield from ((x, y, word, steps[0][0] if len(steps) > 1 else None) for x, y, word in steps)
+            steps = []
+        at = m.end() if m else at
+
+
 def _crate(path: str) -> str:
     """The path of a Rust file's module: src/a/b.rs is crate::a::b, and lib, main and mod name their folder."""
     parts = re.sub(r"\.rs$", "", path).split("/")

@@ -62,6 +62,20 @@ def _followed(step: DataFrame, inside: DataFrame) -> DataFrame:
     return step
 
 
+def _command_rows(found: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
+    """Rows of what scripts run: calls of functions of the same file, uses of commands from outside, and handles from each step of a pipeline to the next."""
+    steps = found.where("record = 'command'").join(modules, "file").join(symbols.select(F.col("scope").alias("module_id"), "name", F.col("target").alias("_f")), ["module_id", "name"], "left")
+    known = F.col("_f").isNotNull()
+    to = F.when(known, F.col("_f")).otherwise(_placeholder("external", F.col("name")))
+    steps = written(steps.withColumns({"to": to, "known": known}))
+    status = F.when(F.col("known"), "resolved").otherwise("external")
+    runs = steps.select(F.col("scope").alias("source_id"), F.col("to").alias("target_id"), F.when(F.col("known"), "calls").otherwise("uses").alias("relation_type"), status.alias("resolution_status"), _span().alias("span"), F.col("name").alias("label"), "language")
+    piped = steps.where("arity is not null").withColumn("at", F.struct("file", "arity", "language"))
+    pairs = resolve.adjacent_pairs(piped.withColumn("step", F.struct("to", "known", "name", _span().alias("span"))), "at", "start", "step")
+    both = F.when(F.col("before.known") & F.col("after.known"), "resolved").otherwise("external")
+    return runs.unionByName(pairs.select(F.col("before.to").alias("source_id"), F.col("after.to").alias("target_id"), F.lit("handles").alias("relation_type"), both.alias("resolution_status"), F.col("after.span").alias("span"), F.col("after.name").alias("label"), F.col("at.language").alias("language")))
+
+
 def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges' rows, problems) of extraction records: imports by module, references through scopes and members."""
     nodes = found.where("record = 'node'")
@@ -113,7 +127,8 @@ def resolved(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         status.alias("resolution_status"), _span().alias("span"), F.col("message").alias("label"), "language",
     )
     contains = nodes.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation_type"), F.lit("resolved").alias("resolution_status"), _span().alias("span"), F.col("name").alias("label"), "language")
-    rows = written(import_rows.union(open_imports).union(ref_rows).union(contains))
+    files = nodes.where("kind = 'module'").select("file", F.col("id").alias("module_id"))
+    rows = written(import_rows.union(open_imports).union(ref_rows).union(contains).unionByName(_command_rows(found, symbols, files)))
     code = F.when(F.col("relation_type").contains("import"), "unresolved_import").when(F.col("relation_type") == "inherits", "unresolved_inheritance").when(F.col("relation_type") == "uses", "unresolved_type").otherwise("unresolved_call")
     problems = rows.where("resolution_status in ('unresolved', 'unsupported')").select(code.alias("code"), F.lit("warning").alias("severity"), F.concat(F.lit("Not resolved: "), "label").alias("message"), "span", F.col("source_id").alias("node_id"))
     return rows, problems
