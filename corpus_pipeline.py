@@ -3,6 +3,9 @@
 Quality rules drop what they reject, the Jaccard join keeps one document of each class, repeated
 passages are cut out, sources are mixed to their target weights in training order, and texts become
 piece ids. Stage functions take (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Defined results: a null text is judged, joined and cut as an empty one; rows of one id, null included, are judged each by
+its own text; of rows alike in text one stays; an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
