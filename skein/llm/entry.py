@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         neighbours.op8_nearest_neighbours,
         jaccard.op9_jaccard_join,
         token_counts.op10_token_counts,
+        token_counts.token_counts_words,
         byte_pairs.op11_byte_pairs,
         lexical.op12_lexical_search,
         turn_trie.op13_turn_trie,
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_turn_trie": turn_trie.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op3_url_filter": urls.ORACLE, "token_counts_words": token_counts.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_turn_trie": turn_trie.ORACLE}

@@ -194,3 +194,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit(name, changes)
     rollup.compact()
     return rollup.totals()
+
+
+def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of op10 in words, which SQL can count too."""
+    return op10_token_counts(spark, sf_dir).where(F.col("tokenizer") == WORDS)
+
+
+ORACLE = r"""
+select source, lang, 'words-1' as tokenizer, count(*) as n_docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::bigint as n_tokens
+from documents group by source, lang
+"""
