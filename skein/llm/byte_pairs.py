@@ -46,9 +46,9 @@ from skein.llm.common import by_bytes, table
 #: Folder of the vocabulary files and of the module that has their pattern. Only the driver reads them.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text of a block, words that are dealt out at once, words that a task knows, and input partitions of a task.
-BLOCK, DEALT, KNOWN, SPLITS = 8_000_000, 200_000, 2_000_000, 8
+BLOCK, DEALT, KNOWN, SPLITS = 4_000_000, 100_000, 2_000_000, 8
 #: Bytes of the query's batches to Python.
-BATCH = 16_000_000
+BATCH = 8_000_000
 #: Buckets of the rank map, and bytes of a word whose bounds are the bits of a number.
 BUCKETS, SHORT = 1 << 17, 56
 #: Token i is the character FIRST + i, which takes WIDTH bytes.
