@@ -22,6 +22,30 @@ def unique_match(references: DataFrame, definitions: DataFrame, keys: list[str],
     return out.withColumns({"candidates": n, "target_id": F.when(n == 1, F.col("_only")), "status": status}).drop("_only")
 
 
+def counted_targets(asked: DataFrame, definitions: DataFrame, by: list[str], keys: list[str], target: str) -> DataFrame:
+    """(by, _n, _t): how many distinct targets all keys of a `by` have together, and the least; no row for one without a definition.
+
+    asked: (by, keys); definitions: (keys, target). Targets are counted once for each key, so the rows are as many as
+    the asked ones, however many definitions a key has. Counts of several keys add up but for targets that more than
+    one key has; those are told apart once for each set of keys that is asked.
+    """
+    if set(keys) <= set(by):  # one key each
+        per_key = definitions.groupBy(*keys).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
+        return asked.select(*by).distinct().join(per_key, keys).select(*by, "_n", "_t")
+    rows = definitions.select(*keys, target).distinct()
+    several = rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_keys")).where("_keys > 1").select(target, F.lit(True).alias("_several"))
+    marked = rows.join(several, target, "left")
+    per_key = marked.groupBy(*keys).agg(F.count(target).alias("_all"), F.count("_several").alias("_shared"), F.min(target).alias("_least"))
+    hit = asked.select(*dict.fromkeys([*by, *keys])).distinct().join(per_key, keys)
+    of = hit.groupBy(*by).agg(F.sum("_all").alias("_all"), F.sum("_shared").alias("_shared"), F.min("_least").alias("_t"), F.array_sort(F.collect_set(F.struct(*keys))).alias("_set"))
+    overlap = (F.size("_set") > 1) & (F.col("_shared") > 0)
+    of = of.withColumn("_set", F.when(overlap, F.col("_set")))
+    sets = of.where("_set is not null").select("_set").distinct().withColumn("_key", F.explode("_set")).select("_set", "_key.*")
+    once = sets.join(marked.where("_several").select(*keys, target), keys).groupBy("_set").agg(F.count_distinct(target).alias("_once"))
+    n = F.when(F.col("_set").isNull(), F.col("_all")).otherwise(F.col("_all") - F.col("_shared") + F.col("_once"))
+    return of.join(once, "_set", "left").select(*by, n.alias("_n"), "_t")
+
+
 def cascade(references: DataFrame, definitions: DataFrame, ref: str = "ref", names: str = "names", name: str = "name", target: str = "target", short: Column | None = None) -> DataFrame:
     """References with several possible names: definitions of all names together; only if there is none, those of the short name.
 

@@ -32,20 +32,19 @@ def type_names(asked: DataFrame, types: DataFrame, imports: DataFrame, packages:
     """
     named = imports.withColumn("name", F.coalesce("local", F.regexp_extract("path", _LAST, 1))).where("name not in ('', '*')").select("language", "file", "name", "path")
     whole = imports.withColumn("package", F.regexp_replace("path", r"(?:\.|::|\\)\*$", "")).select("language", "file", "package").distinct()
-    by_file = asked.join(types.select("language", "file", "name", "target"), ["language", "file", "name"])
-    by_import = asked.join(named, ["language", "file", "name"]).join(types.select("language", F.col("qualified").alias("path"), "target"), ["language", "path"])
-    in_package = types.select("language", "package", "name", "target")
-    own = asked.join(packages, ["language", "file"]).join(in_package, ["language", "package", "name"])
-    others = asked.join(whole, ["language", "file"]).join(in_package, ["language", "package", "name"])
-    anywhere = asked.join(types.select("language", "name", "target"), ["language", "name"])
-    steps = [(by_file, "file"), (by_import, "import"), (own, "package"), (others, "whole import"), (anywhere, "name")]
+    place = ["language", "file", "name"]
+    asked_once = asked.select(*place).distinct()
+    by_import = types.withColumnRenamed("qualified", "path")
+    steps = [
+        (asked_once, types, place, "file"), (asked_once.join(named, place), by_import, ["language", "path"], "import"), (asked_once.join(packages, ["language", "file"]), types, ["language", "package", "name"], "package"),
+        (asked_once.join(whole, ["language", "file"]), types, ["language", "package", "name"], "whole import"), (asked_once, types, ["language", "name"], "name"),
+    ]
     found = None
-    for k, (rows, how) in enumerate(steps):
-        part = rows.select("language", "file", "name", F.lit(k).alias("_step"), F.lit(how).alias("how"), "target")
+    for k, (rows, of, keys, how) in enumerate(steps):
+        part = resolve.counted_targets(rows, of, place, keys, "target").select(*place, F.lit(k).alias("_step"), F.struct(F.col("_n").alias("n"), F.col("_t").alias("target"), F.lit(how).alias("how")).alias("b"))
         found = part if found is None else found.unionByName(part)
-    steps_ = found.groupBy("language", "file", "name", "_step", "how").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-    best = steps_.groupBy("language", "file", "name").agg(F.min_by(F.struct("n", "target", "how"), "_step").alias("b"))
-    out = asked.join(best, ["language", "file", "name"], "left")
+    best = found.groupBy(*place).agg(F.min_by("b", "_step").alias("b"))
+    out = asked.join(best, place, "left")
     n = F.coalesce("b.n", F.lit(0))
     status = F.when(n == 1, "resolved").when(n > 1, "unresolved").otherwise("external")
     return out.select("language", "file", "name", n.alias("candidates"), F.when(n == 1, F.col("b.target")).alias("target_id"), status.alias("status"), "b.how")
