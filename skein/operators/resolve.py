@@ -53,10 +53,10 @@ def cascade(references: DataFrame, definitions: DataFrame, ref: str = "ref", nam
     """
     short = F.substring_index(F.col(name), ".", -1) if short is None else short
     asked = references.select(ref, F.explode(names).alias(name))
-    full = asked.join(definitions, name).groupBy(ref).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
+    full = counted_targets(asked, definitions, [ref], [name], target)
     rest = asked.join(full.select(ref), ref, "left_anti").select(ref, short.alias("_short")).distinct()
     by_short = definitions.select(short.alias("_short"), target)
-    fallback = rest.join(by_short, "_short").groupBy(ref).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
+    fallback = counted_targets(rest, by_short, [ref], ["_short"], target)
     found = full.withColumn("how", F.lit("name")).unionByName(fallback.withColumn("how", F.lit("short name")))
     out = references.select(ref).join(found, ref, "left")
     n = F.coalesce("_n", F.lit(0))
