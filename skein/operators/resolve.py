@@ -6,6 +6,8 @@ Every rule gives each reference one target or none, and says how: resolved (one
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,27 +141,38 @@ def last_started(points: DataFrame, scopes: DataFrame, by: str, point: str = "at
 
 def owner_members(owners: DataFrame, parents: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
     """Members found for (ref, owner, name) in an owner and what it inherits: of the nearest owner that has one, or of all."""
-    chain = ancestors_of(parents, owners.select("owner").distinct())
-    hit = owners.join(chain, "owner").join(members.select(F.col("owner").alias("at"), "name", "target"), ["at", "name"])
+    hit = owners.join(holders(owners.select("owner", "name"), parents, members, nearest), ["owner", "name"])
     if nearest:
         least = hit.groupBy("ref").agg(F.min("depth").alias("depth"))
         hit = hit.join(least, ["ref", "depth"])
-    found = hit.groupBy("ref").agg(F.count_distinct("target").alias("candidates"), F.min("target").alias("_t"))
-    out = owners.join(found, "ref", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    found = counted_targets(hit, members.select(F.col("owner").alias("at"), "name", "target"), ["ref"], ["at", "name"], "target")
+    out = owners.join(found, "ref", "left").withColumn("candidates", F.coalesce("_n", F.lit(0)))
     return out.select("ref", "candidates", F.when(F.col("candidates") == 1, F.col("_t")).alias("target_id"))
 
 
-def ancestors_of(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    """(owner, at, depth) over a graph of (child, parent), each ancestor at its least depth, however far; cycles end."""
-    seen = starts.select("owner", F.col("owner").alias("at"), F.lit(0).alias("depth"))
-    level, depth = seen, 0
-    while True:
+def holders(asked: DataFrame, parents: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
+    """(owner, name, at, depth): what has a member of the name among an owner and all that it inherits, each at its least depth.
+
+    parents: (child, parent); cycles end. A name that no owner has is not looked for, and with `nearest` an owner is
+    followed no farther than the first depth that has the name, so chains are walked only as far as the answer lies.
+    """
+    has = members.select(F.col("owner").alias("at"), "name").distinct().withColumn("_has", F.lit(True))
+    up = parents.select(F.col("child").alias("at"), F.col("parent").alias("_up")).where("_up is not null").distinct()
+    step = asked.distinct().join(has.select("name").distinct(), "name", "left_semi").select("owner", "name", F.col("owner").alias("at"))
+    depth = 0
+    told = lambda df: written(df.join(has, ["at", "name"], "left").select("owner", "name", "at", F.lit(depth).alias("depth"), F.coalesce("_has", F.lit(False)).alias("_has")))
+    level = told(step)
+    parts = [level]
+    while not level.isEmpty():
+        if len(parts) > 16:  # plans stay small, however long the chains
+            parts = [written(reduce(DataFrame.union, parts))]
+        seen = reduce(DataFrame.union, parts)
+        follow = level.join(level.where("_has").select("owner", "name"), ["owner", "name"], "left_anti") if nearest else level
+        step = follow.join(up, "at").select("owner", "name", F.col("_up").alias("at")).distinct().join(seen.select("owner", "name", "at"), ["owner", "name", "at"], "left_anti")
         depth += 1
-        up = level.join(parents.select(F.col("child").alias("at"), F.col("parent").alias("_up")), "at").select("owner", F.col("_up").alias("at"), F.lit(depth).alias("depth")).distinct()
-        level = written(up.join(seen.select("owner", "at"), ["owner", "at"], "left_anti"))
-        if level.isEmpty():
-            return seen
-        seen = seen.union(level)
+        level = told(step)
+        parts.append(level)
+    return reduce(DataFrame.union, parts).where("_has").drop("_has")
 
 
 def next_start(declarations: DataFrame, by: str, start: str) -> DataFrame:

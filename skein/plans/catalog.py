@@ -606,7 +606,8 @@ def source_graph(s: SparkSession, d: str) -> DataFrame:
     calls = F.concat(F.when(F.col("k") > 0, F.format_string("own%d(); ", F.col("k") - 1)).otherwise(""), F.lit("missing(3); // not(a, call)\n  }\n}\n"))
     head = F.concat(F.format_string("package n%d;\n", "n"), F.coalesce(F.format_string("import n%d.C0;\n", F.when(F.col("next").isNotNull(), F.col("next"))), F.lit("")))
     files = classes.join(other, "n", "left").select(F.format_string("n%d/C%d.java", "n", "k").alias("path"), F.lit("java").alias("language"), F.encode(F.concat(F.when(F.col("next").isNotNull(), head).otherwise(F.format_string("package n%d;\n", "n")), *body, made, calls), "utf-8").alias("content"))
-    found = written(records(files))
+    # small rows that take long: by number, since partitions joined by their bytes would leave all files to one task
+    found = written(records(files.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "path")))
     rows, _ = analyze.resolved(found)
     names = found.where("record = 'node'").select(F.col("id").alias("_id"), F.col("qualified_name").alias("_name"))
     edges = rules.with_confidence(rows.where("relation_type in ('inherits', 'calls', 'uses')"))
