@@ -42,18 +42,20 @@ def dangling(rows: DataFrame, key: str, nodes: DataFrame, rule: str, what: str =
 def on_parent_cycles(nodes: DataFrame) -> DataFrame:
     """(id,) of nodes whose chain of parents never ends.
 
-    Pointers double every round, so chains of any length take a logarithmic number of joins; each round
-    is written to the shared folder, which keeps plans small. What is left once the pointers reach
-    farther than any chain without a cycle can is on a cycle or leads to one.
+    Only nodes that are parents are followed; the others end as their parents do. Pointers double every round, so
+    chains of any length take a logarithmic number of joins; each round is written to the shared folder, which keeps
+    plans small. A chain that ends after more steps than the pointers reach has a node that just reaches so far, so
+    once a round loses no row, what is left is on a cycle or leads to one. The joins are merges: written pointers take
+    few bytes and many rows, and would be broadcast by those bytes.
     """
-    now = written(nodes.where("parent_id is not null and id is not null").select("id", F.col("parent_id").alias("up")).dropDuplicates(["id"]))
-    total, reach = now.count(), 1
-    left = total
-    while left and reach <= total:
+    every = written(nodes.where("parent_id is not null and id is not null").select("id", F.col("parent_id").alias("up")).dropDuplicates(["id"]))
+    now = written(every.join(every.select(F.col("up").alias("id")).distinct().hint("merge"), "id", "left_semi"))
+    before, left = None, now.count()
+    while left and left != before:
         far = now.select(F.col("id").alias("up"), F.col("up").alias("_next"))
-        now = written(now.join(far, "up").select("id", F.col("_next").alias("up")))
-        left, reach = now.count(), reach * 2
-    return now.select("id")
+        now = written(now.join(far.hint("merge"), "up").select("id", F.col("_next").alias("up")))
+        before, left = left, now.count()
+    return every.join(now.select(F.col("id").alias("up")).hint("merge"), "up", "left_semi").select("id")
 
 
 def violations(graph: Graph) -> DataFrame:
