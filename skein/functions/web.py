@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ELEMENTS = "file string, element int, tag string, dom_id string, classes array<string>, parent int, line int, col int, reference string"
@@ -33,22 +34,36 @@ class _Elements(HTMLParser):
                 break
 
 
-def elements(files: DataFrame) -> DataFrame:
-    """Elements of (path, content) rows, with the element that holds each; null content has none."""
+#: Elements or rules that are given out together, so that a worker's memory follows from the longest file, not from the files of a batch.
+TOGETHER = 8192
+_SCHEMA = pa.schema([("file", pa.string()), ("element", pa.int32()), ("tag", pa.string()), ("dom_id", pa.string()), ("classes", pa.list_(pa.string())), ("parent", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("reference", pa.string())])
+
+
+def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """(path, text), one file at a time."""
+    for b in batches:
+        for path, content in zip(b["path"], b["content"], strict=True):
+            yield path.as_py(), (content.as_py() or b"").decode("utf-8", "replace")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                p = _Elements()
-                p.feed(bytes(content or b"").decode("utf-8", "replace"))
-                p.close()
-                rows += [(path, *r) for r in p.rows]
-            out = pd.DataFrame(rows, columns=["file", "element", "tag", "dom_id", "classes", "parent", "line", "col", "reference"])
-            out["parent"] = out["parent"].astype("Int32")
-            yield out
 
-    return files.select("path", "content").mapInPandas(run, ELEMENTS)
+def _tables(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as tables of TOGETHER rows at most."""
+    rows = iter(rows)
+    while held := list(itertools.islice(rows, TOGETHER)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for path, text in _files(batches):
+        p = _Elements()
+        p.feed(text)
+        p.close()
+        yield from ((path, *r) for r in p.rows)
+
+
+def elements(files: DataFrame) -> DataFrame:
+    """Elements of (path, content) rows, with the element that holds each; null content has none."""
+    return files.select("path", "content").mapInArrow(lambda batches: _tables(_elements(batches), _SCHEMA), ELEMENTS)
 
 
 def selectors(css: str) -> list[tuple[str, int]]:
@@ -66,10 +81,11 @@ def selectors(css: str) -> list[tuple[str, int]]:
     return out
 
 
-def style_rules(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, s, at) for p, c in zip(b["path"], b["content"], strict=True) for s, at in selectors(bytes(c or b"").decode("utf-8", "replace"))]
-            yield pd.DataFrame(rows, columns=["file", "selector", "start"])
+def _rules(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for path, text in _files(batches):
+        yield from ((path, *r) for r in selectors(text))
+
 
-    return files.select("path", "content").mapInPandas(run, "file string, selector string, start int")
+def style_rules(files: DataFrame) -> DataFrame:
+    schema = pa.schema([("file", pa.string()), ("selector", pa.string()), ("start", pa.int32())])
+    return files.select("path", "content").mapInArrow(lambda batches: _tables(_rules(batches), schema), "file string, selector string, start int")
