@@ -35,7 +35,8 @@ def duplicates(df: DataFrame, rule: str) -> DataFrame:
 
 
 def dangling(rows: DataFrame, key: str, nodes: DataFrame, rule: str, what: str = "id") -> DataFrame:
-    known = nodes.select(F.col("id").alias("_known"))
+    """(rule, item) of rows whose key is no node's id. The nodes' ids are hashed and the rows stream past them, so that no task sorts the rows."""
+    known = nodes.select(F.col("id").alias("_known")).distinct().hint("shuffle_hash")
     return rows.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_known"), "left_anti").select(F.lit(rule).alias("rule"), F.col(what).alias("item"))
 
 
